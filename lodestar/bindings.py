@@ -1,0 +1,6 @@
+"""Operators bound to the given tables, with the SQL that each must agree with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
