@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, fingerprint, packing, repeats, secret_scan, url_filter
+from lodestar.llm import bpe, fingerprint, jaccard_join, packing, repeats, secret_scan, url_filter
 
 
 def vocabulary() -> str:
@@ -26,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.findings(secret_scan.address(docs).drop("text"), ledger)).drop("blob")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -46,5 +50,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_bpe, op6_repeats, op7_fingerprint, op8_url_filter, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op6_repeats, op7_fingerprint, op8_url_filter, op10_packing)}
 SQL: dict[str, str] = {"op8_url_filter": url_filter.SQL}
