@@ -164,11 +164,11 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that have a component of a lesser key; of rows with the same key and words only one stays. Documents without words, and rows with a null key, stay."""
-    found = joined(docs, key, text)
-    go = found.where(f"n_shingles > 0 and `{key}` <> component_id").select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(go, docs[key] == go["_gone"], "left_anti")
-    many = found.where("n_shingles > 0").groupBy(key).count().where("count > 1").select(F.col(key).alias("_twice"))
-    twice = kept.join(many, kept[key] == many["_twice"], "left_semi").dropDuplicates([key])
-    once = kept.join(many, kept[key] == many["_twice"], "left_anti")
-    return once.union(twice).select(*docs.columns)
+    """docs without those that have a component of a lesser key. Of rows with the same key the one with the greatest text stays. Documents without words, and rows with a null key, stay."""
+    found = joined(docs, key, text).where(F.col(key).isNotNull())
+    about = found.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_n"), F.min("component_id").alias("_component"))
+    known = docs.join(about, docs[key] == about["_key"], "left")
+    once = known.where("_key is null or _n = 0 or (_rows = 1 and _component = _key)")
+    first = Window.partitionBy("_key").orderBy(F.col(text).desc_nulls_last())
+    several = known.where("_n > 0 and _rows > 1 and _component = _key").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    return once.union(several).drop("_key", "_rows", "_n", "_component")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, fingerprint, jaccard_join, packing, repeats, secret_scan, url_filter
+from lodestar.llm import ann, bpe, fingerprint, jaccard_join, packing, quality, repeats, secret_scan, toxicity, url_filter
 
 
 def vocabulary() -> str:
@@ -34,6 +33,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
@@ -46,9 +54,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.Resampler(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drawn()
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op6_repeats, op7_fingerprint, op8_url_filter, op10_packing)}
-SQL: dict[str, str] = {"op8_url_filter": url_filter.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing)}
+SQL: dict[str, str] = {"op5_ann": ann.SQL, "op8_url_filter": url_filter.SQL}

@@ -107,11 +107,11 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("*", *(count(r.kind) for r in BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans_text")).drop("spans").withColumnRenamed("spans_text", "spans")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every found span of text replaced by mark (overlapping spans as one), and n_chars brought up to date. Other columns stay."""
-    columns = docs.columns
-    new = scan_new(docs, ledger, rules)
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, mark: str = "[REDACTED]", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """docs with every found span of the text replaced by mark (overlapping spans as one), and chars, if there is such a column, brought up to date. Other columns stay as they are. A text is shuffled once to be scanned and once to meet its findings, and only if it has any."""
+    new = scan_new(docs, ledger, rules, text)
     all_rows = new if ledger is None else ledger.unionByName(new)
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
@@ -120,12 +120,13 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
     )
+    old = F.col("_row")[text]
     cut = F.aggregate(
         "_merged",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda acc, x: F.struct(F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at")),
+        lambda acc: F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    found = findings(address(docs), all_rows, rules).withColumn("_merged", merged)
-    clean = found.withColumn("text", F.when(F.size("_merged") > 0, cut).otherwise(F.col("text")))
-    return clean.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
+    clean = findings(held, all_rows, rules).withColumn("_merged", merged).withColumn("_clean", F.when(F.size("_merged") > 0, cut).otherwise(old))
+    changed = {text: F.col("_clean"), chars: F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row")[chars]) if chars in docs.columns else None}
+    return clean.select(*((changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns))
