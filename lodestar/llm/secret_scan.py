@@ -91,10 +91,12 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return todo.dropDuplicates(["blob"]).select("blob", "text", "rules").mapInArrow(scan, f"blob string, rules array<string>, spans {SPANS}")
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """paths (with column blob, see address()) and their spans, in order of start, then of the rules. Rule versions of the past don't count."""
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, once: bool = False) -> DataFrame:
+    """paths (with column blob, see address()) and their spans, in order of start, then of the rules. Rule versions of the past don't count. once: the ledger has a single row for each blob; then Spark can split the join where one blob has many paths."""
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    now = ledger.where(F.arrays_overlap("rules", F.array(*(F.lit(r.id) for r in rules)))).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    now = ledger.where(F.arrays_overlap("rules", F.array(*(F.lit(r.id) for r in rules)))).where(F.size("spans") > 0).select("blob", "spans")
+    if not once:
+        now = now.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     order = lambda x, y: F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(F.array_position(kinds, x["kind"]) - F.array_position(kinds, y["kind"]))).cast("int")
     return paths.join(now, "blob", "left").withColumn("spans", F.array_sort(F.coalesce("spans", F.array().cast(SPANS)), order))
 
@@ -127,6 +129,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
         lambda acc, x: F.struct(F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at")),
         lambda acc: F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    clean = findings(held, all_rows, rules).withColumn("_merged", merged).withColumn("_clean", F.when(F.size("_merged") > 0, cut).otherwise(old))
+    clean = findings(held, all_rows, rules, ledger is None).withColumn("_merged", merged).withColumn("_clean", F.when(F.size("_merged") > 0, cut).otherwise(old))
     changed = {text: F.col("_clean"), chars: F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row")[chars]) if chars in docs.columns else None}
     return clean.select(*((changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns))
