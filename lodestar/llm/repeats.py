@@ -25,9 +25,9 @@ from lodestar.llm.common import arrow, batches, forget, mix, release, written
 
 SPAN, TRIGGER = 50, 16
 #: Bytes of text that a task parses before it hands on what it has found.
-BATCH = 8 << 20
+BATCH = 16 << 20
 #: Bytes of text for each part of the dictionary.
-PART_BYTES = 8 << 20
+PART_BYTES = 24 << 20
 
 _PLACE = np.uint64((1 << 28) - 1)
 _rng = np.random.default_rng(20240607)
@@ -93,14 +93,23 @@ def joined(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[new], np.diff(np.r_[new, len(at)])
 
 
-#: Rows that tasks hand each other: part: whom it goes to; the rest: arrays as bytes. ids, texts: a document's key and the hash of its text; doc: index into those for each entry.
+#: Rows that tasks hand each other: part: whom it goes to; the rest: arrays as bytes. ids, texts: a document's key and a hash of its text, which only tells rows with one key apart; doc: index into those for each entry. Arrays of small numbers take two bytes each.
 _FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("texts", pa.binary()), ("doc", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 _NAMES = [n for n, _ in _FIELDS]
 _BLOB, _BLOB_DDL = pa.schema(_FIELDS), "kind int, part int, ids binary, texts binary, doc binary, a binary, b binary, c binary"
-#: Kinds: entries of the dictionary (a: trigger, b: phrase, c: number of the phrase in its text); places covered (a: start, b: length); phrases to be sorted by suffix (a: number); suffixes (a: hash, c: place).
+#: Kinds: entries of the dictionary (a: trigger, b: phrase, c: number of the phrase in its text); places covered (a: start, b: length); phrases to be sorted by suffix (a: number); suffixes (a: hash, b: place).
 ENTRY, COVERED, SORT, SUFFIX = range(4)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as two bytes each, or four; a first byte tells which."""
+    return b"\2" + x.astype(np.uint16).tobytes() if not len(x) or x.max() < 1 << 16 else b"\4" + x.astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if data[:1] == b"\2" else np.uint32, offset=1) if data else np.zeros(0, np.uint16)
+
+
 def parted(kind: int, part: np.ndarray, doc: np.ndarray, ids: np.ndarray, texts: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     """A row for each part."""
     if not len(part):
@@ -110,28 +119,32 @@ def parted(kind: int, part: np.ndarray, doc: np.ndarray, ids: np.ndarray, texts:
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         own = order[lo:hi]
         docs, index = np.unique(doc[own], return_inverse=True)
-        yield (kind, int(part[own[0]]), ids[docs].tobytes(), texts[docs].tobytes(), index.astype(np.uint32).tobytes(), *(x[own].tobytes() for x in arrays), *[b""] * (3 - len(arrays)))
+        yield (kind, int(part[own[0]]), ids[docs].tobytes(), texts[docs].tobytes(), packed(index), *(x[own].tobytes() if x.dtype == np.uint64 or x.dtype == np.uint32 else packed(x[own]) for x in arrays), *[b""] * (3 - len(arrays)))
 
 
-def together(rows: list[tuple], *kinds: type) -> tuple[np.ndarray, ...]:
-    """ids, texts, doc and the arrays of several rows of one kind as one."""
+def together(rows: list[tuple], *kinds: type | None) -> tuple[np.ndarray, ...]:
+    """ids, texts, doc and the arrays of several rows of one kind as one. A kind of None is a packed array."""
     ids = [np.frombuffer(r[0], np.int64) for r in rows]
     shift = np.cumsum([0, *(len(x) for x in ids)])
-    doc = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.int64) + s for r, s in zip(rows, shift, strict=False)])
-    return np.concatenate(ids), np.concatenate([np.frombuffer(r[1], np.int64) for r in rows]), doc, *(np.concatenate([np.frombuffer(r[3 + k], t) for r in rows]) for k, t in enumerate(kinds))
+    doc = np.concatenate([unpacked(r[2]).astype(np.int64) + s for r, s in zip(rows, shift, strict=False)])
+    arrays = (np.concatenate([np.frombuffer(r[3 + k], t) if t else unpacked(r[3 + k]).astype(np.int64) for r in rows]) for k, t in enumerate(kinds))
+    return np.concatenate(ids), np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows]), doc, *arrays
 
 
-def by_part(it, *more: str) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of a sorted partition, those of a part together."""
+def by_part(it, kind: int) -> Iterator[tuple[list[tuple], tuple | None]]:
+    """Of a sorted partition the rows of this kind, those of a part together, and with None before them every other row as it is."""
     part, held = None, []
-    for p, *row in batches(it, "part", "ids", "texts", "doc", "a", "b", "c"):
+    for k, p, *row in batches(it, *_NAMES):
+        if k != kind:
+            yield [], (k, p, *row)
+            continue
         if p != part and held:
-            yield part, held
+            yield held, None
             held = []
         part = p
         held.append(row)
     if held:
-        yield part, held
+        yield held, None
 
 
 def home(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -140,7 +153,7 @@ def home(ids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def text_hash(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+    return xxhash.xxh32_intdigest(data)
 
 
 def _settle(ids, texts, doc, trigger, phrase, number, parts: int, whole: bool) -> Iterator[tuple]:
@@ -152,15 +165,15 @@ def _settle(ids, texts, doc, trigger, phrase, number, parts: int, whole: bool) -
     least = d[new][np.cumsum(new) - 1]
     covered = d > least
     at = order[covered]
-    yield from parted(COVERED, home(ids, parts)[doc[at]], doc[at], ids, texts, number[at].astype(np.uint32))
+    yield from parted(COVERED, home(ids, parts)[doc[at]], doc[at], ids, texts, number[at])
     if whole:
         group = np.cumsum(new_t) - 1
         low, high = np.minimum.reduceat(d, np.flatnonzero(new_t))[group], np.maximum.reduceat(least, np.flatnonzero(new_t))[group]
         own = order[~covered & (low < high)]
-        yield from parted(SORT, home(ids, parts)[doc[own]], doc[own], ids, texts, number[own].astype(np.uint32))
+        yield from parted(SORT, home(ids, parts)[doc[own]], doc[own], ids, texts, number[own])
     else:
         at = order[~covered]
-        yield from parted(ENTRY, (trigger[at] % np.uint64(parts)).astype(np.int32), doc[at], ids, texts, (trigger[at] // np.uint64(parts)).astype(np.uint32), phrase[at], number[at].astype(np.uint32))
+        yield from parted(ENTRY, (trigger[at] % np.uint64(parts)).astype(np.int32), doc[at], ids, texts, (trigger[at] // np.uint64(parts)).astype(np.uint32), phrase[at], number[at])
 
 
 def _parse(it, parts: int) -> Iterator[tuple]:
@@ -169,17 +182,16 @@ def _parse(it, parts: int) -> Iterator[tuple]:
 
     def flush() -> Iterator[tuple]:
         if held:
-            counts = [len(x[2].first) for x in held]
-            ids, texts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-            yield from _settle(ids, texts, np.repeat(np.arange(len(held)), counts), np.concatenate([x[2].trigger for x in held]), np.concatenate([x[2].phrase for x in held]), np.concatenate([np.arange(c) for c in counts]), parts, False)
+            counts = [len(x[2]) for x in held]
+            ids, texts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint32)
+            yield from _settle(ids, texts, np.repeat(np.arange(len(held)), counts), np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]), np.concatenate([np.arange(c) for c in counts]), parts, False)
 
     for k, t in batches(it, "_key", "_text"):
         data = (t or "").encode("utf-8", "surrogatepass")
         if k is None or len(data) < SPAN:
             continue
         p = Parse(data)
-        p.sums = None
-        held.append((k, text_hash(data), p))
+        held.append((k, text_hash(data), p.trigger, p.phrase))
         size += len(data)
         if size >= BATCH:
             yield from flush()
@@ -188,9 +200,12 @@ def _parse(it, parts: int) -> Iterator[tuple]:
 
 
 def _dictionary(it, parts: int) -> Iterator[tuple]:
-    for _, rows in by_part(it):
-        ids, texts, doc, trigger, phrase, number = together(rows, np.uint32, np.uint64, np.uint32)
-        yield from _settle(ids, texts, doc, trigger, phrase, number, parts, True)
+    for rows, other in by_part(it, ENTRY):
+        if other:
+            yield other
+        else:
+            ids, texts, doc, trigger, phrase, number = together(rows, np.uint32, np.uint64, None)
+            yield from _settle(ids, texts, doc, trigger, phrase, number, parts, True)
 
 
 def _with_text(it, *more: str) -> Iterator[tuple]:
@@ -203,8 +218,8 @@ def _with_text(it, *more: str) -> Iterator[tuple]:
             data = (t or "").encode("utf-8", "surrogatepass")
             yield k, t, data, got.get((k, text_hash(data)), []) if k is not None else [], own
             continue
-        ids, texts = np.frombuffer(ids, np.int64), np.frombuffer(texts, np.int64)
-        doc, a, b = (np.frombuffer(x, np.uint32) for x in (doc, a, b))
+        ids, texts = np.frombuffer(ids, np.int64), np.frombuffer(texts, np.uint32)
+        doc, a, b = unpacked(doc), unpacked(a), unpacked(b)
         order = np.argsort(doc, kind="stable")
         cut = np.searchsorted(doc[order], np.arange(len(ids) + 1))
         for j in range(len(ids)):
@@ -218,12 +233,12 @@ def _suffixes(it, parts: int) -> Iterator[tuple]:
 
     def flush() -> Iterator[tuple]:
         if held:
-            ids, texts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+            ids, texts = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint32)
             for kind, k in ((COVERED, 2), (SUFFIX, 4)):
                 doc = np.repeat(np.arange(len(held)), [len(x[k]) for x in held])
                 a, b = np.concatenate([x[k] for x in held]), np.concatenate([x[k + 1] for x in held])
                 if kind == COVERED:
-                    yield from parted(kind, home(ids, parts)[doc], doc, ids, texts, a.astype(np.uint32), b.astype(np.uint32))
+                    yield from parted(kind, home(ids, parts)[doc], doc, ids, texts, a, b)
                 else:  # of strings that this task has twice, the least document's stands for the others
                     order = np.lexsort((ids[doc], a))
                     h, d = a[order], ids[doc[order]]
@@ -231,14 +246,14 @@ def _suffixes(it, parts: int) -> Iterator[tuple]:
                     repeat = d > d[new][np.cumsum(new) - 1]
                     at, own = order[repeat], order[~repeat]
                     yield from _places(at, doc, b, ids, texts, parts)
-                    yield from parted(SUFFIX, (a[own] % np.uint64(parts)).astype(np.int32), doc[own], ids, texts, a[own], b[own].astype(np.uint32))
+                    yield from parted(SUFFIX, (a[own] % np.uint64(parts)).astype(np.int32), doc[own], ids, texts, a[own], b[own])
 
     for k, _, data, replies, _ in _with_text(it):
         if not replies:
             continue
         p = Parse(data)
-        covered = np.concatenate([np.zeros(0, np.uint32), *(a for kind, a, _ in replies if kind == COVERED)])
-        sort = np.unique(np.concatenate([np.zeros(0, np.uint32), *(a for kind, a, _ in replies if kind == SORT)]))
+        covered = np.concatenate([np.zeros(0, np.int64), *(a for kind, a, _ in replies if kind == COVERED)])
+        sort = np.unique(np.concatenate([np.zeros(0, np.int64), *(a for kind, a, _ in replies if kind == SORT)]))
         start, length = joined(np.unique(p.strings(np.unique(covered)))) if len(covered) else (np.zeros(0, np.int64),) * 2
         at = p.strings(sort) if len(sort) else np.zeros(0, np.int64)
         held.append((k, text_hash(data), start, length, p.hashed(at, at + SPAN), at))
@@ -255,12 +270,15 @@ def _places(at, doc, place, ids, texts, parts: int) -> Iterator[tuple]:
         at = at[np.lexsort((place[at], doc[at]))]
         new = np.flatnonzero(np.r_[True, (np.diff(doc[at]) != 0) | (np.diff(place[at].astype(np.int64)) != 1)])
         first = at[new]
-        yield from parted(COVERED, home(ids, parts)[doc[first]], doc[first], ids, texts, place[first].astype(np.uint32), np.diff(np.r_[new, len(at)]).astype(np.uint32))
+        yield from parted(COVERED, home(ids, parts)[doc[first]], doc[first], ids, texts, place[first], np.diff(np.r_[new, len(at)]))
 
 
 def _corpus_order(it, parts: int) -> Iterator[tuple]:
-    for _, rows in by_part(it):
-        ids, texts, doc, h, place = together([(*r[:5], r[5]) for r in rows], np.uint64, np.uint32)
+    for rows, other in by_part(it, SUFFIX):
+        if other:
+            yield other
+            continue
+        ids, texts, doc, h, place = together(rows, np.uint64, None)
         order = np.lexsort((ids[doc], h))
         s, d = h[order], ids[doc[order]]
         new = np.r_[True, s[1:] != s[:-1]]
@@ -284,7 +302,7 @@ def _meet(rows: DataFrame, replies: DataFrame, parts: int) -> DataFrame:
         return pd.Series(home(k.fillna(0).to_numpy(np.int64), parts))
 
     left = rows.withColumn("kind", F.lit(-1)).withColumn("part", place("_key"))
-    return left.unionByName(replies, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("kind").desc())
+    return left.unionByName(replies, allowMissingColumns=True).repartitionById(parts, "part").sortWithinPartitions("part", F.col("kind").desc())
 
 
 def repeats(docs: DataFrame, out: pa.Schema, ddl: str, use, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -293,21 +311,17 @@ def repeats(docs: DataFrame, out: pa.Schema, ddl: str, use, key: str = "doc_id",
     more = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, more, strict=True)))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES // 4 + 1)
-    blobs = lambda df, f: df.mapInArrow(lambda it: arrow(_BLOB, f(it), 64), _BLOB_DDL)
-    dealt = lambda df, kind: df.where(F.col("kind") == kind).repartition("part").sortWithinPartitions("part")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    blobs = lambda df, f: df.mapInArrow(lambda it: arrow(_BLOB, f(it), 16), _BLOB_DDL)
+    dealt = lambda df: df.repartitionById(parts, "part").sortWithinPartitions("part", "kind")
 
-    parsed = written(blobs(rows.select("_key", "_text"), lambda it: _parse(it, parts)))
-    settled = written(blobs(dealt(parsed, ENTRY), lambda it: _dictionary(it, parts)))
+    parsed = blobs(rows.select("_key", "_text"), lambda it: _parse(it, parts))
+    settled = written(blobs(dealt(parsed), lambda it: _dictionary(it, parts)))
     release(spark)
-    known = parsed.where(F.col("kind") == COVERED).unionByName(settled)
-    suffixes = written(blobs(_meet(rows.select("_key", "_text"), known, parts), lambda it: _suffixes(it, parts)))
-    forget(parsed)
+    suffixes = blobs(_meet(rows.select("_key", "_text"), settled, parts), lambda it: _suffixes(it, parts))
+    found = written(blobs(dealt(suffixes), lambda it: _corpus_order(it, parts)))
     forget(settled)
     release(spark)
-    last = written(blobs(dealt(suffixes, SUFFIX), lambda it: _corpus_order(it, parts)))
-    release(spark)
-    found = suffixes.where(F.col("kind") == COVERED).unionByName(last)
 
     def finish(it) -> Iterator[tuple]:
         for k, t, data, replies, own in _with_text(it, *more):
