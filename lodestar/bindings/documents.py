@@ -1 +1,272 @@
-"""To be bound."""
+"""Text and document operators (X, W21, A29-A30, J13-J26, P21, P28) on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.bindings.registry import bound, table
+from lodestar.functions import text as X
+from lodestar.operators import matching as M
+from lodestar.operators import series as W
+
+col = F.col
+
+
+def docs(spark, d):
+    return table(spark, d, "documents")
+
+
+_WS = r"'[ \t\n\r\f\v]+'"
+
+
+@bound("x1_normalise", r"""select doc_id, md5(trim(regexp_replace(regexp_replace(replace(replace('ﬁ­' || text, 'ﬁ', 'fi'), '­', ''), '([a-záéíóúñ])- ([a-záéíóúñ])', '\1\2', 'g'), '\s+', ' ', 'g'))) as h from documents""")
+def x1(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(X.normalised(F.concat(F.lit("ﬁ­"), col("text")))).alias("h"))
+
+
+@bound("x1_normalise_full")
+def x1b(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(X.fully_normalised("text")).alias("h"))
+
+
+@bound("x2_clean_edges", """select p_partkey, case p_size % 3 when 0 then p_name when 1 then upper(substr(p_name,1,1)) || substr(p_name, 2) else p_name || ' SPEED' end as limpio from part""")
+def x2(spark, d):
+    k = col("p_size") % 3
+    given = F.when(k == 0, F.concat(F.lit(" - "), col("p_name"), F.lit(" "), col("p_name"), F.lit(" >"))).when(k == 1, F.concat(F.lit("gu zz "), F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)"))).otherwise(F.concat(F.lit("of "), col("p_name"), F.lit(" SPEED = ")))
+    return table(spark, d, "part").select("p_partkey", X.clean_edges(given).alias("limpio"))
+
+
+_GOOD = r"""(regexp_full_match(w, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][a-záéíóúüñ''’]+[.,;:!?]?|[A-ZÁÉÍÓÚÑ]{2,}[.,;:]?|[-−+]?\d+(?:[.,]\d+)*%?[.,;:]?|\d+%?[A-Za-z]{1,4}|\([^()\s]{1,12}\)[.,;:]?'))"""
+
+
+@bound("x3_legible", rf"""with s as (select doc_id, trim(substr(text, 1, 200)) as t from documents), w as (select doc_id, t, unnest(string_split_regex(t, '\s+')) as w from s), n as (select doc_id, any_value(t) as t, count(*) as n,
+ sum(case when length(w) = 1 then (lower(w) in ('a','e','o','y','u','x','i'))::int*2 when regexp_full_match(w, '[\p{{L}}]+') and length(w) > 1 and replace(lower(w), substr(lower(w),1,1), '') = '' then 0 when {_GOOD} then 1
+ when contains(w, '-') and not exists (select 1 from (select unnest(string_split(w, '-')) as v) where v <> '' and not regexp_full_match(v, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][a-záéíóúüñ''’]+[.,;:!?]?|[A-ZÁÉÍÓÚÑ]{{2,}}[.,;:]?|[-−+]?\d+(?:[.,]\d+)*%?[.,;:]?|\d+%?[A-Za-z]{{1,4}}')) then 1 else 0 end) filter (where length(w) > 1) as g1,
+ count_if(length(w) = 1 and lower(w) in ('a','e','o','y','u','x','i')) as g2 from w group by 1),
+ r as (select doc_id, max(c) as m from (select doc_id, w, count(*) as c from w group by 1, 2) group by 1)
+ select doc_id, case when length(t) <= 3 and not contains(t, ' ') then regexp_full_match(t, '[A-Za-z0-9]+') else (coalesce(g1, 0) + case when n <= 6 then g2 else 0 end)/n >= 0.75 and not (n >= 4 and m/n > 0.3) end as legible from n join r using (doc_id)""")
+def x3(spark, d):
+    return docs(spark, d).select("doc_id", X.legible(F.substring("text", 1, 200)).alias("legible"))
+
+
+@bound("x4_paragraph", r"""with w as (select doc_id, unnest(string_split_regex(trim(text), '\s+')) as w from documents) select doc_id, count(*) >= 15 and count_if(regexp_full_match(w, '[a-záéíóúñ]{3,}[.,;:]?'))/count(*) >= 0.45 as parrafo from w group by 1""")
+def x4(spark, d):
+    return docs(spark, d).select("doc_id", X.is_paragraph(col("text")).alias("parrafo"))
+
+
+@bound("x5_cut", r"""select doc_id, case when length(text) <= 80 then text else regexp_replace(substr(text, 1, 80), ' [^ ]*$', '') || '…' end as corto from documents""")
+def x5(spark, d):
+    return docs(spark, d).select("doc_id", X.cut(col("text"), 80).alias("corto"))
+
+
+@bound("x6_caption", "select p_partkey, case p_size % 4 when 0 then 'fig.' when 1 then 'gráfico' when 2 then 'figura' else '' end as tipo, case p_size % 4 when 0 then p_size::varchar when 1 then p_size || 'b' when 2 then 'IV' else '' end as numero from part")
+def x6(spark, d):
+    k, n = col("p_size") % 4, col("p_size").cast("string")
+    given = F.when(k == 0, F.concat(F.lit("Fig. "), n, F.lit(": "), col("p_name"))).when(k == 1, F.concat(F.lit(" Gráfico nº "), n, F.lit("b - "), col("p_name"))).when(k == 2, F.concat(F.lit("Figura IV. "), col("p_name"))).otherwise(col("p_name"))
+    kind, number = X.caption_parts(given)
+    return table(spark, d, "part").select("p_partkey", kind.alias("tipo"), number.alias("numero"))
+
+
+@bound("x7_cited_figures", "select p_partkey, array_to_string(list_sort(list_distinct(case when p_size % 3 = 0 then list_transform(range(p_size, p_size + 4), lambda n: n::varchar) else [p_size::varchar] end || ['5.1'])), ',') as citas from part")
+def x7(spark, d):
+    n = col("p_size").cast("string")
+    given = F.when(col("p_size") % 3 == 0, F.concat(F.lit("como muestran las Figs. "), n, F.lit("-"), (col("p_size") + 3).cast("string"), F.lit(" y la figura 5.1"))).otherwise(F.concat(F.lit("ver Figure "), n, F.lit(" y fig 5.1.")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(M.cited_numbers(given), ",").alias("citas"))
+
+
+@bound("x8_caption_assembly", """with l as (select l_orderkey, l_linenumber, min(l_partkey) as pk, bool_or(l_returnflag = 'R') as r from lineitem group by 1, 2), t as (select l_orderkey as k, l_linenumber as n, case when r then 'Fig. ' || l_linenumber else 'sigue ' || pk end as s, r, coalesce(l_linenumber - lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) = 1 and not r, false) as go from l),
+ g as (select *, sum((not go)::int) over (partition by k order by n rows unbounded preceding) as g from t), a as (select k, g, string_agg(s, ' ' order by n) as pie, arg_min(r, n) as ok from g group by 1, 2) select k, pie from a where ok""")
+def x8(spark, d):
+    li = table(spark, d, "lineitem").groupBy(col("l_orderkey").alias("k"), col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("pk"), F.bool_or(col("l_returnflag") == "R").alias("r"))
+    t = li.select("k", F.lit(10.0).alias("x0"), (col("n") * 10.0).alias("y0"), (col("n") * 10.0 + 8).alias("y1"), F.lit(8.0).alias("size"), F.when(col("r"), F.concat(F.lit("Fig. "), col("n").cast("string"))).otherwise(F.concat(F.lit("sigue "), col("pk").cast("string"))).alias("s"))
+    return X.assembled_captions(t, ["k"], "x0", "y0", "y1", "size", "s")
+
+
+@bound("x9_context", r"""with t as (select doc_id, case doc_id % 3 when 0 then text when 1 then '' else null end as a, case doc_id % 3 when 1 then text else ' ' end as b, source as c from documents), u as (select doc_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), nullif(trim(c), '')) as t from t)
+ select doc_id, case when length(t) <= 220 then t else regexp_replace(substr(t, 1, 220), ' [^ ]*$', '') || '…' end as contexto from u""")
+def x9(spark, d):
+    k = col("doc_id") % 3
+    return docs(spark, d).select("doc_id", X.context(F.when(k == 0, col("text")).when(k == 1, ""), F.when(k == 1, col("text")).otherwise(" "), col("source")).alias("contexto"))
+
+
+@bound("x10_spoken", "select p_partkey, 'Figura ' || p_size || ' y Figura 7: ' || p_name || '.' as dicho from part")
+def x10(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.spoken(F.concat(F.lit(" Figs. "), col("p_size").cast("string"), F.lit(" y Fig 7: "), col("p_name"))).alias("dicho"))
+
+
+@bound("x11_located", "select p_partkey, case when p_size % 3 = 0 then 'Del documento «' || p_name || '», página ' || p_size || '.' when p_size % 3 = 1 then 'Del archivo a' || p_partkey || ', página ' || p_size || '.' else 'página ' || p_size || '.' end as lugar from part")
+def x11(spark, d):
+    k = col("p_size") % 3
+    return table(spark, d, "part").select("p_partkey", X.located(F.when(k == 0, col("p_name")), F.when(k < 2, F.concat(F.lit("a"), col("p_partkey").cast("string"), F.lit(".pdf"))), col("p_size")).alias("lugar"))
+
+
+_SHAPE = """w as (select o_custkey as c, o_orderpriority as s, o_orderkey as x, o_totalprice as y from orders), g as (select c, s, min(x) as x0, max(x) as x1, arg_min(y, x) as y0, arg_max(y, x) as y1, max(y) as ymax, arg_min(x, (-y, x)) as xmax, min(y) as ymin, arg_min(x, (y, x)) as xmin from w group by 1, 2),
+ h as (select *, case when ymax > ymin then ymax-ymin else 1 end as sp, 0.05*case when x1 > x0 then x1-x0 else 1 end as p from g), i as (select *, xmax > x0+p and xmax < x1-p and ymax-greatest(y0,y1) > 0.1*sp as top, xmin > x0+p and xmin < x1-p and least(y0,y1)-ymin > 0.1*sp as low from h),
+ f as (select *, case when top and low then 'mixta' when top then 'sube-baja' when low then 'baja-sube' when abs(y1-y0) <= 0.05*sp then 'estable' when y1 > y0 then 'aumenta' else 'disminuye' end as forma from i)"""
+
+
+def _num(c):
+    return f"rtrim(rtrim(printf('%.2f', {c}), '0'), '.')"
+
+
+@bound("x12_series_text", f"with {_SHAPE} select c, string_agg(s || ': ' || forma || ', de ' || {_num('y0')} || ' a ' || {_num('y1')} || '; máximo ' || {_num('ymax')} || ', mínimo ' || {_num('ymin')} || '.', ' ' order by s) as texto from f group by 1")
+def x12(spark, d):
+    o = table(spark, d, "orders").select(col("o_custkey").alias("c"), col("o_orderpriority").alias("s"), col("o_orderkey").alias("x"), col("o_totalprice").alias("y"))
+    return X.series_text(W.curve_shape(o, ["c", "s"], "x", "y"), ["c"], "s", col("s"))
+
+
+@bound("x13_legend_text", "select n_regionkey, string_agg(chr(65 + n_nationkey % 26) || ' es ' || n_name, ', ' order by n_nationkey) as leyenda from nation group by 1")
+def x13(spark, d):
+    n = table(spark, d, "nation").withColumn("codigo", F.char((F.lit(65) + col("n_nationkey") % 26).cast("bigint")))
+    return X.legend_text(n, ["n_regionkey"], "codigo", "n_name", "n_nationkey")
+
+
+@bound("x14_questions", f"with {_SHAPE}, q as (select c, 'series' as tema, count(distinct s)::varchar as respuesta from w group by 1 union all select c, 'pico ' || s, xmax::varchar from f) select c, tema, respuesta from q")
+def x14(spark, d):
+    from lodestar.operators.rates import extremes
+
+    o = table(spark, d, "orders").select(col("o_custkey").alias("c"), col("o_orderpriority").alias("s"), col("o_orderkey").alias("x"), col("o_totalprice").alias("y"))
+    n = o.groupBy("c").agg(F.count_distinct("s").cast("string").alias("respuesta")).select("c", F.lit("series").alias("tema"), "respuesta")
+    return n.unionByName(extremes(o, ["c", "s"], "x", "y").select("c", F.concat(F.lit("pico "), col("s")).alias("tema"), col("x_max").cast("string").alias("respuesta")))
+
+
+@bound("w21_text_budget", r"""with c as (select conv_id, turn, role, text, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as u from conversations) select conv_id, turn, md5(case when length(text) <= 700-u then text else regexp_replace(regexp_replace(substr(text, 1, (700-u)::bigint), ' [^ ]*$', ''), '[,;:]+$', '') || '…' end) as h from c where u < 700""")
+def w21(spark, d):
+    return X.text_budget(table(spark, d, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", F.md5("leido").alias("h"))
+
+
+@bound("a30_largest_title", """with l as (select l_orderkey as k, l_quantity as s, l_linenumber*10.0 as y0, l_linenumber*10.0 + 8 as y1, l_partkey as t, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as r from lineitem), u as (select * from l where r = 1),
+ b as (select * from (select *, max(s) over (partition by k) as m from u) where s >= m - 10), c as (select *, coalesce((y0 - lag(y1) over (partition by k order by y0) > 0.5*s)::int, 0) as c from b), g as (select *, sum(c) over (partition by k order by y0 rows unbounded preceding) as g from c) select k, string_agg(t::varchar, ' ' order by y0) as titulo from g where g = 0 group by 1""")
+def a30(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    y = col("l_linenumber") * 10.0
+    li = table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r = 1").select(col("l_orderkey").alias("k"), col("l_quantity").alias("s"), y.alias("y0"), (y + 8).alias("y1"), col("l_partkey").cast("string").alias("t"))
+    return X.largest_title(li, ["k"], "s", "y0", "y1", "t", 10.0, 0.5)
+
+
+@bound("p28_generic_title", "select p_partkey, case p_size % 4 when 0 then null when 1 then null when 2 then 'Tesis ' || p_name else p_name end as titulo from part where length(p_name) >= 4 and contains(p_name, ' ')")
+def p28(spark, d):
+    k = col("p_size") % 4
+    given = F.when(k == 0, "Documento1").when(k == 1, F.concat(F.lit("tesis_final_v"), col("p_size").cast("string"), F.lit(".docx"))).when(k == 2, F.concat(F.lit("Microsoft Word - Tesis "), col("p_name"), F.lit(".docx"))).otherwise(col("p_name"))
+    return table(spark, d, "part").where("length(p_name) >= 4 and contains(p_name, ' ')").select("p_partkey", X.generic_title(given).alias("titulo"))
+
+
+@bound("p21_figure_type", "select p_partkey, coalesce(case p_type when 'ECONOMY' then 'linea' when 'STANDARD' then 'barras' when 'PROMO' then 'otro' end, case when p_size > 25 then 'linea' else 'otro' end) as tipo from part")
+def p21(spark, d):
+    names = spark.createDataFrame([("ECONOMY", "linea"), ("STANDARD", "barras"), ("PROMO", "otro")], "p_type string, nombre string")
+    rule = F.when(col("p_size") > 25, "linea").otherwise("otro")
+    return table(spark, d, "part").join(F.broadcast(names), "p_type", "left").select("p_partkey", F.coalesce("nombre", rule).alias("tipo"))  # the list of kinds is fixed
+
+
+_BOX = "select p_partkey, p_brand, p_size*8.0::double as x0, (p_partkey*37 % 600)*1.0::double as y0, p_size*8.0::double + 120 as x1, (p_partkey*37 % 600) + 60.0::double as y1 from part"
+
+
+def boxes(spark, d, prefix=""):
+    y = (col("p_partkey") * 37 % 600) * 1.0
+    return table(spark, d, "part").select("p_partkey", "p_brand", (col("p_size") * 8.0).alias(f"{prefix}x0"), y.alias(f"{prefix}y0"), (col("p_size") * 8.0 + 120).alias(f"{prefix}x1"), (y + 60.0).alias(f"{prefix}y1"))
+
+
+@bound("j14_captions", f"""with b as ({_BOX}), j as (select f.p_partkey as fig, c.p_partkey as cid, case when c.y0 >= f.y1-2 then c.y0-f.y1 when c.y1 <= f.y0+2 then f.y0-c.y1+10 else 5 end as s from b f join b c on f.p_brand = c.p_brand and f.p_partkey % 2 = 0 and c.p_partkey % 2 = 1 and least(c.x1, f.x1)-greatest(c.x0, f.x0) >= 0.3*120)
+ select fig, arg_min(cid, (s, cid)) as cid, min(s) as puntaje from j where s - 10 <= 60 group by 1""")
+def j14(spark, d):
+    b = boxes(spark, d)
+    caps = boxes(spark, d, "c").where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "cid")
+    return M.captions(b.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "fig"), caps, ["p_brand"], "fig").select("fig", "cid", "puntaje")
+
+
+@bound("j15_mentions", """with f as (select o_orderkey as fig, o_custkey as doc, (o_orderkey % 4)::varchar as num from orders), p as (select l_orderkey*8 + l_linenumber as pid, l_suppkey as prov, l_partkey as pk, l_orderkey % 1500 as doc, l_linenumber % 4 as a, l_returnflag = 'R' as rng from lineitem),
+ c as (select distinct doc, pid, unnest(case when rng then [a::varchar, (a+1)::varchar] else [a::varchar] end) as n from p), r as (select f.doc, fig, pid, row_number() over (partition by f.doc, fig order by pid) as puesto from f join c on f.doc = c.doc and num = n) select doc, fig, pid, puesto from r where puesto <= 6""")
+def j15(spark, d):
+    figs = table(spark, d, "orders").select(col("o_orderkey").alias("fig"), col("o_custkey").alias("doc"), (col("o_orderkey") % 4).cast("string").alias("num"))
+    a = col("l_linenumber") % 4
+    paras = table(spark, d, "lineitem").select((col("l_orderkey") * 8 + col("l_linenumber")).alias("pid"), (col("l_orderkey") % 1500).alias("doc"), F.when(col("l_returnflag") == "R", F.concat(F.lit("ver figs. "), a.cast("string"), F.lit("-"), (a + 1).cast("string"), F.lit(" abajo"))).otherwise(F.concat(F.lit("ver Figura "), a.cast("string"), F.lit(" abajo"))).alias("texto")).groupBy("pid", "doc").agg(F.array_join(F.array_sort(F.collect_set("texto")), "; ").alias("texto"))
+    return M.mentions(figs, paras, "doc", "fig", "num", "pid", "texto", col("texto").rlike(X.CAPTION))
+
+
+@bound("j16_around", f"""with b as ({_BOX}), j as (select f.p_partkey as fig, c.p_partkey as bid, c.y0, c.y1, c.y1 <= f.y0+2 as up, c.y0 >= f.y1-2 and not c.y1 <= f.y0+2 as down from b f join b c on f.p_brand = c.p_brand and f.p_partkey % 2 = 0 and c.p_partkey % 2 = 1 and c.x0 >= 64)
+ select fig, arg_min(bid, (-y1, bid)) filter (where up) as antes, arg_min(bid, (y0, bid)) filter (where down) as despues from j group by 1""")
+def j16(spark, d):
+    blocks = boxes(spark, d, "b").where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "bid")
+    return M.around(boxes(spark, d).where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "fig"), blocks, ["p_brand"], "fig", "bid", F.floor(col("bx0") / 8)).select("fig", "antes", "despues")
+
+
+@bound("j17_interval_labels", """with g as (select l_orderkey as k, l_linenumber as gid, l_linenumber*40.0::double as c0, l_linenumber*40.0::double + 15 as c1 from lineitem group by 1, 2), s as (select *, coalesce((lag(c1) over w + c0)/2, c0-15) as a, coalesce((c1 + lead(c0) over w)/2, c1+15) as b from g window w as (partition by k order by c0)),
+ t as (select l_orderkey as k, l_orderkey*100000 + l_partkey as tid, l_quantity*6.1::double as cx, row_number() over (partition by l_orderkey, l_partkey order by l_suppkey) as r from lineitem) select s.k, gid, tid from t join s on t.k = s.k and cx between a and b where r = 1""")
+def j17(spark, d):
+    from pyspark.sql.window import Window
+
+    li = table(spark, d, "lineitem")
+    g = li.select(col("l_orderkey").alias("k"), col("l_linenumber").alias("gid")).distinct().select("k", "gid", (col("gid") * 40.0).alias("c0"), (col("gid") * 40.0 + 15).alias("c1"))
+    t = li.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_suppkey"))).where("r = 1").select(col("l_orderkey").alias("k"), (col("l_orderkey") * 100000 + col("l_partkey")).alias("tid"), (col("l_quantity") * 6.1).alias("cx"))
+    return M.interval_labels(g, t, ["k"], "gid", 40.0)
+
+
+@bound("j18_value_labels")
+def j18(spark, d):
+    b = boxes(spark, d).where("p_partkey % 2 = 0").select("p_brand", col("p_partkey").alias("bar"), col("x0").alias("bx"), (col("y1") - col("y0") + col("p_partkey") % 50).alias("largo"))
+    t = boxes(spark, d).where("p_partkey % 2 = 1").select("p_brand", col("p_partkey").alias("tid"), col("x0").alias("tx"))
+    c = b.join(t, "p_brand").withColumn("d", F.abs(col("bx") - col("tx"))).where("d <= 36").withColumn("o", -col("largo"))
+    return M.greedy_pairs(c.select("p_brand", "bar", "tid", "d", "o"), ["p_brand"], "bar", "tid", ["o", "bar", "d", "tid"])
+
+
+@bound("j19_one_to_one")
+def j19(spark, d):
+    s = table(spark, d, "supplier").select((col("s_nationkey") % 5).alias("g"), "s_suppkey", "s_acctbal")
+    t = table(spark, d, "customer").where("c_custkey % 10 = 0").select((col("c_nationkey") % 5).alias("g"), "c_custkey", "c_acctbal")
+    c = s.join(t, "g").withColumn("d", F.abs(col("s_acctbal") - col("c_acctbal"))).where("d < 800")
+    return M.greedy_pairs(c.select("g", "s_suppkey", "c_custkey", "d"), ["g"], "s_suppkey", "c_custkey", ["d", "s_suppkey", "c_custkey"])
+
+
+@bound("j20_nearest_class", """with e as (select vec_id, embedding[1:3]::double[] as v from embeddings), p(c, w) as (values ('alto', [0.2::double, 0.1, 0.0]), ('bajo', [-0.2::double, -0.1, 0.0]), ('medio', [0.0::double, 0.0, 0.1])),
+ d as (select vec_id, c, sqrt(power(v[1]-w[1],2)+power(v[2]-w[2],2)+power(v[3]-w[3],2)) as d from e, p) select vec_id, case when min(d) <= 0.2 then arg_min(c, (d, c)) end as clase, round(min(d), 6) as distancia from d group by 1""")
+def j20(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.slice(col("embedding").cast("array<double>"), 1, 3).alias("v"))
+    pal = spark.createDataFrame([("alto", [0.2, 0.1, 0.0]), ("bajo", [-0.2, -0.1, 0.0]), ("medio", [0.0, 0.0, 0.1])], "c string, w array<double>")
+    return M.nearest_class(e, pal, "v", "c", "w", 0.2).select("vec_id", "clase", F.round("distancia", 6).alias("distancia"))
+
+
+@bound("j21_by_position", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when abs(l_quantity/7.0 - round_even(l_quantity/7.0, 0)) <= 0.25 then n_name end as label from lineitem left join nation on n_nationkey = round_even(l_quantity/7.0, 0)::int and n_regionkey = n_nationkey % 5")
+def j21(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (col("l_quantity") / 7.0).alias("x"), F.lit(1).alias("g"))
+    labels = table(spark, d, "nation").where("n_regionkey = n_nationkey % 5").select(F.lit(1).alias("g"), col("n_nationkey").alias("pos"), col("n_name").alias("label"))
+    return M.by_position(li, labels, ["g"], "x").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label")
+
+
+@bound("j22_nearest_label", f"""with g as (select p_brand, p_partkey as gid, p_retailprice as gx from part where p_partkey % 2 = 0), l as (select p_brand, p_partkey as lid, p_retailprice + 1.3 as lx from part where p_partkey % 2 = 1), j as (select gid, lid, abs(gx-lx) as d from g join l on g.p_brand = l.p_brand where abs(gx-lx) <= 6)
+ select g.gid, arg_min(lid, (d, lid)) as lid from g left join j on g.gid = j.gid group by 1""")
+def j22(spark, d):
+    p = table(spark, d, "part")
+    g = p.where("p_partkey % 2 = 0").select("p_brand", col("p_partkey").alias("gid"), col("p_retailprice").alias("gx"))
+    lab = p.where("p_partkey % 2 = 1").select("p_brand", col("p_partkey").alias("lid"), (col("p_retailprice") + 1.3).alias("lx"))
+    return M.nearest_label(g, lab, ["p_brand"], "gid", 10.0).select("gid", "lid")
+
+
+@bound("j23_without_overlaps")
+def j23(spark, d):
+    return M.without_overlaps(boxes(spark, d).withColumn("keep", col("p_partkey") % 3 == 0), ["p_brand"], "p_partkey")
+
+
+@bound("j25_united_boxes")
+def j25(spark, d):
+    return M.united_boxes(boxes(spark, d).where("p_partkey % 4 = 0"), ["p_brand"], "p_partkey")
+
+
+@bound("j26_known_hashes", "select doc_id from documents where md5(text) not in (select md5(text) from documents where doc_id % 7 = 3)")
+def j26(spark, d):
+    h = docs(spark, d).select("doc_id", F.md5("text").alias("hash"))
+    return M.missing_elsewhere(h, h.where("doc_id % 7 = 3"), ["hash"]).select("doc_id")
+
+
+@bound("j13_series_design", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, n_name as textura from lineitem left join nation on n_nationkey = l_linenumber - 1 and n_regionkey < 3")
+def j13(spark, d):
+    design = table(spark, d, "nation").where("n_regionkey < 3").select((col("n_nationkey") + 1).alias("l_linenumber"), col("n_name").alias("textura"))
+    return table(spark, d, "lineitem").join(design, "l_linenumber", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "textura")
+
+
+@bound("s4_blocks", r"select doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as h from documents where length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 0")
+def s4(spark, d):
+    from lodestar.sources.blocks import clean_blocks
+
+    return clean_blocks(docs(spark, d), "text").select("doc_id", F.md5("text").alias("h"))

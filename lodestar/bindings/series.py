@@ -119,14 +119,14 @@ def w15(spark, d):
     return W.sampled_targets(walk(spark, d), ["user_id"], "event_id", col("y") > 80, 15).select("user_id", "event_id")
 
 
-@bound("w16_grid_completion", """with b as (select p_brand, p_size, min(p_name) as nombre from part group by 1, 2), r as (select p_brand, p_size*10.0 as x, nombre from b where hash_pick(p_brand, p_size)), d as (select *, lead(x) over (partition by p_brand order by x)-x as d from r),
+@bound("w16_grid_completion", """with b as (select p_brand, p_size // 5 as q, min(p_name) as nombre from part group by 1, 2), r as (select p_brand, q*10.0::double as x, nombre from b where (q + length(p_brand)) % 7 <> 3), d as (select *, lead(x) over (partition by p_brand order by x)-x as d from r),
  s as (select p_brand, median(d) as s, count(*) as n, min(d) as lo from d group by 1 having count(*) >= 3 and min(d) > 0), j as (select d.*, s, d/s as m from d join s using (p_brand)),
  ok as (select p_brand from j group by 1 having max(coalesce(abs(m-round_even(m,0)),0)) <= 0.2 and sum(coalesce(round_even(m,0)-1,0)) <= 2 and min(m) >= 0.75),
  f as (select j.*, k from j join ok using (p_brand), range(0, 4) q(k) where k <= coalesce(round_even(m,0)-1, 0)), n as (select p_brand, row_number() over (partition by p_brand order by x, k) as n, x+k*s as pos, k, nombre from f)
- select p_brand, n::int as n, round(pos, 6) as pos, case when k = 0 then nombre else 'Categoría ' || n end as rotulo from n""".replace("hash_pick(p_brand, p_size)", "(p_size + length(p_brand)) % 25 <> 3"))
+ select p_brand, n::int as n, round(pos, 6) as pos, case when k = 0 then nombre else 'Categoría ' || n end as rotulo from n""")
 def w16(spark, d):
-    b = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.min("p_name").alias("nombre"))
-    r = b.where("(p_size + length(p_brand)) % 25 <> 3").select("p_brand", (col("p_size") * 10.0).alias("x"), "nombre")
+    b = table(spark, d, "part").groupBy("p_brand", F.floor(col("p_size") / 5).alias("q")).agg(F.min("p_name").alias("nombre"))
+    r = b.where("(q + length(p_brand)) % 7 <> 3").select("p_brand", (col("q") * 10.0).alias("x"), "nombre")
     return rounded(W.grid_completed(r, ["p_brand"], "x", "nombre"), "pos")
 
 
@@ -141,7 +141,7 @@ def w17(spark, d):
 
 
 @bound("w18_token_runs", """with t as (select l_orderkey as k, l_linenumber*20.0 + l_tax*100 as x0, l_linenumber*20.0 + l_tax*100 + l_discount*100 as x1, l_returnflag || l_linenumber as s, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as r from lineitem), u as (select * from t where r = 1),
- g as (select *, x0 - lag(x1) over (partition by k order by x0) as g from u), p as (select k, g, lag(g) over (partition by k order by g) as p from g where g > 0), c as (select k, max(g/p) as rr, arg_max(sqrt(g*p), g/p) as c from p group by 1),
+ g as (select *, x0 - lag(x1) over (partition by k order by x0) as g from u), p as (select k, g, lag(g) over (partition by k order by g) as p from g where g > 0), c as (select k, max(g/p) as rr, arg_min(sqrt(g*p), (-(g/p), sqrt(g*p))) as c from p group by 1),
  j as (select g.*, coalesce((g > case when rr >= 2 then c else 12.0 end)::int, 0) as f from g left join c using (k)), n as (select *, sum(f) over (partition by k order by x0 rows unbounded preceding) as grupo from j) select k, grupo::bigint as grupo, string_agg(s, ' ' order by x0) as rotulo from n group by 1, 2""")
 def w18(spark, d):
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")

@@ -226,8 +226,8 @@ def joined_tokens(df: DataFrame, keys: list[str], x0: str, x1: str, height: str,
     o = Window.partitionBy(*keys).orderBy(x0)
     rows = df.withColumn("_g", F.col(x0) - F.lag(x1).over(o))
     s = Window.partitionBy(*keys).orderBy("_g")
-    pos = rows.where("_g > 0").withColumn("_p", F.lag("_g").over(s)).withColumn("_r", F.col("_g") / F.col("_p"))
-    cut = pos.groupBy(*keys).agg(F.max("_r").alias("_r"), F.max_by(F.sqrt(F.col("_g") * F.col("_p")), F.col("_r")).alias("_c"))
+    pos = rows.where("_g > 0").withColumn("_p", F.lag("_g").over(s)).withColumn("_r", F.col("_g") / F.col("_p")).withColumn("_q", F.sqrt(F.col("_g") * F.col("_p")))
+    cut = pos.where("_p is not null").groupBy(*keys).agg(F.max("_r").alias("_r"), F.min_by(F.col("_q"), F.struct(-F.col("_r"), F.col("_q"))).alias("_c"))
     j = rows.join(cut, keys, "left").withColumn("_t", F.when(F.col("_r") >= jump, F.col("_c")).otherwise(gap * F.col(height)))
     marked = j.withColumn("_new", F.coalesce((F.col("_g") > F.col("_t")).cast("int"), F.lit(0))).withColumn("grupo", F.sum("_new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "grupo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x0, text))), lambda v: v[text]), " ").alias("rotulo"))
