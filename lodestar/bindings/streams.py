@@ -1 +1,120 @@
-"""To be bound."""
+"""Stream operators (T) on the given tables: events are samples, users sessions. Batch replays; the stream form is run over the same files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.bindings.registry import bound, table
+from lodestar.bindings.spatial import elements
+from lodestar.streaming import events as E
+from lodestar.streaming import selection as S
+
+col = F.col
+
+
+def from_events(ev, micros):
+    """Samples of 15 a second: event number k of the table is at k / 15 seconds; a value over 120 means no hand."""
+    hand = col("value") <= 120
+    x, y = (col("event_id") % 700) / 7.0, (col("event_id") % 310) / 3.1
+    gap = F.when(col("value") > 60, 40.0).otherwise(20.0)
+    return ev.select("user_id", (col("user_id") % 5).alias("chart"), col("event_id").alias("n"), micros.alias("t"), F.when(hand, x).alias("x"), F.when(hand, y).alias("y"), F.when(hand, x + gap).alias("x2"), F.when(hand, y).alias("y2"), F.when(col("value") > 5, 90.0).alias("palm")).withColumnRenamed("user_id", "session")
+
+
+def samples(spark, d):
+    return from_events(table(spark, d, "events"), col("event_id") / 15.0)
+
+
+@bound("t1_samples", "select user_id as session, event_id as n, event_id/15.0::double as t, case when value <= 120 then round((event_id % 700)/7.0::double, 6) end as x from events")
+def t1(spark, d):
+    return samples(spark, d).select("session", "n", "t", F.round("x", 6).alias("x"))
+
+
+@bound("t2_one_euro")
+def t2(spark, d):
+    return S.filtered(samples(spark, d))
+
+
+@bound("t3_pinch")
+def t3(spark, d):
+    return S.pinched(samples(spark, d))
+
+
+@bound("t4_debounce")
+def t4(spark, d):
+    ev = table(spark, d, "events").select("user_id", (col("event_id") / 15.0).alias("t"), "event_id", "event_type")
+    return S.debounced(ev, "user_id", "t", "event_id", "event_type")
+
+
+@bound("t5_selection")
+def t5(spark, d):
+    return S.replay(samples(spark, d), S.elements_of(elements(spark, d)))
+
+
+@bound("t5_selection_stream")
+def t5b(spark, d):
+    """The stream over the same file, run to its end into a written table."""
+    import uuid
+
+    from lodestar.sources.files import work_dir
+
+    given = spark.read.parquet(f"{d}/events.parquet")
+    reader = spark.readStream.schema(given.schema)
+    single = all(f.endswith("/events.parquet") for f in given.inputFiles())
+    ev = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
+    out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = S.stream(from_events(ev, col("event_id") / 15.0), S.elements_of(elements(spark, d)))
+    run = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(S.OUT).parquet(f"{out}/rows")
+
+
+_ON = "on_ as (select user_id, event_id, ts, value > 30 as e, case when value > 45 then event_type end as el, lag(value > 30) over (partition by user_id order by ts, event_id) as was from events), act as (select *, sum((e and not coalesce(was, false))::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as activacion from on_)"
+
+
+def touched(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", "ts", "value", F.when(col("value") > 45, col("event_type")).alias("el"))
+
+
+@bound("t6_announcements", f"with {_ON}, s as (select *, lag(el) over (partition by user_id, activacion order by ts, event_id) as p from act where e and el is not null) select user_id, event_id, activacion::bigint as activacion, el from s where el is distinct from p")
+def t6(spark, d):
+    return E.announcements(touched(spark, d), ["user_id"], col("value") > 30, "el", ["ts", "event_id"]).select("user_id", "event_id", "activacion", "el")
+
+
+@bound("t7_crossing_once", f"with {_ON}, s as (select *, lag(el) over (partition by user_id, activacion order by ts, event_id) as p from act where e and el is not null), a as (select * from s where el is distinct from p), k as (select *, row_number() over (partition by user_id, activacion, el order by ts, event_id) as k from a) select user_id, event_id, el from k where k = 1")
+def t7(spark, d):
+    a = E.announcements(touched(spark, d), ["user_id"], col("value") > 30, "el", ["ts", "event_id"])
+    return E.first_in_activation(a, ["user_id"], "activacion", ["el"], ["ts", "event_id"]).select("user_id", "event_id", "el")
+
+
+@bound("t8_limited_alerts")
+def t8(spark, d):
+    ev = table(spark, d, "events").select("user_id", (F.unix_micros("ts") / 1e6).alias("t"), "event_id", (col("value") > 20).alias("fuera"))
+    return S.limited_alerts(ev, "user_id", "t", "event_id", "fuera", 400, 86400)
+
+
+@bound("t9_confirmed", """with l as (select user_id, event_id, value/40 as x, lag(value/40) over w as p, lead(value/40) over w as n from events where event_type <> 'error' window w as (partition by user_id order by ts, event_id)) select user_id, event_id, not coalesce(abs(x-p) > 1.0, false) or coalesce(abs(x-n) <= 0.5, false) as aceptado from l""")
+def t9(spark, d):
+    ev = table(spark, d, "events").withColumn("x", col("value") / 40).withColumn("y", F.lit(0.0))
+    return E.confirmed(ev, ["user_id"], "x", "y", col("event_type") != "error", ["ts", "event_id"], 1.0, 0.5).select("user_id", "event_id", "aceptado")
+
+
+@bound("t10_inactivity", """with l as (select user_id, ts, coalesce((ts - lag(ts) over w >= interval 10 hour)::int, 0) as f from events window w as (partition by user_id order by ts)), g as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as g from l) select user_id, min(ts) as desde, max(ts) + interval 10 hour as aviso, count(*) as n from g group by user_id, g""")
+def t10(spark, d):
+    return E.inactivity(table(spark, d, "events"), ["user_id"], "ts", "10 hours")
+
+
+@bound("t11_latest", "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by 1")
+def t11(spark, d):
+    return E.latest(table(spark, d, "events"), ["user_id"], "ts", ["event_id", "value"])
+
+
+@bound("t12_throughput", "select time_bucket(interval 1 hour, ts) as desde, round(count(*)/3600.0, 9) as por_s, round(count_if(value > 50)/3600.0, 9) as hechos_s, round(median(value), 6) as ms_mediana from events group by 1")
+def t12(spark, d):
+    t = E.throughput(table(spark, d, "events"), "ts", col("value") > 50, "value", "1 hour")
+    return t.select("desde", F.round("por_s", 9).alias("por_s"), F.round("hechos_s", 9).alias("hechos_s"), F.round("ms_mediana", 6).alias("ms_mediana"))
+
+
+@bound("t13_in_order", "with m as (select *, max(ts) over (partition by user_id order by event_id % 97, event_id rows between unbounded preceding and 1 preceding) as m from events) select user_id, event_id from m where m is null or ts > m")
+def t13(spark, d):
+    ev = table(spark, d, "events").withColumn("o", col("event_id") % 97)
+    return E.in_order(ev, ["user_id"], "ts", ["o", "event_id"]).select("user_id", "event_id")
