@@ -1,6 +1,6 @@
 """Removal of repeated passages by prefix-free parsing.
 
-A rolling hash over 16 bytes marks triggers: in each window of SPAN bytes the least hash wins. So every string of SPAN bytes has one trigger, told by its content alone, and the strings with the same trigger place form a phrase, their text together. Phrases overlap by SPAN - 1 bytes, no phrase is a proper prefix of the next, and every string of SPAN bytes lies in exactly one phrase of each text.
+A rolling hash over 24 bytes marks triggers: in each window of SPAN bytes the least hash wins. So every string of SPAN bytes has one trigger, told by its content alone, and the strings with the same trigger place form a phrase, their text together. Phrases overlap by SPAN - 1 bytes, no phrase is a proper prefix of the next, and every string of SPAN bytes lies in exactly one phrase of each text.
 
 The dictionary holds each distinct phrase with the least document that has it; the parse is each text as a sequence of phrases. In corpus order (suffixes that begin with equal SPAN bytes together, least document first) a string of SPAN bytes is a repeat if its group holds a lesser document. Whole phrases settle most of that: an occurrence of a phrase whose least document is another is covered entirely. Only phrases that share a trigger with a different phrase are sorted suffix by suffix, by their dictionary entry alone, however often they occur. For highly repetitive text both steps work on the dictionary, not on the text.
 
@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestar.llm.common import arrow, batches, forget, mix, release, written
 
-SPAN, TRIGGER = 50, 16
+SPAN, TRIGGER = 50, 24
 #: Bytes of text that a task parses before it hands on what it has found.
 BATCH = 16 << 20
 #: Bytes of text for each part of the dictionary.
