@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -47,11 +49,11 @@ def forget(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps, which stay until the driver's JVM collects their handles."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished steps, which stay until the driver's JVM collects their handles. A frame that was itself written or collected, and is still held by a name, keeps its files."""
+    for _ in range(3):  # a stage's broadcast holds its shuffle: one goes first, then the other
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; emptied when full, so a worker's memory stays bounded."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
