@@ -24,7 +24,7 @@ FRACTION = 4
 
 
 def sketch(text: str | None, hashes: WordHashes, fraction: int = FRACTION) -> np.ndarray:
-    """Sorted kept hashes. The low half of each tells nothing about whether it is kept, the high half does."""
+    """Sorted kept hashes."""
     s = shingles(text, hashes)
     kept = s[s < np.uint64((1 << 64) // fraction)]
     return kept if len(kept) else s[:1]
@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, key: str, text: str, use, schema: pa.Schema, ddl:
     firsts = rows.select(place(F.col(key)).alias("part"), key).groupBy("part").agg(F.min_by(F.struct(key), F.coalesce(key, F.lit(-(1 << 63)))).alias("k")).collect()  # one row for each range
     firsts = sorted((r["part"], r["k"][0]) for r in firsts)
     tails = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]
-    ends = F.broadcast(spark.createDataFrame(tails, f"tail int, first bigint"))  # no more rows than ranges
+    ends = F.broadcast(spark.createDataFrame(tails, "tail int, first bigint"))  # no more rows than ranges
     dealt = (
         rows.join(ends, rows[key].eqNullSafe(ends["first"]), "left")
         .withColumn("part", place(F.col(key)))

@@ -55,7 +55,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.Resampler(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drawn()
+    """The drawn documents."""
+    return quality.Resampler(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drawn().where("selected")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
