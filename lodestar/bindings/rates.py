@@ -9,14 +9,20 @@ from lodestar.functions import columns as C
 from lodestar.operators import rates as R
 
 col = F.col
-HIT = col("value") > 50
-T = F.unix_micros("ts") / 1e6
 _T = "(epoch_us(ts)/1e6)"
 _W = """n, k/n::double as p, greatest(0, (k/n::double + 1.9208/n)/(1+3.8416/n) - 1.96*sqrt(k/n::double*(1-k/n::double)/n + 3.8416/(4.0*n*n))/(1+3.8416/n)) as lo,
  least(1, (k/n::double + 1.9208/n)/(1+3.8416/n) + 1.96*sqrt(k/n::double*(1-k/n::double)/n + 3.8416/(4.0*n*n))/(1+3.8416/n)) as hi"""
 _WR = "n, round(p, 6) as p, round(lo, 6) as lo, round(hi, 6) as hi"
 
 
+def hit():
+    return col("value") > 50
+
+
+def seconds():
+    return F.unix_micros("ts") / 1e6
+
+
 def rounded(df, *cols, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -27,7 +33,7 @@ def events(spark, d):
 
 @bound("a1_wilson", f"with g as (select user_id, count_if(value > 50) as k, count(*) as n from events group by 1), w as (select user_id, k, {_W} from g) select user_id, k, {_WR} from w")
 def a1(spark, d):
-    return rounded(R.proportion(events(spark, d), ["user_id"], HIT), "p", "lo", "hi")
+    return rounded(R.proportion(events(spark, d), ["user_id"], hit()), "p", "lo", "hi")
 
 
 @bound("a2_median", "select user_id, round(quantile_cont(case when value > 100 then null else value end, 0.5), 6) as mediana from events group by 1")
@@ -45,7 +51,7 @@ def a3(spark, d):
  round(100.0*avg((user_id % 7 = 0)::int), 6) as sin_seleccion_pct, round(quantile_cont(value/10, 0.5), 6) as error_mediana, round(quantile_cont(value/10, 0.9), 6) as error_p90, round(quantile_cont(value*2, 0.5), 6) as jit_mediana
  from events where event_id % 5 > 0 group by 1""")
 def a4(spark, d):
-    ev = events(spark, d).select("event_type", (col("event_id") % 5).alias("frames"), HIT.alias("hit"), (col("value") > 30).alias("serie"), F.when(col("user_id") % 7 != 0, col("user_id")).alias("sel"), (col("value") / 10).alias("err"), (col("value") * 2).alias("jit"))
+    ev = events(spark, d).select("event_type", (col("event_id") % 5).alias("frames"), hit().alias("hit"), (col("value") > 30).alias("serie"), F.when(col("user_id") % 7 != 0, col("user_id")).alias("sel"), (col("value") / 10).alias("err"), (col("value") * 2).alias("jit"))
     return rounded(R.target_summary(ev, ["event_type"], "frames", "hit", "serie", "sel", "err", "jit"), "acierto_pct", "acierto_serie_pct", "sin_seleccion_pct", "error_mediana", "error_p90", "jit_mediana")
 
 
@@ -55,7 +61,7 @@ _ZONE = "select unnest([event_type, event_type || '_' || (user_id % 3)]) as zona
 @bound("a5_zone_hit_rates", f"with z as ({_ZONE}), g as (select zona, count_if(value > 50) as k, count(*) as n from z group by 1), w as (select zona, k, {_W} from g) select zona, k, {_WR} from w")
 def a5(spark, d):
     ev = events(spark, d).withColumn("clase", (col("user_id") % 3).cast("string"))
-    return rounded(R.zone_rates(ev, "event_type", "clase", HIT), "p", "lo", "hi")
+    return rounded(R.zone_rates(ev, "event_type", "clase", hit()), "p", "lo", "hi")
 
 
 @bound("a6_bias", "select l_returnflag, round(avg(l_quantity-25), 6) as dx, round(avg(l_discount-l_tax), 6) as dy, round(sqrt(power(avg(l_quantity-25),2)+power(avg(l_discount-l_tax),2)), 6) as modulo from lineitem group by 1")
@@ -86,8 +92,8 @@ def a9(spark, d):
  g as (select user_id, count_if(e and not a) as subidas, count_if(not e and a) as bajadas, max(t)-min(t) as s from w group by 1)
  select user_id, subidas, bajadas, round(subidas/greatest(1e-6, s/60), 6) as subidas_min, round(bajadas/greatest(1e-6, s/60), 6) as bajadas_min from g""")
 def a10(spark, d):
-    ev = events(spark, d).withColumn("t", T)
-    return rounded(R.edges(ev, ["user_id"], HIT, ["ts", "event_id"], F.max("t") - F.min("t")), "subidas_min", "bajadas_min")
+    ev = events(spark, d).withColumn("t", seconds())
+    return rounded(R.edges(ev, ["user_id"], hit(), ["ts", "event_id"], F.max("t") - F.min("t")), "subidas_min", "bajadas_min")
 
 
 @bound("a11_changes", """with w as (select user_id, row_number() over v as n, event_type is distinct from lag(event_type) over v as c from events window v as (partition by user_id order by ts, event_id)) select user_id, count_if(n > 1 and c) as cambios from w group by 1""")
@@ -97,7 +103,7 @@ def a11(spark, d):
 
 @bound("a12_first_hit", f"select user_id, round(min({_T}) filter (where value > 200), 6) as t_primero from events group by 1")
 def a12(spark, d):
-    return rounded(R.first_hit(events(spark, d).withColumn("t", T), ["user_id"], col("value") > 200, "t"), "t_primero")
+    return rounded(R.first_hit(events(spark, d).withColumn("t", seconds()), ["user_id"], col("value") > 200, "t"), "t_primero")
 
 
 @bound("a13_attempts", f"""with e as (select *, {_T} as t, user_id % 10 as s, event_type as c, value > 60 as leido from events),
@@ -106,7 +112,7 @@ def a12(spark, d):
  u as (select * from per union all select * from al), w as (select s, c, k, t1, m, q, v, r, {_W} from u)
  select s, c, n as intentos, k as lecturas, round(p, 6) as p, round(lo, 6) as lo, round(hi, 6) as hi, round(t1, 6) as t_primera, round(m, 6) as ms_mediana, round(q, 6) as ms_p95, v as variantes, r as resolucion from w""")
 def a13(spark, d):
-    ev = events(spark, d).select((col("user_id") % 10).alias("s"), col("event_type").alias("c"), "value", "user_id", "event_id", T.alias("t"))
+    ev = events(spark, d).select((col("user_id") % 10).alias("s"), col("event_type").alias("c"), "value", "user_id", "event_id", seconds().alias("t"))
     return rounded(R.attempt_summary(ev, ["s"], "c", col("value") > 60, "t", "value", "user_id", "event_id"), "p", "lo", "hi", "t_primera", "ms_mediana", "ms_p95")
 
 
@@ -114,7 +120,7 @@ def a13(spark, d):
  quantile_cont(value/100, 0.1) as ratio_p10, quantile_cont(value/100, 0.5) as ratio_p50, quantile_cont(value/100, 0.9) as ratio_p90, 100.0*avg((value < 90)::int) as dentro_pct from events group by 1)
  select user_id, round(deteccion_pct, 6) as deteccion_pct, round(fps, 9) as fps, round(ms_mediana, 6) as ms_mediana, round(ms_p95, 6) as ms_p95, round(ratio_p10, 6) as ratio_p10, round(ratio_p50, 6) as ratio_p50, round(ratio_p90, 6) as ratio_p90, round(dentro_pct, 6) as dentro_pct, round(1000/fps+ms_p95, 2) as latencia_ms from g""")
 def a14(spark, d):
-    ev = events(spark, d).withColumn("t", T).withColumn("ratio", col("value") / 100)
+    ev = events(spark, d).withColumn("t", seconds()).withColumn("ratio", col("value") / 100)
     out = R.tracking_summary(ev, ["user_id"], col("value") > 20, "value", "t", "ratio", col("value") < 90)
     return rounded(out, "deteccion_pct", "ms_mediana", "ms_p95", "ratio_p10", "ratio_p50", "ratio_p90", "dentro_pct").withColumns({"fps": F.round("fps", 9), "latencia_ms": F.round("latencia_ms", 2)})
 
@@ -184,7 +190,7 @@ _JUDGED = f"""with m as ({_METRICS}), c(metric, grp, op, lo, hi) as (values ('hi
 def metric_rows(spark, d):
     from lodestar.plans.report import unpivoted
 
-    g = events(spark, d).groupBy("event_type").agg(R.share(HIT).alias("hit"), R.med("value").alias("median"), R.pct("value", 0.95).alias("p95"), F.count_distinct("user_id").cast("double").alias("users"), F.lit(1.0).alias("free"))
+    g = events(spark, d).groupBy("event_type").agg(R.share(hit()).alias("hit"), R.med("value").alias("median"), R.pct("value", 0.95).alias("p95"), F.count_distinct("user_id").cast("double").alias("users"), F.lit(1.0).alias("free"))
     return unpivoted(g, ["event_type"])
 
 
@@ -204,7 +210,7 @@ def a26(spark, d):
 
 @bound("a27_extremes", f"select user_id, max(value) as y_max, round(arg_min({_T}, (-value, {_T})), 6) as x_max, min(value) as y_min, round(arg_min({_T}, (value, {_T})), 6) as x_min from events group by 1")
 def a27(spark, d):
-    return rounded(R.extremes(events(spark, d).withColumn("x", T), ["user_id"], "x", "value"), "x_max", "x_min")
+    return rounded(R.extremes(events(spark, d).withColumn("x", seconds()), ["user_id"], "x", "value"), "x_max", "x_min")
 
 
 @bound("a28_highlights", "select o_custkey, count(*) as n, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) as mayor, arg_min(o_orderkey, (o_totalprice, o_orderkey)) as menor, case when count(*) <= 12 then string_agg(o_orderkey::varchar, ', ' order by o_orderkey) end as todos from orders group by 1")
@@ -274,6 +280,6 @@ def w6(spark, d):
  select user_id, round(100.0*count_if(r = 'view')/count(*), 6) as r_objetivo_pct, round(100.0*count(r)/count(*), 6) as r_con_dato_pct, round(count_if(n > 1 and r is distinct from pr)/(max(t)-min(t)), 9) as r_cambios_s,
  round(100.0*count_if(s = 'view')/count(*), 6) as s_objetivo_pct, round(100.0*count(s)/count(*), 6) as s_con_dato_pct, round(count_if(n > 1 and s is distinct from ps)/(max(t)-min(t)), 9) as s_cambios_s from e group by 1""")
 def t14(spark, d):
-    ev = events(spark, d).select("user_id", "ts", "event_id", T.alias("t"), F.when(col("value") > 40, col("event_type")).alias("r"), F.when(col("value") > 60, "view").alias("s"), F.lit("view").alias("obj"))
+    ev = events(spark, d).select("user_id", "ts", "event_id", seconds().alias("t"), F.when(col("value") > 40, col("event_type")).alias("r"), F.when(col("value") > 60, "view").alias("s"), F.lit("view").alias("obj"))
     out = R.baseline_comparison(ev, ["user_id"], "r", "s", "obj", "t", ["ts", "event_id"])
     return rounded(rounded(out, *(f"{c}_{x}_pct" for c in "rs" for x in ("objetivo", "con_dato"))), "r_cambios_s", "s_cambios_s", digits=9)
