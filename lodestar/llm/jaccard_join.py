@@ -107,13 +107,12 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text:
                     yield xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), as_long(s)
 
     sets = docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text"), *maybe_in(key)).mapInArrow(lambda it: arrow(schema, run(it), 200), "node bigint, tokens array<bigint>")
-    wanted = sets.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(wanted)
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "tb"}), "b")
+    # both joins read one exchange of the sets
     shared = F.size(F.array_intersect("ta", "tb"))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "tb"}), "b")
     out = written(both.where(100 * shared >= 80 * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
     forget(pairs)
-    forget(sets)
+    del both, sets
     release(spark)
     return out
 
@@ -123,17 +122,19 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_tokens(docs, text))
     sets = written(_sets(docs, common, key, text))
-    members = sets.select(F.col(key).alias("key"), "n", "node")
+    members = written(sets.select(F.col(key).alias("key"), "n", "node"))
     nodes = written(sets.where(F.col("n") > 0).where(F.col(key).isNotNull()).withColumnRenamed(key, "key").dropDuplicates(["node"]))
+    forget(sets)
     release(spark)
 
     # 1. groups
     buckets = nodes.select("node", "n", "typical", "sketch", F.explode(F.slice("sketch", 1, BUCKETS)).alias("m"))
-    lead = buckets.groupBy("m").agg(F.min(F.struct((-F.col("typical")).alias("t"), F.col("node"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", F.col("l.node").alias("b"))
+    lead = written(buckets.groupBy("m").agg(F.min(F.struct((-F.col("typical")).alias("t"), F.col("node"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", F.col("l.node").alias("b")))
     star = buckets.join(lead, "m").where("node <> b").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), F.col("sketch").alias("sa")).dropDuplicates(["a", "b"])
     other = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     alike = F.size(F.array_intersect("sa", "sb")) >= F.least(F.lit(ALIKE), F.ceil(F.least("na", "nb") * 0.6))
     first = _linked(star.join(other, "b").where((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & alike).select("a", "b"), nodes, docs, key, text)
+    forget(lead)
     groups = components(first)
 
     # 2. matrix: tokens that two groups share; the rows of a token are together once
@@ -145,14 +146,15 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # 3. bound
     union = matrix.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     one, two = (union.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("group", "least", "most", "rest"))) for k in (1, 2))
-    may = one.join(two, "token").where("group1 < group2 and 5 * most1 >= 4 * least2 and 5 * most2 >= 4 * least1 and 9 * least(rest1, rest2) >= 4 * (least1 + least2)").select("group1", "group2").distinct()
+    may = one.join(two, "token").where("group1 < group2 and 5 * most1 >= 4 * least2 and 5 * most2 >= 4 * least1 and 9 * least(rest1, rest2) >= 4 * (least1 + least2)").select("token", "group1", "group2")
 
-    # 4. open
+    # 4. open: members meet where they share a token, and only in groups that passed there
     left = matrix.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "group", "n", "rest")))
     right = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "group", "n", "rest")))
-    opened = left.join(may, "group1").join(right, ["token", "group2"]).where("5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1 and 9 * least(rest1, rest2) >= 4 * (n1 + n2)").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    opened = left.join(may, ["token", "group1"]).join(right, ["token", "group2"]).where("5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1 and 9 * least(rest1, rest2) >= 4 * (n1 + n2)").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
     second = _linked(opened, nodes, docs, key, text)
     forget(matrix)
+    forget(nodes)
 
     # documents with one key and several sets tie these together
     keyed = members.where("key is not null and n > 0").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key", "b")
