@@ -5,7 +5,7 @@ A document's set holds the hashes of its five-word shingles. Documents with equa
 1. Groups: nodes that share one of their least hashes, and most of a small bottom sketch, are compared with the most typical node of that bucket. Verified links make groups of similar nodes, all of one component. This is a heuristic, which the rest doesn't depend on.
 2. Matrix: for each group the union of its members' leading tokens, with the most that an overlap beginning there can reach. Leading: a set of n tokens links only with sets that share one of its first n - ceil(0.8 n) + 1 tokens, in any order that holds for all sets. The order here puts tokens that many documents share last.
 3. Bound: two groups that share no token of the matrix can't hold a link, nor can those where the size or the position of each shared token leaves too little. Members of one group need no further comparison.
-4. Open: of the groups that are left, members that pass the same bounds one by one are compared in full.
+4. Open: of the groups that are left, members that pass the same bounds one by one, and share enough of their leading tokens, are compared in full.
 
 So a large group of near copies meets others as one column of the matrix, and no pairs within it are listed. Components of all verified links are exact (up to 64-bit hash collisions).
 
@@ -152,8 +152,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     left = matrix.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "group", "n", "rest")))
     right = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "group", "n", "rest")))
     opened = left.join(may, ["token", "group1"]).join(right, ["token", "group2"]).where("5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1 and 9 * least(rest1, rest2) >= 4 * (n1 + n2)").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    second = _linked(opened, nodes, docs, key, text)
+    pairs = written(opened)
     forget(matrix)
+    release(spark)
+    # what two sets share is at most what their leading tokens share and the rest of the one whose leading tokens end first
+    lead_of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
+    after = F.greatest(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
+    likely = written(pairs.join(lead_of("a"), "a").join(lead_of("b"), "b").where(9 * (F.size(F.array_intersect("ta", "tb")) + after) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    forget(pairs)
+    release(spark)
+    second = _linked(likely, nodes, docs, key, text)
     forget(nodes)
 
     # documents with one key and several sets tie these together
