@@ -49,6 +49,12 @@ def x3(spark, d):
     return docs(spark, d).select("doc_id", X.legible(F.substring("text", 1, 200)).alias("legible"))
 
 
+@bound("x3_legible_whole")
+def x3b(spark, d):
+    """Whole texts; the SQL of x3_legible fixes it to the first 200 characters."""
+    return docs(spark, d).select("doc_id", X.legible(col("text")).alias("legible"))
+
+
 @bound("x4_paragraph", r"""with w as (select doc_id, unnest(string_split_regex(trim(text), '\s+')) as w from documents) select doc_id, count(*) >= 15 and count_if(regexp_full_match(w, '[a-záéíóúñ]{3,}[.,;:]?'))/count(*) >= 0.45 as parrafo from w group by 1""")
 def x4(spark, d):
     return docs(spark, d).select("doc_id", X.is_paragraph(col("text")).alias("parrafo"))

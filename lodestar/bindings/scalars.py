@@ -18,6 +18,12 @@ def p1(spark, d):
     return table(spark, d, "documents").select("doc_id", C.header_key(head).alias("key"), C.slug(head).alias("slug"))
 
 
+@bound("p1_header_key_whole")
+def p1b(spark, d):
+    """Whole texts; the SQL of p1_header_key fixes it to the first 60 characters."""
+    return table(spark, d, "documents").select("doc_id", C.header_key(col("text")).alias("key"), C.slug(col("text")).alias("slug"))
+
+
 @bound("p2_missing_columns", """select c_custkey, array_to_string(list_sort(list_filter(['x','y','machinery','building'], lambda v: v <> lower(c_mktsegment) and not (v = 'x' and c_nationkey % 2 = 0))), ',') as missing from customer""")
 def p2(spark, d):
     present = F.when(col("c_nationkey") % 2 == 0, F.array(F.lower("c_mktsegment"), F.lit("x"))).otherwise(F.array(F.lower("c_mktsegment")))
