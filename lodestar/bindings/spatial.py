@@ -11,19 +11,30 @@ from lodestar.operators import spatial as S
 col = F.col
 
 
-def touches(spark, d, most=2000):
+# The bound SQL keeps the first 1,000 parts and 60 users. The whole tables go on with further charts: each range of ids has its own, so a chart stays as small as before.
+PARTS, TOUCHERS, USERS = 1000, 75, 60
+
+
+def charts(key, n, size):
+    """n charts for each range of size ids."""
+    return key % n + F.floor(key / size) * n
+
+
+def touches(spark, d, whole=False):
     ev = table(spark, d, "events")
-    return ev.select((col("user_id") % 5).alias("chart"), col("event_id").alias("pid"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("px"), (col("value") / 4).alias("py"))
+    chart = charts(col("user_id"), 5, TOUCHERS) if whole else col("user_id") % 5
+    return ev.select(chart.alias("chart"), col("event_id").alias("pid"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("px"), (col("value") / 4).alias("py"))
 
 
 _TOUCH = "select user_id % 5 as chart, event_id as pid, hour(ts)*4.0::double + minute(ts)/15.0::double as px, value/4 as py from events"
 
 
-def elements(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 1000")
+def elements(spark, d, whole=False):
+    p = table(spark, d, "part")
+    p, chart = (p, charts(col("p_partkey"), 5, PARTS)) if whole else (p.where("p_partkey < 1000"), col("p_partkey") % 5)
     k = col("p_partkey") % 4
     shape = F.when(k == 0, "punto").when(k == 3, "rect").otherwise("segmento")
-    return p.select((col("p_partkey") % 5).alias("chart"), col("p_partkey").alias("n"), F.concat(F.lit("e"), col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("s"), (F.floor(col("p_partkey") / 10) % 3).cast("string")).alias("series"), shape.alias("shape"),
+    return p.select(chart.alias("chart"), col("p_partkey").alias("n"), F.concat(F.lit("e"), col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("s"), (F.floor(col("p_partkey") / 10) % 3).cast("string")).alias("series"), shape.alias("shape"),
         (col("p_size") * 2.0).alias("x1"), ((col("p_partkey") * 37 % 100) * 1.0).alias("y1"), F.when(k > 0, col("p_size") * 2.0 + (col("p_partkey") * 13 % 17) - 8.0).alias("x2"), F.when(k > 0, (col("p_partkey") * 37 % 100) + (col("p_partkey") * 7 % 15) - 7.0).alias("y2"),
         F.when(k == 0, 3.5).when(k == 3, 2.0).otherwise(3.0).alias("radius"), F.when(k == 0, 0).when(k == 3, 10).otherwise(1).alias("priority"))
 
@@ -45,9 +56,19 @@ def j1(spark, d):
     return S.nearest_element(touches(spark, d), elements(spark, d), 8.0)
 
 
+@bound("j1_nearest_element_whole")
+def j1b(spark, d):
+    return S.nearest_element(touches(spark, d, True), elements(spark, d, True), 8.0)
+
+
 @bound("j2_candidates", f"with {_NEAR} select chart, pid, string_agg(id, ',' order by id) as ids from near group by 1, 2")
-def j2(spark, d):
-    return S.within_reach(touches(spark, d), elements(spark, d), 8.0).groupBy("chart", "pid").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+def j2(spark, d, whole=False):
+    return S.within_reach(touches(spark, d, whole), elements(spark, d, whole), 8.0).groupBy("chart", "pid").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+
+
+@bound("j2_candidates_whole")
+def j2b(spark, d):
+    return j2(spark, d, True)
 
 
 _CROSS = f"""e as ({_ELEM}), s as (select * from e where shape = 'segmento'),
@@ -56,14 +77,19 @@ _CROSS = f"""e as ({_ELEM}), s as (select * from e where shape = 'segmento'),
 
 
 @bound("j4_crossings", f"with {_CROSS} select chart, na, nb, series_a, series_b, round(x, 6) as x, round(y, 6) as y from c")
-def j4(spark, d):
-    c = S.crossings(elements(spark, d).where("shape = 'segmento'"), 12.0)
+def j4(spark, d, whole=False):
+    c = S.crossings(elements(spark, d, whole).where("shape = 'segmento'"), 12.0)
     return c.select("chart", "na", "nb", "series_a", "series_b", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@bound("j4_crossings_whole")
+def j4b(spark, d):
+    return j4(spark, d, True)
+
+
 @bound("j5_spaced_crossings")
 def j5(spark, d):
-    return S.spaced_crossings(S.crossings(elements(spark, d).where("shape = 'segmento'"), 12.0), 3.0)
+    return S.spaced_crossings(S.crossings(elements(spark, d, True).where("shape = 'segmento'"), 12.0), 3.0)
 
 
 _PTS = "p as (select event_type as series, user_id % 20 as chart, event_id as n, hour(ts)*4.0::double + minute(ts)/15.0::double as x, value/4 as y from events where user_id < 60)"
@@ -107,15 +133,20 @@ def j9(spark, d):
  reach as (select chart, pid, count(distinct series) filter (where priority < 10) as series, arg_min(series, (d, n)) filter (where priority < 10) as nearest from near group by 1, 2),
  j as (select won.chart, won.id, e.series as ws, e.priority as wp, coalesce(reach.series, 0) as series, nearest from won left join e on e.chart = won.chart and e.id = won.id left join reach on reach.chart = won.chart and reach.pid = won.pid)
  select chart, round(100.0*count_if(series > 0)/count(*), 6) as cubierta_pct, round(100.0*count_if(series > 1)/count(*), 6) as ambigua_pct, round(100.0*count_if(coalesce(wp < 10 and ws <> nearest, false))/count(*), 6) as conflicto_pct, round(100.0*count_if(coalesce(wp >= 10 and series > 0, false))/count(*), 6) as resto_pct from j group by 1""")
-def a21(spark, d):
-    e = elements(spark, d)
+def a21(spark, d, whole=False):
+    e = elements(spark, d, whole)
     out = S.grid_coverage(e.select("chart").distinct().withColumns({"width": F.lit(100.0), "height": F.lit(100.0)}), e, 2.0, 8.0)
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "chart"})
 
 
+@bound("a21_grid_coverage_whole")
+def a21b(spark, d):
+    return a21(spark, d, True)
+
+
 @bound("a22_perturbed")
 def a22(spark, d):
-    e = elements(spark, d)
+    e = elements(spark, d, True)
     t = e.where("priority < 10").select("chart", "id", "series", col("shape").alias("zona"), F.when(col("shape") == "punto", col("x1")).otherwise((col("x1") + col("x2")) / 2).alias("x"), F.when(col("shape") == "punto", col("y1")).otherwise((col("y1") + col("y2")) / 2).alias("y"))
     return S.perturbed(t, e, [1.0, 2.0, 4.0], 20, 8.0)
 

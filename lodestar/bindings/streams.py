@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.bindings.registry import bound, table
-from lodestar.bindings.spatial import elements
+from lodestar.bindings.spatial import TOUCHERS, charts, elements
 from lodestar.streaming import events as E
 from lodestar.streaming import selection as S
 
@@ -17,7 +17,7 @@ def from_events(ev, micros):
     hand = col("value") <= 120
     x, y = (col("event_id") % 700) / 7.0, (col("event_id") % 310) / 3.1
     gap = F.when(col("value") > 60, 40.0).otherwise(20.0)
-    return ev.select("user_id", (col("user_id") % 5).alias("chart"), col("event_id").alias("n"), micros.alias("t"), F.when(hand, x).alias("x"), F.when(hand, y).alias("y"), F.when(hand, x + gap).alias("x2"), F.when(hand, y).alias("y2"), F.when(col("value") > 5, 90.0).alias("palm")).withColumnRenamed("user_id", "session")
+    return ev.select("user_id", charts(col("user_id"), 5, TOUCHERS).alias("chart"), col("event_id").alias("n"), micros.alias("t"), F.when(hand, x).alias("x"), F.when(hand, y).alias("y"), F.when(hand, x + gap).alias("x2"), F.when(hand, y).alias("y2"), F.when(col("value") > 5, 90.0).alias("palm")).withColumnRenamed("user_id", "session")
 
 
 def samples(spark, d):
@@ -47,7 +47,7 @@ def t4(spark, d):
 
 @bound("t5_selection")
 def t5(spark, d):
-    return S.replay(samples(spark, d), S.elements_of(elements(spark, d)))
+    return S.replay(samples(spark, d), elements(spark, d, True))
 
 
 @bound("t5_selection_stream")
@@ -62,7 +62,7 @@ def t5b(spark, d):
     single = all(f.endswith("/events.parquet") for f in given.inputFiles())
     ev = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
     out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    found = S.stream(from_events(ev, col("event_id") / 15.0), S.elements_of(elements(spark, d)))
+    found = S.stream(from_events(ev, col("event_id") / 15.0), elements(spark, d, True))
     run = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(S.OUT).parquet(f"{out}/rows")

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -201,15 +202,15 @@ class Selection:
 OUT = "session bigint, n bigint, t double, active boolean, element string, candidates array<string>"
 
 
-def elements_of(rows: DataFrame) -> dict[int, dict[str, Element]]:
-    """Elements by chart, in order of n: a chart table, which is small next to the samples and goes to every task. The driver refuses more than a million."""
-    got = rows.orderBy("chart", "n").limit(1_000_001).collect()
-    if len(got) > 1_000_000:
-        raise ValueError("more than a million elements: join samples to elements by place instead (spatial.nearest_element)")
-    out: dict[int, dict[str, Element]] = {}
-    for r in got:
-        out.setdefault(r["chart"], {})[r["id"]] = Element(r["id"], r["series"], r["shape"], r["priority"], r["radius"], r["x1"], r["y1"], r["x2"], r["y2"])
-    return out
+def elements_of(rows: DataFrame) -> DataFrame:
+    """(chart, elements): each chart's elements in order of n. A chart fits one row; their number is free, as nothing comes to the driver."""
+    fields = ("id", "series", "shape", "priority", "radius", "x1", "y1", "x2", "y2")
+    return rows.groupBy("chart").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", *fields))), lambda e: F.struct(*(e[f].alias(f) for f in fields))).alias("elements"))
+
+
+def _listed(found: Iterable) -> dict[str, Element]:
+    none = lambda v: None if v is None or v != v else v
+    return {e["id"]: Element(e["id"], e["series"], e["shape"], e["priority"], e["radius"], e["x1"], e["y1"], none(e["x2"]), none(e["y2"])) for e in found}
 
 
 def _run(pdf: pd.DataFrame, state: Selection, elements: dict, c: Config) -> list[tuple]:
@@ -226,17 +227,36 @@ def _run(pdf: pd.DataFrame, state: Selection, elements: dict, c: Config) -> list
 _COLUMNS = ["session", "n", "t", "active", "element", "candidates"]
 
 
-def replay(samples: DataFrame, elements: dict, c: Config = Config()) -> DataFrame:
-    """The batch twin: a session's samples in order of time."""
-    return samples.groupBy("session").applyInPandas(lambda pdf: pd.DataFrame(_run(pdf, Selection(OneEuro(c.min_hz, c.beta)), elements, c), columns=_COLUMNS), OUT)
+def replay(samples: DataFrame, elements: dict | DataFrame, c: Config = Config()) -> DataFrame:
+    """The batch twin: a session's samples in order of time. elements: by chart, or a table (chart, n, id, ...), of which a session's task gets the charts that it touches."""
+    if isinstance(elements, dict):
+        return samples.groupBy("session").applyInPandas(lambda pdf: pd.DataFrame(_run(pdf, Selection(OneEuro(c.min_hz, c.beta)), elements, c), columns=_COLUMNS), OUT)
+    own = samples.select(F.col("session").alias("_session"), F.col("chart").alias("_chart")).distinct().join(elements_of(elements).withColumnRenamed("chart", "_chart"), "_chart")
+
+    def run(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        by = {k: _listed(e) for k, e in zip(of["_chart"], of["elements"], strict=True)}
+        return pd.DataFrame(_run(pdf, Selection(OneEuro(c.min_hz, c.beta)), by, c), columns=_COLUMNS)
+
+    return samples.groupBy("session").cogroup(own.groupBy("_session")).applyInPandas(run, OUT)
 
 
-def stream(samples: DataFrame, elements: dict, c: Config = Config()) -> DataFrame:
-    """The stream: a session's state is kept between batches."""
+def stream(samples: DataFrame, elements: dict | DataFrame, c: Config = Config()) -> DataFrame:
+    """The stream: a session's state is kept between batches. Of a table of elements each sample takes its chart's along, as a stream can't be cogrouped."""
+    given = elements if isinstance(elements, dict) else None
+    if given is None:
+        samples = samples.join(elements_of(elements), "chart", "left")
 
     def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = pickle.loads(state.get[0]) if state.exists else Selection(OneEuro(c.min_hz, c.beta))
-        rows = _run(pd.concat(list(pdfs)), s, elements, c)
+        by, parts = {} if given is None else given, []
+        for pdf in pdfs:
+            if given is None:
+                for k, e in pdf.drop_duplicates("chart")[["chart", "elements"]].itertuples(index=False):
+                    if k not in by and e is not None:
+                        by[k] = _listed(e)
+                pdf = pdf.drop(columns="elements")
+            parts.append(pdf)
+        rows = _run(pd.concat(parts), s, by, c)
         state.update((pickle.dumps(s),))
         yield pd.DataFrame(rows, columns=_COLUMNS)
 

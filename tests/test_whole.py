@@ -1,18 +1,28 @@
 """Queries over whole tables and texts, where the SQL of the bound query cuts them: the SQL without its cut on the middle tables, and plain versions."""
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
 from test_oracles import TABLES, shown
 
 from lodestar.bindings import QUERIES, SQL
+from lodestar.bindings.spatial import elements
+from lodestar.bindings.streams import samples
 from lodestar.functions import text as X
+from lodestar.streaming.selection import Element, replay
 
 MIDDLE = "/root/testdata/sf0.01"
+PARTS = [(" where p_partkey < 1000", ""), ("p_partkey % 5 as chart", "p_partkey % 5 + 5*(p_partkey // 1000) as chart")]
+TOUCHES = [("user_id % 5 as chart", "user_id % 5 + 5*(user_id // 75) as chart")]
 #: Query: what its SQL loses for the test, and what stands in its place.
 UNCUT = {
     "p1_header_key": [("substr(text,1,60)", "text")],
+    "j1_nearest_element": PARTS + TOUCHES,
+    "j2_candidates": PARTS + TOUCHES,
+    "j4_crossings": PARTS,
+    "a21_grid_coverage": PARTS,
 }
 
 
@@ -85,3 +95,38 @@ def test_legible_on_the_given_texts(spark):
     texts = dict(tuple(r) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text").collect())
     got = dict(tuple(r) for r in QUERIES["x3_legible_whole"](spark, MIDDLE).collect())
     assert got == {k: plain_legible(t) for k, t in texts.items()}
+
+
+def middle():
+    if not Path(MIDDLE).exists():
+        pytest.skip("no test data")
+    return MIDDLE
+
+
+def test_spaced_crossings_of_all_parts(spark):
+    found = sorted(QUERIES["j4_crossings_whole"](spark, middle()).collect(), key=lambda r: (r["na"], r["nb"]))
+    kept = defaultdict(list)
+    for r in found:
+        own = kept[r["chart"], *sorted((r["series_a"], r["series_b"]))]
+        if all(math.hypot(r["x"] - k["x"], r["y"] - k["y"]) >= 3.0 for k in own):
+            own.append(r)
+    got = {(r["chart"], r["na"], r["nb"]) for r in QUERIES["j5_spaced_crossings"](spark, middle()).collect()}
+    assert got == {(r["chart"], r["na"], r["nb"]) for own in kept.values() for r in own}
+    assert max(na for _, na, _ in got) >= 1000
+
+
+def test_perturbed_hits_all_parts(spark):
+    part = spark.read.parquet(f"{middle()}/part.parquet")
+    data = part.where("p_partkey % 4 <> 3").count()
+    assert sum(r["n"] for r in QUERIES["a22_perturbed"](spark, middle()).collect()) == data * 3 * 20
+
+
+def test_selection_among_all_parts(spark):
+    by = defaultdict(dict)
+    for r in elements(spark, middle(), True).orderBy("n").collect():
+        by[r["chart"]][r["id"]] = Element(r["id"], r["series"], r["shape"], r["priority"], r["radius"], r["x1"], r["y1"], r["x2"], r["y2"])
+    assert sum(map(len, by.values())) == spark.read.parquet(f"{middle()}/part.parquet").count()
+    want = sorted(map(tuple, replay(samples(spark, middle()), dict(by)).collect()))
+    for name in ("t5_selection", "t5_selection_stream"):
+        assert sorted(map(tuple, QUERIES[name](spark, middle()).collect())) == want
+    assert any(int(r[4][1:]) >= 1000 for r in want if r[4])
