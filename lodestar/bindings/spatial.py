@@ -95,39 +95,61 @@ def j5(spark, d):
 _PTS = "p as (select event_type as series, user_id % 20 as chart, event_id as n, hour(ts)*4.0::double + minute(ts)/15.0::double as x, value/4 as y from events where user_id < 60)"
 
 
-def points(spark, d):
-    return table(spark, d, "events").where("user_id < 60").select(col("event_type").alias("series"), (col("user_id") % 20).alias("chart"), col("event_id").alias("n"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("x"), (col("value") / 4).alias("y"))
+def points(spark, d, whole=False):
+    ev = table(spark, d, "events")
+    ev, chart = (ev, charts(col("user_id"), 20, USERS)) if whole else (ev.where("user_id < 60"), col("user_id") % 20)
+    return ev.select(col("event_type").alias("series"), chart.alias("chart"), col("event_id").alias("n"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("x"), (col("value") / 4).alias("y"))
 
 
 @bound("j6_point_radius", f"with {_PTS} select a.chart, a.n, round(coalesce(greatest(0.5, least(1.6, 0.4*min(sqrt(power(a.x-b.x,2)+power(a.y-b.y,2))))), 1.6), 6) as radius from p a left join p b on a.chart = b.chart and a.series = b.series and a.n <> b.n group by a.chart, a.n")
-def j6(spark, d):
-    return S.point_radius(points(spark, d), 1.6, 0.5).select("chart", "n", F.round("radius", 6).alias("radius"))
+def j6(spark, d, whole=False):
+    return S.point_radius(points(spark, d, whole), 1.6, 0.5).select("chart", "n", F.round("radius", 6).alias("radius"))
+
+
+@bound("j6_point_radius_whole")
+def j6b(spark, d):
+    return j6(spark, d, True)
 
 
 @bound("j7_separation", f"""with {_PTS}, q as (select a.chart, a.n as a, b.n as b, a.series = b.series as same, sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) as d from p a join p b on a.chart = b.chart and a.n < b.n)
  select chart, round(min(d) filter (where not same), 6) as between, arg_min(a, (d, a, b)) filter (where not same) as a, arg_min(b, (d, a, b)) filter (where not same) as b, round(min(d) filter (where same), 6) as within from q where d < 6 group by 1""")
-def j7(spark, d):
-    return S.least_separation(points(spark, d), 6.0).withColumns({"between": F.round("between", 6), "within": F.round("within", 6)})
+def j7(spark, d, whole=False):
+    return S.least_separation(points(spark, d, whole), 6.0).withColumns({"between": F.round("between", 6), "within": F.round("within", 6)})
+
+
+@bound("j7_separation_whole")
+def j7b(spark, d):
+    return j7(spark, d, True)
 
 
 @bound("j8_near_flag", f"with {_PTS} select a.chart, a.n, case when exists (select 1 from p b where b.chart = a.chart and b.n % 10 = 0 and sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) <= 2.5) then 'cruce' else 'aislado' end as zona from p a")
-def j8(spark, d):
-    p = points(spark, d)
+def j8(spark, d, whole=False):
+    p = points(spark, d, whole)
     return S.near_flag(p, p.where("n % 10 = 0").select("chart", col("x").alias("mx"), col("y").alias("my")), 2.5, ["chart"]).select("chart", "n", "zona")
 
 
+@bound("j8_near_flag_whole")
+def j8b(spark, d):
+    return j8(spark, d, True)
+
+
 @bound("j9_gaps", f"""with {_PTS}, q as (select *, lead(n) over w as n2, lead(x) over w as x2, lead(y) over w as y2 from p window w as (partition by chart, series order by n))
  select chart, series, n, n2, case when abs(x2-x) < 1 then 'salto' else 'sin datos' end as clase from q a where n2 is not null and not exists (select 1 from q s where s.n2 is not null and s.n % 3 > 0 and s.chart = a.chart and s.series = a.series
  and ((sqrt(power(s.x-a.x,2)+power(s.y-a.y,2)) < 0.6 and sqrt(power(s.x2+0.1-a.x2,2)+power(s.y2-a.y2,2)) < 0.6) or (sqrt(power(s.x2+0.1-a.x,2)+power(s.y2-a.y,2)) < 0.6 and sqrt(power(s.x-a.x2,2)+power(s.y-a.y2,2)) < 0.6)))""")
-def j9(spark, d):
+def j9(spark, d, whole=False):
     from pyspark.sql.window import Window
 
-    p = points(spark, d)
+    p = points(spark, d, whole)
     w = Window.partitionBy("chart", "series").orderBy("n")
     s = p.select("chart", "series", "n", col("x").alias("x1"), col("y").alias("y1"), (F.lead("x").over(w) + 0.1).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null and n % 3 > 0")
     return S.gaps(p, s)
 
 
+@bound("j9_gaps_whole")
+def j9b(spark, d):
+    return j9(spark, d, True)
+
+
 @bound("a21_grid_coverage", f"""with e as ({_ELEM}), t as (select c.chart, i*100000+j as pid, i*2.0::double as px, j*2.0::double as py from (select distinct chart from e) c, range(0, 51) a(i), range(0, 51) b(j)),
  near as (select t.chart, pid, n, id, series, shape, radius, priority, {_DIST} as d from t join e on t.chart = e.chart where {_DIST} <= radius), {_WON},
  reach as (select chart, pid, count(distinct series) filter (where priority < 10) as series, arg_min(series, (d, n)) filter (where priority < 10) as nearest from near group by 1, 2),

@@ -16,6 +16,7 @@ from lodestar.streaming.selection import Element, replay
 MIDDLE = "/root/testdata/sf0.01"
 PARTS = [(" where p_partkey < 1000", ""), ("p_partkey % 5 as chart", "p_partkey % 5 + 5*(p_partkey // 1000) as chart")]
 TOUCHES = [("user_id % 5 as chart", "user_id % 5 + 5*(user_id // 75) as chart")]
+POINTS = [(" where user_id < 60", ""), ("user_id % 20 as chart", "user_id % 20 + 20*(user_id // 60) as chart")]
 #: Query: what its SQL loses for the test, and what stands in its place.
 UNCUT = {
     "p1_header_key": [("substr(text,1,60)", "text")],
@@ -23,6 +24,10 @@ UNCUT = {
     "j2_candidates": PARTS + TOUCHES,
     "j4_crossings": PARTS,
     "a21_grid_coverage": PARTS,
+    "j6_point_radius": POINTS,
+    "j7_separation": POINTS,
+    "j8_near_flag": POINTS,
+    "j9_gaps": POINTS,
 }
 
 
