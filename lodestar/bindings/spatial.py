@@ -187,11 +187,12 @@ def a33(spark, d):
 _AXIS = "x as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, l_quantity as q, l_partkey as pk from lineitem), ax as (select k, n, n*100.0::double as px, case when pk % 7 = 0 then n*70.0 else n*700.0 + 20 end::double as v from x where k % 3 = 0)"
 
 
-def axis(spark, d):
+def axis(spark, d, whole=False):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    x = table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("l_orderkey % 3 = 0")
+    x = table(spark, d, "lineitem").withColumn("n", F.row_number().over(w))
+    x = x if whole else x.where("l_orderkey % 3 = 0")  # as the bound SQL has it
     return x.select(col("l_orderkey").alias("k"), "n", (col("n") * 100.0).alias("px"), F.when(col("l_partkey") % 7 == 0, col("n") * 70.0).otherwise(col("n") * 700.0 + 20).alias("v"))
 
 
@@ -204,34 +205,49 @@ _FIT = f"""{_AXIS}, sp as (select *, 0.04*(max(v) over (partition by k)-min(v) o
 
 
 @bound("a34_robust_line", f"with {_FIT} select k, round(m, 6) as m, round(b, 3) as b, round(r2, 6) as r2, used, total from ft")
-def a34(spark, d):
-    return K.robust_line(axis(spark, d), ["k"], "n", "px", "v").withColumns({"m": F.round("m", 6), "b": F.round("b", 3), "r2": F.round("r2", 6)})
+def a34(spark, d, whole=False):
+    return K.robust_line(axis(spark, d, whole), ["k"], "n", "px", "v").withColumns({"m": F.round("m", 6), "b": F.round("b", 3), "r2": F.round("r2", 6)})
+
+
+@bound("a34_robust_line_whole")
+def a34b(spark, d):
+    return a34(spark, d, True)
 
 
 _SC = "g as (select k, case when count(*) >= 3 and min(v) > 0 and max(v) >= 20*min(v) and regr_r2(case when v > 0 then log10(v) end, px) > 0.999 and regr_r2(v, px) < 0.98 then 'log' else 'lineal' end as escala from lx group by 1)"
 _LX = "lx as (select k, n, n*100.0::double as px, case when k % 2 = 0 then power(10.0::double, n) else v end as v from ax)"
 
 
-def mixed_axis(spark, d):
-    return axis(spark, d).withColumn("v", F.when(col("k") % 2 == 0, F.pow(F.lit(10.0), col("n"))).otherwise(col("v")))
+def mixed_axis(spark, d, whole=False):
+    return axis(spark, d, whole).withColumn("v", F.when(col("k") % 2 == 0, F.pow(F.lit(10.0), col("n"))).otherwise(col("v")))
 
 
 @bound("a35_scale_type", f"with {_AXIS}, {_LX}, {_SC} select k, escala from g")
-def a35(spark, d):
-    return K.scale_type(mixed_axis(spark, d), ["k"], "px", "v")
+def a35(spark, d, whole=False):
+    return K.scale_type(mixed_axis(spark, d, whole), ["k"], "px", "v")
+
+
+@bound("a35_scale_type_whole")
+def a35b(spark, d):
+    return a35(spark, d, True)
 
 
 @bound("a36_convert", f"with {_FIT} select ax.k, n, round(m*(px+50)+b, 3) as valor, array_to_string(list_filter([case when r2 < 0.995 then 'ajuste' end, case when used < total then 'descartadas' end], lambda x: x is not null), ',') as avisos from ax join ft on ax.k = ft.k")
-def a36(spark, d):
-    a = axis(spark, d)
+def a36(spark, d, whole=False):
+    a = axis(spark, d, whole)
     fit = K.robust_line(a, ["k"], "n", "px", "v").withColumn("escala", F.lit("lineal"))
     out = K.converted(a.withColumn("p", col("px") + 50), fit, ["k"], "p")
     return out.select("k", "n", F.round("valor", 3).alias("valor"), F.array_join("avisos", ",").alias("avisos"))
 
 
+@bound("a36_convert_whole")
+def a36b(spark, d):
+    return a36(spark, d, True)
+
+
 @bound("a37_repair")
 def a37(spark, d):
-    a = axis(spark, d).withColumn("texto", col("v").cast("long").cast("string"))
+    a = axis(spark, d, True).withColumn("texto", col("v").cast("long").cast("string"))
     return K.repaired(a, K.robust_line(a, ["k"], "n", "px", "v"), ["k"], "n", "px", "texto", "v")
 
 

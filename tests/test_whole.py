@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import TABLES, shown
 
 from lodestar.bindings import QUERIES, SQL
@@ -28,6 +29,9 @@ UNCUT = {
     "j7_separation": POINTS,
     "j8_near_flag": POINTS,
     "j9_gaps": POINTS,
+    "a34_robust_line": [(" where k % 3 = 0", "")],
+    "a35_scale_type": [(" where k % 3 = 0", "")],
+    "a36_convert": [(" where k % 3 = 0", "")],
 }
 
 
@@ -135,3 +139,18 @@ def test_selection_among_all_parts(spark):
     for name in ("t5_selection", "t5_selection_stream"):
         assert sorted(map(tuple, QUERIES[name](spark, middle()).collect())) == want
     assert any(int(r[4][1:]) >= 1000 for r in want if r[4])
+
+
+def test_repair_of_all_axes(spark):
+    from lodestar.bindings.spatial import axis
+    from lodestar.operators.calibration import repaired, robust_line
+
+    a = axis(spark, middle(), True).withColumn("texto", F.col("v").cast("long").cast("string"))
+    want = []
+    for k in range(3):
+        own = a.where(f"k % 3 = {k}")
+        want += repaired(own, robust_line(own, ["k"], "n", "px", "v"), ["k"], "n", "px", "texto", "v").collect()
+    got = sorted(map(tuple, QUERIES["a37_repair"](spark, middle()).collect()))
+    assert got == sorted(map(tuple, want)) and any(r[0] % 3 for r in got)
+    orders = spark.read.parquet(f"{middle()}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert QUERIES["a35_scale_type_whole"](spark, middle()).count() == orders
