@@ -220,9 +220,8 @@ def j18(spark, d):
 @bound("j19_one_to_one")
 def j19(spark, d):
     s = table(spark, d, "supplier").select((col("s_nationkey") % 5).alias("g"), "s_suppkey", "s_acctbal")
-    t = table(spark, d, "customer").where("c_custkey % 10 = 0").select((col("c_nationkey") % 5).alias("g"), "c_custkey", "c_acctbal")
-    c = s.join(t, "g").withColumn("d", F.abs(col("s_acctbal") - col("c_acctbal"))).where("d < 800")
-    return M.greedy_pairs(c.select("g", "s_suppkey", "c_custkey", "d"), ["g"], "s_suppkey", "c_custkey", ["d", "s_suppkey", "c_custkey"])
+    t = table(spark, d, "customer").select((col("c_nationkey") % 5).alias("g"), "c_custkey", "c_acctbal")
+    return M.nearest_pairs(s, t, ["g"], "s_suppkey", "c_custkey", "s_acctbal", "c_acctbal", 800.0)
 
 
 @bound("j20_nearest_class", """with e as (select vec_id, embedding[1:3]::double[] as v from embeddings), p(c, w) as (values ('alto', [0.2::double, 0.1, 0.0]), ('bajo', [-0.2::double, -0.1, 0.0]), ('medio', [0.0::double, 0.0, 0.1])),
@@ -256,7 +255,7 @@ def j23(spark, d):
 
 @bound("j25_united_boxes")
 def j25(spark, d):
-    return M.united_boxes(boxes(spark, d).where("p_partkey % 4 = 0"), ["p_brand"], "p_partkey")
+    return M.united_boxes(boxes(spark, d), ["p_brand"], "p_partkey")
 
 
 @bound("j26_known_hashes", "select doc_id from documents where md5(text) not in (select md5(text) from documents where doc_id % 7 = 3)")

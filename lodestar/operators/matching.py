@@ -87,6 +87,61 @@ def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str,
     return candidates.groupBy(*keys).applyInPandas(run, candidates.schema)
 
 
+def nearest_pairs(lefts: DataFrame, rights: DataFrame, keys: list[str], left: str, right: str, x: str, y: str, most: float) -> DataFrame:
+    """greedy_pairs of the candidates left and right with |x - y| < most, in order of that distance d, left and right, without making them: on a line the nearest pair are neighbours. A task holds the ids of its keys, not their pairs."""
+    types = dict(lefts.dtypes) | dict(rights.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, left, right)) + ", d double"
+
+    def run(a, b):
+        import heapq
+
+        import pandas as pd
+
+        places: dict[float, tuple[list, list]] = {}
+        for side, (pdf, i, v) in enumerate(((a, left, x), (b, right, y))):
+            for at, k in pdf.dropna(subset=[v])[[v, i]].sort_values(i, ascending=False).itertuples(index=False):
+                places.setdefault(float(at), ([], []))[side].append(k)
+        out = []
+        for own in places.values():
+            while own[0] and own[1] and most > 0:
+                out.append((own[0].pop(), own[1].pop(), 0.0))
+        at = sorted(p for p, own in places.items() if own[0] or own[1])
+        ids = [places[p] for p in at]
+        before, after, todo = [i - 1 for i in range(len(at))], [i + 1 for i in range(len(at))], []
+
+        def offer(i, j):
+            if i < 0 or j >= len(at):
+                return
+            for ls, rs in ((ids[i][0], ids[j][1]), (ids[j][0], ids[i][1])):
+                if ls and rs and at[j] - at[i] < most:
+                    heapq.heappush(todo, (at[j] - at[i], ls[-1], rs[-1], i, j))
+
+        for i in range(len(at) - 1):
+            offer(i, i + 1)
+        while todo:
+            d, p, q, i, j = heapq.heappop(todo)
+            ls, rs = (ids[i][0], ids[j][1]) if ids[i][0] else (ids[j][0], ids[i][1])
+            if after[i] != j or not ls or not rs or (ls[-1], rs[-1]) != (p, q):
+                continue
+            out.append((ls.pop(), rs.pop(), d))
+            for k in (i, j):
+                if not ids[k][0] and not ids[k][1]:
+                    lo, hi = before[k], after[k]
+                    if lo >= 0:
+                        after[lo] = hi
+                    if hi < len(at):
+                        before[hi] = lo
+                    after[k] = -1
+            near = {k for k in (i, j) if after[k] != -1} | {before[i] if after[i] == -1 else i, before[j] if after[j] == -1 else j}
+            for k in {v for k in near for v in ((before[k], k) if k >= 0 and after[k] != -1 else (k,))}:
+                if k >= 0 and after[k] != -1:
+                    offer(k, after[k])
+        head = [(a if len(a) else b)[k].iloc[0] for k in keys]
+        return pd.DataFrame([(*head, *r) for r in out], columns=[*keys, left, right, "d"])
+
+    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(run, schema)
+
+
 def nearest_class(items: DataFrame, palette: DataFrame, vector: str, names: str, centre: str, most: float) -> DataFrame:
     """The closest reference of a fixed palette, null beyond most. The palette is short: it goes to every task."""
     pal = palette.agg(F.array_sort(F.collect_list(F.struct(names, centre))).alias("_pal"))

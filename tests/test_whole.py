@@ -1,6 +1,7 @@
 """Queries over whole tables and texts, where the SQL of the bound query cuts them: the SQL without its cut on the middle tables, and plain versions."""
 
 import math
+import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from lodestar.bindings import QUERIES, SQL
 from lodestar.bindings.spatial import elements
 from lodestar.bindings.streams import samples
 from lodestar.functions import text as X
+from lodestar.operators.matching import nearest_pairs
 from lodestar.streaming.selection import Element, replay
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -154,3 +156,36 @@ def test_repair_of_all_axes(spark):
     assert got == sorted(map(tuple, want)) and any(r[0] % 3 for r in got)
     orders = spark.read.parquet(f"{middle()}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert QUERIES["a35_scale_type_whole"](spark, middle()).count() == orders
+
+
+def plain_pairs(s, t, most):
+    out, used_s, used_t = [], set(), set()
+    for d, g, a, b in sorted((abs(x - y), g, a, b) for g, a, x in s for h, b, y in t if g == h and abs(x - y) < most):
+        if (g, a) not in used_s and (g, b) not in used_t:
+            used_s.add((g, a))
+            used_t.add((g, b))
+            out.append((g, a, b, d))
+    return sorted(out)
+
+
+def test_nearest_pairs_with_ties(spark):
+    rng = random.Random(5)
+    s = [(g, k, float(rng.randrange(40))) for g in range(6) for k in range(rng.randrange(1, 60))]
+    t = [(g, k, float(rng.randrange(60))) for g in range(6) for k in range(rng.randrange(1, 60))]
+    ss, tt = spark.createDataFrame(s, "g int, a long, x double"), spark.createDataFrame(t, "g int, b long, y double")
+    assert sorted(map(tuple, nearest_pairs(ss, tt, ["g"], "a", "b", "x", "y", 9.0).collect())) == plain_pairs(s, t, 9.0)
+
+
+def test_one_to_one_of_all_customers(spark):
+    s = [(r[1] % 5, r[0], r[2]) for r in spark.read.parquet(f"{middle()}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal").collect()]
+    t = [(r[1] % 5, r[0], r[2]) for r in spark.read.parquet(f"{middle()}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal").collect()]
+    got = sorted(map(tuple, QUERIES["j19_one_to_one"](spark, middle()).collect()))
+    assert got == plain_pairs(s, t, 800.0) and any(r[2] % 10 for r in got)
+
+
+def test_united_boxes_of_all_parts(spark, tmp_path):
+    # far apart in size, so that few are united; odd keys would be lost by a modulo
+    rows = [(k, "b", 40 * k) for k in range(1, 12)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in QUERIES["j25_united_boxes"](spark, str(tmp_path)).collect())
+    assert got == sorted((320.0 * k, 37.0 * k % 600, 320.0 * k + 120, 37.0 * k % 600 + 60) for k, _, _ in rows)
