@@ -134,6 +134,12 @@ def p25(spark, d):
     return table(spark, d, "orders").where("o_orderkey < 100000").select("o_orderkey", C.order_label(col("o_orderkey")).alias("etiqueta"))
 
 
+@bound("p25_order_label_whole")
+def p25b(spark, d):
+    """All orders; the SQL of p25_order_label stops where lpad would cut."""
+    return table(spark, d, "orders").select("o_orderkey", C.order_label(col("o_orderkey")).alias("etiqueta"))
+
+
 @bound("p26_hue_name", "select event_id, case " + " ".join(f"when value < {b} then '{n}'" for b, n in C.HUES) + f" else '{C.HUES[-1][1]}' end as color from events where value is not null")
 def p26(spark, d):
     return table(spark, d, "events").where("value is not null").select("event_id", C.hue_name(col("value")).alias("color"))
@@ -181,9 +187,16 @@ def a42(spark, d):
 @bound("j24_box_overlap", """with b as (select p_partkey, p_brand, p_size::double as x0, p_retailprice/100.0 as y0, p_size+10.0 as x1, p_retailprice/100.0+5 as y1 from part where p_partkey < 400),
  i as (select a.p_partkey as a, b.p_partkey as b, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) as w from b a join b b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)
  select a, b, round(w/(100-w), 6) as iou from i""")
-def j24(spark, d):
-    box = table(spark, d, "part").where("p_partkey < 400").select("p_partkey", "p_brand", F.array(col("p_size").cast("double"), col("p_retailprice") / 100.0, col("p_size") + 10.0, col("p_retailprice") / 100.0 + 5).alias("box"))
+def j24(spark, d, whole=False):
+    part = table(spark, d, "part")
+    box = (part if whole else part.where("p_partkey < 400")).select("p_partkey", "p_brand", F.array(col("p_size").cast("double"), col("p_retailprice") / 100.0, col("p_size") + 10.0, col("p_retailprice") / 100.0 + 5).alias("box"))
     a, b = box.alias("a"), box.alias("b")
     j = a.join(b, (col("a.p_brand") == col("b.p_brand")) & (col("a.p_partkey") < col("b.p_partkey")))
     side = lambda n: [col(f"{n}.box")[k] for k in range(4)]
     return j.select(col("a.p_partkey").alias("a"), col("b.p_partkey").alias("b"), F.round(C.iou(side("a"), side("b")), 6).alias("iou"))
+
+
+@bound("j24_box_overlap_whole")
+def j24b(spark, d):
+    """All parts, and all pairs of a brand as in the SQL of j24_box_overlap, which keeps 400 parts: the rows grow with the square of a brand."""
+    return j24(spark, d, True)
