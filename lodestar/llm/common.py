@@ -131,17 +131,19 @@ def bloom_hit(bits: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (hit(p) & hit(q)).astype(bool)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): component is the least node that links reach. edges: columns a, b.
 
-    Alternates large-star and small-star steps until the edges stay the same: each turns a tree into a star at its least node, and each only needs a minimum per node (combined before the shuffle) and a join.
+    Alternates large-star and small-star steps until the edges stay the same: each turns a tree into a star at its least node, and each only needs a minimum per node (combined before the shuffle) and a join. If rounds is given and the edges still change after them, it raises.
     """
     e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    done, k = not before[0], 0
+    while not done:
+        if k == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
+        k += 1
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -152,6 +154,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         done = now == before
         old, e, before = e, after, now
         forget(old)
-        if done:
-            break
     return e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

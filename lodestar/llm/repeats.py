@@ -29,7 +29,8 @@ BATCH = 16 << 20
 #: Bytes of text for each part of the dictionary.
 PART_BYTES = 24 << 20
 
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places of a text in the low bits of its trigger hashes: Spark has no text of 2^31 bytes.
+_PLACE = np.uint64((1 << 31) - 1)
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64, False)
 _BASE = int(_rng.integers(0, 1 << 63)) * 8 + 3 & (1 << 64) - 1
