@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import jaccard_join, packing, quality, repeats, secret_scan
-from lodestar.llm.common import written
+from lodestar.llm.common import forget, written
 from lodestar.llm.queries import table, vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws; the others go."""
-    return quality.Resampler(docs, table(spark, sf_dir, "labels")).draw(docs)
+    return quality.Resampler(docs, table(spark, sf_dir, "labels"), carry=True).draw()
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,12 @@ STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_near_c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

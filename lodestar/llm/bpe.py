@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import arrow, batches
+from lodestar.llm.common import Cache, arrow, batches
 
 #: str.split() also splits at these, which are no white space to the tokenizer.
 _NOT_BLANK = regex.compile("[\x1c-\x1f]")
@@ -93,20 +93,6 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-class Cache(dict):
-    """make(key) for each key, kept until limit entries are held; then all are dropped, so a worker's memory stays bounded."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 def split_raw(text: str) -> list[str]:
     """White-space runs never lie inside a word, so the ids of a text are those of its parts. Texts with characters that only str.split() takes for white space stay whole."""
     return [text] if _NOT_BLANK.search(text) else text.split()
@@ -119,7 +105,7 @@ def _tools(path: str) -> tuple[WordBpe, Cache]:
     """A worker's tokenizer and the ids of raw words that it has met, as (count, ids in decimal, decoded strings)."""
     if path not in _made:
         bpe = WordBpe(path)
-        words = Cache(lambda w: bpe.merge(w.encode("utf-8", "surrogatepass")), 250_000)
+        words = Cache(lambda w: bpe.merge(w.encode("utf-8", "surrogatepass")), 32 << 20)
 
         def raw(part: str) -> tuple[int, str, str]:
             ids: list[int] = []
@@ -130,7 +116,7 @@ def _tools(path: str) -> tuple[WordBpe, Cache]:
                     ids += words[w]
             return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
 
-        _made[path] = bpe, Cache(raw, 400_000)
+        _made[path] = bpe, Cache(raw, 128 << 20)
     return _made[path]
 
 

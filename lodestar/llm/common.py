@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import time
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a shingle.
@@ -21,10 +22,12 @@ _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where it is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where it is unset and Spark runs in this process (tests) a local one is made; on a cluster its absence is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
 
     made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -32,20 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Tables that written() made and forget() has not removed: path and Hadoop's path object. What a returned frame reads stays until the driver ends.
+_tables: dict[str, object] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, read again. A lost executor costs the tasks that read it, not what was before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_forget_all)
+    _tables[path] = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lodestar_path = path
+    return out
+
+
+def written_counting(df: DataFrame, *sums: Column) -> tuple[DataFrame, tuple]:
+    """written(df), and aggregates over it that the same job has gathered."""
+    seen = Observation()
+    out = written(df.observe(seen, *(c.alias(f"_{k}") for k, c in enumerate(sums))))
+    got = seen.get
+    return out, tuple(got[f"_{k}"] for k in range(len(sums)))
 
 
 def forget(df: DataFrame) -> None:
     """Removes the files of a table that written() made, once nothing reads them any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles() if "/lodestar-" in x}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = df.lodestar_path
+    files = _tables.pop(path)
+    files.delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _forget_all() -> None:
+    from pyspark import SparkContext
+
+    for path, files in _tables.items():
+        try:
+            files.delete(SparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; the folder is scratch
+            return
 
 
 def release(spark: SparkSession) -> None:
@@ -56,21 +85,53 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", n: int | None = None, most: int = 1000) -> DataFrame:
+    """left joined with right on key, where any number of left's rows may share a key. A key of more than 1/most of left's rows is dealt over several tasks, each with its own copy of right's row; there are fewer than most such keys, so their list is small whatever the input. Keys that are null meet nothing and are dealt too. left is read twice: hand in a written table. n: its rows, where they are known."""
+    bar = max((left.count() if n is None else n) // most, 16)
+    often = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > bar).select(F.col(key).alias("_often"), F.ceil(F.col("count") / bar).cast("int").alias("_times"))
+    often = F.broadcast(often)
+    dice = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.when(F.col(key).isNull(), F.lit(most)), "_times", F.lit(1))).cast("int")
+    one = left.join(often, F.col(key) == F.col("_often"), "left").withColumn("_salt", dice).drop("_often", "_times")
+    two = right.join(often, F.col(key) == F.col("_often"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_times", F.lit(1)) - 1))).drop("_often", "_times")
+    return one.join(two, [key, "_salt"], how).drop("_salt")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when full, so a worker's memory stays bounded."""
+def weight(x) -> int:
+    """About how many bytes a string, number, or list of them takes."""
+    if isinstance(x, (str, bytes)):
+        return 60 + len(x) * (1 if isinstance(x, bytes) or x.isascii() else 2)
+    return 60 + sum(map(weight, x)) if isinstance(x, (list, tuple)) else 32
+
+
+class Cache(dict):
+    """make(key) for each key, kept until they weigh limit bytes; then all are dropped, so a worker's memory stays bounded. What weighs a sixteenth of the limit or more is not kept."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.held = make, limit, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        size = 100 + weight(key) + weight(value)
+        if size < self.limit >> 4:
+            if self.held + size > self.limit:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += size
+        return value
+
 
-    limit = 250_000
+class WordHashes(Cache):
+    """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __init__(self, limit: int = 64 << 20):
+        super().__init__(xxhash.xxh3_64_intdigest, limit)
 
 
 def shingles(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -134,23 +195,23 @@ def bloom_hit(bits: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): component is the least node that links reach. edges: columns a, b.
 
-    Alternates large-star and small-star steps until the edges stay the same: each turns a tree into a star at its least node, and each only needs a minimum per node (combined before the shuffle) and a join. If rounds is given and the edges still change after them, it raises.
+    Alternates large-star and small-star steps until the edges stay the same: each turns a tree into a star at its least node, and each only needs a minimum per node (combined before the shuffle) and a join in which a node of very many links is dealt over several tasks. If rounds is given and the edges still change after them, it raises.
     """
-    e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(e)
+    sums = F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    e, before = written_counting(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), *sums)
     done, k = not before[0], 0
     while not done:
         if k == rounds:
             raise RuntimeError(f"components still change after {rounds} rounds")
         k += 1
+        # every link seen from its larger end, and each node's least neighbour
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a link is hung where its lesser end's least neighbour is: b is the hub that may have very many links
+        large = spread(e.select("b", F.col("a").alias("x")), least.withColumnRenamed("a", "b"), "b", n=before[0]).select(F.col("x").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        after = written(small)
-        now = mark(after)
+        after, now = written_counting(small, *sums)
         done = now == before
         old, e, before = e, after, now
         forget(old)

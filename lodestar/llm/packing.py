@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import Cache, WordBpe, split_raw
-from lodestar.llm.common import arrow, batches
+from lodestar.llm.bpe import WordBpe, split_raw
+from lodestar.llm.common import Cache, arrow, batches
 
 SEQUENCE, END, GROUP = 2048, 1, 4096
 #: Bytes of remaining ids at which a group ends early.
@@ -105,8 +105,8 @@ def _words(path: str) -> Cache:
 
         bpe, model = WordBpe(path), Tokenizer.from_file(path).model
         symbol = bpe.symbol
-        ids = Cache(lambda w: np.array([t.id for t in model.tokenize("".join([symbol[b] for b in w.encode("utf-8", "surrogatepass")]))], "<u2").tobytes(), 250_000)
-        _made[path] = Cache(lambda part: b"".join([w.to_bytes(2, "little") if isinstance(w, int) else ids[w] for w in bpe.pieces(part)]), 500_000)
+        ids = Cache(lambda w: np.array([t.id for t in model.tokenize("".join([symbol[b] for b in w.encode("utf-8", "surrogatepass")]))], "<u2").tobytes(), 32 << 20)
+        _made[path] = Cache(lambda part: b"".join([w.to_bytes(2, "little") if isinstance(w, int) else ids[w] for w in bpe.pieces(part)]), 96 << 20)
     return _made[path]
 
 

@@ -1,10 +1,10 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed n-grams, one of the target (labelled good documents), one of the raw corpus, give each document the log of how much likelier the target makes it: its importance weight. Weight plus Gumbel noise, and the largest k of that, are a sample without replacement in proportion to the weights.
+Two generative models of hashed n-grams, one of the target (labelled good documents), one of the raw corpus, give each document the log of how much likelier the target makes it. Summed over a text that ratio grows with the text's length and no noise of order one would ever change a draw; so it is taken per n-gram and tempered: a logistic curve over held-out labelled documents turns it into the chance that a document is of the target's kind, and the log of that chance over the target's share of the corpus is the importance weight. Weight plus Gumbel noise, and the largest k of that, are a sample without replacement in proportion to the weights. k is the share of the corpus that the model takes for the target's kind: the sum of those chances over all documents, rounded. So documents of the target's kind weigh about the same and nearly all are drawn; others are drawn as rarely as their weight says.
 
-n-grams: words and marks in lower case, pairs of them, and the shapes of words (case, digits, marks, said again) with pairs of shapes. All documents count in the raw model and all are weighed. The target model is fitted on at most LABELLED labelled rows (those least by a hash of their id), half of which set k: of the whole corpus as many documents are drawn as weigh at least what parts good and bad labelled documents best.
+n-grams: words and marks in lower case, pairs of them, and the shapes of words (case, digits, marks, said again) with pairs of shapes. All documents count in the raw model and all are weighed: two passes over the texts, since every weight needs the counts of all. The target model is fitted on at most LABELLED labelled rows (those least by a hash of their id), half of which fit the curve.
 
-Null or empty texts have no n-grams and weigh 0. Rows tied with the k-th are all drawn. Repeated rows are weighed each, with the same noise for the same id. Extra columns stay. An empty table gives an empty result; without labels of both kinds every document is drawn.
+Null or empty texts have no n-grams; their ratio is 0. Rows tied with the k-th are all drawn. Repeated rows are weighed each, with the same noise for the same id. The key is a bigint. Extra columns stay. An empty table gives an empty result; without labels of both kinds every document is drawn.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import Cache
-from lodestar.llm.common import arrow, batches, mix, written
+from lodestar.llm.common import Cache, arrow, batches, mix, written
 
 #: Buckets of the models, labelled rows at most, added count of each bucket.
 BUCKETS, LABELLED, SMOOTH = 1 << 14, 20_000, 1.0
+#: n-grams of ratio 0 that every text has besides its own, so that a few words alone say little.
+PRIOR = 8
 #: Rows at which the search for the k-th largest key ends on the driver.
 FEW = 4096
 
@@ -49,7 +50,7 @@ class Grams:
     """The buckets of a text's n-grams. Holds a bounded cache of words."""
 
     def __init__(self):
-        self.words = Cache(_pair, 400_000)
+        self.words = Cache(_pair, 96 << 20)
 
     def __call__(self, text: str | None) -> np.ndarray:
         both = np.frombuffer(b"".join(map(self.words.__getitem__, (text or "").split())), np.uint64).reshape(-1, 2)
@@ -92,30 +93,39 @@ def count_grams(docs: DataFrame, labelled: dict[int, int], key: str, text: str)
 
 
 def weigher(spark: SparkSession, ratio: np.ndarray):
-    """A function of the text column: the log importance weight."""
+    """A function of the text column: how much likelier the target makes its n-grams, on average."""
     given = spark.sparkContext.broadcast(ratio)
 
     @F.pandas_udf("double")
     def weigh(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grams = Grams()
         for texts in it:
-            yield pd.Series([float(given.value[grams(t)].sum()) for t in texts], dtype="float64")
+            found = [grams(t) for t in texts]
+            yield pd.Series([float(given.value[g].sum() / (len(g) + PRIOR)) for g in found], dtype="float64")
 
     return weigh
 
 
-def parting(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts good from bad best: the middle of the widest gap among cuts with the least sum of both error rates."""
-    if not good.any() or good.all():
-        return -np.inf
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order]
-    cuts = np.r_[-np.inf, (w[:-1] + w[1:]) / 2, np.inf]
-    lost, let = np.r_[0, np.cumsum(g)] / g.sum(), np.r_[(~g).sum(), (~g).sum() - np.cumsum(~g)] / (~g).sum()
-    total = lost + let
-    best = np.flatnonzero(total <= total.min() + 1e-12)
-    gap = np.r_[0, np.diff(w), 0][best]
-    return float(cuts[best[gap.argmax()]])
+def curve(ratios: np.ndarray, good: np.ndarray, steps: int = 100) -> tuple[float, float] | None:
+    """(a, b) of the chance 1 / (1 + exp(-a * ratio - b)) that a document is good. The aims are drawn in by one imagined document of each kind, so that a clean cut doesn't make the curve a step. None without both kinds."""
+    n, m = int(good.sum()), int((~good).sum())
+    if not n or not m:
+        return None
+    middle, wide = ratios.mean(), max(ratios.std(), 1e-9)
+    x = np.c_[(ratios - middle) / wide, np.ones(len(ratios))]
+    aim = np.where(good, (n + 1) / (n + 2), 1 / (m + 2))
+    w = np.array([0.0, np.log(n / m)])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - aim @ (x @ w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - aim))
+        far = 1.0
+        while far > 1e-6 and loss(w - far * step) > loss(w):
+            far /= 2
+        w = w - far * step
+        if np.abs(far * step).max() < 1e-9:
+            break
+    return float(w[0] / wide), float(w[1] - w[0] * middle / wide)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -148,10 +158,10 @@ def noise(key: str, seed: int):
 
 
 class Resampler:
-    """fit() on the corpus, then draw()."""
+    """Fitted on the corpus when made; then drawn() or draw(). carry: columns to keep beside the key."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED, seed: int = 17):
-        self.key, self.text, self.seed = key, text, seed
+    def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED, seed: int = 17, carry: bool = False):
+        self.key, self.text, self.columns = key, text, docs.columns
         spark = docs.sparkSession
         rows = {r["id"]: r["y"] for r in sample_labels(labels, key, label, most).collect()}
         fold = {i: xxhash.xxh3_64_intdigest(str(i)) % 2 for i in rows}
@@ -159,19 +169,31 @@ class Resampler:
         ratio = np.log(counts["target"] / counts["target"].sum()) - np.log(counts["raw"] / counts["raw"].sum())
         if not any(y == 1 for i, y in rows.items() if fold[i] == 0):
             ratio = np.zeros(BUCKETS)
-        self.weigh = weigher(spark, ratio)
-        self.scores = written(docs.select(key, self.weigh(F.col(text)).alias("log_weight")).withColumn("drawing_key", F.col("log_weight") + noise(key, seed)))
+        weigh = weigher(spark, ratio)
+        kept = F.struct(*(F.col(c) for c in docs.columns)).alias("row") if carry else F.lit(0).alias("row")
+        # a table of the weighed rows: what is drawn is read from it, not hashed again
+        weighed = written(docs.select(F.col(key).alias("id"), weigh(F.col(text)).alias("ratio"), kept))
         held = spark.createDataFrame([(i, y) for i, y in rows.items() if fold[i] == 1], "id bigint, y int")
-        checked = self.scores.join(F.broadcast(held), F.col(key) == F.col("id")).select("log_weight", "y").toArrow()  # at most the labelled sample
-        self.part = parting(checked.column("log_weight").to_numpy(), checked.column("y").to_numpy() == 1) if len(checked) else -np.inf
-        self.k = self.scores.where(F.col("log_weight") >= self.part).count()
-        self.bar = kth_largest(self.scores, "drawing_key", self.k)
+        # one row for each labelled id, however often the corpus repeats it
+        checked = weighed.join(F.broadcast(held), "id").groupBy("id").agg(F.avg("ratio").alias("ratio"), F.max("y").alias("y")).toArrow()
+        self.curve = curve(checked.column("ratio").to_numpy(), checked.column("y").to_numpy() == 1) if len(checked) else None
+        if self.curve:
+            a, b = self.curve
+            # log of the chance, without overflow at either end
+            self.chance = -F.greatest(-(a * F.col("ratio") + b), F.lit(0.0)) - F.log1p(F.exp(-F.abs(a * F.col("ratio") + b)))
+            n, share = weighed.agg(F.count(F.lit(1)), F.avg(F.exp(self.chance))).first()
+            self.k, share = round((share or 0.0) * n), max(share or 0.0, 1e-300)
+        else:
+            n = self.k = weighed.count()
+            self.chance, share = F.lit(0.0), 1.0
+        scores = weighed.withColumn("log_weight", self.chance - float(np.log(share)))
+        self.scores = scores.withColumn("drawing_key", F.col("log_weight") + noise("id", seed))
+        self.bar = float("-inf") if self.k >= n else kth_largest(self.scores, "drawing_key", self.k)
 
     def drawn(self) -> DataFrame:
         """(key, log_weight, drawing_key, selected) of each row."""
-        return self.scores.withColumn("selected", F.coalesce(F.col("drawing_key") >= self.bar, F.lit(self.bar == float("-inf"))))
+        return self.scores.select(F.col("id").alias(self.key), "log_weight", "drawing_key", F.coalesce(F.col("drawing_key") >= self.bar, F.lit(self.bar == float("-inf"))).alias("selected"))
 
-    def draw(self, docs: DataFrame) -> DataFrame:
-        """The drawn rows of docs, with their columns."""
-        found = self.weigh(F.col(self.text)) + noise(self.key, self.seed)
-        return docs.where(found >= self.bar)
+    def draw(self) -> DataFrame:
+        """The drawn rows, with their columns. Needs carry."""
+        return self.scores.where(F.coalesce(F.col("drawing_key") >= self.bar, F.lit(self.bar == float("-inf")))).select(*(F.col("row")[c].alias(c) for c in self.columns))

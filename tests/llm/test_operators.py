@@ -1,13 +1,15 @@
 """Each operator against a plain version on small tables with nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("lodestar.llm.queries")
@@ -370,17 +372,79 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame([*labels, (7777, 1, 1), (None, 1, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
 
 
-def test_quality(labelled, empty):
+def plain_weights(docs, labels):
+    """(id, log weight, drawing key, selected) by dictionaries, one row at a time; labels: id -> quality."""
+    grams = quality.Grams()
+    fold = {i: xxhash.xxh3_64_intdigest(str(i)) % 2 for i in labels}
+    raw, target = Counter(), Counter()
+    for k, t in docs:
+        g = grams(t).tolist()
+        raw.update(g)
+        if k in labels and fold[k] == 0 and labels[k] == 1:
+            target.update(g)
+    sums = [sum(c.values()) + quality.BUCKETS for c in (raw, target)]
+    ratio = lambda t: sum(math.log((target[b] + 1) / sums[1]) - math.log((raw[b] + 1) / sums[0]) for b in grams(t).tolist()) / (len(grams(t)) + quality.PRIOR)
+    r = [ratio(t) for _, t in docs]
+    held = defaultdict(list)
+    for (k, _), x in zip(docs, r, strict=True):
+        if k in labels and fold[k] == 1:
+            held[k].append(x)
+    x, y = np.array([np.mean(v) for v in held.values()]), np.array([labels[k] for k in held])
+    n, m = y.sum(), (1 - y).sum()
+    aim = np.where(y == 1, (n + 1) / (n + 2), 1 / (m + 2))
+    a = b = 0.0
+    for _ in range(200_000):  # plain gradient steps on the standardised ratio
+        p = 1 / (1 + np.exp(-(a * (x - x.mean()) / x.std() + b)))
+        a, b = a - 0.02 * ((p - aim) * (x - x.mean()) / x.std()).sum(), b - 0.02 * (p - aim).sum()
+    chance = [1 / (1 + math.exp(-(a * (v - x.mean()) / x.std() + b))) for v in r]
+    return r, chance
+
+
+def test_quality(spark, labelled, empty):
     docs, labels = labelled
-    r = quality.Resampler(docs, labels)
+    r = quality.Resampler(docs, labels, carry=True)
     got = r.drawn().collect()
     assert len(got) == docs.count()
     chosen = {x["doc_id"] for x in got if x["selected"]}
-    assert not {i for i in range(0, 400, 7)} & chosen
-    assert len(chosen & {i for i in range(400) if i % 7}) >= 0.99 * 342
-    assert sorted(map(str, rows_of(r.draw(docs).select("doc_id")))) == sorted(str((x["doc_id"],)) for x in got if x["selected"])
+    assert len(set(range(0, 400, 7)) & chosen) <= 10
+    assert len(chosen & {i for i in range(400) if i % 7}) >= 0.97 * 342
+    assert sorted(map(str, rows_of(r.draw().select("doc_id")))) == sorted(str((x["doc_id"],)) for x in got if x["selected"])
+    assert r.draw().columns == docs.columns
     assert quality.Resampler(empty, labels).drawn().count() == 0
-    assert quality.Resampler(docs, labels.where("quality = 1")).draw(docs).count() == docs.count()
+    assert quality.Resampler(docs, labels.where("quality = 1"), carry=True).draw().count() == docs.count()
+
+    pairs = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    known: dict = {}
+    for x in labels.where("doc_id is not null and quality is not null").collect():
+        known[x["doc_id"]] = min(x["quality"], known.get(x["doc_id"], 1))
+    ratios, chances = plain_weights(pairs, known)
+    share = sum(chances) / len(chances)
+    assert r.k == round(sum(chances))
+    key = {id(p): c for p, c in zip(pairs, chances, strict=True)}
+    want = sorted((str(p[0]), math.log(key[id(p)] / share)) for p in pairs)
+    for (i, x), (j, v) in zip(sorted((str(x["doc_id"]), x["log_weight"]) for x in got), want, strict=True):
+        assert i == j and abs(x - v) < 0.02
+    drawn = sorted((x["drawing_key"] for x in got), reverse=True)
+    assert all(x["selected"] == (x["drawing_key"] >= drawn[r.k - 1]) for x in got)
+
+
+def test_draw_follows_the_weights(spark):
+    """Where weights differ by less than the noise, the draw is a sample, not a cut."""
+    ids = spark.range(20_000)
+    keyed = ids.withColumn("v", quality.noise("id", 17) + F.when(F.col("id") < 10_000, F.lit(math.log(2.0))).otherwise(0.0))
+    bar = quality.kth_largest(keyed, "v", 2_000)
+    heavy = keyed.where((F.col("v") >= bar) & (F.col("id") < 10_000)).count()
+    assert abs(heavy / 2_000 - 2 / 3) < 0.04
+
+
+def test_quality_of_long_and_odd_rows(spark):
+    long = "the river was wide " * 60_000
+    rows = [(i, ("the river was wide and slow " if i % 3 else "THE!! RIVER!! WAS!! ") * 9) for i in range(90)] + [(500, long), (501, long), (502, "x" * 2_000_000), (500, None)]
+    d = spark.createDataFrame([(i, t, 1.0, 2, "r") for i, t in rows], "doc_id bigint, text string, ratio double, id int, row string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id bigint, quality int")
+    r = quality.Resampler(d, labels, carry=True)
+    out = r.draw()
+    assert out.columns == d.columns and out.count() == r.k
 
 
 def test_kth_largest(spark):
@@ -393,7 +457,64 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "v", 9000) == float("-inf")
 
 
-def test_toxicity(labelled, empty):
+def plain_chain(rows, texts):
+    """Probabilities of the chain for texts, with sets and dense float64 matrices. rows: (id, text, toxic)."""
+    rows = sorted(rows)
+    has = [{x for w in toxicity.words(t) for x in toxicity._traits_of(w)} for _, t, _ in rows]
+    y = np.array([t == 1 for _, _, t in rows])
+    fold = np.array([toxicity.fold_of(k) for k, _, _ in rows])
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+    def fitted(x, aim):
+        x = np.c_[x, np.ones(len(x))]
+        if not aim.any() or aim.all():
+            return np.r_[np.zeros(x.shape[1] - 1), 12.0 if aim.all() else -12.0]
+        weigh, w = np.where(aim, 0.5 / aim.mean(), 0.5 / (1 - aim.mean())), np.zeros(x.shape[1])
+        ridge = np.diag(np.r_[np.ones(x.shape[1] - 1), 1e-6])
+        for _ in range(30):
+            p = sig(x @ w)
+            w -= np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weigh * (p - aim)) + ridge @ w)
+        return w
+
+    chosen, aims = [], []
+    for k in range(toxicity.FOLDS + 1):
+        train = [j for j in range(len(rows)) if fold[j] != k]
+        pos, neg = max(y[train].sum(), 1), max((~y[train]).sum(), 1)
+        n = [Counter(x for j in train if y[j] == v for x in has[j]) for v in (True, False)]
+        z = {}
+        for x in {*n[0], *n[1]}:
+            a, b = n[0][x], n[1][x]
+            share = (a + b) / (pos + neg)
+            z[x] = (a / pos - b / neg) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
+        top = sorted((x for x in z if abs(z[x]) >= toxicity.LEAST_Z and n[0][x] + n[1][x] >= toxicity.LEAST_TEXTS), key=lambda x: (-abs(z[x]), x))[: toxicity.TRAITS]
+        top.sort()
+        chosen.append(top)
+        marks = [x for x in top if z[x] > 0]
+        lead = set(sorted(marks, key=lambda x: -z[x])[: toxicity.LEAD])
+        share = np.array([len(has[j] & set(marks)) / max(len(toxicity.words(rows[j][1])), 1) for j in train])
+        t = y[train]
+        aims.append({"blatant": t & np.array([bool(has[j] & lead) for j in train]), "dense": t & (share >= np.median(share[t])) & (share > 0), "toxic": t})
+    fed, models = np.zeros((len(rows), 0)), []
+    for name in toxicity.CHAIN:
+        out = np.zeros(len(rows))
+        for k in range(toxicity.FOLDS + 1):
+            x = np.c_[np.array([[c in h for c in chosen[k]] for h in has], float).reshape(len(rows), -1), fed]
+            w = fitted(x[fold != k], aims[k][name])
+            if k == toxicity.FOLDS:
+                models.append(w)
+            else:
+                out[fold == k] = sig(x[fold == k] @ w[:-1] + w[-1])
+        fed = np.c_[fed, out]
+    said = []
+    for t in texts:
+        h, p = {x for w in toxicity.words(t) for x in toxicity._traits_of(w)}, []
+        for w in models:
+            p.append(float(sig(np.array([*(c in h for c in chosen[-1]), *p, 1.0], float) @ w)))
+        said.append(p)
+    return said
+
+
+def test_toxicity(spark, labelled, empty):
     docs, labels = labelled
     chain = toxicity.fit(docs, labels)
     got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
@@ -401,6 +522,15 @@ def test_toxicity(labelled, empty):
     found = {k for k, r in got.items() if r["toxic"]}
     assert len(found & toxic) >= 0.9 * len(toxic) and not (found - toxic)
     assert all(0 <= got[k][f"p_{n}"] <= 1 for k in got for n in toxicity.CHAIN)
+    texts: dict = {}
+    for r in docs.where("doc_id is not null").collect():
+        texts[r["doc_id"]] = max(r["text"], texts.get(r["doc_id"]) or "") if r["text"] is not None else texts.get(r["doc_id"])
+    known = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id is not null and toxic is not null").collect()}
+    want = plain_chain([(k, texts[k], y) for k, y in known.items() if k in texts], [r["text"] for r in docs.where("doc_id < 400").orderBy("doc_id").dropDuplicates(["doc_id"]).collect()])
+    mine = [tuple(got[r["doc_id"]][f"p_{n}"] for n in toxicity.CHAIN) for r in docs.where("doc_id < 400").orderBy("doc_id").dropDuplicates(["doc_id"]).collect()]
+    assert np.abs(np.array(mine) - np.array(want)).max() < 2e-3
     none = toxicity.fit(docs, labels.where("toxic = 0"))
     assert not any(r["toxic"] for r in toxicity.score(docs, none).collect())
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+    odd = docs.limit(3).withColumn("toxic", F.lit("t")).withColumn("p_toxic", F.lit(1)).withColumn("id", F.lit(1)).withColumn("y", F.lit(1)).union(spark.createDataFrame([(1, "idiot " * 300_000, "t", 1, 1, 1)], "doc_id bigint, text string, toxic string, p_toxic int, id int, y int"))
+    assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == 4
