@@ -1,15 +1,15 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds the hashes of its five-word shingles. Documents with equal sets are one node. Two nodes link when 100 * intersection >= 80 * union.
+A document's set holds the hashes of its five-word shingles. Documents with equal sets (told by 128-bit hashes) are one node, named by their least key. Two nodes link when 100 * intersection >= 80 * union.
 
 1. Groups: nodes that share one of their least hashes, and most of a small bottom sketch, are compared with the most typical node of that bucket. Verified links make groups of similar nodes, all of one component. This is a heuristic, which the rest doesn't depend on.
-2. Matrix: for each group the union of its members' leading tokens, with the most that an overlap beginning there can reach. Leading: a set of n tokens links only with sets that share one of its first n - ceil(0.8 n) + 1 tokens, in any order that holds for all sets. The order here puts tokens that many documents share last.
-3. Bound: two groups that share no token of the matrix can't hold a link, nor can those where the size or the position of each shared token leaves too little. Members of one group need no further comparison.
-4. Open: of the groups that are left, members that pass the same bounds one by one, and share enough of their leading tokens, are compared in full.
+2. Matrix: for each token the groups that have it, with the sizes of their members and the most that an overlap beginning there can reach. Its index holds leading tokens: a set of n tokens links only with sets that share one of its first n - ceil(0.8 n) + 1 tokens, in any order that holds for all sets. The order here puts tokens that many documents share last.
+3. Bound: two groups that share no token of the index can't hold a link, nor can those where the size or the position of each shared token leaves too little. Of those that are left each member of the one is a query for the other: its overlap with the group's tokens is summed, first over its leading tokens, and where that leaves enough, over all its tokens and the union of all tokens of the group's members. No member can share more with it.
+4. Open: only groups whose summed overlap reaches what a link with their smallest member needs. Their members that share leading tokens enough with the query are compared with it in full.
 
-So a large group of near copies meets others as one column of the matrix, and no pairs within it are listed. Components of all verified links are exact (up to 64-bit hash collisions).
+So a large group of near copies meets others as one column of the matrix, and no pairs within it are listed. Components of all verified links are exact (up to 64-bit hash collisions of shingles). Where one token, node, bucket or group has very many rows they are dealt over several tasks (common.spread).
 
-A null or wordless text has an empty set and links with nothing. Rows with equal keys count as one document that has all of their sets. A null key has no component. Repeated rows stay repeated. Extra columns are not read. An empty table gives an empty result.
+A null or wordless text has an empty set and links with nothing. Rows with equal keys count as one document that has all of their sets; those without words still have none. A null key has no component. Repeated rows stay repeated. The key is a bigint. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import WordHashes, arrow, as_long, batches, bloom, bloom_hit, components, forget, maybe_in, release, shingles, written
+from lodestar.llm.common import WordHashes, arrow, as_long, batches, bloom, bloom_hit, components, forget, maybe_in, release, shingles, spread, written
 
 #: Tokens of a set's bottom sketch, how many of them bucket it, and how many two sketches must share to be compared in step 1.
 SKETCH, BUCKETS, ALIKE = 16, 4, 9
@@ -65,8 +65,8 @@ def leading(n: int) -> int:
 
 
 def _sets(docs: DataFrame, common, key: str, text: str) -> DataFrame:
-    """(key, n, node, typical, sketch, tokens) of each row; node: hash of the whole set."""
-    schema = pa.schema([(key, pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("typical", pa.int64()), ("sketch", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+    """(key, n, h, typical, sketch, tokens) of each row; h: hash of the whole set; tokens: the leading ones."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("typical", pa.int64()), ("sketch", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def run(it) -> Iterator[tuple]:
         hashes = WordHashes()
@@ -84,101 +84,142 @@ def _sets(docs: DataFrame, common, key: str, text: str) -> DataFrame:
             else:
                 rare, hot = s, s[:0]
             first = np.concatenate([rare, hot])[: leading(len(s))]
-            yield k, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), 1000 * len(hot) // len(s), as_long(s[:SKETCH]), as_long(first)
+            yield k, len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(hot) // len(s), as_long(s[:SKETCH]), as_long(first)
 
-    return docs.select(key, text).mapInArrow(lambda it: arrow(schema, run(it), 500), f"{key} bigint, n bigint, node bigint, typical bigint, sketch array<bigint>, tokens array<bigint>")
+    return docs.select(key, text).mapInArrow(lambda it: arrow(schema, run(it), 500), "key bigint, n bigint, h binary, typical bigint, sketch array<bigint>, tokens array<bigint>")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of pairs (a, b) of nodes those that link. Only the sets of documents in pairs are made again; a Bloom filter of fixed size picks them where the texts are read, so texts are not shuffled."""
-    spark = docs.sparkSession
-    pairs = written(pairs)
-    asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("key", "node")
-    bits = spark.sparkContext.broadcast(bloom(asked, "key"))
+def _whole(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, tokens): the whole sets of asked nodes, made again. A Bloom filter of fixed size picks their documents where the texts are read, so texts are not shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(asked, "node"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(it) -> Iterator[tuple]:
         hashes = WordHashes()
         for b in it:
-            hit = bloom_hit(bits.value, b.column("_p1").to_numpy(), b.column("_p2").to_numpy())
-            for t in b.column("text").filter(pa.array(hit)).to_pylist():
+            hit = pa.array(bloom_hit(bits.value, b.column("_p1").to_numpy(), b.column("_p2").to_numpy()))
+            for k, t in zip(b.column("key").filter(hit).to_pylist(), b.column("text").filter(hit).to_pylist(), strict=True):
                 s = shingles(t, hashes)
                 if len(s):
-                    yield xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), as_long(s)
+                    yield k, as_long(s)
+
+    made = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), *maybe_in(key)).mapInArrow(lambda it: arrow(schema, run(it), 200), "node bigint, tokens array<bigint>")
+    return written(made.join(asked, "node", "left_semi"))
+
 
-    sets = docs.where(F.col(key).isNotNull()).select(F.col(text).alias("text"), *maybe_in(key)).mapInArrow(lambda it: arrow(schema, run(it), 200), "node bigint, tokens array<bigint>")
-    # both joins read one exchange of the sets
+def _linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, a written table, those whose sets link."""
     shared = F.size(F.array_intersect("ta", "tb"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "tb"}), "b")
-    out = written(both.where(100 * shared >= 80 * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
-    forget(pairs)
-    del both, sets
-    release(spark)
+    both = spread(pairs, whole.withColumnsRenamed({"node": "b", "tokens": "tb"}), "b").join(whole.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a")
+    return written(both.where(9 * shared >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b").distinct())
+
+
+def _groups(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Verified links (a, b) of nodes with a typical node that shares their least hashes."""
+    buckets = nodes.select("node", "n", "typical", "sketch", F.explode(F.slice("sketch", 1, BUCKETS)).alias("m"))
+    lead = buckets.groupBy("m").agg(F.min(F.struct((-F.col("typical")).alias("t"), "node", "n", "sketch")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.sketch").alias("sb"))
+    alike = F.size(F.array_intersect("sketch", "sb")) >= F.least(F.lit(ALIKE), F.ceil(F.least("n", "nb") * 0.6))
+    star = spread(buckets, lead, "m").where("node <> b and 5 * n >= 4 * nb and 5 * nb >= 4 * n").where(alike).select(F.col("node").alias("a"), "b").distinct()
+    star = written(star)
+    whole = _whole(docs, star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), key, text)
+    out = _linked(star, whole)
+    forget(star)
+    forget(whole)
     return out
 
 
+def _index(grouped: DataFrame) -> DataFrame:
+    """The matrix over leading tokens: (token, group, band, least, most, rest) for tokens that several groups have. band: sizes that can link are of one band or of neighbouring ones. Members of a group are gathered before they meet other groups, so a token of a large group is few rows."""
+    rows = grouped.select("group", "several", "n", F.posexplode("tokens").alias("i", "token")).select("token", "group", "several", F.floor(F.log("n") / float(np.log(1.26))).cast("int").alias("band"), "n", (F.col("n") - F.col("i")).alias("rest"))
+    alone = rows.where("not several").select("token", "group", "band", F.col("n").alias("least"), F.col("n").alias("most"), "rest")
+    one = rows.where("several").groupBy("token", "group", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    per = Window.partitionBy("token")
+    return written(alone.union(one).withColumn("lo", F.min("group").over(per)).withColumn("hi", F.max("group").over(per)).where("lo <> hi").drop("lo", "hi"))
+
+
+def _queries(matrix: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(q, n, own, group, least, most): nodes and the groups, other than their own, that they may link with, by the overlap of leading tokens."""
+    # groups that share a token whose position leaves enough; one of two groups asks, the other is asked
+    keyed = lambda band: F.xxhash64("token", band)
+    one = matrix.select(keyed(F.col("band")).alias("k"), F.col("token").alias("token1"), F.col("group").alias("own"), F.col("least").alias("l1"), F.col("most").alias("m1"), F.col("rest").alias("r1"))
+    two = matrix.select("token", "group", "least", "most", "rest", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("near")).withColumn("k", keyed(F.col("near"))).drop("near")
+    may = spread(one, two, "k").where("token = token1 and own < group and 5 * m1 >= 4 * least and 5 * most >= 4 * l1 and 9 * least(r1, rest) >= 4 * (l1 + least)").groupBy("own", "group").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    may = written(may)
+    # the sum over leading tokens: all that the query has in the group's column
+    asking = spread(grouped.select(F.col("group").alias("own"), F.col("node").alias("q"), "n", "tokens"), may, "own").where("5 * n >= 4 * least and 5 * most >= 4 * n")
+    spots = asking.select("q", "n", "group", "least", "most", "own", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("token", "group"))
+    column = matrix.select(F.xxhash64("token", "group").alias("k")).distinct()
+    had = spots.join(column, "k").groupBy("q", "group").agg(F.min("n").alias("n"), F.first("own").alias("own"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("shared"))
+    # beyond its leading tokens a set of n has ceil(0.8 n) - 1; the one whose leading tokens end first counts
+    after = F.expr("(4 * greatest(n, least(most, 5 * n div 4)) + 4) div 5 - 1")
+    out = written(had.where(9 * F.least(F.col("shared") + after, "n") >= 4 * (F.col("n") + F.expr("greatest(least, (4 * n + 4) div 5)"))).select("q", "n", "own", "group", "least", "most"))
+    forget(may)
+    return out
+
+
+def _opened(asked: DataFrame, grouped: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of queries and members of groups whose union of tokens holds enough of the query's."""
+    members = whole.join(grouped.select("node", "group").distinct(), "node")
+    union = members.select("group", F.explode("tokens").alias("token")).distinct().select(F.xxhash64("group", "token").alias("k"))
+    wanted = spread(asked, whole.withColumnRenamed("node", "q"), "q").select("q", "n", "group", "least", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("group", "token"))
+    sums = wanted.join(union, "k").groupBy("q", "group").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.count(F.lit(1)).alias("shared"))
+    open_ = written(sums.where("9 * least(shared, n) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").select("q", "group"))
+    # members meet a query where they share its leading tokens; what these and the rest can reach decides
+    sized = grouped.select("node", "group", "n", F.posexplode("tokens").alias("i", "token")).select("node", "group", "n", (F.col("n") - F.col("i")).alias("rest"), "token")
+    queries = grouped.select(F.col("node").alias("q"), F.col("n").alias("nq"), F.posexplode("tokens").alias("i", "token")).select("q", "nq", (F.col("nq") - F.col("i")).alias("rq"), "token").join(open_, "q").withColumn("k", F.xxhash64("group", "token")).drop("group", "token")
+    hosts = written(sized.join(open_.select("group").distinct(), "group", "left_semi").withColumn("k", F.xxhash64("group", "token")).drop("token", "group"))
+    met = spread(hosts, queries, "k").where("node <> q and 5 * n >= 4 * nq and 5 * nq >= 4 * n").groupBy("q", "node").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("rest", "rq")).alias("rest"), F.min("n").alias("n"), F.min("nq").alias("nq"))
+    after = F.expr("(4 * greatest(n, nq) + 4) div 5 - 1")
+    pairs = written(met.where((9 * F.col("rest") >= 4 * (F.col("n") + F.col("nq"))) & (9 * (F.col("shared") + after) >= 4 * (F.col("n") + F.col("nq")))).select(F.col("q").alias("a"), F.col("node").alias("b")))
+    forget(open_)
+    forget(hosts)
+    return pairs
+
+
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row; component_id is the least key that links reach."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_tokens(docs, text))
     sets = written(_sets(docs, common, key, text))
-    members = written(sets.select(F.col(key).alias("key"), "n", "node"))
-    nodes = written(sets.where(F.col("n") > 0).where(F.col(key).isNotNull()).withColumnRenamed(key, "key").dropDuplicates(["node"]))
+    members = written(sets.select("key", "n", "h"))
+    kept = F.struct("n", "typical", "sketch", "tokens")
+    nodes = written(sets.where("n > 0 and key is not null").groupBy("h").agg(F.min("key").alias("node"), F.first(kept).alias("s")).select("h", "node", "s.*"))
     forget(sets)
     release(spark)
 
-    # 1. groups
-    buckets = nodes.select("node", "n", "typical", "sketch", F.explode(F.slice("sketch", 1, BUCKETS)).alias("m"))
-    lead = written(buckets.groupBy("m").agg(F.min(F.struct((-F.col("typical")).alias("t"), F.col("node"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", F.col("l.node").alias("b")))
-    star = buckets.join(lead, "m").where("node <> b").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), F.col("sketch").alias("sa")).dropDuplicates(["a", "b"])
-    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    alike = F.size(F.array_intersect("sa", "sb")) >= F.least(F.lit(ALIKE), F.ceil(F.least("na", "nb") * 0.6))
-    first = _linked(star.join(other, "b").where((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & alike).select("a", "b"), nodes, docs, key, text)
-    forget(lead)
+    first = _groups(nodes, docs, key, text)
     groups = components(first)
-
-    # 2. matrix: tokens that two groups share; the rows of a token are together once
-    tokens = nodes.join(groups, "node", "left").select(F.posexplode("tokens").alias("i", "token"), "node", "n", F.coalesce("component", "node").alias("group")).select("token", "node", "group", "n", (F.col("n") - F.col("i")).alias("rest"))
-    per = Window.partitionBy("token")
-    matrix = written(tokens.withColumn("lo", F.min("group").over(per)).withColumn("hi", F.max("group").over(per)).where("lo <> hi").drop("lo", "hi"))
+    grouped = written(nodes.drop("h", "typical", "sketch").join(groups, "node", "left").select("node", "n", "tokens", F.coalesce("component", "node").alias("group"), F.col("component").isNotNull().alias("several")))
+    matrix = _index(grouped)
     release(spark)
 
-    # 3. bound
-    union = matrix.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    one, two = (union.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("group", "least", "most", "rest"))) for k in (1, 2))
-    may = one.join(two, "token").where("group1 < group2 and 5 * most1 >= 4 * least2 and 5 * most2 >= 4 * least1 and 9 * least(rest1, rest2) >= 4 * (least1 + least2)").select("token", "group1", "group2")
-
-    # 4. open: members meet where they share a token, and only in groups that passed there
-    left = matrix.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "group", "n", "rest")))
-    right = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "group", "n", "rest")))
-    opened = left.join(may, ["token", "group1"]).join(right, ["token", "group2"]).where("5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1 and 9 * least(rest1, rest2) >= 4 * (n1 + n2)").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    pairs = written(opened)
+    asked = _queries(matrix, grouped)
     forget(matrix)
-    release(spark)
-    # what two sets share is at most what their leading tokens share and the rest of the one whose leading tokens end first
-    lead_of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
-    after = F.greatest(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
-    likely = written(pairs.join(lead_of("a"), "a").join(lead_of("b"), "b").where(9 * (F.size(F.array_intersect("ta", "tb")) + after) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
-    forget(pairs)
-    release(spark)
-    second = _linked(likely, nodes, docs, key, text)
-    forget(nodes)
+    hosts = grouped.join(asked.select("group").distinct(), "group", "left_semi").select("node")
+    whole = _whole(docs, hosts.union(asked.select(F.col("q").alias("node"))).distinct(), key, text)
+    pairs = _opened(asked, grouped, whole)
+    second = _linked(pairs, whole)
+    for t in (asked, grouped, whole, pairs):
+        forget(t)
 
     # documents with one key and several sets tie these together
-    keyed = members.where("key is not null and n > 0").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key", "b")
-    same = members.join(keyed, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    several = members.where("key is not null and n > 0").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    ids = nodes.select("h", "node")
+    named = members.where("n > 0").join(several, "key").select("key", "h").distinct().join(ids, "h")
+    same = named.join(named.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").where("a <> b")
     linked = components(first.union(second).union(same))
-    labelled = members.join(linked, "node", "left").select("key", "n", F.coalesce("component", "node").alias("label"))
-    names = labelled.where("key is not null and label is not null").groupBy("label").agg(F.min("key").alias("component_id"))
-    return labelled.join(names, "label", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+    names = ids.join(linked, "node", "left").select("h", F.coalesce("component", "node").alias("component"))
+    out = spread(members, names, "h", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that have a component of a lesser key. Of rows with the same key the one with the greatest text stays. Documents without words, and rows with a null key, stay."""
+    """docs without those that have a component of a lesser key. Of rows with the same key the one with the greatest text stays. Documents without words, and rows with a null key, stay. Columns may have any name."""
     found = joined(docs, key, text).where(F.col(key).isNotNull())
     about = found.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_n"), F.min("component_id").alias("_component"))
-    known = docs.join(about, docs[key] == about["_key"], "left")
-    once = known.where("_key is null or _n = 0 or (_rows = 1 and _component = _key)")
-    first = Window.partitionBy("_key").orderBy(F.col(text).desc_nulls_last())
-    several = known.where("_n > 0 and _rows > 1 and _component = _key").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
-    return once.union(several).drop("_key", "_rows", "_n", "_component")
+    plain = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(*(F.col(f"`{c}`") for c in plain)).alias("_rank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    known = spread(rows, about, "_key", "left")
+    once = known.where("_key is null or _n = 0 or (_rows = 1 and _component = _key)").select("_row")
+    several = known.where("_n > 0 and _rows > 1 and _component = _key").groupBy("_key").agg(F.max_by("_row", F.struct("_text", "_rank")).alias("_row")).select("_row")
+    return once.union(several).select("_row.*")

@@ -267,6 +267,41 @@ def test_repeats(spark, docs, empty):
     assert repeats.digest(empty).count() == 0
 
 
+def test_order_is_a_plain_suffix_array(spark):
+    rng = random.Random(6)
+    phrases = ["".join(rng.choice("ab") for _ in range(rng.choice([50, 60, 76]))).encode() for _ in range(300)] + [b"a" * 76, b"a" * 60, b"\0" * 70, b"\0" * 50, b"\xff" * 63] + [("the same words in every line of it " * 3)[k : k + 70].encode() for k in range(40)]
+    data, starts, at = b"".join(phrases), [], 0
+    for x in phrases:
+        starts += range(at, at + len(x) - 49)
+        at += len(x)
+    order, new = repeats.suffix_array(np.frombuffer(data, np.uint8), np.array(starts))
+    mine = [data[starts[k] : starts[k] + 50] for k in order]
+    assert mine == sorted(data[k : k + 50] for k in starts)
+    assert new.tolist() == [k == 0 or mine[k] != mine[k - 1] for k in range(len(mine))]
+    order, new = repeats.suffix_array(np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    assert len(order) == len(new) == 0
+
+
+def test_crowded_triggers(spark, monkeypatch):
+    """A line that every text has, each time among other words: its edges' triggers are dealt string by string."""
+    rng = random.Random(12)
+    line = "this very line stands in each and every text of the whole corpus here"
+    texts = [" ".join([*(f"w{rng.randrange(99)}" for _ in range(9)), line, *(f"v{rng.randrange(99)}" for _ in range(9))]) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = plain_repeats(list(enumerate(texts)))
+    for crowd, there, share in ((4096, 48, 32), (5, 10**9, 1), (4096, 5, 1)):
+        monkeypatch.setattr(repeats, "CROWD_THERE", there)
+        monkeypatch.setattr(repeats, "SHARE", share)
+        found = repeats.crowded_triggers(d.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")), 1)
+        assert (len(found) > 0) == (there == 5)
+        assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in repeats.digest(d, crowd=crowd).collect()) == want
+
+
+def test_no_text_stands_for_a_dropped_one(spark):
+    d = spark.createDataFrame([(1, "\0gone"), (2, "\0gone"), (3, "x" * 80), (4, "x" * 80), (5, None), (6, "")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in repeats.without_repeats(d).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_without_repeats(docs):
     out = repeats.without_repeats(docs)
     assert out.columns == docs.columns
