@@ -234,7 +234,11 @@ def a32(spark, d):
     return R.next_number(p, "l")
 
 
-@bound("a38_circular_peaks")
+@bound("a38_circular_peaks", """with c as (select event_type, hour(ts) as h, count(*) as n from events group by 1, 2), s as (select event_type, (h + k + 24) % 24 as b, sum(n*(3 - abs(k)))::double as v from c, (values (-2), (-1), (0), (1), (2)) q(k) group by 1, 2),
+ g as (select * from (select *, sum(v) over (partition by event_type) as total from s) where v >= 0.02*total), p1 as (select event_type, arg_min(b, (-v, b)) as b from g group by 1),
+ g2 as (select g.* from g join p1 using (event_type) where least((g.b - p1.b + 24) % 24, (p1.b - g.b + 24) % 24) > 2), p2 as (select event_type, arg_min(b, (-v, b)) as b from g2 group by 1),
+ g3 as (select g2.* from g2 join p2 using (event_type) where least((g2.b - p2.b + 24) % 24, (p2.b - g2.b + 24) % 24) > 2), p3 as (select event_type, arg_min(b, (-v, b)) as b from g3 group by 1),
+ p as (select 1 as puesto, * from p1 union all select 2, * from p2 union all select 3, * from p3) select event_type, puesto, p.b::int as pico, v as altura from p join g using (event_type, b)""")
 def a38(spark, d):
     return R.circular_peaks(events(spark, d).withColumn("franja", F.hour("ts")), ["event_type"], "franja", 24, 3, 2, 0.02)
 

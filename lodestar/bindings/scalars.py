@@ -11,16 +11,9 @@ _FOLD = f"translate(%s, '{C.MARKED}', '{C.PLAIN}')"
 col = F.col
 
 
-@bound("p1_header_key", f"""select doc_id, replace(lower(trim({_FOLD % "substr(text,1,60)"})), ' ', '_') as key,
- case when trim(regexp_replace(lower({_FOLD % "substr(text,1,60)"}), '[^0-9a-z]', '_', 'g'), '_') = '' then 'x' else trim(regexp_replace(lower({_FOLD % "substr(text,1,60)"}), '[^0-9a-z]', '_', 'g'), '_') end as slug from documents""")
+@bound("p1_header_key", f"""select doc_id, replace(lower(trim({_FOLD % "text"})), ' ', '_') as key,
+ case when trim(regexp_replace(lower({_FOLD % "text"}), '[^0-9a-z]', '_', 'g'), '_') = '' then 'x' else trim(regexp_replace(lower({_FOLD % "text"}), '[^0-9a-z]', '_', 'g'), '_') end as slug from documents""")
 def p1(spark, d):
-    head = F.substring("text", 1, 60)
-    return table(spark, d, "documents").select("doc_id", C.header_key(head).alias("key"), C.slug(head).alias("slug"))
-
-
-@bound("p1_header_key_whole")
-def p1b(spark, d):
-    """Whole texts; the SQL of p1_header_key fixes it to the first 60 characters."""
     return table(spark, d, "documents").select("doc_id", C.header_key(col("text")).alias("key"), C.slug(col("text")).alias("slug"))
 
 
@@ -129,20 +122,17 @@ def p24(spark, d):
     return table(spark, d, "pages").select("page_id", C.token(col("url")).alias("token"), F.upper(C.token(col("url"))).alias("impreso"))
 
 
-@bound("p25_order_label", "select o_orderkey, 'TV-' || lpad(o_orderkey::varchar, 5, '0') as etiqueta from orders where o_orderkey < 100000")
+@bound("p25_order_label", "select o_orderkey, 'TV-' || format('{:05d}', o_orderkey) as etiqueta from orders")
 def p25(spark, d):
-    return table(spark, d, "orders").where("o_orderkey < 100000").select("o_orderkey", C.order_label(col("o_orderkey")).alias("etiqueta"))
-
-
-@bound("p25_order_label_whole")
-def p25b(spark, d):
-    """All orders; the SQL of p25_order_label stops where lpad would cut."""
     return table(spark, d, "orders").select("o_orderkey", C.order_label(col("o_orderkey")).alias("etiqueta"))
 
 
-@bound("p26_hue_name", "select event_id, case " + " ".join(f"when value < {b} then '{n}'" for b, n in C.HUES) + f" else '{C.HUES[-1][1]}' end as color from events where value is not null")
+# hues from 0 to 179, some curves told by intensity, some without a hue
+@bound("p26_hue_name", """with h as (select event_id, event_type = 'error' as gris, case when event_type <> 'click' then event_id*7 % 180 end as h from events)
+ select event_id, case when gris then 'negra' when h is null then null when h <= 8 then 'roja' when h <= 19 then 'naranja' when h <= 33 then 'amarilla' when h <= 80 then 'verde' when h <= 100 then 'celeste' when h <= 130 then 'azul' when h <= 150 then 'morada' when h <= 169 then 'rosada' else 'roja' end as color from h""")
 def p26(spark, d):
-    return table(spark, d, "events").where("value is not null").select("event_id", C.hue_name(col("value")).alias("color"))
+    hue = F.when(col("event_type") != "click", col("event_id") * 7 % 180)
+    return table(spark, d, "events").select("event_id", C.hue_name(hue, col("event_type") == "error").alias("color"))
 
 
 @bound("p27_small_figures", "select p_partkey, p_size*p_retailprice < 15000 or (p_size*p_retailprice <= 60000 and p_size*30.0/p_retailprice between 0.75 and 1.25 and p_size*30.0*p_retailprice/30.0 <= 60000) as fuera from part")
@@ -184,19 +174,13 @@ def a42(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(C.delta_e(one, two), 6).alias("de"), F.round(C.grey(*one), 6).alias("gris"))
 
 
-@bound("j24_box_overlap", """with b as (select p_partkey, p_brand, p_size::double as x0, p_retailprice/100.0 as y0, p_size+10.0 as x1, p_retailprice/100.0+5 as y1 from part where p_partkey < 400),
- i as (select a.p_partkey as a, b.p_partkey as b, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) as w from b a join b b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)
+# pages: a brand's parts, and a page more for every 400 part keys
+@bound("j24_box_overlap", """with b as (select p_partkey, p_brand, p_partkey // 400 as pag, p_size::double as x0, p_retailprice/100.0 as y0, p_size+10.0 as x1, p_retailprice/100.0+5 as y1 from part),
+ i as (select a.p_partkey as a, b.p_partkey as b, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) as w from b a join b b on a.p_brand = b.p_brand and a.pag = b.pag and a.p_partkey < b.p_partkey)
  select a, b, round(w/(100-w), 6) as iou from i""")
-def j24(spark, d, whole=False):
-    part = table(spark, d, "part")
-    box = (part if whole else part.where("p_partkey < 400")).select("p_partkey", "p_brand", F.array(col("p_size").cast("double"), col("p_retailprice") / 100.0, col("p_size") + 10.0, col("p_retailprice") / 100.0 + 5).alias("box"))
+def j24(spark, d):
+    box = table(spark, d, "part").select("p_partkey", "p_brand", F.floor(col("p_partkey") / 400).alias("pag"), F.array(col("p_size").cast("double"), col("p_retailprice") / 100.0, col("p_size") + 10.0, col("p_retailprice") / 100.0 + 5).alias("box"))
     a, b = box.alias("a"), box.alias("b")
-    j = a.join(b, (col("a.p_brand") == col("b.p_brand")) & (col("a.p_partkey") < col("b.p_partkey")))
+    j = a.join(b, (col("a.p_brand") == col("b.p_brand")) & (col("a.pag") == col("b.pag")) & (col("a.p_partkey") < col("b.p_partkey")))
     side = lambda n: [col(f"{n}.box")[k] for k in range(4)]
     return j.select(col("a.p_partkey").alias("a"), col("b.p_partkey").alias("b"), F.round(C.iou(side("a"), side("b")), 6).alias("iou"))
-
-
-@bound("j24_box_overlap_whole")
-def j24b(spark, d):
-    """All parts, and all pairs of a brand as in the SQL of j24_box_overlap, which keeps 400 parts: the rows grow with the square of a brand."""
-    return j24(spark, d, True)

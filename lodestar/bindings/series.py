@@ -64,7 +64,9 @@ def w7(spark, d):
     return W.gap_groups(walk(spark, d), ["user_id"], "x", 12.0).select("user_id", "event_id", "grupo")
 
 
-@bound("w7_anchored_groups")
+@bound("w7_anchored_groups", f"""with recursive {_WALK}, n as (select *, row_number() over (partition by user_id order by x, event_id) as i from w), r as (select user_id, event_id, i, 0 as grupo, x as mark, 1 as m from n where i = 1
+ union all select n.user_id, n.event_id, n.i, case when n.x - mark > 48 then grupo + 1 else grupo end, case when n.x - mark > 48 then n.x else (mark*m + n.x)/(m + 1) end, case when n.x - mark > 48 then 1 else m + 1 end from r join n on n.user_id = r.user_id and n.i = r.i + 1)
+ select user_id, event_id, grupo::bigint as grupo from r""")
 def w7b(spark, d):
     return W.anchored_groups(walk(spark, d), ["user_id"], "x", 48.0, "mean").select("user_id", "event_id", "grupo")
 
@@ -99,7 +101,13 @@ def w11(spark, d):
     return W.simplified(walk(spark, d).select("user_id", "x", "y"), ["user_id"], "x", "y", 20.0, 30)
 
 
-@bound("w12_spacing")
+# a rule that looks at what it did before: one row of each user at a time
+_STEPS = f"{_WALK}, n as (select *, row_number() over (partition by user_id order by x, event_id) as i, count(*) over (partition by user_id) as c from w)"
+
+
+@bound("w12_spacing", f"""with recursive {_STEPS}, r as (select user_id, event_id, x, y, i, c, true as kept, x as kx, y as ky from n where i = 1
+ union all select n.user_id, n.event_id, n.x, n.y, n.i, n.c, k.far, case when k.far then n.x else r.kx end, case when k.far then n.y else r.ky end from r join n on n.user_id = r.user_id and n.i = r.i + 1, lateral (select sqrt(power(n.x - r.kx, 2) + power(n.y - r.ky, 2)) >= 60 as far) k)
+ select user_id, event_id, x, y from r where kept or i = c""")
 def w12(spark, d):
     return W.spaced(walk(spark, d).select("user_id", "event_id", "x", "y"), ["user_id"], "x", "x", "y", 60.0)
 
@@ -114,7 +122,8 @@ def w14(spark, d):
     return W.first_middle_last(table(spark, d, "orders"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@bound("w15_sample_targets")
+@bound("w15_sample_targets", f"""with {_WALK}, k as (select *, y > 80 as near, row_number() over (partition by user_id, y > 80 order by md5(event_id || ':1'), event_id) as k from w), f as (select *, case when near and k <= 5 then 0 when not near then 1 else 2 end as f from k)
+ select user_id, event_id from (select *, row_number() over (partition by user_id order by f, k) as r from f) where r <= 15""")
 def w15(spark, d):
     return W.sampled_targets(walk(spark, d), ["user_id"], "event_id", col("y") > 80, 15).select("user_id", "event_id")
 
@@ -140,20 +149,27 @@ def w17(spark, d):
     return W.numbered_figures(li, ["doc"], "pag", "pie", "num", "x", "y").select("doc", "l_partkey", "l_suppkey", "l_linenumber", "rotulo")
 
 
-@bound("w18_token_runs", """with t as (select l_orderkey as k, l_linenumber*20.0 + l_tax*100 as x0, l_linenumber*20.0 + l_tax*100 + l_discount*100 as x1, l_returnflag || l_linenumber as s, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as r from lineitem), u as (select * from t where r = 1),
+@bound("w18_token_runs", """with t as (select l_orderkey as k, l_linenumber*20.0 + l_tax*100 as x0, l_linenumber*20.0 + l_tax*100 + l_discount*100 as x1, l_returnflag || l_linenumber as s, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as r from lineitem), u as (select * from t where r = 1),
  g as (select *, x0 - lag(x1) over (partition by k order by x0) as g from u), p as (select k, g, lag(g) over (partition by k order by g) as p from g where g > 0), c as (select k, max(g/p) as rr, arg_min(sqrt(g*p), (-(g/p), sqrt(g*p))) as c from p group by 1),
  j as (select g.*, coalesce((g > case when rr >= 2 then c else 12.0 end)::int, 0) as f from g left join c using (k)), n as (select *, sum(f) over (partition by k order by x0 rows unbounded preceding) as grupo from j) select k, grupo::bigint as grupo, string_agg(s, ' ' order by x0) as rotulo from n group by 1, 2""")
 def w18(spark, d):
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     x0 = col("l_linenumber") * 20.0 + col("l_tax") * 100
     t = table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r = 1").select(col("l_orderkey").alias("k"), x0.alias("x0"), (x0 + col("l_discount") * 100).alias("x1"), F.lit(20.0).alias("h"), F.concat("l_returnflag", col("l_linenumber").cast("string")).alias("s"))
     return W.joined_tokens(t, ["k"], "x0", "x1", "h", "s")
 
 
-@bound("w19_bar_groups")
+# bars of an order's lines; equal middles are told apart by part and supplier
+@bound("w19_bar_groups", """with recursive b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber*6.0 + l_quantity as c0, l_linenumber*6.0 + l_quantity + 12 as c1, l_returnflag as s from lineitem),
+ n as (select *, row_number() over (partition by l_orderkey order by c0 + c1, l_linenumber, l_partkey, l_suppkey, s) as i, 0.5*median(c1 - c0) over (partition by l_orderkey) as near from b),
+ r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, i, 0 as grupo, c0 as lo, c1 as hi, [s] as names from n where i = 1
+ union all select n.l_orderkey, n.l_linenumber, n.l_partkey, n.l_suppkey, n.i, grupo + (not k.j)::int, case when k.j then least(lo, c0) else c0 end, case when k.j then greatest(hi, c1) else c1 end, case when k.j then list_append(names, s) else [s] end
+ from r join n on n.l_orderkey = r.l_orderkey and n.i = r.i + 1, lateral (select least(c1, hi) - greatest(c0, lo) > 0.5*(c1 - c0) or (c0 - hi <= near and not list_contains(names, s)) as j) k)
+ select l_orderkey, l_linenumber, l_partkey, l_suppkey, grupo::bigint as grupo from r""")
 def w19(spark, d):
-    li = table(spark, d, "lineitem").withColumn("l_orderkey", col("l_orderkey") % 500).select("l_orderkey", "l_partkey", (col("l_linenumber") * 30.0 + col("l_quantity")).alias("c0"), (col("l_linenumber") * 30.0 + col("l_quantity") + 12).alias("c1"), "l_returnflag")
-    return W.bar_groups(li, ["l_orderkey"], "c0", "c1", "l_returnflag", 3)
+    c0 = col("l_linenumber") * 6.0 + col("l_quantity")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c0.alias("c0"), (c0 + 12).alias("c1"), "l_returnflag")
+    return W.bar_groups(li, ["l_orderkey"], "c0", "c1", "l_returnflag", 3, ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "grupo")
 
 
 @bound("w20_axis_ticks", """with r as (select user_id, min(value) as lo, max(value) as hi from events group by 1 having max(value) > min(value)), s as (select *, (hi-lo)/4 as raw, power(10.0::double, floor(log10((hi-lo)/4))) as p from r),

@@ -11,7 +11,7 @@ from lodestar.operators import spatial as S
 col = F.col
 
 
-# The bound SQL keeps the first 1,000 parts and 60 users. The whole tables go on with further charts: each range of ids has its own, so a chart stays as small as before.
+# Each range of ids has charts of its own, so their number grows with the tables and a chart stays small.
 PARTS, TOUCHERS, USERS = 1000, 75, 60
 
 
@@ -20,18 +20,15 @@ def charts(key, n, size):
     return key % n + F.floor(key / size) * n
 
 
-def touches(spark, d, whole=False):
-    ev = table(spark, d, "events")
-    chart = charts(col("user_id"), 5, TOUCHERS) if whole else col("user_id") % 5
-    return ev.select(chart.alias("chart"), col("event_id").alias("pid"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("px"), (col("value") / 4).alias("py"))
+def touches(spark, d):
+    return table(spark, d, "events").select(charts(col("user_id"), 5, TOUCHERS).alias("chart"), col("event_id").alias("pid"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("px"), (col("value") / 4).alias("py"))
 
 
-_TOUCH = "select user_id % 5 as chart, event_id as pid, hour(ts)*4.0::double + minute(ts)/15.0::double as px, value/4 as py from events"
+_TOUCH = "select user_id % 5 + 5*(user_id // 75) as chart, event_id as pid, hour(ts)*4.0::double + minute(ts)/15.0::double as px, value/4 as py from events"
 
 
-def elements(spark, d, whole=False):
-    p = table(spark, d, "part")
-    p, chart = (p, charts(col("p_partkey"), 5, PARTS)) if whole else (p.where("p_partkey < 1000"), col("p_partkey") % 5)
+def elements(spark, d):
+    p, chart = table(spark, d, "part"), charts(col("p_partkey"), 5, PARTS)
     k = col("p_partkey") % 4
     shape = F.when(k == 0, "punto").when(k == 3, "rect").otherwise("segmento")
     return p.select(chart.alias("chart"), col("p_partkey").alias("n"), F.concat(F.lit("e"), col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("s"), (F.floor(col("p_partkey") / 10) % 3).cast("string")).alias("series"), shape.alias("shape"),
@@ -39,9 +36,9 @@ def elements(spark, d, whole=False):
         F.when(k == 0, 3.5).when(k == 3, 2.0).otherwise(3.0).alias("radius"), F.when(k == 0, 0).when(k == 3, 10).otherwise(1).alias("priority"))
 
 
-_ELEM = """select p_partkey % 5 as chart, p_partkey as n, 'e' || p_partkey as id, 's' || ((p_partkey // 10) % 3) as series, case p_partkey % 4 when 0 then 'punto' when 3 then 'rect' else 'segmento' end as shape,
+_ELEM = """select p_partkey % 5 + 5*(p_partkey // 1000) as chart, p_partkey as n, 'e' || p_partkey as id, 's' || ((p_partkey // 10) % 3) as series, case p_partkey % 4 when 0 then 'punto' when 3 then 'rect' else 'segmento' end as shape,
  p_size*2.0::double as x1, (p_partkey*37 % 100)*1.0::double as y1, case when p_partkey % 4 > 0 then p_size*2.0::double + (p_partkey*13 % 17) - 8.0 end as x2, case when p_partkey % 4 > 0 then (p_partkey*37 % 100) + (p_partkey*7 % 15) - 7.0::double end as y2,
- case p_partkey % 4 when 0 then 3.5::double when 3 then 2.0 else 3.0 end as radius, case p_partkey % 4 when 0 then 0 when 3 then 10 else 1 end as priority from part where p_partkey < 1000"""
+ case p_partkey % 4 when 0 then 3.5::double when 3 then 2.0 else 3.0 end as radius, case p_partkey % 4 when 0 then 0 when 3 then 10 else 1 end as priority from part"""
 _DIST = """case shape when 'punto' then sqrt(power(x1-px,2)+power(y1-py,2))
  when 'rect' then sqrt(power(greatest(least(x1,x2)-px,0,px-greatest(x1,x2)),2)+power(greatest(least(y1,y2)-py,0,py-greatest(y1,y2)),2))
  else case when x1=x2 and y1=y2 then sqrt(power(x1-px,2)+power(y1-py,2)) else sqrt(power(x1+greatest(0,least(1,((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))*(x2-x1)-px,2)+power(y1+greatest(0,least(1,((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))*(y2-y1)-py,2)) end end"""
@@ -56,19 +53,9 @@ def j1(spark, d):
     return S.nearest_element(touches(spark, d), elements(spark, d), 8.0)
 
 
-@bound("j1_nearest_element_whole")
-def j1b(spark, d):
-    return S.nearest_element(touches(spark, d, True), elements(spark, d, True), 8.0)
-
-
 @bound("j2_candidates", f"with {_NEAR} select chart, pid, string_agg(id, ',' order by id) as ids from near group by 1, 2")
-def j2(spark, d, whole=False):
-    return S.within_reach(touches(spark, d, whole), elements(spark, d, whole), 8.0).groupBy("chart", "pid").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
-
-
-@bound("j2_candidates_whole")
-def j2b(spark, d):
-    return j2(spark, d, True)
+def j2(spark, d):
+    return S.within_reach(touches(spark, d), elements(spark, d), 8.0).groupBy("chart", "pid").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
 
 
 _CROSS = f"""e as ({_ELEM}), s as (select * from e where shape = 'segmento'),
@@ -77,98 +64,69 @@ _CROSS = f"""e as ({_ELEM}), s as (select * from e where shape = 'segmento'),
 
 
 @bound("j4_crossings", f"with {_CROSS} select chart, na, nb, series_a, series_b, round(x, 6) as x, round(y, 6) as y from c")
-def j4(spark, d, whole=False):
-    c = S.crossings(elements(spark, d, whole).where("shape = 'segmento'"), 12.0)
+def j4(spark, d):
+    c = S.crossings(elements(spark, d).where("shape = 'segmento'"), 12.0)
     return c.select("chart", "na", "nb", "series_a", "series_b", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@bound("j4_crossings_whole")
-def j4b(spark, d):
-    return j4(spark, d, True)
-
-
-@bound("j5_spaced_crossings")
+@bound("j5_spaced_crossings", f"""with recursive {_CROSS}, k as (select *, least(series_a, series_b) as lo, greatest(series_a, series_b) as hi from c), n as (select *, row_number() over (partition by chart, lo, hi order by na, nb) as i from k),
+ r as (select chart, lo, hi, na, nb, i, true as keep, [{{'x': x, 'y': y}}] as kept from n where i = 1
+ union all select n.chart, n.lo, n.hi, n.na, n.nb, n.i, f.far, case when f.far then list_append(r.kept, {{'x': n.x, 'y': n.y}}) else r.kept end from r join n on n.chart = r.chart and n.lo = r.lo and n.hi = r.hi and n.i = r.i + 1,
+ lateral (select len(list_filter(r.kept, lambda p: sqrt(power(p.x - n.x, 2) + power(p.y - n.y, 2)) < 3.0)) = 0 as far) f) select chart, na, nb from r where keep""")
 def j5(spark, d):
-    return S.spaced_crossings(S.crossings(elements(spark, d, True).where("shape = 'segmento'"), 12.0), 3.0)
+    return S.spaced_crossings(S.crossings(elements(spark, d).where("shape = 'segmento'"), 12.0), 3.0).select("chart", "na", "nb")
 
 
-_PTS = "p as (select event_type as series, user_id % 20 as chart, event_id as n, hour(ts)*4.0::double + minute(ts)/15.0::double as x, value/4 as y from events where user_id < 60)"
+_PTS = "p as (select event_type as series, user_id % 20 + 20*(user_id // 60) as chart, event_id as n, hour(ts)*4.0::double + minute(ts)/15.0::double as x, value/4 as y from events)"
 
 
-def points(spark, d, whole=False):
-    ev = table(spark, d, "events")
-    ev, chart = (ev, charts(col("user_id"), 20, USERS)) if whole else (ev.where("user_id < 60"), col("user_id") % 20)
-    return ev.select(col("event_type").alias("series"), chart.alias("chart"), col("event_id").alias("n"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("x"), (col("value") / 4).alias("y"))
+def points(spark, d):
+    return table(spark, d, "events").select(col("event_type").alias("series"), charts(col("user_id"), 20, USERS).alias("chart"), col("event_id").alias("n"), (F.hour("ts") * 4.0 + F.minute("ts") / 15.0).alias("x"), (col("value") / 4).alias("y"))
 
 
 @bound("j6_point_radius", f"with {_PTS} select a.chart, a.n, round(coalesce(greatest(0.5, least(1.6, 0.4*min(sqrt(power(a.x-b.x,2)+power(a.y-b.y,2))))), 1.6), 6) as radius from p a left join p b on a.chart = b.chart and a.series = b.series and a.n <> b.n group by a.chart, a.n")
-def j6(spark, d, whole=False):
-    return S.point_radius(points(spark, d, whole), 1.6, 0.5).select("chart", "n", F.round("radius", 6).alias("radius"))
-
-
-@bound("j6_point_radius_whole")
-def j6b(spark, d):
-    return j6(spark, d, True)
+def j6(spark, d):
+    return S.point_radius(points(spark, d), 1.6, 0.5).select("chart", "n", F.round("radius", 6).alias("radius"))
 
 
 @bound("j7_separation", f"""with {_PTS}, q as (select a.chart, a.n as a, b.n as b, a.series = b.series as same, sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) as d from p a join p b on a.chart = b.chart and a.n < b.n)
  select chart, round(min(d) filter (where not same), 6) as between, arg_min(a, (d, a, b)) filter (where not same) as a, arg_min(b, (d, a, b)) filter (where not same) as b, round(min(d) filter (where same), 6) as within from q where d < 6 group by 1""")
-def j7(spark, d, whole=False):
-    return S.least_separation(points(spark, d, whole), 6.0).withColumns({"between": F.round("between", 6), "within": F.round("within", 6)})
-
-
-@bound("j7_separation_whole")
-def j7b(spark, d):
-    return j7(spark, d, True)
+def j7(spark, d):
+    return S.least_separation(points(spark, d), 6.0).withColumns({"between": F.round("between", 6), "within": F.round("within", 6)})
 
 
 @bound("j8_near_flag", f"with {_PTS} select a.chart, a.n, case when exists (select 1 from p b where b.chart = a.chart and b.n % 10 = 0 and sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) <= 2.5) then 'cruce' else 'aislado' end as zona from p a")
-def j8(spark, d, whole=False):
-    p = points(spark, d, whole)
+def j8(spark, d):
+    p = points(spark, d)
     return S.near_flag(p, p.where("n % 10 = 0").select("chart", col("x").alias("mx"), col("y").alias("my")), 2.5, ["chart"]).select("chart", "n", "zona")
 
 
-@bound("j8_near_flag_whole")
-def j8b(spark, d):
-    return j8(spark, d, True)
-
-
 @bound("j9_gaps", f"""with {_PTS}, q as (select *, lead(n) over w as n2, lead(x) over w as x2, lead(y) over w as y2 from p window w as (partition by chart, series order by n))
  select chart, series, n, n2, case when abs(x2-x) < 1 then 'salto' else 'sin datos' end as clase from q a where n2 is not null and not exists (select 1 from q s where s.n2 is not null and s.n % 3 > 0 and s.chart = a.chart and s.series = a.series
  and ((sqrt(power(s.x-a.x,2)+power(s.y-a.y,2)) < 0.6 and sqrt(power(s.x2+0.1-a.x2,2)+power(s.y2-a.y2,2)) < 0.6) or (sqrt(power(s.x2+0.1-a.x,2)+power(s.y2-a.y,2)) < 0.6 and sqrt(power(s.x-a.x2,2)+power(s.y-a.y2,2)) < 0.6)))""")
-def j9(spark, d, whole=False):
+def j9(spark, d):
     from pyspark.sql.window import Window
 
-    p = points(spark, d, whole)
+    p = points(spark, d)
     w = Window.partitionBy("chart", "series").orderBy("n")
     s = p.select("chart", "series", "n", col("x").alias("x1"), col("y").alias("y1"), (F.lead("x").over(w) + 0.1).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null and n % 3 > 0")
     return S.gaps(p, s)
 
 
-@bound("j9_gaps_whole")
-def j9b(spark, d):
-    return j9(spark, d, True)
-
-
 @bound("a21_grid_coverage", f"""with e as ({_ELEM}), t as (select c.chart, i*100000+j as pid, i*2.0::double as px, j*2.0::double as py from (select distinct chart from e) c, range(0, 51) a(i), range(0, 51) b(j)),
  near as (select t.chart, pid, n, id, series, shape, radius, priority, {_DIST} as d from t join e on t.chart = e.chart where {_DIST} <= radius), {_WON},
  reach as (select chart, pid, count(distinct series) filter (where priority < 10) as series, arg_min(series, (d, n)) filter (where priority < 10) as nearest from near group by 1, 2),
  j as (select won.chart, won.id, e.series as ws, e.priority as wp, coalesce(reach.series, 0) as series, nearest from won left join e on e.chart = won.chart and e.id = won.id left join reach on reach.chart = won.chart and reach.pid = won.pid)
  select chart, round(100.0*count_if(series > 0)/count(*), 6) as cubierta_pct, round(100.0*count_if(series > 1)/count(*), 6) as ambigua_pct, round(100.0*count_if(coalesce(wp < 10 and ws <> nearest, false))/count(*), 6) as conflicto_pct, round(100.0*count_if(coalesce(wp >= 10 and series > 0, false))/count(*), 6) as resto_pct from j group by 1""")
-def a21(spark, d, whole=False):
-    e = elements(spark, d, whole)
+def a21(spark, d):
+    e = elements(spark, d)
     out = S.grid_coverage(e.select("chart").distinct().withColumns({"width": F.lit(100.0), "height": F.lit(100.0)}), e, 2.0, 8.0)
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "chart"})
 
 
-@bound("a21_grid_coverage_whole")
-def a21b(spark, d):
-    return a21(spark, d, True)
-
-
 @bound("a22_perturbed")
 def a22(spark, d):
-    e = elements(spark, d, True)
+    e = elements(spark, d)
     t = e.where("priority < 10").select("chart", "id", "series", col("shape").alias("zona"), F.when(col("shape") == "punto", col("x1")).otherwise((col("x1") + col("x2")) / 2).alias("x"), F.when(col("shape") == "punto", col("y1")).otherwise((col("y1") + col("y2")) / 2).alias("y"))
     return S.perturbed(t, e, [1.0, 2.0, 4.0], 20, 8.0)
 
@@ -184,16 +142,14 @@ def a33(spark, d):
 
 
 # labels of an axis for each order: pixel 100 * line number, value 7 times that but for some that are misread
-_AXIS = "x as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, l_quantity as q, l_partkey as pk from lineitem), ax as (select k, n, n*100.0::double as px, case when pk % 7 = 0 then n*70.0 else n*700.0 + 20 end::double as v from x where k % 3 = 0)"
+_AXIS = "x as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, l_quantity as q, l_partkey as pk from lineitem), ax as (select k, n, n*100.0::double as px, case when pk % 7 = 0 then n*70.0 else n*700.0 + 20 end::double as v from x)"
 
 
-def axis(spark, d, whole=False):
+def axis(spark, d):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    x = table(spark, d, "lineitem").withColumn("n", F.row_number().over(w))
-    x = x if whole else x.where("l_orderkey % 3 = 0")  # as the bound SQL has it
-    return x.select(col("l_orderkey").alias("k"), "n", (col("n") * 100.0).alias("px"), F.when(col("l_partkey") % 7 == 0, col("n") * 70.0).otherwise(col("n") * 700.0 + 20).alias("v"))
+    return table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).select(col("l_orderkey").alias("k"), "n", (col("n") * 100.0).alias("px"), F.when(col("l_partkey") % 7 == 0, col("n") * 70.0).otherwise(col("n") * 700.0 + 20).alias("v"))
 
 
 _FIT = f"""{_AXIS}, sp as (select *, 0.04*(max(v) over (partition by k)-min(v) over (partition by k)) as tol from ax),
@@ -204,50 +160,35 @@ _FIT = f"""{_AXIS}, sp as (select *, 0.04*(max(v) over (partition by k)-min(v) o
  ft as (select k, regr_slope(v, px) filter (where ok) as m, regr_intercept(v, px) filter (where ok) as b, regr_r2(v, px) filter (where ok) as r2, count_if(ok) as used, count(*) as total from kp group by 1 having count_if(ok) >= 2)"""
 
 
-@bound("a34_robust_line", f"with {_FIT} select k, round(m, 6) as m, round(b, 3) as b, round(r2, 6) as r2, used, total from ft")
-def a34(spark, d, whole=False):
-    return K.robust_line(axis(spark, d, whole), ["k"], "n", "px", "v").withColumns({"m": F.round("m", 6), "b": F.round("b", 3), "r2": F.round("r2", 6)})
-
-
-@bound("a34_robust_line_whole")
-def a34b(spark, d):
-    return a34(spark, d, True)
+@bound("a34_robust_line", f"with {_FIT} select k, round(m, 6) + 0.0 as m, round(b, 3) + 0.0 as b, round(r2, 6) as r2, used, total from ft")
+def a34(spark, d):
+    return K.robust_line(axis(spark, d), ["k"], "n", "px", "v").withColumns({"m": F.round("m", 6) + 0.0, "b": F.round("b", 3) + 0.0, "r2": F.round("r2", 6)})
 
 
 _SC = "g as (select k, case when count(*) >= 3 and min(v) > 0 and max(v) >= 20*min(v) and regr_r2(case when v > 0 then log10(v) end, px) > 0.999 and regr_r2(v, px) < 0.98 then 'log' else 'lineal' end as escala from lx group by 1)"
 _LX = "lx as (select k, n, n*100.0::double as px, case when k % 2 = 0 then power(10.0::double, n) else v end as v from ax)"
 
 
-def mixed_axis(spark, d, whole=False):
-    return axis(spark, d, whole).withColumn("v", F.when(col("k") % 2 == 0, F.pow(F.lit(10.0), col("n"))).otherwise(col("v")))
+def mixed_axis(spark, d):
+    return axis(spark, d).withColumn("v", F.when(col("k") % 2 == 0, F.pow(F.lit(10.0), col("n"))).otherwise(col("v")))
 
 
 @bound("a35_scale_type", f"with {_AXIS}, {_LX}, {_SC} select k, escala from g")
-def a35(spark, d, whole=False):
-    return K.scale_type(mixed_axis(spark, d, whole), ["k"], "px", "v")
-
-
-@bound("a35_scale_type_whole")
-def a35b(spark, d):
-    return a35(spark, d, True)
+def a35(spark, d):
+    return K.scale_type(mixed_axis(spark, d), ["k"], "px", "v")
 
 
 @bound("a36_convert", f"with {_FIT} select ax.k, n, round(m*(px+50)+b, 3) as valor, array_to_string(list_filter([case when r2 < 0.995 then 'ajuste' end, case when used < total then 'descartadas' end], lambda x: x is not null), ',') as avisos from ax join ft on ax.k = ft.k")
-def a36(spark, d, whole=False):
-    a = axis(spark, d, whole)
+def a36(spark, d):
+    a = axis(spark, d)
     fit = K.robust_line(a, ["k"], "n", "px", "v").withColumn("escala", F.lit("lineal"))
     out = K.converted(a.withColumn("p", col("px") + 50), fit, ["k"], "p")
     return out.select("k", "n", F.round("valor", 3).alias("valor"), F.array_join("avisos", ",").alias("avisos"))
 
 
-@bound("a36_convert_whole")
-def a36b(spark, d):
-    return a36(spark, d, True)
-
-
 @bound("a37_repair")
 def a37(spark, d):
-    a = axis(spark, d, True).withColumn("texto", col("v").cast("long").cast("string"))
+    a = axis(spark, d).withColumn("texto", col("v").cast("long").cast("string"))
     return K.repaired(a, K.robust_line(a, ["k"], "n", "px", "v"), ["k"], "n", "px", "texto", "v")
 
 

@@ -29,17 +29,33 @@ def t1(spark, d):
     return samples(spark, d).select("session", "n", "t", F.round("x", 6).alias("x"))
 
 
-@bound("t2_one_euro")
+_SAMPLES = """s as (select user_id as session, event_id as n, event_id/15.0::double as t, case when value <= 120 then (event_id % 700)/7.0::double end as x, case when value <= 120 then (event_id % 310)/3.1::double end as y,
+ case when value <= 120 then case when value > 60 then 40.0::double else 20.0 end end as gap, case when value > 5 then 90.0::double end as palm from events)"""
+
+
+@bound("t2_one_euro", f"""with recursive {_SAMPLES}, k as (select *, row_number() over (partition by session order by t, n) as i from s where x is not null),
+ r as (select session, n, t, i, x as sx, y as sy, 0.0::double as vx, 0.0::double as vy from k where i = 1
+ union all select k.session, k.n, k.t, k.i, w.w*k.x + (1 - w.w)*r.sx, w.w*k.y + (1 - w.w)*r.sy, v.vx, v.vy from r join k on k.session = r.session and k.i = r.i + 1, lateral (select k.t - r.t as dt) d, lateral (select 1/(1 + 1/(2*pi()*1.0*d.dt)) as u) u,
+ lateral (select u.u*(k.x - r.sx)/d.dt + (1 - u.u)*r.vx as vx, u.u*(k.y - r.sy)/d.dt + (1 - u.u)*r.vy as vy) v, lateral (select 1/(1 + 1/(2*pi()*(1.5 + 0.05*sqrt(v.vx*v.vx + v.vy*v.vy))*d.dt)) as w) w)
+ select session, n, round(t, 6) as t, round(sx, 6) as sx, round(sy, 6) as sy from r""")
 def t2(spark, d):
-    return S.filtered(samples(spark, d))
+    return S.filtered(samples(spark, d)).withColumns({c: F.round(c, 6) for c in ("t", "sx", "sy")})
 
 
-@bound("t3_pinch")
+@bound("t3_pinch", f"""with recursive {_SAMPLES}, k as (select *, row_number() over (partition by session order by t, n) as i, gap is null as lost, case when palm between 45 and 160 then gap <= 0.28*palm else gap <= 22 end as tight, case when palm between 45 and 160 then gap >= 0.36*palm else gap >= 28 end as slack from s),
+ r as (select session, n, i, t, coalesce(tight, false) as closed, null::double as opening, case when not lost then t end as seen from k where i = 1
+ union all select k.session, k.n, k.i, k.t, case when not r.closed then coalesce(tight, false) when lost then (k.t - r.seen)*1000 < 300 when slack then (k.t - coalesce(r.opening, k.t))*1000 < 250 else true end,
+ case when r.closed and slack and (k.t - coalesce(r.opening, k.t))*1000 < 250 then coalesce(r.opening, k.t) end, case when lost then r.seen else k.t end from r join k on k.session = r.session and k.i = r.i + 1)
+ select session, n, closed as active from r""")
 def t3(spark, d):
     return S.pinched(samples(spark, d))
 
 
-@bound("t4_debounce")
+@bound("t4_debounce", """with recursive k as (select user_id, event_id, event_id/15.0::double as t, event_type as v, row_number() over (partition by user_id order by event_id/15.0, event_id) as i from events),
+ a as (select user_id, 0::bigint as event_id, 0::bigint as i, null::varchar as stable, false as waiting, null::varchar as nxt, 0.0::double as since from k where i = 1
+ union all select k.user_id, k.event_id, k.i, case when m.held then k.v else a.stable end, k.v is distinct from a.stable and not m.held, k.v, m.since from a join k on k.user_id = a.user_id and k.i = a.i + 1,
+ lateral (select case when a.waiting and a.nxt is not distinct from k.v then a.since else k.t end as since) q, lateral (select q.since, k.v is distinct from a.stable and (k.t - q.since)*1000 >= case when a.stable is null then 60 when k.v is null then 150 else 120 end as held) m)
+ select user_id, event_id, stable as estable from a where i > 0""")
 def t4(spark, d):
     ev = table(spark, d, "events").select("user_id", (col("event_id") / 15.0).alias("t"), "event_id", "event_type")
     return S.debounced(ev, "user_id", "t", "event_id", "event_type")
@@ -47,7 +63,7 @@ def t4(spark, d):
 
 @bound("t5_selection")
 def t5(spark, d):
-    return S.replay(samples(spark, d), elements(spark, d, True))
+    return S.replay(samples(spark, d), elements(spark, d))
 
 
 @bound("t5_selection_stream")
@@ -62,7 +78,7 @@ def t5b(spark, d):
     single = all(f.endswith("/events.parquet") for f in given.inputFiles())
     ev = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
     out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    found = S.stream(from_events(ev, col("event_id") / 15.0), elements(spark, d, True))
+    found = S.stream(from_events(ev, col("event_id") / 15.0), elements(spark, d))
     run = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(S.OUT).parquet(f"{out}/rows")
@@ -86,7 +102,11 @@ def t7(spark, d):
     return E.first_in_activation(a, ["user_id"], "activacion", ["el"], ["ts", "event_id"]).select("user_id", "event_id", "el")
 
 
-@bound("t8_limited_alerts")
+@bound("t8_limited_alerts", """with recursive k as (select user_id, event_id, epoch_us(ts)/1e6 as t, value > 20 as f, row_number() over (partition by user_id order by epoch_us(ts)/1e6, event_id) as i from events),
+ r as (select user_id, 0::bigint as event_id, 0::bigint as i, 0.0::double as t, null::double as since, '-infinity'::double as sent, false as alert from k where i = 1
+ union all select k.user_id, k.event_id, k.i, k.t, q.since, case when m.alert then k.t else r.sent end, m.alert from r join k on k.user_id = r.user_id and k.i = r.i + 1, lateral (select case when coalesce(k.f, false) then coalesce(r.since, k.t) end as since) q,
+ lateral (select coalesce((k.t - q.since)*1000 >= 400, false) and k.t - r.sent >= 86400 as alert) m)
+ select user_id, event_id, t from r where alert""")
 def t8(spark, d):
     ev = table(spark, d, "events").select("user_id", (F.unix_micros("ts") / 1e6).alias("t"), "event_id", (col("value") > 20).alias("fuera"))
     return S.limited_alerts(ev, "user_id", "t", "event_id", "fuera", 400, 86400)

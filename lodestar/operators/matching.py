@@ -13,10 +13,15 @@ def figures_or_panels(figures: DataFrame, panels: DataFrame, fig: str, usable: s
     return figures.join(good.select(fig).distinct(), fig, "left_anti").unionByName(good.join(figures.select(fig), fig, "left_semi"))
 
 
-def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Distinct values in the order in which they are first seen. The rank is over the distinct values alone."""
+def ordered_distinct(df: DataFrame, value: str, order: str, parts: int = 64) -> DataFrame:
+    """Distinct values in the order in which they are first seen. Ranges of the order are ranked each by itself, after what the ranges before hold; their bounds and sizes are one row for each of parts ranges."""
     g = df.groupBy(value).agg(F.min(order).alias("primero"))
-    return g.withColumn("puesto", F.row_number().over(Window.orderBy("primero")))
+    bounds = F.broadcast(df.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000))).alias("_bounds")))  # one row
+    placed = g.crossJoin(bounds).withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col("primero")))).drop("_bounds")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most parts rows
+    ranked = placed.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("primero")))
+    return ranked.join(F.broadcast(before), "_part").select(value, "primero", (F.col("_own") + F.col("_before")).cast("int").alias("puesto"))
 
 
 def missing_elsewhere(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,27 +29,40 @@ def missing_elsewhere(df: DataFrame, other: DataFrame, keys: list[str]) -> DataF
     return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
-def captions(figures: DataFrame, caps: DataFrame, keys: list[str], fid: str, share: float = 0.3, most: float = 60.0) -> DataFrame:
-    """(keys, fid, cid): the caption of least score on a figure's page. figures: x0, y0, x1, y1; caps: cid, cx0, cy0, cx1, cy1. Below: the distance; above: that and 10; inside: 5. They must overlap sideways by a share of the narrower, and be within most."""
-    j = figures.join(caps, keys)
+def captions(figures: DataFrame, caps: DataFrame, keys: list[str], fid: str, share: float = 0.3, most: float = 60.0, size: float = 100.0) -> DataFrame:
+    """(keys, fid, cid): the caption of least score on a figure's page. figures: x0, y0, x1, y1; caps: cid, cx0, cy0, cx1, cy1. Below: the distance; above: that and 10; inside: 5. They must overlap sideways by a share of the narrower, and be within most.
+
+    Bands of size over the height make it an equi-join: a figure reaches as far as its score allows, a caption is where it is; they meet in the first band that both have.
+    """
+    band = lambda c: F.floor(c / size)
+    spans = lambda df, lo, hi: df.withColumn("_lo", band(lo)).withColumn("_cell", F.explode(F.sequence(F.col("_lo"), band(hi))))
+    reach = most + 10
+    f = spans(figures, F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach).withColumnRenamed("_lo", "_flo")
+    j = f.join(spans(caps, F.least("cy0", "cy1"), F.greatest("cy0", "cy1")), [*keys, "_cell"]).where(F.col("_cell") == F.greatest("_flo", "_lo"))
     over = F.least("cx1", "x1") - F.greatest("cx0", "x0")
     score = F.when(F.col("cy0") >= F.col("y1") - 2, F.col("cy0") - F.col("y1")).when(F.col("cy1") <= F.col("y0") + 2, F.col("y0") - F.col("cy1") + 10).otherwise(F.lit(5.0))
     ok = j.where(over >= share * F.least(F.col("cx1") - F.col("cx0"), F.col("x1") - F.col("x0"))).withColumn("_s", score).where(F.col("_s") - 10 <= most)
     return ok.groupBy(*keys, fid).agg(F.min(F.struct("_s", "cid")).alias("_b")).select(*keys, fid, F.col("_b.cid").alias("cid"), F.col("_b._s").alias("puntaje"))
 
 
-def cited_numbers(text: Column) -> Column:
-    """The figure numbers that a text cites, ranges spelt out where they are under 20 wide."""
-    pattern = r"(?i)\bfig(?:ura|ure)?s?\.?\s*(\d+(?:\.\d+)?)(?:\s*[-–]\s*(\d+))?"
-    one, two = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    pairs = F.arrays_zip(one.alias("a"), two.alias("b"))
+#: How a text names figures, longest first.
+FIGURE_WORDS = ("figuras", "figures", "figura", "figure", "figs", "fig")
 
-    def spelt(p):
-        a, b = p["a"].try_cast("int"), p["b"].try_cast("int")
+
+def cited_numbers(text: Column) -> Column:
+    """The figure numbers that a text cites, ranges spelt out where they are under 20 wide. What follows each mention is looked at by itself."""
+    after = F.split(F.lower(text), rf"\b(?:{'|'.join(FIGURE_WORDS)})\.?\s*")
+    after = F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0)))
+
+    def spelt(piece):
+        number = F.regexp_extract(piece, r"^\d+(\.\d+)?", 0)
+        a = number.try_cast("int")
+        b = F.regexp_extract(F.substring(piece, F.length(number) + 1, F.length(piece)), r"^\s*[-–]\s*(\d+)", 1).try_cast("int")
         wide = a.isNotNull() & b.isNotNull() & (b > a) & (b - a < 20)
-        return F.when(wide, F.transform(F.sequence(F.coalesce(a, F.lit(0)), F.when(wide, b).otherwise(F.coalesce(a, F.lit(0)))), lambda n: n.cast("string"))).otherwise(F.array(p["a"]))
+        low = F.coalesce(a, F.lit(0))
+        return F.when(number == "", F.array().cast("array<string>")).when(wide, F.transform(F.sequence(low, F.when(wide, b).otherwise(low)), lambda n: n.cast("string"))).otherwise(F.array(number))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, spelt))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(after, spelt))))
 
 
 def mentions(figures: DataFrame, paragraphs: DataFrame, doc: str, fid: str, number: str, pid: str, text: str, caption: Column, most: int = 6) -> DataFrame:
@@ -55,7 +73,7 @@ def mentions(figures: DataFrame, paragraphs: DataFrame, doc: str, fid: str, numb
 
 
 def around(figures: DataFrame, blocks: DataFrame, keys: list[str], fid: str, bid: str, words: Column, least: int = 8) -> DataFrame:
-    """The closest body block that ends above a figure, and the closest that starts below it. blocks: by0, by1."""
+    """The closest body block that ends above a figure, and the closest that starts below it. blocks: by0, by1. keys should name a page, which holds few blocks."""
     j = figures.join(blocks.where(words >= least), keys)
     up, down = F.col("by1") <= F.col("y0") + 2, F.col("by0") >= F.col("y1") - 2
     g = j.groupBy(*keys, fid).agg(F.min(F.when(up, F.struct((-F.col("by1")).alias("d"), bid))).alias("a"), F.min(F.when(down & ~up, F.struct(F.col("by0").alias("d"), bid))).alias("b"))
@@ -87,6 +105,24 @@ def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str,
     return candidates.groupBy(*keys).applyInPandas(run, candidates.schema)
 
 
+def value_labels(bars: DataFrame, tokens: DataFrame, keys: list[str], size: float, band: float = 0.3) -> DataFrame:
+    """(keys, bar, tid): each bar, the longest first, takes the unused number nearest to its end.
+
+    bars: bar, c0, c1 (its band), near, far (its ends), vertical; tokens: tid, cx, cy, pw, ph. A number must lie in the band widened by a share of its width, and from the bar's end outwards within 2.5 of its own height, inwards within 0.6 of the bar's length and its own height. Cells of size over the band make the candidates an equi-join.
+    """
+    wide = band * (F.col("c1") - F.col("c0"))
+    spread = bars.withColumn("_lo", F.col("c0") - wide).withColumn("_hi", F.col("c1") + wide).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
+    # a number seen across an upright bar, and across a lying one
+    seen = F.explode(F.array(F.struct(F.lit(True).alias("vertical"), F.col("cx").alias("_c"), F.col("cy").alias("_v"), F.col("ph").alias("_h")), F.struct(F.lit(False).alias("vertical"), F.col("cy").alias("_c"), F.col("cx").alias("_v"), F.col("pw").alias("_h"))))
+    across = tokens.select(*keys, "tid", seen.alias("_s")).select(*keys, "tid", "_s.*").withColumn("_cell", F.floor(F.col("_c") / size))
+    met = spread.join(across, [*keys, "vertical", "_cell"]).where(F.col("_c").between(F.col("_lo"), F.col("_hi")))
+    out = F.when(F.col("far") < F.col("near"), F.col("far") - F.col("_v")).otherwise(F.col("_v") - F.col("far"))
+    length = F.abs(F.col("far") - F.col("near"))
+    fits = met.withColumn("_d", out).where((F.col("_d") <= 2.5 * F.col("_h")) & (F.col("_d") >= -0.6 * length - F.col("_h")))
+    ranked = fits.select(*keys, "bar", "tid", (-length).alias("_l"), F.abs("_d").alias("_a"))
+    return greedy_pairs(ranked, keys, "bar", "tid", ["_l", "bar", "_a", "tid"]).select(*keys, "bar", "tid")
+
+
 def nearest_pairs(lefts: DataFrame, rights: DataFrame, keys: list[str], left: str, right: str, x: str, y: str, most: float) -> DataFrame:
     """greedy_pairs of the candidates left and right with |x - y| < most, in order of that distance d, left and right, without making them: on a line the nearest pair are neighbours. A task holds the ids of its keys, not their pairs."""
     types = dict(lefts.dtypes) | dict(rights.dtypes)
@@ -165,32 +201,52 @@ def nearest_label(groups: DataFrame, labels: DataFrame, keys: list[str], gid: st
     return groups.join(best.select(*keys, gid, F.col("_b.lid").alias("lid")), [*keys, gid], "left")
 
 
-def without_overlaps(boxes: DataFrame, keys: list[str], bid: str, inside: float = 0.85, alike: float = 0.6) -> DataFrame:
-    """Boxes (x0, y0, x1, y1, keep) of a page, in order of bid: of two that lie in one another by inside, nearly equal ones (areas within alike) lose the smaller, a line chart (keep) staying over one that is not; others lose the larger. Decisions chain: sequential for each page."""
+def without_overlaps(boxes: DataFrame, keys: list[str], bid: str, inside: float = 0.85, alike: float = 0.6, most_strokes: int = 3) -> DataFrame:
+    """Boxes (x0, y0, x1, y1, keep, caption, strokes) of a page without those that show the same figure again, in order of bid.
+
+    Of two boxes that lie in one another by inside, nearly equal ones (areas within alike) lose the smaller. A much larger one is a frame, and goes, if both have the same caption, it holds no third box, and of its strokes (boxes as arrays) at most most_strokes lie outside the smaller, its own background (0.9 of its area) aside; else both stay. In either case a line chart (keep) stays over one that is not. A box that is gone decides nothing: sequential for each page.
+    """
 
     def run(pdf):
         import numpy as np
 
         pdf = pdf.sort_values(bid, kind="stable")
-        b, keep, alive = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["keep"].to_numpy(bool), np.ones(len(pdf), bool)
+        b, keep = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["keep"].to_numpy(bool)
+        caption = [(c or "").strip() if isinstance(c, str) else "" for c in pdf["caption"]]
         area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        for i in range(len(b)):
-            for j in range(i + 1, len(b)):
-                if not (alive[i] and alive[j]):
-                    continue
-                w, h = min(b[i, 2], b[j, 2]) - max(b[i, 0], b[j, 0]), min(b[i, 3], b[j, 3]) - max(b[i, 1], b[j, 1])
-                small, large = (i, j) if area[i] <= area[j] else (j, i)
-                if w <= 0 or h <= 0 or w * h < inside * area[small]:
+        side = lambda lo, hi: np.clip(np.minimum(b[:, None, hi], b[None, :, hi]) - np.maximum(b[:, None, lo], b[None, :, lo]), 0, None)
+        share = side(0, 2) * side(1, 3) / np.where(area > 0, area, np.inf)[:, None]  # of the row's box that the column's has
+        lies = (share >= inside) & (area > 0)[:, None] & (area > 0)[None, :]
+        alive = np.ones(len(b), bool)
+        for i, j in np.argwhere(np.triu(lies | lies.T, 1)):
+            small, large = (i, j) if area[i] <= area[j] else (j, i)
+            if not (alive[i] and alive[j] and lies[small, large]):
+                continue
+            if area[small] >= alike * area[large]:
+                gone = small
+            else:
+                thirds = lies[:, large].copy()
+                thirds[[small, large]] = False
+                if not caption[small] or caption[small] != caption[large] or thirds.any() or _outside(pdf["strokes"].iloc[large], b[small], 0.9 * area[large]) > most_strokes:
                     continue
-                if keep[i] != keep[j]:
-                    alive[j if keep[i] else i] = False
-                else:
-                    alive[small if area[small] >= alike * area[large] else large] = False
+                gone = large
+            if keep[gone] and not keep[i + j - gone]:
+                gone = i + j - gone
+            alive[gone] = False
         return pdf[alive]
 
     return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
 
 
+def _outside(strokes, box, most: float) -> int:
+    """How many strokes of less area than most don't touch the box."""
+    import numpy as np
+
+    s = np.array([list(x) for x in strokes] if strokes is not None else [], float).reshape(-1, 4)
+    apart = (s[:, 2] <= box[0]) | (s[:, 0] >= box[2]) | (s[:, 3] <= box[1]) | (s[:, 1] >= box[3])
+    return int((apart & ((s[:, 2] - s[:, 0]) * (s[:, 3] - s[:, 1]) < most)).sum())
+
+
 def united_boxes(boxes: DataFrame, keys: list[str], bid: str, gap: float = 15.0) -> DataFrame:
     """Boxes nearer than gap in both axes are united until none are; united boxes grow, so the step repeats. A page's boxes fit one task."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in boxes.select(*keys).dtypes)}, n long, x0 double, y0 double, x1 double, y1 double"

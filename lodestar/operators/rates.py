@@ -204,27 +204,16 @@ def next_number(df: DataFrame, label: str) -> DataFrame:
 
 
 def circular_peaks(df: DataFrame, keys: list[str], bin_: str, bins: int, top: int = 3, apart: int = 12, floor: float = 0.06) -> DataFrame:
-    """Peaks of a histogram that wraps around, smoothed by 1-2-3-2-1. Counting is Spark's; the greedy choice runs on a group's bins alone."""
-    counts = df.groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("n"))
-    types = dict(df.dtypes)
-
-    def pick(pdf):
-        import numpy as np
-        import pandas as pd
-
-        h = np.zeros(bins)
-        h[pdf[bin_].to_numpy(int)] = pdf["n"]
-        smooth = sum(w * np.roll(h, s) for s, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1)))
-        left, out = smooth.copy(), []
-        while len(out) < top:
-            p = int(left.argmax())
-            if left[p] <= 0 or smooth[p] < floor * smooth.sum():
-                break
-            out.append((p, float(smooth[p])))
-            left[(np.arange(p - apart, p + apart + 1)) % bins] = 0
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), i + 1, *x) for i, x in enumerate(out)], columns=[*keys, "puesto", "pico", "altura"])
-
-    return counts.groupBy(*keys).applyInPandas(pick, ", ".join(f"{k} {types[k]}" for k in keys) + ", puesto int, pico int, altura double")
+    """Peaks of a histogram that wraps around, smoothed by 1-2-3-2-1: a fold over a group's bins, highest first, that takes a bin if none taken is within apart of it. A group is one row of bins entries at most."""
+    counts = df.groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("_n"))
+    around = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(3 - abs(s)).alias("w")) for s in range(-2, 3)))).alias("_x")
+    smooth = counts.select(*keys, bin_, "_n", around).groupBy(*keys, F.pmod(F.col(bin_) + F.col("_x.s"), F.lit(bins)).cast("int").alias("pico")).agg(F.sum(F.col("_n") * F.col("_x.w")).cast("double").alias("altura"))
+    rows = smooth.groupBy(*keys).agg(F.sum("altura").alias("_all"), F.array_sort(F.collect_list(F.struct((-F.col("altura")).alias("less"), "pico"))).alias("_bins"))
+    high = F.filter("_bins", lambda b: -b["less"] >= floor * F.col("_all"))
+    far = lambda a, b: F.least(F.pmod(a - b, F.lit(bins)), F.pmod(b - a, F.lit(bins))) > apart
+    nothing = F.array().cast("array<struct<less:double,pico:int>>")
+    taken = F.aggregate(high, nothing, lambda acc, b: F.when((F.size(acc) < top) & F.forall(acc, lambda k: far(k["pico"], b["pico"])), F.array_append(acc, b)).otherwise(acc))
+    return rows.select(*keys, F.posexplode(taken).alias("_i", "_b")).select(*keys, (F.col("_i") + 1).alias("puesto"), F.col("_b.pico").alias("pico"), (-F.col("_b.less")).alias("altura"))
 
 
 def profile(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

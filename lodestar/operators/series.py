@@ -194,7 +194,7 @@ def first_middle_last(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 def sampled_targets(df: DataFrame, keys: list[str], id_: str, near: Column, n: int, seed: int = 1) -> DataFrame:
     """Up to a third of n near crossings, then others; shuffled by a hash, so the same under any partitioning."""
-    h = F.xxhash64(F.col(id_), F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.col(id_).cast("string"), F.lit(seed)))
     rows = df.withColumn("_near", near).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_near").orderBy(h, id_)))
     first = F.when(F.col("_near") & (F.col("_k") <= n // 3), 0).when(~F.col("_near"), 1).otherwise(2)
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(first, "_k"))).where(F.col("_r") <= n).drop("_near", "_k", "_r")
@@ -233,23 +233,23 @@ def joined_tokens(df: DataFrame, keys: list[str], x0: str, x1: str, height: str,
     return marked.groupBy(*keys, "grupo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x0, text))), lambda v: v[text]), " ").alias("rotulo"))
 
 
-def bar_groups(df: DataFrame, keys: list[str], c0: str, c1: str, series: str, n_series: int = 2) -> DataFrame:
-    """Sorted bars join the group before when they overlap it by half, or touch it with a series it lacks. Sequential for each chart."""
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, grupo long"
+def bar_groups(df: DataFrame, keys: list[str], c0: str, c1: str, series: str, n_series: int = 2, ties: list[str] | None = None) -> DataFrame:
+    """Sorted bars join the group before when they overlap it by half, or touch it with a series it lacks. A fold over a chart's bars; df's columns and grupo."""
+    rest = [c for c in df.columns if c not in keys]
+    kinds = dict(df.dtypes)
+    bar = F.struct(((F.col(c0) + F.col(c1)) / 2).alias("_m"), *(F.col(c).alias(f"_t{k}") for k, c in enumerate(ties or [])), F.struct(*rest).alias("_row"))
+    charts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(bar)).alias("_bars"), (0.5 * F.median(F.col(c1) - F.col(c0))).alias("_near"))
+    start = F.struct(F.lit(-1).cast("long").alias("g"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.array().cast(f"array<{kinds[series]}>").alias("names"), F.array().cast("array<bigint>").alias("out"))
 
-    def run(pdf):
-        pdf = pdf.assign(_m=(pdf[c0] + pdf[c1]) / 2).sort_values("_m", kind="stable").drop(columns="_m")
-        near, g, lo, hi, names, out = 0.5 * (pdf[c1] - pdf[c0]).median(), -1, 0.0, 0.0, set(), []
-        for a, b, s in zip(pdf[c0], pdf[c1], pdf[series], strict=True):
-            if g >= 0 and (min(b, hi) - max(a, lo) > 0.5 * (b - a) or (n_series > 1 and a - hi <= near and s not in names)):
-                lo, hi = min(lo, a), max(hi, b)
-            else:
-                g, lo, hi, names = g + 1, a, b, set()
-            names.add(s)
-            out.append(g)
-        return pdf.assign(grupo=out)
+    def step(acc, bar):
+        a, b, s = bar["_row"][c0].cast("double"), bar["_row"][c1].cast("double"), bar["_row"][series]
+        touches = (a - acc["hi"] <= F.col("_near")) & ~F.array_contains(acc["names"], s) if n_series > 1 else F.lit(False)
+        joins = (acc["g"] >= 0) & ((F.least(b, acc["hi"]) - F.greatest(a, acc["lo"]) > 0.5 * (b - a)) | touches)
+        g = F.when(joins, acc["g"]).otherwise(acc["g"] + 1)
+        return F.struct(g.alias("g"), F.when(joins, F.least(acc["lo"], a)).otherwise(a).alias("lo"), F.when(joins, F.greatest(acc["hi"], b)).otherwise(b).alias("hi"), F.when(joins, F.array_append(acc["names"], s)).otherwise(F.array(s)).alias("names"), F.array_append(acc["out"], g).alias("out"))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    found = charts.withColumn("_out", F.aggregate("_bars", start, step)["out"])
+    return found.select(*keys, F.explode(F.arrays_zip("_bars", "_out")).alias("_x")).select(*keys, *(F.col("_x._bars._row")[c].alias(c) for c in rest), F.col("_x._out").alias("grupo"))
 
 
 def axis_ticks(df: DataFrame, keys: list[str], lo: str, hi: str, n: int = 5) -> DataFrame:

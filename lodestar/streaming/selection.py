@@ -67,32 +67,48 @@ class OneEuro:
         return self.at
 
 
+#: What each kind of sample makes of a pinch's state; what is not listed stays. A state that times out opens.
+PINCH = {
+    ("open", "tight"): "closed",
+    ("closed", "slack"): "opening",
+    ("closed", "lost"): "unseen",
+    ("opening", "tight"): "closed",
+    ("opening", "between"): "closed",
+    ("opening", "lost"): "unseen",
+    ("unseen", "tight"): "closed",
+    ("unseen", "between"): "closed",
+    ("unseen", "slack"): "opening",
+}
+
+
 @dataclass
 class Pinch:
     """Closed below one threshold, open above a higher one that must hold for a while; a lost hand keeps it for a while."""
 
-    closed: bool = False
-    opening: float | None = None
-    seen: float | None = None
+    state: str = "open"
+    since: float = -math.inf
+    seen: float = -math.inf
 
     def step(self, t: float, gap: float | None, palm: float | None, c: Config) -> bool:
+        before, self.state = self.state, PINCH.get((self.state, self.kind(gap, palm, c)), self.state)
+        if gap is not None:
+            self.seen = t
+        if self.state != before:
+            self.since = t
+        # an opening lasts from its first slack sample, a lost hand from the last sample that showed it
+        begun, grace = (self.since, c.pinch_grace) if self.state == "opening" else (self.seen, c.hand_grace)
+        if self.state in ("opening", "unseen") and (t - begun) * 1000 >= grace:
+            self.state = "open"
+        return self.state != "open"
+
+    @staticmethod
+    def kind(gap: float | None, palm: float | None, c: Config) -> str:
+        """Where the gap lies, as a share of the palm, or in millimetres if the palm is unlikely."""
         if gap is None:
-            if self.closed and (self.seen is None or (t - self.seen) * 1000 >= c.hand_grace):
-                self.closed = False
-            self.opening = None
-            return self.closed
-        self.seen = t
-        sure = palm is not None and c.palm_low <= palm <= c.palm_high
-        measure, close, open_ = (gap / palm, c.close_ratio, c.open_ratio) if sure else (gap, c.close_mm, c.open_mm)
-        if not self.closed:
-            self.closed = measure <= close
-        elif measure >= open_:
-            self.opening = t if self.opening is None else self.opening
-            if (t - self.opening) * 1000 >= c.pinch_grace:
-                self.closed, self.opening = False, None
-            return self.closed
-        self.opening = None
-        return self.closed
+            return "lost"
+        likely = palm is not None and c.palm_low <= palm <= c.palm_high
+        tight, slack = (gap <= c.close_ratio * palm, gap >= c.open_ratio * palm) if likely else (gap <= c.close_mm, gap >= c.open_mm)
+        return "tight" if tight else "slack" if slack else "between"
 
 
 @dataclass
