@@ -2,9 +2,9 @@
 
 A vector's offset from the mean is rotated at random; of each component only the sign is kept, packed into bits, with two scalars: the offset's length and how well the signs match it. From these the inner product with any query is estimated without bias, and an error bound follows from the match (EPS standard errors). In each shard a query's candidates are those whose upper bound reaches the K-th largest lower bound; they are reranked with the original vectors, in double precision.
 
-Queries are a stated part of the rows (ids divisible by EVERY), against all rows, in blocks: each shard of at most SHARD vectors meets all queries, block by block, and hands on K rows for each. No bucket is skipped, so recall depends on the bounds alone.
+Queries are a stated part of the rows (ids divisible by EVERY), against all rows, in blocks: each shard of about SHARD_BYTES of vectors meets all queries, block by block, and hands on K rows for each, of which each task that combines keeps K. No bucket is skipped, so recall depends on the bounds alone. Parts round a centre could be skipped only where |query| * radius + query * centre stays below what a query has already; vectors of length 1 that are spread over the sphere leave nearly all parts (README).
 
-Vectors that are null, zero, not finite, or not of the most frequent length take no part, nor do those without an id. Of rows with one id the least vector counts. Ties go to the smaller id. Extra columns are not read. An empty table gives an empty result.
+Vectors that are null, zero, not finite, or not of the most frequent length take no part, nor do those without an id. Of rows with one id the least vector counts. Ties go to the smaller id. The key is a bigint. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm.common import arrow, written
 
-K, EVERY, EPS, SHARD, LEAST_SHARD, BLOCK = 20, 20, 2.5, 65536, 4096, 64
+K, EVERY, EPS, SHARD_BYTES, LEAST_SHARD, BLOCK = 20, 20, 2.5, 32 << 20, 2048, 64
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -115,11 +116,11 @@ def neighbours(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
     if not dim:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n = vectors.count()
-    shards = max(-(-n // SHARD), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_SHARD)))
+    shards = max(-(-n * dim * 8 // SHARD_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-n // LEAST_SHARD)))
     given = spark.sparkContext.broadcast((average(vectors, dim), rotation(-(-dim // 8) * 8)))
     dealt = vectors.select(F.lit(0).alias("kind"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
     asked = vectors.where(F.col("id") % every == 0).select(F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
-    schema = pa.schema([("query_id", pa.int64()), ("best", pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())])))])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(it) -> Iterator[tuple]:
         mean, turn = given.value
@@ -140,11 +141,12 @@ def neighbours(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
                     ids, own = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
                     codes = Codes(own, mean, turn)
                 for qid, near, score in search(codes, ids, own, i[lo:hi], v[lo:hi], k):
-                    yield qid, [{"less": -x, "vec_id": y} for x, y in zip(score.tolist(), near.tolist(), strict=True)]
+                    yield from ((qid, y, x) for x, y in zip(score.tolist(), near.tolist(), strict=True))
 
-    found = dealt.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: arrow(schema, run(it), 500), "query_id bigint, best array<struct<less:double,vec_id:bigint>>")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))  # k from each shard
-    return best.select("query_id", F.posexplode("best").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
+    found = dealt.union(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: arrow(schema, run(it), 5000), "query_id bigint, vec_id bigint, score double")
+    # Spark limits a ranked window's groups before it shuffles them
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

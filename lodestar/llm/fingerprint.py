@@ -1,8 +1,8 @@
 """Document fingerprints: a threshold-scaled sketch keeps every shingle hash below a fixed fraction of the hash range.
 
-Sketches merge by union and estimate containment between documents of very unequal length, since either is the same sample of the hash range. Where no hash is below the threshold, the least one alone is kept, so that a short text is told from another; no words give an empty sketch.
+Sketches merge by union and estimate containment between documents of very unequal length, since either is the same sample of the hash range. A text without any hash below the threshold has an empty sketch in that sense; its fingerprint then names its least hash, which only tells it from other such texts: merged with a sketch it goes. No words give an empty fingerprint.
 
-Nulls are the empty text. Rows with the same key are in order of their text; a null key comes first. Extra columns are not read. An empty table gives an empty result.
+Nulls are the empty text. The key is a bigint. Rows with the same key are in order of their text; a null key comes first. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import WordHashes, arrow, batches, shingles
 
-#: One of FRACTION shingles is kept.
-FRACTION = 4
+#: One of FRACTION shingles is kept: a fingerprint has about 16 hex digits for each FRACTION words, a sixth of its text.
+FRACTION = 16
 
 
 def sketch(text: str | None, hashes: WordHashes, fraction: int = FRACTION) -> np.ndarray:

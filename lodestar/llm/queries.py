@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm import ann, bpe, fingerprint, jaccard_join, packing, quality, repeats, secret_scan, toxicity, url_filter
+from lodestar.llm.common import written
+from lodestar.llm.secret_scan import Rule
 
 
 def vocabulary() -> str:
@@ -25,6 +28,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.findings(secret_scan.address(docs).drop("text"), ledger, once=True)).drop("blob")
 
 
+#: The hex rule as it was before: only runs of 32 digits or more.
+BEFORE = tuple(Rule("hex", 0, r"[0-9a-f]{32,}") if r.kind == "hex" else r for r in secret_scan.RULES)
+
+
+def ledger_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by increments: a stored ledger of all documents under an older version of one rule, and a scan of the pairs of blob and rule version that it lacks. n_rescanned: how many rules the second scan ran on the document's text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = written(secret_scan.scan_new(docs, secret_scan.empty_ledger(spark), BEFORE))
+    new = written(secret_scan.scan_new(docs, ledger))
+    paths = secret_scan.address(docs).drop("text").join(new.select("blob", F.size("rules").alias("n_rescanned")), "blob", "left")
+    return secret_scan.digest(secret_scan.findings(paths, ledger.unionByName(new))).drop("blob")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
@@ -63,5 +79,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing, ledger_rescan)}
 SQL: dict[str, str] = {"op5_ann": ann.SQL, "op8_url_filter": url_filter.SQL}

@@ -11,11 +11,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow, batches
+from lodestar.llm.common import arrow, batches, bloom, bloom_hit, maybe_in, written
 
 
 @dataclass(frozen=True)
@@ -74,27 +75,41 @@ def address(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Rows to add to the ledger: (blob, rules, spans), for blobs whose pairs with the rules' versions it lacks. A text is shuffled once, copies are dropped before that."""
+    """Rows to add to the ledger: (blob, rules, spans), for blobs whose pairs with the rules' versions it lacks.
+
+    Which pairs are unseen is found from addresses alone. Texts of unseen blobs are then shuffled once, copies being dropped before that; a Bloom filter of fixed size keeps those that the ledger knows where they are.
+    """
     named = F.array(*(F.lit(r.id) for r in rules))
     blobs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     if ledger is None:
-        todo = blobs.withColumn("rules", named)
+        todo = blobs.dropDuplicates(["blob"]).withColumn("rules", named)
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").select("blob", "text", F.array_except(named, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+        lacking = blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(named, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+        lacking = written(lacking)
+        bits = docs.sparkSession.sparkContext.broadcast(bloom(lacking, "blob"))
+
+        @F.pandas_udf("boolean")
+        def unseen(p: pd.Series, q: pd.Series) -> pd.Series:
+            return pd.Series(bloom_hit(bits.value, p.to_numpy(), q.to_numpy()))
+
+        todo = blobs.where(unseen(*maybe_in("blob"))).dropDuplicates(["blob"]).join(lacking, "blob")
     by_id = {r.id: r for r in rules}
     schema = pa.schema([("blob", pa.string()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from arrow(schema, ((b, ids, [dict(zip(("kind", "start", "end"), x, strict=True)) for x in find(t, tuple(by_id[i] for i in ids))]) for b, t, ids in batches(it, "blob", "text", "rules")))
 
-    return todo.dropDuplicates(["blob"]).select("blob", "text", "rules").mapInArrow(scan, f"blob string, rules array<string>, spans {SPANS}")
+    return todo.select("blob", "text", "rules").mapInArrow(scan, f"blob string, rules array<string>, spans {SPANS}")
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, once: bool = False) -> DataFrame:
     """paths (with column blob, see address()) and their spans, in order of start, then of the rules. Rule versions of the past don't count. once: the ledger has a single row for each blob; then Spark can split the join where one blob has many paths."""
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    now = ledger.where(F.arrays_overlap("rules", F.array(*(F.lit(r.id) for r in rules)))).where(F.size("spans") > 0).select("blob", "spans")
+    # of a ledger row the spans of rules whose version is today's
+    ids = F.array(*(F.lit(r.id) for r in rules))
+    current = F.transform(F.array_intersect("rules", ids), lambda r: F.substring_index(r, "@", 1))
+    now = ledger.select("blob", F.filter("spans", lambda s: F.array_contains(current, s["kind"])).alias("spans")).where(F.size("spans") > 0)
     if not once:
         now = now.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     order = lambda x, y: F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(F.array_position(kinds, x["kind"]) - F.array_position(kinds, y["kind"]))).cast("int")
@@ -109,26 +124,32 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("*", *(count(r.kind) for r in BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans_text")).drop("spans").withColumnRenamed("spans_text", "spans")
 
 
+def without(text: str, spans, mark: str) -> str:
+    """text with mark in place of each span; overlapping or touching spans as one. spans: (kind, start, end) in order of start."""
+    out, at, open_ = [], 0, None
+    for s in spans:
+        start, end = s["start"], s["end"]
+        if open_ is not None and start <= open_:
+            open_ = max(open_, end)
+            continue
+        if open_ is not None:
+            at = open_
+        out += [text[at:start], mark]
+        open_ = end
+    return "".join(out) + text[open_ or 0 :]
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, mark: str = "[REDACTED]", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """docs with every found span of the text replaced by mark (overlapping spans as one), and chars, if there is such a column, brought up to date. Other columns stay as they are. A text is shuffled once to be scanned and once to meet its findings, and only if it has any."""
+    """docs with every found span of the text replaced by mark (overlapping spans as one), and chars, if there is such a column, brought up to date. Other columns stay as they are. A text is shuffled once to be scanned and once to meet its findings, and only if it has any; it is cut in one pass over its spans."""
     new = scan_new(docs, ledger, rules, text)
     all_rows = new if ledger is None else ledger.unionByName(new)
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
-    )
-    old = F.col("_row")[text]
-    cut = F.aggregate(
-        "_merged",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    clean = findings(held, all_rows, rules, ledger is None).withColumn("_merged", merged).withColumn("_clean", F.when(F.size("_merged") > 0, cut).otherwise(old))
-    changed = {text: F.col("_clean"), chars: F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row")[chars]) if chars in docs.columns else None}
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("blob"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, s, mark) if t is not None and s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    old, some = F.col("_row")[text], F.size("spans") > 0
+    clean = findings(held, all_rows, rules, ledger is None).withColumn("_clean", cut(F.when(some, old), "spans"))
+    changed = {text: F.when(some, F.col("_clean")).otherwise(old), chars: F.when(some, F.length("_clean").cast("long")).otherwise(F.col("_row")[chars]) if chars in docs.columns else None}
     return clean.select(*((changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns))
