@@ -112,9 +112,31 @@ def w12(spark, d):
     return W.spaced(walk(spark, d).select("user_id", "event_id", "x", "y"), ["user_id"], "x", "x", "y", 60.0)
 
 
-@bound("w13_reference_points")
+# charts of 40 parts: axes, a code, points of three series, on plates of three sizes with a cut corner
+_PLATES = """e as (select p_partkey // 40 as chart, p_partkey as n, case p_partkey % 10 when 0 then 'eje' when 1 then 'eje' when 2 then 'codigo' else 'punto' end as tipo, case when p_partkey % 10 = 2 then 'QR' else 'e' || p_partkey end as id, 's' || p_partkey % 3 as serie, case when p_partkey % 20 = 12 then 'punto' else 'rect' end as shape,
+ p_size*2.0::double as x1, (p_partkey*37 % 100)::double as y1, case p_partkey % 10 when 0 then p_size*2.0 + 60 - p_partkey*13 % 120 else p_size*2.0 + 8 end::double as x2, case p_partkey % 10 when 1 then p_partkey*37 % 100 + 50 - p_partkey*11 % 100 else p_partkey*37 % 100 + 8 end::double as y2 from part),
+ h as (select chart, 100.0::double + chart % 3 * 50 as width, 100.0::double as height, case chart % 4 when 0 then 'superior izquierda' when 1 then 'superior derecha' when 2 then 'inferior izquierda' end as cut from (select distinct chart from e)),
+ c0 as (select chart, k as o, 'esquina ' || nm || ' de la placa' as nombre, fx*width as x, fy*height as y from h, (values (0, 'superior izquierda', 0, 0), (1, 'superior derecha', 1, 0), (2, 'inferior izquierda', 0, 1), (3, 'inferior derecha', 1, 1)) v(k, nm, fx, fy) where cut is distinct from nm),
+ ax as (select *, abs(x2-x1) >= abs(y2-y1) as hz, case when abs(x2-x1) >= abs(y2-y1) then x1 <= x2 else y1 >= y2 end as fw from e where tipo = 'eje'),
+ c1 as (select chart, 1000000000000 + 2*n as o, 'origen de los ejes' as nombre, case when fw then x1 else x2 end as x, case when fw then y1 else y2 end as y from ax union all select chart, 1000000000001 + 2*n, case when hz then 'extremo derecho del eje horizontal' else 'extremo superior del eje vertical' end, case when fw then x2 else x1 end, case when fw then y2 else y1 end from ax),
+ q as (select * from (select *, row_number() over (partition by chart order by n) as r from e where lower(id) = 'qr') where r = 1 and shape = 'rect'),
+ c2 as (select chart, 2000000000000 as o, 'esquina superior izquierda del QR' as nombre, least(x1, x2) as x, least(y1, y2) as y from q union all select chart, 2000000000001, 'esquina inferior derecha del QR', greatest(x1, x2), greatest(y1, y2) from q),
+ p as (select *, min(n) over (partition by chart, serie) as n0, row_number() over (partition by chart, serie order by x1, n) as a, row_number() over (partition by chart, serie order by x1 desc, n desc) as b from e where tipo = 'punto'),
+ c3 as (select chart, 3000000000000 + 2*n0 as o, 'primer punto de ' || serie as nombre, x1 as x, y1 as y from p where a = 1 union all select chart, 3000000000001 + 2*n0, 'último punto de ' || serie, x1, y1 from p where b = 1),
+ n as (select *, row_number() over (partition by chart order by o) as i from (select * from c0 union all select * from c1 union all select * from c2 union all select * from c3))"""
+
+
+@bound("w13_reference_points", f"""with recursive {_PLATES}, r as (select chart, nombre, x, y, i, true as kept, [{{'x': x, 'y': y}}] as seen from n where i = 1
+ union all select n.chart, n.nombre, n.x, n.y, n.i, f.far, case when f.far then list_append(r.seen, {{'x': n.x, 'y': n.y}}) else r.seen end from r join n on n.chart = r.chart and n.i = r.i + 1, lateral (select len(list_filter(r.seen, lambda v: sqrt(power(v.x - n.x, 2) + power(v.y - n.y, 2)) < 2.0)) = 0 as far) f)
+ select chart, nombre, x, y from (select *, row_number() over (partition by chart order by i) as k from r where kept) where k <= 12""")
 def w13(spark, d):
-    return W.reference_points(walk(spark, d).select("user_id", "event_id", "x", "y"), ["user_id"], "event_id", "x", "y", 80.0)
+    k, n = col("p_partkey"), col("p_partkey") % 10
+    x, y = col("p_size") * 2.0, (k * 37 % 100).cast("double")
+    e = table(spark, d, "part").select(F.floor(k / 40).alias("chart"), k.alias("n"), F.when(n < 2, "eje").when(n == 2, "codigo").otherwise("punto").alias("tipo"), F.when(n == 2, "QR").otherwise(F.concat(F.lit("e"), k.cast("string"))).alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("serie"), F.when(k % 20 == 12, "punto").otherwise("rect").alias("shape"),
+        x.alias("x1"), y.alias("y1"), F.when(n == 0, x + 60 - k * 13 % 120).otherwise(x + 8).alias("x2"), F.when(n == 1, y + 50 - k * 11 % 100).otherwise(y + 8).alias("y2"))
+    cut = F.when(col("chart") % 4 == 0, "superior izquierda").when(col("chart") % 4 == 1, "superior derecha").when(col("chart") % 4 == 2, "inferior izquierda")
+    plates = e.select("chart").distinct().select("chart", (100.0 + col("chart") % 3 * 50).alias("width"), F.lit(100.0).alias("height"), cut.alias("cut"))
+    return W.reference_points(W.reference_candidates(plates, e), ["chart"], "orden", "x", "y").select("chart", "nombre", "x", "y")
 
 
 @bound("w14_first_middle_last", "with n as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as c from orders) select o_custkey, o_orderkey from n where i = 1 or i = c // 2 + 1 or i = c")

@@ -63,6 +63,20 @@ _CROSS = f"""e as ({_ELEM}), s as (select * from e where shape = 'segmento'),
  u as (select *, (qx*sy-qy*sx)/(rx*sy-ry*sx) as t, (qx*ry-qy*rx)/(rx*sy-ry*sx) as u from q where abs(rx*sy-ry*sx) >= 1e-9), c as (select chart, na, nb, series_a, series_b, ax+t*rx as x, ay+t*ry as y from u where t between -1e-9 and 1+1e-9 and u between -1e-9 and 1+1e-9)"""
 
 
+# what was chosen before: of all that a touch nearly reaches the last in the file; followed: the series of the first
+_STICKY = f"""t as ({_TOUCH}), e as ({_ELEM}), q as (select t.chart, pid, n, id, series, shape, radius, priority, {_DIST} as d from t join e on t.chart = e.chart), w as (select * from q where d <= radius + 2), p as (select chart, pid, arg_max(id, n) as cur, arg_min(series, n) as fol from w group by 1, 2),
+ s as (select w.*, fol, d - case when id = cur then 2 else 0 end as ds from w join p on w.chart = p.chart and w.pid = p.pid where d <= radius + case when id = cur then 2 else 0 end), k as (select *, ds - case when shape = 'punto' then 3 else 0 end as v from s),
+ b as (select chart, pid, arg_min(id, (v, priority, n)) filter (where priority < 10) as a, min(v) filter (where priority < 10) as av, arg_min(id, (v, priority, n)) filter (where priority < 10 and series = fol) as o, min(v) filter (where priority < 10 and series = fol) as ov,
+ arg_min(id, (ds, priority, n)) filter (where priority >= 10) as r, min(ds) filter (where priority >= 10) as rv from k group by 1, 2), c as (select chart, pid, case when ov - 3 <= av then o else a end as a, case when ov - 3 <= av then ov else av end as av, r, rv from b)"""
+
+
+@bound("j3_sticky_nearest", f"with {_STICKY} select t.chart, t.pid, case when a is null then r when rv + 3.0 < av then r else a end as id from t left join c on t.chart = c.chart and t.pid = c.pid")
+def j3(spark, d):
+    t, e = touches(spark, d), elements(spark, d)
+    past = S.within_reach(t, e.withColumn("radius", col("radius") + 2.0), 8.0).groupBy("chart", "pid").agg(F.max_by("id", "n").alias("current"), F.min_by("series", "n").alias("follow"))
+    return S.sticky_nearest(t.join(past, ["chart", "pid"], "left"), e, 8.0)
+
+
 @bound("j4_crossings", f"with {_CROSS} select chart, na, nb, series_a, series_b, round(x, 6) as x, round(y, 6) as y from c")
 def j4(spark, d):
     c = S.crossings(elements(spark, d).where("shape = 'segmento'"), 12.0)
@@ -186,7 +200,10 @@ def a36(spark, d):
     return out.select("k", "n", F.round("valor", 3).alias("valor"), F.array_join("avisos", ",").alias("avisos"))
 
 
-@bound("a37_repair")
+@bound("a37_repair", f"""with {_FIT}, j as (select ax.k, n, v, v::bigint::varchar as texto, m*px + b as p from ax join ft on ax.k = ft.k where used >= 3), w as (select *, abs(p - v) <= 0.04*(max(v) over (partition by k) - min(v) over (partition by k)) + 1e-12 as ok from j),
+ g as (select *, 0.04*(max(case when ok then v end) over (partition by k) - min(case when ok then v end) over (partition by k)) as r, regexp_replace(texto, '[^0-9]', '', 'g') as d from w),
+ c as (select k, n, p, r, unnest(list_distinct(list_concat(list_transform(range(1, length(d)), lambda q: substr(d, 1, q) || '.' || substr(d, q + 1)), ['0.' || d, d, d || '0'], case when length(d) > 1 then [substr(d, 1, length(d) - 1)] else [] end))) as t from g where not ok and d <> ''),
+ e as (select *, abs(t::double - p) as e from c) select k, n, arg_min(t, (e, t)) as corregida, arg_min(t::double, (e, t)) as valor_nuevo from e group by 1, 2 having min(e) <= any_value(r)""")
 def a37(spark, d):
     a = axis(spark, d).withColumn("texto", col("v").cast("long").cast("string"))
     return K.repaired(a, K.robust_line(a, ["k"], "n", "px", "v"), ["k"], "n", "px", "texto", "v")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.bindings.registry import bound, table
+from lodestar.bindings.registry import SQL, bound, table
 from lodestar.bindings.spatial import TOUCHERS, charts, elements
 from lodestar.streaming import events as E
 from lodestar.streaming import selection as S
+from lodestar.streaming.consumer import consumed
 
 col = F.col
 
@@ -61,6 +62,13 @@ def t4(spark, d):
     return S.debounced(ev, "user_id", "t", "event_id", "event_type")
 
 
+@bound("u2_held", SQL["t4_debounce"].replace("stable as estable", "stable as selection").replace("select user_id, event_id, stable", "select user_id as session, event_id as n, stable"))
+def u2(spark, d):
+    """T4 as a consumer of its name, made and configured for each session."""
+    ev = table(spark, d, "events").select(col("user_id").alias("session"), (col("event_id") / 15.0).alias("t"), col("event_id").alias("n"), col("event_type").alias("value"))
+    return consumed(ev, "held", {"enter": 60, "change": 120, "leave": 150})
+
+
 @bound("t5_selection")
 def t5(spark, d):
     return S.replay(samples(spark, d), elements(spark, d))

@@ -21,6 +21,39 @@ def pct(c: Column | str, q: float) -> Column:
     return F.percentile(F.when(~F.isnan(c), c), F.lit(q))
 
 
+#: Share of a group's rows that percentile_approx may be off by, and the groups up to which bounds of groups are sent to every task.
+OFF, FEW_GROUPS = 1e-4, 10_000
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """A3 for groups of any size: (keys, a column for each of wanted: name -> (column, q)), exact and linear between ranks, null without values.
+
+    An exact percentile keeps a group's values in one buffer. Here an approximate one brackets the rank (its error is at most OFF of the rows), values below the bracket are only counted, and those inside, a few in ten thousand, are counted by value and ranked.
+    """
+    clean = {n: F.when(~F.isnan(c), F.col(c)) for n, (c, _) in wanted.items()}
+    edge = lambda n, q: F.percentile_approx(clean[n], min(max(q, 0.0), 1.0), round(1 / OFF))
+    bounds = df.groupBy(*keys).agg(*(F.struct(F.count(clean[n]).alias("n"), *((F.lit(float("-inf")) if q <= OFF * 2 else edge(n, q - 2 * OFF)).cast("double").alias("lo"),), (F.lit(float("inf")) if q >= 1 - OFF * 2 else edge(n, q + 2 * OFF)).cast("double").alias("hi")).alias(f"_b_{n}") for n, (_, q) in wanted.items()))
+    if keys and bounds.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS or not keys:
+        bounds = F.broadcast(bounds)
+    named = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(f"_b_{n}" for n in wanted))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = df.join(named, same)
+    below = both.groupBy(*keys).agg(*(F.struct(F.count_if(clean[n] < F.col(f"_b_{n}.lo")).alias("u"), F.max(F.when(clean[n] < F.col(f"_b_{n}.lo"), clean[n])).cast("double").alias("prev"), F.min(F.when(clean[n] > F.col(f"_b_{n}.hi"), clean[n])).cast("double").alias("next")).alias(f"_u_{n}") for n in wanted), *(F.first(f"_b_{n}").alias(f"_b_{n}") for n in wanted))
+    inside = F.explode(F.filter(F.array(*(F.when((clean[n] >= F.col(f"_b_{n}.lo")) & (clean[n] <= F.col(f"_b_{n}.hi")), F.struct(F.lit(n).alias("name"), clean[n].cast("double").alias("v"))) for n in wanted)), lambda x: x.isNotNull())).alias("_x")
+    counted = both.select(*keys, inside).select(*keys, "_x.*").groupBy(*keys, "name", "v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counted.withColumn("_c", F.sum("_c").over(Window.partitionBy(*keys, "name").orderBy("v")))
+    flat = below.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_u_{n}.u").alias("u"), F.col(f"_u_{n}.prev").alias("prev"), F.col(f"_u_{n}.next").alias("next"), (F.lit(q) * (F.col(f"_b_{n}.n") - 1)).alias("r")) for n, (_, q) in wanted.items()))).alias("_x")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_x.name").alias("_name"), "_x.u", "_x.prev", "_x.next", "_x.r")
+    met = upto.join(flat, same & (F.col("name") == F.col("_name")))
+    # between neighbouring ranks the bracket may end one short: there its neighbours outside stand
+    at = lambda rank: F.when(F.max(rank - F.col("u")) < 0, F.max("prev")).otherwise(F.coalesce(F.min(F.when(F.col("u") + F.col("_c") > rank, F.col("v"))), F.max("next")))
+    got = met.groupBy(*keys, "name").agg(at(F.floor("r")).alias("a"), at(F.ceil("r")).alias("b"), F.max(F.col("r") - F.floor("r")).alias("f"))
+    wide = got.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("a") + F.col("f") * (F.col("b") - F.col("a")))).alias(n) for n in wanted))
+    every = below.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    return every.join(wide, same, "left").select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), *wanted)
+
+
 def share(flag: Column) -> Column:
     """Percent of rows with the flag; null without rows."""
     return F.when(F.count(F.lit(1)) > 0, 100.0 * F.count_if(flag) / F.count(F.lit(1)))
@@ -39,11 +72,15 @@ def zone_rates(df: DataFrame, zone: str, kind: str, flag: Column) -> DataFrame:
 
 
 def target_summary(df: DataFrame, keys: list[str], frames: str, hit: str, series_hit: str, chosen: str, error: str, *medians: str) -> DataFrame:
-    """A4: trials with frames only: counts, shares, error and medians of the other measures."""
-    return df.where(F.col(frames) > 0).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("intentos"), share(F.col(hit)).alias("acierto_pct"), share(F.col(series_hit)).alias("acierto_serie_pct"),
-        share(F.col(chosen).isNull()).alias("sin_seleccion_pct"), med(error).alias("error_mediana"), pct(error, 0.9).alias("error_p90"), *(med(m).alias(f"{m}_mediana") for m in medians),
-    )
+    """A4: trials with frames only: counts, shares, error and medians of the other measures. Groups may be of any size."""
+    seen = df.where(F.col(frames) > 0)
+    shares = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("intentos"), share(F.col(hit)).alias("acierto_pct"), share(F.col(series_hit)).alias("acierto_serie_pct"), share(F.col(chosen).isNull()).alias("sin_seleccion_pct"))
+    mids = exact_percentiles(seen, keys, {"error_mediana": (error, 0.5), "error_p90": (error, 0.9)} | {f"{m}_mediana": (m, 0.5) for m in medians})
+    mids = mids.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return shares.join(mids, same, "left").drop(*(f"_{k}" for k in keys))
 
 
 def bias(df: DataFrame, keys: list[str], dx: str, dy: str) -> DataFrame:

@@ -169,6 +169,31 @@ def spaced(df: DataFrame, keys: list[str], order: str, x: str, y: str, least: fl
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
+#: The corners of a plate, with their place as shares of width and height, and names of other places.
+CORNERS = (("superior izquierda", 0, 0), ("superior derecha", 1, 0), ("inferior izquierda", 0, 1), ("inferior derecha", 1, 1))
+PLACES = {"corner": "esquina {} de la placa", "origin": "origen de los ejes", "across": "extremo derecho del eje horizontal", "up": "extremo superior del eje vertical", "code": "esquina {} del QR", "first": "primer punto de ", "last": "último punto de "}
+
+
+def reference_candidates(charts: DataFrame, elements: DataFrame, key: str = "chart") -> DataFrame:
+    """(key, orden, nombre, x, y): places that are easy to point at, in order: the plate's corners but the cut one, each axis's ends, two corners of the code, the first and last point of each series. charts: width, height, cut (a name in CORNERS or null); elements: n, tipo, id, serie, shape, x1, y1, x2, y2."""
+    place = lambda stage, n, name, x, y: F.struct((F.lit(stage * 10**12) + n).cast("bigint").alias("orden"), name.alias("nombre"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    corners = F.array(*(F.when(~F.col("cut").eqNullSafe(F.lit(n)), place(0, F.lit(k), F.lit(PLACES["corner"].format(n)), x * F.col("width"), y * F.col("height"))) for k, (n, x, y) in enumerate(CORNERS)))
+    flat = F.abs(F.col("x2") - F.col("x1")) >= F.abs(F.col("y2") - F.col("y1"))
+    forward = F.when(flat, F.col("x1") <= F.col("x2")).otherwise(F.col("y1") >= F.col("y2"))
+    end = lambda a, b, want: F.when(forward == F.lit(want), F.col(a)).otherwise(F.col(b))
+    ends = F.array(place(1, 2 * F.col("n"), F.lit(PLACES["origin"]), end("x1", "x2", True), end("y1", "y2", True)), place(1, 2 * F.col("n") + 1, F.when(flat, PLACES["across"]).otherwise(PLACES["up"]), end("x1", "x2", False), end("y1", "y2", False)))
+    code = elements.where(F.lower("id") == "qr").groupBy(key).agg(F.min_by(F.struct("shape", "x1", "y1", "x2", "y2"), "n").alias("q")).select(key, "q.*").where("shape = 'rect'")
+    two = F.array(place(2, F.lit(0), F.lit(PLACES["code"].format("superior izquierda")), F.least("x1", "x2"), F.least("y1", "y2")), place(2, F.lit(1), F.lit(PLACES["code"].format("inferior derecha")), F.greatest("x1", "x2"), F.greatest("y1", "y2")))
+    spot = F.struct("x1", "n", "y1")
+    series = elements.where("tipo = 'punto'").groupBy(key, "serie").agg(F.min("n").alias("n"), F.min(spot).alias("a"), F.max(spot).alias("b"))
+    outer = F.array(*(place(3, 2 * F.col("n") + k, F.concat(F.lit(PLACES[w]), "serie"), F.col(f"{c}.x1"), F.col(f"{c}.y1")) for k, (w, c) in enumerate((("first", "a"), ("last", "b")))))
+    parts = [charts.select(key, F.explode(F.array_compact(corners)).alias("r")), elements.where("tipo = 'eje'").select(key, F.explode(ends).alias("r")), code.select(key, F.explode(two).alias("r")), series.select(key, F.explode(outer).alias("r"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(key, "r.*")
+
+
 def reference_points(candidates: DataFrame, keys: list[str], rank: str, x: str, y: str, apart: float = 2.0, most: int = 12) -> DataFrame:
     """Candidates in order of rank, those nearer than apart to an earlier one dropped, the first most. Sequential for each chart."""
 

@@ -69,6 +69,23 @@ def nearest_element(points: DataFrame, elements: DataFrame, size: float, bonus:
     return points.select("chart", "pid").join(best.select("chart", "pid", pick.alias("id")), ["chart", "pid"], "left")
 
 
+def sticky_nearest(points: DataFrame, elements: DataFrame, size: float, hysteresis: float = 2.0, bonus: float = 3.0, margin: float = 3.0, follow_margin: float = 3.0) -> DataFrame:
+    """As nearest_element, for points that say what was chosen before (current) and which series is followed (follow): (chart, pid, id).
+
+    The current element reaches further by hysteresis and counts as that much nearer. Of the followed series the nearest is taken, unless another is nearer by more than follow_margin. Without a past (nulls) it is nearest_element.
+    """
+    wider = within_reach(points, elements.withColumn("radius", F.col("radius") + hysteresis), size)
+    stick = F.when(F.col("id") == F.col("current"), F.lit(hysteresis)).otherwise(F.lit(0.0))
+    near = wider.where(F.col("d") <= F.col("radius") - hysteresis + stick).withColumn("d", F.col("d") - stick)
+    data = F.col("priority") < REST
+    worth = F.col("d") - F.when(F.col("shape") == "punto", F.lit(bonus)).otherwise(F.lit(0.0))
+    first, other = F.struct(worth.alias("k"), "priority", "n", "id"), F.struct(F.col("d").alias("k"), "priority", "n", "id")
+    best = near.groupBy("chart", "pid").agg(F.min(F.when(data, first)).alias("a"), F.min(F.when(data & (F.col("series") == F.col("follow")), first)).alias("o"), F.min(F.when(~data, other)).alias("b"))
+    best = best.withColumn("a", F.when(F.col("o.k") - follow_margin <= F.col("a.k"), F.col("o")).otherwise(F.col("a")))
+    pick = F.when(F.col("a").isNull(), F.col("b.id")).when(F.col("b.k") + margin < F.col("a.k"), F.col("b.id")).otherwise(F.col("a.id"))
+    return points.select("chart", "pid").join(best.select("chart", "pid", pick.alias("id")), ["chart", "pid"], "left")
+
+
 def crossings(segments: DataFrame, size: float) -> DataFrame:
     """(chart, a, b, series_a, series_b, x, y) where segments (chart, n, id, series, x1, y1, x2, y2) of different series cross. Each pair meets in the cells both touch; it counts in the one that holds the crossing's lower left cell of both."""
     spread = with_cells(segments.where("series is not null and series <> ''"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)

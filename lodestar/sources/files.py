@@ -15,10 +15,12 @@ ALIASES = {"etiqueta": ("etiqueta", "nombre", "punto", "mes", "label", "categori
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is named (tests) a local one."""
+    """The folder that driver and executors share; only where none is named and Spark runs in this process (tests) a local one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
 
     made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -112,25 +114,47 @@ def element_rows(df: DataFrame) -> DataFrame:
 
 def write_elements(df: DataFrame, path: str, part: str) -> None:
     """A folder of CSV for each chart; each chart's rows are sorted within one file."""
-    element_rows(df).repartition(part).sortWithinPartitions(part, "_r", "n").select(part, *ELEMENTS).write.partitionBy(part).option("header", True).option("emptyValue", "").csv(path)
+    element_rows(df).repartition(part).sortWithinPartitions(part, "_r", "n").select(part, *ELEMENTS).write.partitionBy(part).option("header", True).option("emptyValue", "").option("escape", "\"").csv(path)
 
 
-def reading_rows(df: DataFrame, key: str) -> DataFrame:
-    """A nested reading (textos, curvas, avisos) as long rows (key, tipo, elemento, x1, y1, valor_x, valor_y, texto)."""
-    num = F.lit(None).cast("double")
-    text = F.lit(None).cast("string")
-    warn = df.select(key, F.posexplode("avisos").alias("i", "a")).select(key, F.lit("advertencia").alias("tipo"), F.col("i").cast("string").alias("elemento"), num.alias("x1"), num.alias("y1"), num.alias("valor_x"), num.alias("valor_y"), F.col("a").alias("texto"))
-    words = df.select(key, F.posexplode("textos").alias("i", "t")).select(key, F.lit("texto").alias("tipo"), F.col("i").cast("string").alias("elemento"), F.col("t.x").alias("x1"), F.col("t.y").alias("y1"), num.alias("valor_x"), num.alias("valor_y"), F.col("t.texto").alias("texto"))
-    pts = df.select(key, F.explode("curvas").alias("c")).select(key, F.col("c.serie").alias("serie"), F.posexplode("c.puntos").alias("k", "p")).select(key, F.lit("curva").alias("tipo"), F.concat_ws(":", "serie", F.col("k").cast("string")).alias("elemento"), F.col("p.px").alias("x1"), F.col("p.py").alias("y1"), F.col("p.valor_x").alias("valor_x"), F.col("p.valor_y").alias("valor_y"), text.alias("texto"))
-    return warn.unionByName(words).unionByName(pts)
+#: Fixed columns of a reading export.
+READING = ("tipo", "elemento", "x1", "y1", "x2", "y2", "ancho_px", "alto_px", "valor_x", "valor_y", "texto", "descripcion")
 
 
-def plate_documents(points: DataFrame, key: str, series: str, x: str, y: str, most: int = 40) -> DataFrame:
-    """(key, json): for each plate its series with thinned values and extremes, as one document."""
+def reading_rows(df: DataFrame, key: str) -> DataFrame:
+    """A nested reading as long rows (key, READING). df: key, resumen (string), avisos (array of strings), ejes (array of nombre, x1, y1, x2, y2, escala), textos (array of x, y, ancho, alto, texto), curvas (array of serie and puntos: px, py, valor_x, valor_y), barras (array of serie, x1, y1, x2, y2, valor, categoria)."""
+
+    def rows(kind: str, given: DataFrame, **named: Column) -> DataFrame:
+        kinds = {c: "double" if c not in ("tipo", "elemento", "texto", "descripcion") else "string" for c in READING}
+        return given.select(key, *((F.lit(kind) if c == "tipo" else named[c] if c in named else F.lit(None)).cast(kinds[c]).alias(c) for c in READING))
+
+    each = lambda c: df.select(key, F.posexplode(c).alias("i", "v"))
+    v, i = (lambda f: F.col(f"v.{f}")), F.col("i").cast("string")
+    corners = {c: v(c) for c in ("x1", "y1", "x2", "y2")}
+    points = each("curvas").select(key, F.col("v.serie").alias("serie"), F.posexplode("v.puntos").alias("i", "v"))
+    parts = [
+        rows("resumen", df.where("resumen is not null"), texto=F.col("resumen")),
+        rows("advertencia", each("avisos"), elemento=i, texto=F.col("v")),
+        rows("eje", each("ejes"), elemento=v("nombre"), descripcion=v("escala"), **corners),
+        rows("texto", each("textos"), elemento=i, x1=v("x"), y1=v("y"), ancho_px=v("ancho"), alto_px=v("alto"), texto=v("texto")),
+        rows("curva", points, elemento=F.concat_ws(":", "serie", i), x1=v("px"), y1=v("py"), valor_x=v("valor_x"), valor_y=v("valor_y")),
+        rows("barra", each("barras"), elemento=v("serie"), valor_y=v("valor"), texto=v("categoria"), **corners),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def plate_documents(points: DataFrame, key: str, series: str, x: str, y: str, most: int = 40, about: DataFrame | None = None) -> DataFrame:
+    """(key, json): for each plate one document: its series with thinned values and extremes, its axes' ranges and, of about (key, contexto, leyenda), the context and the legend."""
     from lodestar.operators.rates import extremes
     from lodestar.operators.series import thinned
 
     few = thinned(points, [key, series], x, most).groupBy(key, series).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("valores"))
     full = few.join(extremes(points, [key, series], x, y), [key, series])
     one = F.struct(F.col(series).alias("serie"), "valores", "y_max", "x_max", "y_min", "x_min")
-    return full.groupBy(key).agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("series"))).alias("json"))
+    axes = points.groupBy(key).agg(F.struct(*(F.struct(F.min(c).alias("min"), F.max(c).alias("max")).alias(n) for n, c in (("x", x), ("y", y)))).alias("ejes"))
+    docs = full.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("series")).join(axes, key)
+    docs = docs.join(about.select(key, "contexto", "leyenda"), key, "left") if about is not None else docs.withColumns({"contexto": F.lit(None).cast("string"), "leyenda": F.lit(None).cast("string")})
+    return docs.select(key, F.to_json(F.struct("series", "ejes", "contexto", "leyenda")).alias("json"))

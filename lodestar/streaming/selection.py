@@ -246,7 +246,8 @@ _COLUMNS = ["session", "n", "t", "active", "element", "candidates"]
 def replay(samples: DataFrame, elements: dict | DataFrame, c: Config = Config()) -> DataFrame:
     """The batch twin: a session's samples in order of time. elements: by chart, or a table (chart, n, id, ...), of which a session's task gets the charts that it touches."""
     if isinstance(elements, dict):
-        return samples.groupBy("session").applyInPandas(lambda pdf: pd.DataFrame(_run(pdf, Selection(OneEuro(c.min_hz, c.beta)), elements, c), columns=_COLUMNS), OUT)
+        given = samples.sparkSession.sparkContext.broadcast(elements)
+        return samples.groupBy("session").applyInPandas(lambda pdf: pd.DataFrame(_run(pdf, Selection(OneEuro(c.min_hz, c.beta)), given.value, c), columns=_COLUMNS), OUT)
     own = samples.select(F.col("session").alias("_session"), F.col("chart").alias("_chart")).distinct().join(elements_of(elements).withColumnRenamed("chart", "_chart"), "_chart")
 
     def run(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
@@ -256,15 +257,18 @@ def replay(samples: DataFrame, elements: dict | DataFrame, c: Config = Config())
     return samples.groupBy("session").cogroup(own.groupBy("_session")).applyInPandas(run, OUT)
 
 
-def stream(samples: DataFrame, elements: dict | DataFrame, c: Config = Config()) -> DataFrame:
-    """The stream: a session's state is kept between batches. Of a table of elements each sample takes its chart's along, as a stream can't be cogrouped."""
-    given = elements if isinstance(elements, dict) else None
+def stream(samples: DataFrame, elements: dict | DataFrame, c: Config = Config(), idle_ms: int | None = None) -> DataFrame:
+    """The stream: a session's state is kept between batches, and dropped when nothing of the session has come for idle_ms (a stream that runs until its files are read must not set it: it would wait for its timers). Of a table of elements each sample takes its chart's along, as a stream can't be cogrouped; a dictionary of elements is broadcast."""
+    given = samples.sparkSession.sparkContext.broadcast(elements) if isinstance(elements, dict) else None
     if given is None:
         samples = samples.join(elements_of(elements), "chart", "left")
 
     def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = pickle.loads(state.get[0]) if state.exists else Selection(OneEuro(c.min_hz, c.beta))
-        by, parts = {} if given is None else given, []
+        by, parts = {} if given is None else given.value, []
         for pdf in pdfs:
             if given is None:
                 for k, e in pdf.drop_duplicates("chart")[["chart", "elements"]].itertuples(index=False):
@@ -274,9 +278,11 @@ def stream(samples: DataFrame, elements: dict | DataFrame, c: Config = Config())
             parts.append(pdf)
         rows = _run(pd.concat(parts), s, by, c)
         state.update((pickle.dumps(s),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return samples.groupBy("session").applyInPandasWithState(update, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("session").applyInPandasWithState(update, OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def filtered(samples: DataFrame, c: Config = Config()) -> DataFrame:
