@@ -96,7 +96,12 @@ def w10(spark, d):
     return W.thinned(walk(spark, d), ["user_id"], "x", 20).select("user_id", "event_id")
 
 
-@bound("w11_simplify")
+# each round halves the pieces whose farthest vertex is too far off
+@bound("w11_simplify", f"""with recursive {_WALK}, n as (select user_id, x, y, row_number() over (partition by user_id order by x) as i, count(*) over (partition by user_id) as c from w), s as (select user_id, 1::bigint as a, max(c)::bigint as b from n group by 1
+ union all select s.user_id, case when h.k = 0 then s.a else f.far end, case when h.k = 0 then f.far else s.b end from s, lateral (select arg_max(p.i, (d.off, -p.i)) as far, max(d.off) as m from n p join n u on u.user_id = s.user_id and u.i = s.a join n v on v.user_id = s.user_id and v.i = s.b,
+ lateral (select case when v.x = u.x and v.y = u.y then sqrt(power(p.x-u.x, 2) + power(p.y-u.y, 2)) else abs((v.x-u.x)*(p.y-u.y) - (v.y-u.y)*(p.x-u.x))/sqrt(power(v.x-u.x, 2) + power(v.y-u.y, 2)) end as off) d where p.user_id = s.user_id and p.i > s.a and p.i < s.b) f, (values (0), (1)) h(k) where f.m > 20),
+ e as (select distinct user_id, i from (select user_id, a as i from s union all select user_id, b from s)), r as (select *, row_number() over (partition by user_id order by i) - 1 as k, count(*) over (partition by user_id) as l from e)
+ select n.user_id, x, y from r join n using (user_id, i) where l <= 30 or k in (select round_even(j*(l-1)/29.0, 0)::bigint from range(0, 30) t(j))""")
 def w11(spark, d):
     return W.simplified(walk(spark, d).select("user_id", "x", "y"), ["user_id"], "x", "y", 20.0, 30)
 

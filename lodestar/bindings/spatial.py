@@ -138,11 +138,15 @@ def a21(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "chart"})
 
 
-@bound("a22_perturbed")
+@bound("a22_perturbed", f"""with e as ({_ELEM}), q as (select *, case when shape = 'punto' then x1 else (x1+x2)/2 end as x, case when shape = 'punto' then y1 else (y1+y2)/2 end as y from e where priority < 10),
+ u as (select q.*, sigma, k, (('0x' || substr(md5(chart || ':' || id || ':' || sigma || ':' || k || ':1'), 1, 13))::bigint + 0.5)/4503599627370496 as u0, (('0x' || substr(md5(chart || ':' || id || ':' || sigma || ':' || k || ':2'), 1, 13))::bigint + 0.5)/4503599627370496 as u1 from q, (values (1.0::double), (2.0::double), (4.0::double)) s(sigma), range(1, 21) d(k)),
+ t as (select chart, id || ':' || sigma || ':' || k as pid, id as tid, series as ts, shape as zona, sigma, x + sqrt(-2*ln(u0))*sigma*cos(2*pi()*u1) as px, y + sqrt(-2*ln(u0))*sigma*sin(2*pi()*u1) as py from u),
+ near as (select t.chart, pid, n, id, series, shape, radius, priority, {_DIST} as d from t join e on t.chart = e.chart where {_DIST} <= radius), {_WON}
+ select zona, sigma, count(*) as n, round(100.0*count_if(coalesce(won.id = tid, false))/count(*), 6) as exacto_pct, round(100.0*count_if(coalesce(e.series = ts, false))/count(*), 6) as serie_pct from t join won on won.chart = t.chart and won.pid = t.pid left join e on e.chart = won.chart and e.id = won.id group by 1, 2""")
 def a22(spark, d):
     e = elements(spark, d)
     t = e.where("priority < 10").select("chart", "id", "series", col("shape").alias("zona"), F.when(col("shape") == "punto", col("x1")).otherwise((col("x1") + col("x2")) / 2).alias("x"), F.when(col("shape") == "punto", col("y1")).otherwise((col("y1") + col("y2")) / 2).alias("y"))
-    return S.perturbed(t, e, [1.0, 2.0, 4.0], 20, 8.0)
+    return S.perturbed(t, e, [1.0, 2.0, 4.0], 20, 8.0).withColumns({c: F.round(c, 6) for c in ("exacto_pct", "serie_pct")})
 
 
 @bound("a33_text_density", """with b as (select p_partkey as bid, p_brand, p_size::double as x0, p_retailprice/50 as y0, p_size+12.0 as x1, p_retailprice/50+4 as y1 from part where p_partkey % 3 = 0),

@@ -183,7 +183,8 @@ def grid_coverage(charts: DataFrame, elements: DataFrame, step: float, size: flo
 def perturbed(targets: DataFrame, elements: DataFrame, sigmas: list[float], draws: int, size: float, seed: int = 1) -> DataFrame:
     """Targets (chart, id, series, zona, x, y) hit with Gaussian offsets, which hang on id and draw alone, not on the partitioning: percent matched exactly and by series for each zone and sigma."""
     rows = targets.withColumn("sigma", F.explode(F.array(*map(F.lit, sigmas)))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = lambda s: (F.shiftrightunsigned(F.xxhash64("chart", "id", "sigma", "_k", F.lit(seed + s)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    name = lambda s: F.concat_ws(":", *(F.col(c).cast("string") for c in ("chart", "id", "sigma", "_k")), F.lit(str(seed + s)))
+    u = lambda s: (F.conv(F.substring(F.md5(name(s)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     r, a = F.sqrt(-2 * F.log(u(0))) * F.col("sigma"), 2 * F.pi() * u(1)
     points = rows.select("chart", F.col("id").alias("tid"), F.col("series").alias("ts"), "zona", "sigma", F.xxhash64("id", "sigma", "_k").alias("pid"), (F.col("x") + r * F.cos(a)).alias("px"), (F.col("y") + r * F.sin(a)).alias("py"))
     hit = nearest_element(points, elements, size).join(elements.select("chart", "id", "series"), ["chart", "id"], "left")

@@ -5,11 +5,13 @@ State lives in plain objects and depends on the samples' own times only, so a re
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +158,21 @@ class Element:
         return math.hypot(x - self.x1 - k * dx, y - self.y1 - k * dy)
 
 
+class Chart(dict):
+    """A chart's elements by id, in their order, and their boxes in arrays: what may be in reach of a point is found without measuring each."""
+
+    @functools.cached_property
+    def _boxes(self) -> tuple[list[Element], np.ndarray]:
+        own = list(self.values())
+        box = [(min(a, b) - e.radius, min(p, q) - e.radius, -max(a, b) - e.radius, -max(p, q) - e.radius) for e in own for a, b, p, q in ((e.x1, e.x1 if e.x2 is None else e.x2, e.y1, e.y1 if e.y2 is None else e.y2),)]
+        return own, np.array(box).reshape(-1, 4).T
+
+    def near(self, x: float, y: float, more: float) -> list[Element]:
+        """Elements whose box, widened by their radius and more, holds the point."""
+        own, box = self._boxes
+        return [own[i] for i in np.flatnonzero((box <= np.array([[x], [y], [-x], [-y]]) + more).all(0))]
+
+
 def under(x: float, y: float, elements: Iterable[Element], c: Config, current: str | None = None, series: str = "") -> tuple[str | None, list[str]]:
     """The element under a point, and all in reach. The current one reaches further and counts as nearer; the followed series is preferred unless another is nearer by more than its margin."""
     data, rest, own, reach = [], [], [], []
@@ -205,7 +222,8 @@ class Selection:
             if self.filter.t is not None and t - self.filter.t > c.hand_grace / 1000:
                 self.filter = OneEuro(c.min_hz, c.beta)
             x, y = self.filter.step(t, *one)
-            found, reach = under(x, y, elements.values(), c, self.choice.stable, self.series if t - self.series_at <= c.follow_s else "")
+            near = elements.near(x, y, c.hysteresis) if isinstance(elements, Chart) else elements.values()
+            found, reach = under(x, y, near, c, self.choice.stable, self.series if t - self.series_at <= c.follow_s else "")
             e = elements.get(self.choice.step(t, found, c) or "")
             if e and e.priority < c.rest_priority and e.series:
                 self.series, self.series_at = e.series, t
@@ -226,7 +244,7 @@ def elements_of(rows: DataFrame) -> DataFrame:
 
 def _listed(found: Iterable) -> dict[str, Element]:
     none = lambda v: None if v is None or v != v else v
-    return {e["id"]: Element(e["id"], e["series"], e["shape"], e["priority"], e["radius"], e["x1"], e["y1"], none(e["x2"]), none(e["y2"])) for e in found}
+    return Chart({e["id"]: Element(e["id"], e["series"], e["shape"], e["priority"], e["radius"], e["x1"], e["y1"], none(e["x2"]), none(e["y2"])) for e in found})
 
 
 def _run(pdf: pd.DataFrame, state: Selection, elements: dict, c: Config) -> list[tuple]:

@@ -59,8 +59,12 @@ def test_exports(spark, tmp_path):
     S.write_elements(df, str(tmp_path / "out"), "chart")
     lines = next((tmp_path / "out" / "chart=c1").glob("*.csv")).read_text().splitlines()
     assert lines[0] == ",".join(S.ELEMENTS) and lines[1].startswith("placa") and lines[2].startswith("punto,p,s,1.0,")
-    reading = spark.sql("select 1L as id, array('ajuste') as avisos, array(named_struct('x', 1.0D, 'y', 2.0D, 'texto', 'a')) as textos, array(named_struct('serie', 's', 'puntos', array(named_struct('px', 1.0D, 'py', 2.0D, 'valor_x', 3.0D, 'valor_y', 4.0D)))) as curvas")
-    assert sorted(r["tipo"] for r in S.reading_rows(reading, "id").collect()) == ["advertencia", "curva", "texto"]
+    reading = spark.sql("""select 1L as id, 'una curva' as resumen, array('ajuste') as avisos, array(named_struct('nombre', 'x', 'x1', 0.0D, 'y1', 9.0D, 'x2', 9.0D, 'y2', 9.0D, 'escala', 'log')) as ejes,
+     array(named_struct('x', 1.0D, 'y', 2.0D, 'ancho', 3.0D, 'alto', 4.0D, 'texto', 'a')) as textos, array(named_struct('serie', 's', 'puntos', array(named_struct('px', 1.0D, 'py', 2.0D, 'valor_x', 3.0D, 'valor_y', 4.0D)))) as curvas,
+     array(named_struct('serie', 'b', 'x1', 1.0D, 'y1', 2.0D, 'x2', 3.0D, 'y2', 4.0D, 'valor', 5.0D, 'categoria', 'c')) as barras""")
+    rows = {r["tipo"]: r for r in S.reading_rows(reading, "id").collect()}
+    assert sorted(rows) == ["advertencia", "barra", "curva", "eje", "resumen", "texto"] and list(rows["eje"].asDict())[1:] == list(S.READING)
+    assert rows["barra"]["valor_y"] == 5.0 and rows["eje"]["descripcion"] == "log" and rows["texto"]["ancho_px"] == 3.0 and rows["curva"]["elemento"] == "s:0"
     pts = spark.range(100).selectExpr("1L as k", "'s' as serie", "cast(id as double) as x", "cast(id * id as double) as y")
     doc = json.loads(S.plate_documents(pts, "k", "serie", "x", "y", 10).first()["json"])
     assert len(doc["series"][0]["valores"]) == 10 and doc["series"][0]["y_max"] == 9801.0
