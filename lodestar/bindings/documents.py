@@ -294,7 +294,11 @@ def j23(spark, d):
     return M.without_overlaps(nested(spark, d), PAGE, "p_partkey").select("p_partkey")
 
 
-@bound("j25_united_boxes")
+# the first two that are near become one, until none are
+@bound("j25_united_boxes", f"""with recursive q as ({_BOX}), r as (select p_brand, pag, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} order by p_partkey) as b, 0 as it from q group by 1, 2
+ union all select r.p_brand, r.pag, list_append(list_filter(r.b, lambda v, k: k <> m.i and k <> m.j), {{'x0': least(r.b[m.i].x0, r.b[m.j].x0), 'y0': least(r.b[m.i].y0, r.b[m.j].y0), 'x1': greatest(r.b[m.i].x1, r.b[m.j].x1), 'y1': greatest(r.b[m.i].y1, r.b[m.j].y1)}}), it + 1
+ from r, lateral (select min(i) as i, arg_min(j, (i, j)) as j from range(1, len(r.b) + 1) s(i), range(1, len(r.b) + 1) t(j) where i < j and r.b[i].x0 - 15 <= r.b[j].x1 and r.b[j].x0 - 15 <= r.b[i].x1 and r.b[i].y0 - 15 <= r.b[j].y1 and r.b[j].y0 - 15 <= r.b[i].y1) m where m.i is not null),
+ e as (select p_brand, pag, list_sort(arg_max(b, it)) as b from r group by 1, 2) select p_brand, pag, k::bigint as n, b[k + 1].x0 as x0, b[k + 1].y0 as y0, b[k + 1].x1 as x1, b[k + 1].y1 as y1 from e, lateral (select unnest(range(0, len(e.b))) as k)""")
 def j25(spark, d):
     return M.united_boxes(boxes(spark, d), PAGE, "p_partkey")
 
