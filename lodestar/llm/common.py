@@ -132,11 +132,23 @@ class Cache(dict):
         return value
 
 
-class WordHashes(Cache):
-    """64-bit hashes of words."""
+class WordHashes(dict):
+    """64-bit hashes of words, as a Cache of bytes."""
 
     def __init__(self, limit: int = 64 << 20):
-        super().__init__(xxhash.xxh3_64_intdigest, limit)
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        size = len(word) + 170
+        if self.held + size > self.limit:
+            self.clear()
+            self.held = 0
+        if size < self.limit >> 4:
+            self[word] = h
+            self.held += size
+        return h
 
 
 def shingles(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:

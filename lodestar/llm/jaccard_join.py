@@ -4,7 +4,7 @@ A document's set holds the hashes of its five-word shingles. Documents with equa
 
 1. Groups: nodes that share one of their least hashes, and most of a small bottom sketch, are compared with the most typical node of that bucket. Verified links make groups of similar nodes, all of one component. This is a heuristic, which the rest doesn't depend on.
 2. Matrix: for each token the groups that have it, with the sizes of their members and the most that an overlap beginning there can reach. Its index holds leading tokens: a set of n tokens links only with sets that share one of its first n - ceil(0.8 n) + 1 tokens, in any order that holds for all sets. The order here puts tokens that many documents share last.
-3. Bound: two groups that share no token of the index can't hold a link, nor can those where the size or the position of each shared token leaves too little. Of those that are left each member of the one is a query for the other: its overlap with the group's tokens is summed, first over its leading tokens, and where that leaves enough, over all its tokens and the union of all tokens of the group's members. No member can share more with it.
+3. Bound: two groups that share no token of the index can't hold a link, nor can those where the size or the position of each shared token leaves too little. Of those that are left each member of the one is a query for the other: its overlap with the group's tokens is summed: first cell by cell of histograms of 64 cells (of the group the most of any member), and where that leaves enough, over all tokens of the query and the union of all tokens of the group's members. No member can share more with it.
 4. Open: only groups whose summed overlap reaches what a link with their smallest member needs. Their members that share leading tokens enough with the query are compared with it in full.
 
 So a large group of near copies meets others as one column of the matrix, and no pairs within it are listed. Components of all verified links are exact (up to 64-bit hash collisions of shingles). Where one token, node, bucket or group has very many rows they are dealt over several tasks (common.spread).
@@ -19,14 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import WordHashes, arrow, as_long, batches, bloom, bloom_hit, components, forget, maybe_in, release, shingles, spread, written
+from lodestar.llm.common import WordHashes, arrow, as_long, batches, bloom, bloom_hit, components, forget, hashable, maybe_in, release, shingles, spread, written
 
 #: Tokens of a set's bottom sketch, how many of them bucket it, and how many two sketches must share to be compared in step 1.
 SKETCH, BUCKETS, ALIKE = 16, 4, 9
+#: Cells of a set's histogram: its tokens by their leading bits.
+CELLS = 64
 #: Common tokens: in a block of BLOCK shingles at least LOCAL times. The COMMON most frequent of them go last in the order; which they are changes the cost, not the result.
 BLOCK, LOCAL, COMMON = 2_000_000, 3, 1 << 18
 
@@ -65,8 +67,8 @@ def leading(n: int) -> int:
 
 
 def _sets(docs: DataFrame, common, key: str, text: str) -> DataFrame:
-    """(key, n, h, typical, sketch, tokens) of each row; h: hash of the whole set; tokens: the leading ones."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("typical", pa.int64()), ("sketch", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+    """(key, n, h, typical, sketch, cells, tokens) of each row; h: hash of the whole set; cells: its histogram; tokens: the leading ones."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("typical", pa.int64()), ("sketch", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64()))])
 
     def run(it) -> Iterator[tuple]:
         hashes = WordHashes()
@@ -74,7 +76,7 @@ def _sets(docs: DataFrame, common, key: str, text: str) -> DataFrame:
         for k, t in batches(it, key, text):
             s = shingles(t, hashes)
             if not len(s):
-                yield k, 0, None, 0, [], []
+                yield k, 0, None, 0, [], [], []
                 continue
             if len(often):
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -84,9 +86,9 @@ def _sets(docs: DataFrame, common, key: str, text: str) -> DataFrame:
             else:
                 rare, hot = s, s[:0]
             first = np.concatenate([rare, hot])[: leading(len(s))]
-            yield k, len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(hot) // len(s), as_long(s[:SKETCH]), as_long(first)
+            yield k, len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(hot) // len(s), as_long(s[:SKETCH]), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), as_long(first)
 
-    return docs.select(key, text).mapInArrow(lambda it: arrow(schema, run(it), 500), "key bigint, n bigint, h binary, typical bigint, sketch array<bigint>, tokens array<bigint>")
+    return docs.select(key, text).mapInArrow(lambda it: arrow(schema, run(it), 500), "key bigint, n bigint, h binary, typical bigint, sketch array<bigint>, cells array<int>, tokens array<bigint>")
 
 
 def _whole(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,9 +130,14 @@ def _groups(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
     return out
 
 
+def _band(n) -> Column:
+    """Sizes that can link are of one band or of neighbouring ones, up to five away."""
+    return F.floor(F.log(n) / float(np.log(1.05))).cast("int")
+
+
 def _index(grouped: DataFrame) -> DataFrame:
-    """The matrix over leading tokens: (token, group, band, least, most, rest) for tokens that several groups have. band: sizes that can link are of one band or of neighbouring ones. Members of a group are gathered before they meet other groups, so a token of a large group is few rows."""
-    rows = grouped.select("group", "several", "n", F.posexplode("tokens").alias("i", "token")).select("token", "group", "several", F.floor(F.log("n") / float(np.log(1.26))).cast("int").alias("band"), "n", (F.col("n") - F.col("i")).alias("rest"))
+    """The matrix over leading tokens: (token, group, band, least, most, rest) for tokens that several groups have. Members of a group are gathered before they meet other groups, so a token of a large group is few rows."""
+    rows = grouped.select("group", "several", "n", F.posexplode("tokens").alias("i", "token")).select("token", "group", "several", _band(F.col("n")).alias("band"), "n", (F.col("n") - F.col("i")).alias("rest"))
     alone = rows.where("not several").select("token", "group", "band", F.col("n").alias("least"), F.col("n").alias("most"), "rest")
     one = rows.where("several").groupBy("token", "group", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     per = Window.partitionBy("token")
@@ -138,22 +145,43 @@ def _index(grouped: DataFrame) -> DataFrame:
 
 
 def _queries(matrix: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(q, n, own, group, least, most): nodes and the groups, other than their own, that they may link with, by the overlap of leading tokens."""
-    # groups that share a token whose position leaves enough; one of two groups asks, the other is asked
-    keyed = lambda band: F.xxhash64("token", band)
-    one = matrix.select(keyed(F.col("band")).alias("k"), F.col("token").alias("token1"), F.col("group").alias("own"), F.col("least").alias("l1"), F.col("most").alias("m1"), F.col("rest").alias("r1"))
-    two = matrix.select("token", "group", "least", "most", "rest", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("near")).withColumn("k", keyed(F.col("near"))).drop("near")
-    may = spread(one, two, "k").where("token = token1 and own < group and 5 * m1 >= 4 * least and 5 * most >= 4 * l1 and 9 * least(r1, rest) >= 4 * (l1 + least)").groupBy("own", "group").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    """(q, n, own, group, least): nodes and the groups, other than their own, that they may link with.
+
+    Of two groups the one with the smaller set asks. It looks only where a link can begin: a set of n can link with one of m >= n only if the first token that both have leaves 4/9 (n + m), so at a token with less than 8/9 n left it asks for nothing, and else for bands of sizes up to 9/4 of what is left, less n.
+    """
+    home = matrix.select("token", "band", *(F.col(c).alias(f"h_{c}") for c in ("group", "least", "most", "rest")))
+    reach = F.least(F.col("most") * 1.25, F.col("rest") * 2.25 - F.col("least"))
+    asks = matrix.where("9 * rest >= 8 * least").select("token", "group", "least", "most", "rest", F.explode(F.sequence(_band(F.col("least")), F.greatest(_band(reach + 0.001), _band(F.col("least"))))).alias("band"))
+    keyed = lambda df: df.withColumn("k", F.xxhash64("token", "band")).drop("band")
+    met = spread(keyed(home).withColumnRenamed("token", "h_token"), keyed(asks), "k").where("token = h_token and group <> h_group and least <= h_most and 5 * most >= 4 * h_least and 9 * least(rest, h_rest) >= 4 * (least + greatest(least, h_least))")
+    may = met.select(F.least("group", "h_group").alias("own"), F.greatest("group", "h_group").alias("group")).distinct()
     may = written(may)
-    # the sum over leading tokens: all that the query has in the group's column
-    asking = spread(grouped.select(F.col("group").alias("own"), F.col("node").alias("q"), "n", "tokens"), may, "own").where("5 * n >= 4 * least and 5 * most >= 4 * n")
-    spots = asking.select("q", "n", "group", "least", "most", "own", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("token", "group"))
-    column = matrix.select(F.xxhash64("token", "group").alias("k")).distinct()
-    had = spots.join(column, "k").groupBy("q", "group").agg(F.min("n").alias("n"), F.first("own").alias("own"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("shared"))
-    # beyond its leading tokens a set of n has ceil(0.8 n) - 1; the one whose leading tokens end first counts
-    after = F.expr("(4 * greatest(n, least(most, 5 * n div 4)) + 4) div 5 - 1")
-    out = written(had.where(9 * F.least(F.col("shared") + after, "n") >= 4 * (F.col("n") + F.expr("greatest(least, (4 * n + 4) div 5)"))).select("q", "n", "own", "group", "least", "most"))
+    # the most that two sets can share, cell by cell of their histograms; a group has the most of its members in each
+    cells = grouped.where("several").groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.array(*(F.max(F.col("cells")[c]) for c in range(CELLS))).alias("cells"))
+    every = written(cells.unionByName(grouped.where("not several").select("group", F.lit(1).cast("bigint").alias("members"), F.col("n").alias("least"), F.col("n").alias("most"), "cells")))
+    sides = lambda k: every.select(F.col("group").alias(k), F.struct("members", "group", "least", "most", "cells").alias(f"{k}_s"))
+    one = written(spread(may, sides("own"), "own"))
+    two = spread(one, sides("group"), "group")
+    both = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: F.least(v, w)), F.lit(0), lambda s, v: s + v)
+    # the group of fewer members asks
+    small, large = F.least("own_s", "group_s"), F.greatest("own_s", "group_s")
+    turned = two.select(small.alias("a"), large.alias("b"))
+    smallest = F.expr("4 * (greatest(a.least, (4 * b.least + 4) div 5) + greatest(b.least, (4 * a.least + 4) div 5))")
+    near = written(turned.where(9 * both("a.cells", "b.cells") >= smallest).select(F.col("a.group").alias("own"), F.col("b.group").alias("group"), F.col("b.members").alias("members"), F.col("b.least").alias("least"), F.col("b.most").alias("most"), F.col("b.cells").alias("cells")))
+    forget(one)
     forget(may)
+    forget(every)
+    asking = spread(grouped.select(F.col("group").alias("own"), F.col("node").alias("q"), "n", F.col("cells").alias("q_cells"), "tokens"), near, "own").where("5 * n >= 4 * least and 5 * most >= 4 * n").where(9 * both("q_cells", "cells") >= 4 * (F.col("n") + F.expr("greatest(least, (4 * n + 4) div 5)")))
+    asking = written(asking.select("q", "n", "own", "group", "members", "least", "most", "tokens"))
+    forget(near)
+    # what leading tokens both have, and what can follow them: beyond its leading tokens a set of n has ceil(0.8 n) - 1, and the one whose leading tokens end first counts
+    enough = F.expr("9 * least(n, shared + (4 * greatest(n, least(most, 5 * n div 4)) + 4) div 5 - 1) >= 4 * (n + greatest(least, (4 * n + 4) div 5))")
+    single = spread(asking.where("members = 1"), grouped.where("not several").select("group", F.col("tokens").alias("lead")), "group").withColumn("shared", F.size(F.array_intersect("tokens", "lead"))).where(enough)
+    column = matrix.join(asking.where("members > 1").select("group").distinct(), "group", "left_semi").select(F.xxhash64("token", "group").alias("k")).distinct()
+    spots = asking.where("members > 1").select("q", "n", "own", "group", "least", "most", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("token", "group"))
+    sums = spots.join(column, "k").groupBy("q", "group").agg(*(F.min(c).alias(c) for c in ("n", "own", "least")), F.max("most").alias("most"), F.count(F.lit(1)).alias("shared")).where(enough)
+    out = written(single.select("q", "n", "own", "group", "least").union(sums.select("q", "n", "own", "group", "least")))
+    forget(asking)
     return out
 
 
@@ -182,14 +210,14 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     common = spark.sparkContext.broadcast(common_tokens(docs, text))
     sets = written(_sets(docs, common, key, text))
     members = written(sets.select("key", "n", "h"))
-    kept = F.struct("n", "typical", "sketch", "tokens")
+    kept = F.struct("n", "typical", "sketch", "cells", "tokens")
     nodes = written(sets.where("n > 0 and key is not null").groupBy("h").agg(F.min("key").alias("node"), F.first(kept).alias("s")).select("h", "node", "s.*"))
     forget(sets)
     release(spark)
 
     first = _groups(nodes, docs, key, text)
     groups = components(first)
-    grouped = written(nodes.drop("h", "typical", "sketch").join(groups, "node", "left").select("node", "n", "tokens", F.coalesce("component", "node").alias("group"), F.col("component").isNotNull().alias("several")))
+    grouped = written(nodes.drop("h", "typical", "sketch").join(groups, "node", "left").select("node", "n", "cells", "tokens", F.coalesce("component", "node").alias("group"), F.col("component").isNotNull().alias("several")))
     matrix = _index(grouped)
     release(spark)
 
@@ -217,8 +245,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """docs without those that have a component of a lesser key. Of rows with the same key the one with the greatest text stays. Documents without words, and rows with a null key, stay. Columns may have any name."""
     found = joined(docs, key, text).where(F.col(key).isNotNull())
     about = found.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_n"), F.min("component_id").alias("_component"))
-    plain = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(*(F.col(f"`{c}`") for c in plain)).alias("_rank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(*hashable(docs)).alias("_rank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     known = spread(rows, about, "_key", "left")
     once = known.where("_key is null or _n = 0 or (_rows = 1 and _component = _key)").select("_row")
     several = known.where("_n > 0 and _rows > 1 and _component = _key").groupBy("_key").agg(F.max_by("_row", F.struct("_text", "_rank")).alias("_row")).select("_row")
