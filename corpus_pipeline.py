@@ -47,5 +47,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Models fitted on labels, links of shingles and packing are beyond SQL; tests/test_pipeline.py compares each stage with a plain version.
+#: Models fitted on labels, links of shingles and packing are beyond SQL; tests/llm compares each operator and stage with a plain version.
 ORACLE_SQL = None

@@ -2,7 +2,7 @@
 
 A word's symbols form a doubly linked list; a priority queue holds the merge rank of each neighbouring pair. The least rank is taken off, its pair becomes one symbol, and the new neighbours' ranks go in; an entry whose pair has changed meanwhile is stale and skipped. Ids become text again by concatenating vocabulary strings.
 
-Null is the empty text: no ids. Every row has its own result; extra columns are not read.
+Null is the empty text: no ids. Every row has its own result. The key is a bigint; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -91,13 +91,17 @@ def hashable(df: DataFrame) -> list[Column]:
 
 
 def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", n: int | None = None, most: int = 1000) -> DataFrame:
-    """left joined with right on key, where any number of left's rows may share a key. A key of more than 1/most of left's rows is dealt over several tasks, each with its own copy of right's row; there are fewer than most such keys, so their list is small whatever the input. Keys that are null meet nothing and are dealt too. left is read twice: hand in a written table. n: its rows, where they are known."""
+    """left joined with right on key, where any number of left's rows may share a key. A key of more than 1/most of left's rows is dealt over several tasks, each with its own copy of right's row; there are fewer than most such keys, so the driver may know them whatever the input. Keys that are null meet nothing and are dealt too. left is read twice: hand in a written table. n: its rows, where they are known."""
     bar = max((left.count() if n is None else n) // most, 16)
-    often = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > bar).select(F.col(key).alias("_often"), F.ceil(F.col("count") / bar).cast("int").alias("_times"))
-    often = F.broadcast(often)
-    dice = F.pmod(F.xxhash64(*hashable(left)), F.coalesce(F.when(F.col(key).isNull(), F.lit(most)), "_times", F.lit(1))).cast("int")
-    one = left.join(often, F.col(key) == F.col("_often"), "left").withColumn("_salt", dice).drop("_often", "_times")
-    two = right.join(often, F.col(key) == F.col("_often"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_times", F.lit(1)) - 1))).drop("_often", "_times")
+    dealt: dict[int, list] = {}
+    for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > bar).collect():  # fewer than most rows
+        dealt.setdefault(-(-r["count"] // bar), []).append(r[key])
+    times = F.lit(1)
+    for t, keys in dealt.items():
+        times = F.when(F.col(key).isin(keys), t).otherwise(times)
+    dice = F.pmod(F.xxhash64(*hashable(left)), F.when(F.col(key).isNull(), most).otherwise(times)).cast("int")
+    one = left.withColumn("_salt", dice)
+    two = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), times - 1))) if dealt else right.withColumn("_salt", F.lit(0))
     return one.join(two, [key, "_salt"], how).drop("_salt")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import WordHashes, arrow, as_long, batches, bloom, bloom_hit, components, forget, hashable, maybe_in, release, shingles, spread, written
+from lodestar.llm.common import WordHashes, as_long, batches, bloom, bloom_hit, components, forget, hashable, maybe_in, release, shingles, spread, written
 
 #: Tokens of a set's bottom sketch, how many of them bucket it, and how many two sketches must share to be compared in step 1.
 SKETCH, BUCKETS, ALIKE = 16, 4, 9
@@ -68,44 +68,60 @@ def leading(n: int) -> int:
 
 def _sets(docs: DataFrame, common, key: str, text: str) -> DataFrame:
     """(key, n, h, typical, sketch, cells, tokens) of each row; h: hash of the whole set; cells: its histogram; tokens: the leading ones."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("typical", pa.int64()), ("sketch", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64()))])
+    none = np.zeros(0, np.int64)
 
-    def run(it) -> Iterator[tuple]:
+    def run(it) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         often, counts = common.value
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            k, n, h, typical, *lists = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(typical, pa.int64()), *(listed(x, t) for x, t in zip(lists, (np.int64, np.int32, np.int64), strict=True))], ["key", "n", "h", "typical", "sketch", "cells", "tokens"])
+
         for k, t in batches(it, key, text):
             s = shingles(t, hashes)
             if not len(s):
-                yield k, 0, None, 0, [], [], []
-                continue
-            if len(often):
-                at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                known = often[at] == s
-                rare, hot = s[~known], s[known]
-                hot = hot[np.lexsort((hot, counts[at[known]]))]
+                rows.append((k, 0, None, 0, none, none, none))
             else:
-                rare, hot = s, s[:0]
-            first = np.concatenate([rare, hot])[: leading(len(s))]
-            yield k, len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(hot) // len(s), as_long(s[:SKETCH]), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), as_long(first)
-
-    return docs.select(key, text).mapInArrow(lambda it: arrow(schema, run(it), 500), "key bigint, n bigint, h binary, typical bigint, sketch array<bigint>, cells array<int>, tokens array<bigint>")
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    known = often[at] == s
+                    rare, hot = s[~known], s[known]
+                    hot = hot[np.lexsort((hot, counts[at[known]]))]
+                else:
+                    rare, hot = s, s[:0]
+                first = np.concatenate([rare, hot])[: leading(len(s))]
+                rows.append((k, len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(hot) // len(s), as_long(s[:SKETCH]), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), as_long(first)))
+            if len(rows) == 500:
+                yield batch()
+                rows.clear()
+        if rows:
+            yield batch()
+
+    return docs.select(key, text).mapInArrow(run, "key bigint, n bigint, h binary, typical bigint, sketch array<bigint>, cells array<int>, tokens array<bigint>")
+
+
+def listed(arrays, kind: type) -> pa.ListArray:
+    """Arrays as one column of lists."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(kind)))
 
 
 def _whole(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
     """(node, tokens): the whole sets of asked nodes, made again. A Bloom filter of fixed size picks their documents where the texts are read, so texts are not shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom(asked, "node"))
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
-    def run(it) -> Iterator[tuple]:
+    def run(it) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in it:
             hit = pa.array(bloom_hit(bits.value, b.column("_p1").to_numpy(), b.column("_p2").to_numpy()))
-            for k, t in zip(b.column("key").filter(hit).to_pylist(), b.column("text").filter(hit).to_pylist(), strict=True):
-                s = shingles(t, hashes)
-                if len(s):
-                    yield k, as_long(s)
+            keys, texts = b.column("key").filter(hit).to_pylist(), b.column("text").filter(hit).to_pylist()
+            for at in range(0, len(keys), 200):
+                sets = [shingles(t, hashes) for t in texts[at : at + 200]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200], pa.int64()), listed([as_long(s) for s in sets], np.int64)], ["node", "tokens"])
 
-    made = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), *maybe_in(key)).mapInArrow(lambda it: arrow(schema, run(it), 200), "node bigint, tokens array<bigint>")
+    made = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), *maybe_in(key)).mapInArrow(run, "node bigint, tokens array<bigint>").where(F.size("tokens") > 0)
     return written(made.join(asked, "node", "left_semi"))
 
 

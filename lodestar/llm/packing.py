@@ -2,7 +2,7 @@
 
 A document's ids, with an end mark, give full sequences of their own; what remains goes into bins. Documents are dealt by a hash to partitions and packed in groups of at most GROUP, each on its own, so nothing grows with the input but the number of groups. After first-fit decreasing, the emptiest bins of a group are cut up to fill the others, and the last one becomes sequences of powers of two: these need no padding.
 
-Null texts are empty: the end mark alone. Repeated rows are packed each. Extra columns are not read. An empty table gives an empty result.
+Null texts are empty: the end mark alone. Repeated rows are packed each. The key is a bigint. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
