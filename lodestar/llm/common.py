@@ -126,7 +126,7 @@ class Cache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        size = 100 + weight(key) + weight(value)
+        size = 220 + 2 * len(key) + (len(value) if type(value) is bytes else weight(value))
         if size < self.limit >> 4:
             if self.held + size > self.limit:
                 self.clear()
