@@ -9,13 +9,21 @@ from lodestar.llm.common import forget, written
 from lodestar.llm.queries import table, vocabulary
 
 
+#: Tables that the frame of the first stage reads; they go when the next stage begins.
+_read: list[DataFrame] = []
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws; the others go."""
-    return quality.Resampler(docs, table(spark, sf_dir, "labels"), carry=True).draw()
+    drawing = quality.Resampler(docs, table(spark, sf_dir, "labels"), carry=True)
+    _read.append(drawing.weighed)
+    return drawing.draw()
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more tie together, the one with the least id stays."""
+    while _read:  # the stage before is written by now
+        forget(_read.pop())
     return jaccard_join.one_of_each(docs)
 
 

@@ -172,7 +172,7 @@ class Resampler:
         weigh = weigher(spark, ratio)
         kept = F.struct(*(F.col(c) for c in docs.columns)).alias("row") if carry else F.lit(0).alias("row")
         # a table of the weighed rows: what is drawn is read from it, not hashed again
-        weighed = written(docs.select(F.col(key).alias("id"), weigh(F.col(text)).alias("ratio"), kept))
+        self.weighed = weighed = written(docs.select(F.col(key).alias("id"), weigh(F.col(text)).alias("ratio"), kept))
         held = spark.createDataFrame([(i, y) for i, y in rows.items() if fold[i] == 1], "id bigint, y int")
         # one row for each labelled id, however often the corpus repeats it
         checked = weighed.join(F.broadcast(held), "id").groupBy("id").agg(F.avg("ratio").alias("ratio"), F.max("y").alias("y")).toArrow()
