@@ -190,6 +190,18 @@ def arrow(schema: pa.Schema, rows: Iterable[tuple], size: int = 2000) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+def frequent(counts: DataFrame, n: str, most: int) -> int:
+    """A count that at most most rows reach or pass, close to as many as that: from a histogram of four bars for each doubling."""
+    bars = counts.groupBy(F.floor(F.log2(n) * 4).alias("bar")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high")).orderBy(F.desc("bar")).collect()  # 256 at most
+    bar = bars[0]["high"] + 1 if bars else 1
+    for b in bars:
+        most -= b["rows"]
+        if most < 0:
+            break
+        bar = b["low"]
+    return bar
+
+
 def bloom(ids: DataFrame, column: str) -> np.ndarray:
     """A Bloom filter over a long column as 2^BLOOM_BITS bits. What comes to the driver is bounded by its size; more ids only make it let more through."""
     spots = [F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(k)), 64 - BLOOM_BITS) for k in (1, 2)]

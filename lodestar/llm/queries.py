@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, conversation_repair, fingerprint, jaccard_join, packing, quality, repeats, secret_scan, toxicity, url_filter
+from lodestar.llm import ann, bpe, conversation_repair, fingerprint, jaccard_join, lattice_lm, packing, quality, repeats, secret_scan, toxicity, url_filter
 from lodestar.llm.common import written
 from lodestar.llm.secret_scan import Rule
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +79,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing, op12_conversation_repair, ledger_rescan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing, op11_lattice_lm, op12_conversation_repair, ledger_rescan)}
 SQL: dict[str, str] = {"op5_ann": ann.SQL, "op8_url_filter": url_filter.SQL, "op12_conversation_repair": conversation_repair.SQL}
