@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, conversation_repair, fingerprint, jaccard_join, lattice_lm, packing, quality, repeats, secret_scan, toxicity, url_filter
+from lodestar.llm import ann, bpe, conversation_repair, fingerprint, jaccard_join, lattice_lm, packing, quality, repeats, secret_scan, token_alignment, toxicity, url_filter
 from lodestar.llm.common import written
 from lodestar.llm.secret_scan import Rule
 
@@ -87,5 +87,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing, op11_lattice_lm, op12_conversation_repair, ledger_rescan)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.compare(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_bpe, op4_toxicity, op5_ann, op6_repeats, op7_fingerprint, op8_url_filter, op9_quality, op10_packing, op11_lattice_lm, op12_conversation_repair, op13_token_alignment, ledger_rescan)}
 SQL: dict[str, str] = {"op5_ann": ann.SQL, "op8_url_filter": url_filter.SQL, "op12_conversation_repair": conversation_repair.SQL}
