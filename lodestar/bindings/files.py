@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestar.bindings.registry import bound, table
 from lodestar.bindings.spatial import _ELEM, elements
 from lodestar.sources import files as S
+from lodestar.sources.scratch import scratch
 
 col = F.col
 
 
 def folder(spark) -> str:
-    return f"{S.work_dir(spark)}/files-{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 def told(name: str, kind: str = "bigint"):

@@ -14,20 +14,6 @@ ELEMENTS = ("tipo", "id", "serie", "x1_mm", "y1_mm", "x2_mm", "y2_mm", "valor_x"
 ALIASES = {"etiqueta": ("etiqueta", "nombre", "punto", "mes", "label", "categoria"), "x": ("x",), "y": ("y",), "valor": ("valor", "value", "v"), "info": ("info", "detalle", "nota")}
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is named and Spark runs in this process (tests) a local one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
-    made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def _lines(spark: SparkSession, paths) -> DataFrame:
     """(file, n, line) without a byte order mark, blank lines left out; n is the line's number in its file."""
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("n", "line"))
@@ -36,7 +22,10 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 
 def _cells(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, n, names, cells) of data lines and (file, key, value) of "#key: value" lines. A file's delimiter is the one that its header line has more of."""
-    meta = lines.where(F.ltrim("line").startswith("#")).select("file", header_key(F.regexp_extract("line", r"^\s*#\s*([^:=]+?)\s*[:=]", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^\s*#\s*[^:=]+?\s*[:=]\s*(.*)$", 1)).alias("value"))
+    noted = lines.where(F.ltrim("line").startswith("#")).withColumn("_at", F.array_min(F.filter(F.array(F.instr("line", ":"), F.instr("line", "=")), lambda p: p > 0)))
+    key = F.ltrim(F.substring(F.ltrim(F.substring("line", F.lit(1), F.col("_at") - 1)), F.lit(2), F.col("_at")))
+    # a note without a name is none
+    meta = noted.where(F.length(F.trim(key)) > 0).select("file", header_key(key).alias("key"), F.trim(F.substring("line", F.col("_at") + 1, F.length("line"))).alias("value"))
     data = lines.where(~F.ltrim("line").startswith("#"))
     head = data.groupBy("file").agg(F.min_by("line", "n").alias("_head"), F.min("n").alias("_first"), F.count(F.lit(1)).alias("_lines"))
     count = lambda c: F.length("_head") - F.length(F.replace("_head", F.lit(c), F.lit("")))

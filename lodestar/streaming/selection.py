@@ -1,4 +1,4 @@
-"""What a finger selects, frame by frame: one step function per session, used by the batch replay and by the stream alike.
+"""What a finger selects, frame by frame: one step function per session, used by the batch replay here and by the stream in stateful.py.
 
 State lives in plain objects and depends on the samples' own times only, so a replay of a file gives what the stream gave. Samples that are not newer than the last one change nothing (T13).
 """
@@ -7,15 +7,13 @@ from __future__ import annotations
 
 import functools
 import math
-import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 @dataclass(frozen=True)
@@ -113,24 +111,24 @@ class Pinch:
         return "tight" if tight else "slack" if slack else "between"
 
 
+#: Which setting says how long a run of equal values must be before it counts, by whether there is something now and whether there will be.
+PATIENCE = {(False, True): "enter", (True, True): "change", (True, False): "leave"}
+
+
 @dataclass
 class Debounce:
-    """T4: a new value counts once it has held for as long as its kind of change needs."""
+    """T4: what has been the same for long enough counts. run is the value of the last samples, since when its first one was."""
 
     stable: str | None = None
-    waiting: bool = False
-    next: str | None = None
-    since: float = 0.0
+    run: str | None = None
+    since: float = -math.inf
 
     def step(self, t: float, value: str | None, c: Config) -> str | None:
-        if value == self.stable:
-            self.waiting = False
-            return self.stable
-        if not self.waiting or self.next != value:
-            self.waiting, self.next, self.since = True, value, t
-        need = c.enter if self.stable is None else c.leave if value is None else c.change
-        if (t - self.since) * 1000 >= need:
-            self.stable, self.waiting = value, False
+        if value != self.run:
+            self.run, self.since = value, t
+        kind = PATIENCE.get((self.stable is not None, value is not None))
+        if kind and (t - self.since) * 1000 >= getattr(c, kind):
+            self.stable = value
         return self.stable
 
 
@@ -275,34 +273,6 @@ def replay(samples: DataFrame, elements: dict | DataFrame, c: Config = Config())
     return samples.groupBy("session").cogroup(own.groupBy("_session")).applyInPandas(run, OUT)
 
 
-def stream(samples: DataFrame, elements: dict | DataFrame, c: Config = Config(), idle_ms: int | None = None) -> DataFrame:
-    """The stream: a session's state is kept between batches, and dropped when nothing of the session has come for idle_ms (a stream that runs until its files are read must not set it: it would wait for its timers). Of a table of elements each sample takes its chart's along, as a stream can't be cogrouped; a dictionary of elements is broadcast."""
-    given = samples.sparkSession.sparkContext.broadcast(elements) if isinstance(elements, dict) else None
-    if given is None:
-        samples = samples.join(elements_of(elements), "chart", "left")
-
-    def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = pickle.loads(state.get[0]) if state.exists else Selection(OneEuro(c.min_hz, c.beta))
-        by, parts = {} if given is None else given.value, []
-        for pdf in pdfs:
-            if given is None:
-                for k, e in pdf.drop_duplicates("chart")[["chart", "elements"]].itertuples(index=False):
-                    if k not in by and e is not None:
-                        by[k] = _listed(e)
-                pdf = pdf.drop(columns="elements")
-            parts.append(pdf)
-        rows = _run(pd.concat(parts), s, by, c)
-        state.update((pickle.dumps(s),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return samples.groupBy("session").applyInPandasWithState(update, OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
-
-
 def filtered(samples: DataFrame, c: Config = Config()) -> DataFrame:
     """T2 alone: smoothed positions of each session."""
 

@@ -1,8 +1,8 @@
-"""Scenarios of the selection kernel at 15 samples a second, and the stream against the replay."""
+"""Scenarios of the selection kernel at 15 samples a second; tests/test_stateful.py has the stream."""
 
 import math
 
-from lodestar.streaming.selection import Config, Debounce, Element, OneEuro, Pinch, Selection, replay, stream, under
+from lodestar.streaming.selection import Config, Debounce, Element, OneEuro, Pinch, Selection, replay, under
 
 C = Config()
 DT = 1 / 15
@@ -73,23 +73,3 @@ def test_selection_forgets_a_lost_hand_and_skips_old_samples():
     assert out[:2] == (True, "p")
     assert s.step(2 * DT, (10, 10), (20, 10), 90, e, C) is None
     assert s.step(2.0, None, None, None, e, C)[:2] == (False, None)
-
-
-def test_stream_gives_the_replay(spark, tmp_path):
-    rows = []
-    for session in (1, 2):
-        for n in range(60):
-            hand = n % 17 != 3
-            x = 10 + 8 * math.sin(n / 9 + session)
-            rows.append((session, 1, n, n * DT, x if hand else None, 11.0 if hand else None, x + 15 if hand else None, 11.0 if hand else None, 90.0))
-    df = spark.createDataFrame(rows, "session bigint, chart bigint, n bigint, t double, x double, y double, x2 double, y2 double, palm double")
-    for k in range(3):  # three files, one after the other
-        df.where(f"n div 20 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    elements = {1: {x.id: x for x in (POINT, LINE, AXIS)}}
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream(source, elements).writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r["session"], r["n"]): r for r in spark.table("found").collect()}
-    want = {(r["session"], r["n"]): r for r in replay(df, elements).collect()}
-    assert len(want) == 120
-    assert set(got) == set(want) and all(tuple(got[k]) == tuple(want[k]) for k in want)
