@@ -5,7 +5,7 @@ A document's set holds the hashes of its five-word shingles. Documents with equa
 1. Groups: nodes that share one of their least hashes, and most of a small bottom sketch, are compared with the most typical node of that bucket. Verified links make groups of similar nodes, all of one component. This is a heuristic, which the rest doesn't depend on.
 2. Matrix: for each token the groups that have it, with the sizes of their members and the most that an overlap beginning there can reach. Its index holds leading tokens: a set of n tokens links only with sets that share one of its first n - ceil(0.8 n) + 1 tokens, in any order that holds for all sets. The order here puts tokens that many documents share last.
 3. Bound: two groups that share no token of the index can't hold a link, nor can those where the size or the position of each shared token leaves too little. Of those that are left each member of the one is a query for the other: its overlap with the group's tokens is summed: first cell by cell of histograms of 64 cells (of the group the most of any member), and where that leaves enough, over all tokens of the query and the union of all tokens of the group's members. No member can share more with it.
-4. Open: only groups whose summed overlap reaches what a link with their smallest member needs. Their members that share leading tokens enough with the query are compared with it in full.
+4. Open: only groups whose summed overlap reaches what a link with their smallest member needs. The query is compared in full with the group's most linked member first. A link settles the pair of groups, since each is of one component already; only where none of a group's queries has one, the members that share leading tokens enough with a query are compared with it.
 
 So a large group of near copies meets others as one column of the matrix, and no pairs within it are listed. Components of all verified links are exact (up to 64-bit hash collisions of shingles). Where one token, node, bucket or group has very many rows they are dealt over several tasks (common.spread).
 
@@ -201,13 +201,20 @@ def _queries(matrix: DataFrame, grouped: DataFrame) -> DataFrame:
     return out
 
 
-def _opened(asked: DataFrame, grouped: DataFrame, whole: DataFrame) -> DataFrame:
-    """Pairs (a, b) of queries and members of groups whose union of tokens holds enough of the query's."""
+def _opened(asked: DataFrame, grouped: DataFrame, whole: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of queries and groups whose union of tokens holds enough of the query's: links with the group's most linked member, and pairs (a, b) of queries and members for groups that this does not settle. first: the links within groups."""
     members = whole.join(grouped.select("node", "group").distinct(), "node")
     union = members.select("group", F.explode("tokens").alias("token")).distinct().select(F.xxhash64("group", "token").alias("k"))
-    wanted = spread(asked, whole.withColumnRenamed("node", "q"), "q").select("q", "n", "group", "least", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("group", "token"))
-    sums = wanted.join(union, "k").groupBy("q", "group").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.count(F.lit(1)).alias("shared"))
-    open_ = written(sums.where("9 * least(shared, n) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").select("q", "group"))
+    wanted = spread(asked, whole.withColumnRenamed("node", "q"), "q").select("q", "n", "own", "group", "least", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("group", "token"))
+    sums = wanted.join(union, "k").groupBy("q", "group").agg(*(F.min(c).alias(c) for c in ("n", "own", "least")), F.count(F.lit(1)).alias("shared"))
+    able = written(sums.where("9 * least(shared, n) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").select("q", "own", "group"))
+    hubs = first.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("c")).join(grouped.select("node", "group"), "node").groupBy("group").agg(F.max_by("node", F.struct("c", -F.col("node"))).alias("hub"))
+    tries = written(spread(able, hubs, "group").select(F.col("q").alias("a"), F.col("hub").alias("b"), "own", "group"))
+    hits = _linked(tries.select("a", "b"), whole)
+    settled = tries.join(hits, ["a", "b"], "left_semi").select("own", "group").distinct()
+    open_ = written(able.join(settled, ["own", "group"], "left_anti").select("q", "group"))
+    forget(able)
+    forget(tries)
     # members meet a query where they share its leading tokens; what these and the rest can reach decides
     sized = grouped.select("node", "group", "n", F.posexplode("tokens").alias("i", "token")).select("node", "group", "n", (F.col("n") - F.col("i")).alias("rest"), "token")
     queries = grouped.select(F.col("node").alias("q"), F.col("n").alias("nq"), F.posexplode("tokens").alias("i", "token")).select("q", "nq", (F.col("nq") - F.col("i")).alias("rq"), "token").join(open_, "q").withColumn("k", F.xxhash64("group", "token")).drop("group", "token")
@@ -217,7 +224,7 @@ def _opened(asked: DataFrame, grouped: DataFrame, whole: DataFrame) -> DataFrame
     pairs = written(met.where((9 * F.col("rest") >= 4 * (F.col("n") + F.col("nq"))) & (9 * (F.col("shared") + after) >= 4 * (F.col("n") + F.col("nq")))).select(F.col("q").alias("a"), F.col("node").alias("b")))
     forget(open_)
     forget(hosts)
-    return pairs
+    return hits, pairs
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +248,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     forget(matrix)
     hosts = grouped.join(asked.select("group").distinct(), "group", "left_semi").select("node")
     whole = _whole(docs, hosts.union(asked.select(F.col("q").alias("node"))).distinct(), key, text)
-    pairs = _opened(asked, grouped, whole)
+    hits, pairs = _opened(asked, grouped, whole, first)
     second = _linked(pairs, whole)
     for t in (asked, grouped, whole, pairs):
         forget(t)
@@ -251,7 +258,9 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     ids = nodes.select("h", "node")
     named = members.where("n > 0").join(several, "key").select("key", "h").distinct().join(ids, "h")
     same = named.join(named.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").where("a <> b")
-    linked = components(first.union(second).union(same))
+    linked = components(first.union(hits).union(second).union(same))
+    for t in (first, hits, second):
+        forget(t)
     names = ids.join(linked, "node", "left").select("h", F.coalesce("component", "node").alias("component"))
     out = spread(members, names, "h", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"))
