@@ -29,19 +29,17 @@ def x1b(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.fully_normalised("text")).alias("h"))
 
 
-@bound("x2_clean_edges", """select p_partkey, case p_size % 3 when 0 then p_name when 1 then upper(substr(p_name,1,1)) || substr(p_name, 2) else p_name || ' SPEED' end as limpio from part""")
-def x2(spark, d):
-    k = col("p_size") % 3
-    given = F.when(k == 0, F.concat(F.lit(" - "), col("p_name"), F.lit(" "), col("p_name"), F.lit(" >"))).when(k == 1, F.concat(F.lit("gu zz "), F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)"))).otherwise(F.concat(F.lit("of "), col("p_name"), F.lit(" SPEED = ")))
-    return table(spark, d, "part").select("p_partkey", X.clean_edges(given).alias("limpio"))
-
-
-_GOOD = r"""(regexp_full_match(w, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][a-záéíóúüñ''’]+[.,;:!?]?|[A-ZÁÉÍÓÚÑ]{2,}[.,;:]?|[-−+]?\d+(?:[.,]\d+)*%?[.,;:]?|\d+%?[A-Za-z]{1,4}|\([^()\s]{1,12}\)[.,;:]?'))"""
+#: A word without the one mark that may end it; letters by case; a word, a number, a unit.
+_BARE = lambda w, ends: f"case when contains('{ends}', right({w}, 1)) then left({w}, length({w}) - 1) else {w} end"
+_LOW, _HIGH = "a-záéíóúñü", "A-ZÁÉÍÓÚÑ"
+_NAME = lambda w: f"(regexp_matches({_BARE(w, '.,;:!?')}, '^[{_LOW}{_HIGH}Ü][{_LOW}’'']+\\z') or (length({_BARE(w, '.,;:')}) > 1 and trim({_BARE(w, '.,;:')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÑ') = ''))"
+_COUNT = lambda w: f"(regexp_matches(translate(regexp_replace({_BARE(w, '.,;:')}, '%\\z', ''), ',', '.'), '^[-−+]?[0-9]+([.][0-9]+)*\\z') or regexp_matches(ltrim({w}, '0123456789'), '^%?[A-Za-z]{{1,4}}\\z') and left({w}, 1) between '0' and '9')"
+_GOOD = f"({_NAME('w')} or {_COUNT('w')} or (left(w, 1) = '(' and right({_BARE('w', '.,;:')}, 1) = ')' and length({_BARE('w', '.,;:')}) between 3 and 14 and not regexp_matches({_BARE('w', '.,;:')}[2:-2], '[()\\s]')))"
 
 
 @bound("x3_legible", rf"""with s as (select doc_id, trim(text) as t from documents), w as (select doc_id, t, unnest(string_split_regex(t, '\s+')) as w from s), n as (select doc_id, any_value(t) as t, count(*) as n,
  sum(case when length(w) = 1 then (lower(w) in ('a','e','o','y','u','x','i'))::int*2 when regexp_full_match(w, '[\p{{L}}]+') and length(w) > 1 and replace(lower(w), substr(lower(w),1,1), '') = '' then 0 when {_GOOD} then 1
- when contains(w, '-') and not exists (select 1 from (select unnest(string_split(w, '-')) as v) where v <> '' and not regexp_full_match(v, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ][a-záéíóúüñ''’]+[.,;:!?]?|[A-ZÁÉÍÓÚÑ]{{2,}}[.,;:]?|[-−+]?\d+(?:[.,]\d+)*%?[.,;:]?|\d+%?[A-Za-z]{{1,4}}')) then 1 else 0 end) filter (where length(w) > 1) as g1,
+ when contains(w, '-') and not exists (select 1 from (select unnest(string_split(w, '-')) as v) where v <> '' and not {_NAME('v')} and not {_COUNT('v')}) then 1 else 0 end) filter (where length(w) > 1) as g1,
  count_if(length(w) = 1 and lower(w) in ('a','e','o','y','u','x','i')) as g2 from w group by 1),
  r as (select doc_id, max(c) as m from (select doc_id, w, count(*) as c from w group by 1, 2) group by 1)
  select doc_id, case when length(t) <= 3 and not contains(t, ' ') then regexp_full_match(t, '[A-Za-z0-9]+') else (coalesce(g1, 0) + case when n <= 6 then g2 else 0 end)/n >= 0.75 and not (n >= 4 and m/n > 0.3) end as legible from n join r using (doc_id)""")
@@ -69,21 +67,6 @@ def x5(spark, d):
     return docs(spark, d).select("doc_id", X.cut(col("text"), 80).alias("corto"))
 
 
-@bound("x6_caption", "select p_partkey, case p_size % 4 when 0 then 'fig.' when 1 then 'gráfico' when 2 then 'figura' else '' end as tipo, case p_size % 4 when 0 then p_size::varchar when 1 then p_size || 'b' when 2 then 'IV' else '' end as numero from part")
-def x6(spark, d):
-    k, n = col("p_size") % 4, col("p_size").cast("string")
-    given = F.when(k == 0, F.concat(F.lit("Fig. "), n, F.lit(": "), col("p_name"))).when(k == 1, F.concat(F.lit(" Gráfico nº "), n, F.lit("b - "), col("p_name"))).when(k == 2, F.concat(F.lit("Figura IV. "), col("p_name"))).otherwise(col("p_name"))
-    kind, number = X.caption_parts(given)
-    return table(spark, d, "part").select("p_partkey", kind.alias("tipo"), number.alias("numero"))
-
-
-@bound("x7_cited_figures", "select p_partkey, array_to_string(list_sort(list_distinct(case when p_size % 3 = 0 then list_transform(range(p_size, p_size + 4), lambda n: n::varchar) else [p_size::varchar] end || ['5.1'])), ',') as citas from part")
-def x7(spark, d):
-    n = col("p_size").cast("string")
-    given = F.when(col("p_size") % 3 == 0, F.concat(F.lit("como muestran las Figs. "), n, F.lit("-"), (col("p_size") + 3).cast("string"), F.lit(" y la figura 5.1"))).otherwise(F.concat(F.lit("ver Figure "), n, F.lit(" y fig 5.1.")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(M.cited_numbers(given), ",").alias("citas"))
-
-
 @bound("x8_caption_assembly", """with l as (select l_orderkey, l_linenumber, min(l_partkey) as pk, bool_or(l_returnflag = 'R') as r from lineitem group by 1, 2), t as (select l_orderkey as k, l_linenumber as n, case when r then 'Fig. ' || l_linenumber else 'sigue ' || pk end as s, r, coalesce(l_linenumber - lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) = 1 and not r, false) as go from l),
  g as (select *, sum((not go)::int) over (partition by k order by n rows unbounded preceding) as g from t), a as (select k, g, string_agg(s, ' ' order by n) as pie, arg_min(r, n) as ok from g group by 1, 2) select k, pie from a where ok""")
 def x8(spark, d):
@@ -99,11 +82,6 @@ def x9(spark, d):
     return docs(spark, d).select("doc_id", X.context(F.when(k == 0, col("text")).when(k == 1, ""), F.when(k == 1, col("text")).otherwise(" "), col("source")).alias("contexto"))
 
 
-@bound("x10_spoken", "select p_partkey, 'Figura ' || p_size || ' y Figura 7: ' || p_name || '.' as dicho from part")
-def x10(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.spoken(F.concat(F.lit(" Figs. "), col("p_size").cast("string"), F.lit(" y Fig 7: "), col("p_name"))).alias("dicho"))
-
-
 @bound("x11_located", "select p_partkey, case when p_size % 3 = 0 then 'Del documento «' || p_name || '», página ' || p_size || '.' when p_size % 3 = 1 then 'Del archivo a' || p_partkey || ', página ' || p_size || '.' else 'página ' || p_size || '.' end as lugar from part")
 def x11(spark, d):
     k = col("p_size") % 3
@@ -156,13 +134,6 @@ def a30(spark, d):
     return X.largest_title(li, ["k"], "s", "y0", "y1", "t", 10.0, 0.5)
 
 
-@bound("p28_generic_title", "select p_partkey, case p_size % 4 when 0 then null when 1 then null when 2 then 'Tesis ' || p_name else p_name end as titulo from part where length(p_name) >= 4 and contains(p_name, ' ')")
-def p28(spark, d):
-    k = col("p_size") % 4
-    given = F.when(k == 0, "Documento1").when(k == 1, F.concat(F.lit("tesis_final_v"), col("p_size").cast("string"), F.lit(".docx"))).when(k == 2, F.concat(F.lit("Microsoft Word - Tesis "), col("p_name"), F.lit(".docx"))).otherwise(col("p_name"))
-    return table(spark, d, "part").where("length(p_name) >= 4 and contains(p_name, ' ')").select("p_partkey", X.generic_title(given).alias("titulo"))
-
-
 @bound("p21_figure_type", "select p_partkey, coalesce(case p_type when 'ECONOMY' then 'linea' when 'STANDARD' then 'barras' when 'PROMO' then 'otro' end, case when p_size > 25 then 'linea' else 'otro' end) as tipo from part")
 def p21(spark, d):
     names = spark.createDataFrame([("ECONOMY", "linea"), ("STANDARD", "barras"), ("PROMO", "otro")], "p_type string, nombre string")
@@ -197,7 +168,7 @@ def j15(spark, d):
     a = col("l_linenumber") % 4
     owner = table(spark, d, "orders").select(col("o_orderkey").alias("l_orderkey"), "o_custkey")
     paras = table(spark, d, "lineitem").join(owner, "l_orderkey").select((col("l_orderkey") * 8 + col("l_linenumber")).alias("pid"), col("o_custkey").alias("doc"), F.when(col("l_returnflag") == "R", F.concat(F.lit("ver figs. "), a.cast("string"), F.lit("-"), (a + 1).cast("string"), F.lit(" abajo"))).otherwise(F.concat(F.lit("ver Figura "), a.cast("string"), F.lit(" abajo"))).alias("texto")).groupBy("pid", "doc").agg(F.array_join(F.array_sort(F.collect_set("texto")), "; ").alias("texto"))
-    return M.mentions(figs, paras, "doc", "fig", "num", "pid", "texto", col("texto").rlike(X.CAPTION))
+    return M.mentions(figs, paras, "doc", "fig", "num", "pid", "texto", X.is_caption(col("texto")))
 
 
 @bound("j16_around", f"""with b as ({_BOX}), j as (select f.p_partkey as fig, c.p_partkey as bid, c.y0, c.y1, c.y1 <= f.y0+2 as up, c.y0 >= f.y1-2 and not c.y1 <= f.y0+2 as down from b f join b c on f.p_brand = c.p_brand and f.pag = c.pag and f.p_partkey % 2 = 0 and c.p_partkey % 2 = 1 and c.x0 >= 64)

@@ -58,13 +58,6 @@ def p6(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", s.alias("forma"))
 
 
-@bound("p8_spoken_tick", """select p_partkey, case p_size % 3 when 0 then p_size || '. Marca del eje vertical.' when 1 then p_name || '. Letra ' || upper(substr(p_name,1,1)) || '.' else p_name end as texto from part""")
-def p8(spark, d):
-    k = col("p_size") % 3
-    given = F.when(k == 0, F.concat(F.lit("Eje y: "), col("p_size").cast("string"), F.lit("."))).when(k == 1, F.concat(F.lit("Categoría, abreviado con la letra "), F.upper(F.substring("p_name", 1, 1)), F.lit(": "), col("p_name"), F.lit("."))).otherwise(col("p_name"))
-    return table(spark, d, "part").select("p_partkey", C.spoken_tick(given).alias("texto"))
-
-
 @bound("p9_default_text", """select p_partkey, case when p_size % 2 = 0 then p_name else concat_ws('. ', p_type, nullif(case when p_size % 3 = 0 then '' else p_brand end, '')) end as texto from part""")
 def p9(spark, d):
     return table(spark, d, "part").select("p_partkey", C.or_default(F.when(col("p_size") % 2 == 0, col("p_name")), col("p_type"), F.when(col("p_size") % 3 == 0, "").otherwise(col("p_brand"))).alias("texto"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.functions.text import SHORTENED
+
 
 def figures_or_panels(figures: DataFrame, panels: DataFrame, fig: str, usable: str) -> DataFrame:
     """Usable panels stand for their figure; a figure without any stays itself."""
@@ -45,13 +47,9 @@ def captions(figures: DataFrame, caps: DataFrame, keys: list[str], fid: str, sha
     return ok.groupBy(*keys, fid).agg(F.min(F.struct("_s", "cid")).alias("_b")).select(*keys, fid, F.col("_b.cid").alias("cid"), F.col("_b._s").alias("puntaje"))
 
 
-#: How a text names figures, longest first.
-FIGURE_WORDS = ("figuras", "figures", "figura", "figure", "figs", "fig")
-
-
 def cited_numbers(text: Column) -> Column:
     """The figure numbers that a text cites, ranges spelt out where they are under 20 wide. What follows each mention is looked at by itself."""
-    after = F.split(F.lower(text), rf"\b(?:{'|'.join(FIGURE_WORDS)})\.?\s*")
+    after = F.split(F.lower(text), rf"\b(?:{'|'.join(sorted(SHORTENED, reverse=True))})s?\.?\s*")
     after = F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0)))
 
     def spelt(piece):
