@@ -5,7 +5,7 @@ A document's set holds the hashes of its five-word shingles. Documents with equa
 1. Groups: nodes that share one of their least hashes, and most of a small bottom sketch, are compared with the most typical node of that bucket. Verified links make groups of similar nodes, all of one component. This is a heuristic, which the rest doesn't depend on.
 2. Matrix: for each token the groups that have it, with the sizes of their members and the most that an overlap beginning there can reach. Its index holds leading tokens: a set of n tokens links only with sets that share one of its first n - ceil(0.8 n) + 1 tokens, in any order that holds for all sets. The order here puts tokens that many documents share last.
 3. Bound: two groups that share no token of the index can't hold a link, nor can those where the size or the position of each shared token leaves too little. Of those that are left each member of the one is a query for the other: its overlap with the group's tokens is summed: first cell by cell of histograms of 64 cells (of the group the most of any member), and where that leaves enough, over all tokens of the query and the union of all tokens of the group's members. No member can share more with it.
-4. Open: only groups whose summed overlap reaches what a link with their smallest member needs. The query is compared in full with the group's most linked member first. A link settles the pair of groups, since each is of one component already; only where none of a group's queries has one, the members that share leading tokens enough with a query are compared with it.
+4. Open: only groups whose summed overlap reaches what a link with their smallest member needs. The query is compared in full with the group's most linked member first. A link settles the pair of groups, since each is of one component already; only where none of a group's queries has one, its members are looked at. What most of them have is the group's core, and each member is what it has beyond the core and lacks of it. A query's overlap with the core is counted once for all members; those that share more with it are found by the tokens beyond, the others only if the core alone is enough.
 
 So a large group of near copies meets others as one column of the matrix, and no pairs within it are listed. Components of all verified links are exact (up to 64-bit hash collisions of shingles). Where one token, node, bucket or group has very many rows they are dealt over several tasks (common.spread).
 
@@ -203,8 +203,9 @@ def _queries(matrix: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _opened(asked: DataFrame, grouped: DataFrame, whole: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of queries and groups whose union of tokens holds enough of the query's: links with the group's most linked member, and pairs (a, b) of queries and members for groups that this does not settle. first: the links within groups."""
-    members = whole.join(grouped.select("node", "group").distinct(), "node")
-    union = members.select("group", F.explode("tokens").alias("token")).distinct().select(F.xxhash64("group", "token").alias("k"))
+    members = whole.join(grouped.select("node", "group").distinct(), "node").select("node", "group", F.size("tokens").alias("n"), "tokens")
+    held = written(members.select("group", F.explode("tokens").alias("token")).groupBy("group", "token").agg(F.count(F.lit(1)).alias("c")))
+    union = held.select(F.xxhash64("group", "token").alias("k"))
     wanted = spread(asked, whole.withColumnRenamed("node", "q"), "q").select("q", "n", "own", "group", "least", F.explode("tokens").alias("token")).withColumn("k", F.xxhash64("group", "token"))
     sums = wanted.join(union, "k").groupBy("q", "group").agg(*(F.min(c).alias(c) for c in ("n", "own", "least")), F.count(F.lit(1)).alias("shared"))
     able = written(sums.where("9 * least(shared, n) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").select("q", "own", "group"))
@@ -215,15 +216,22 @@ def _opened(asked: DataFrame, grouped: DataFrame, whole: DataFrame, first: DataF
     open_ = written(able.join(settled, ["own", "group"], "left_anti").select("q", "group"))
     forget(able)
     forget(tries)
-    # members meet a query where they share its leading tokens; what these and the rest can reach decides
-    sized = grouped.select("node", "group", "n", F.posexplode("tokens").alias("i", "token")).select("node", "group", "n", (F.col("n") - F.col("i")).alias("rest"), "token")
-    queries = grouped.select(F.col("node").alias("q"), F.col("n").alias("nq"), F.posexplode("tokens").alias("i", "token")).select("q", "nq", (F.col("nq") - F.col("i")).alias("rq"), "token").join(open_, "q").withColumn("k", F.xxhash64("group", "token")).drop("group", "token")
-    hosts = written(sized.join(open_.select("group").distinct(), "group", "left_semi").withColumn("k", F.xxhash64("group", "token")).drop("token", "group"))
-    met = spread(hosts, queries, "k").where("node <> q and 5 * n >= 4 * nq and 5 * nq >= 4 * n").groupBy("q", "node").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("rest", "rq")).alias("rest"), F.min("n").alias("n"), F.min("nq").alias("nq"))
-    after = F.expr("(4 * greatest(n, nq) + 4) div 5 - 1")
-    pairs = written(met.where((9 * F.col("rest") >= 4 * (F.col("n") + F.col("nq"))) & (9 * (F.col("shared") + after) >= 4 * (F.col("n") + F.col("nq")))).select(F.col("q").alias("a"), F.col("node").alias("b")))
-    forget(open_)
-    forget(hosts)
+    # at most twice as many tokens as a member has on average are in more than half of the members
+    own = written(members.join(open_.select("group").distinct(), "group", "left_semi"))
+    count = own.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
+    cores = written(count.join(held, "group").where("2 * c > members").groupBy("group").agg(F.min("least").alias("least"), F.collect_list("token").alias("core")))
+    sized = written(spread(own, cores.select("group", "core"), "group").select("node", "group", "n", F.array_except("tokens", "core").alias("more"), F.array_except("core", "tokens").alias("lacks")))
+    queries = spread(open_, whole.select(F.col("node").alias("q"), F.col("tokens").alias("mine")), "q").join(cores, "group")
+    queries = written(queries.select("q", "group", "least", F.size("mine").alias("nq"), F.size(F.array_intersect("mine", "core")).alias("base"), F.array_except("mine", "core").alias("beyond"), "mine"))
+    fits = "q <> node and 5 * n >= 4 * nq and 5 * nq >= 4 * n"
+    keyed = lambda df, c: df.withColumn("token", F.explode(c)).withColumn("k", F.xxhash64("group", "token")).drop("token", "group")
+    extra = written(keyed(sized.select("node", "group", "n", "more"), "more").select("k", "node", "n"))
+    met = spread(extra, keyed(queries.select("q", "group", "nq", "base", "beyond"), "beyond").select("k", "q", "nq", "base"), "k").where(fits).groupBy("q", "node").agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("base", "n", "nq"))).where("9 * (base + shared) >= 4 * (n + nq)")
+    enough = queries.where("9 * base >= 4 * (nq + greatest(least, (4 * nq + 4) div 5))").select("q", "group", "nq", "base", "mine")
+    near = spread(sized, enough, "group").where(fits).where("9 * base >= 4 * (n + nq)").where(9 * (F.col("base") - F.size(F.array_intersect("lacks", "mine")) + F.size(F.array_intersect("more", "mine"))) >= 4 * (F.col("n") + F.col("nq")))
+    pairs = written(met.select(F.col("q").alias("a"), F.col("node").alias("b")).union(near.select("q", "node")).distinct())
+    for t in (open_, held, own, cores, sized, queries, extra):
+        forget(t)
     return hits, pairs
 
 
