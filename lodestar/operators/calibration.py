@@ -8,14 +8,24 @@ from pyspark.sql.window import Window
 
 
 def robust_line(df: DataFrame, keys: list[str], n: str, px: str, value: str, tol: float = 0.04) -> DataFrame:
-    """(keys, m, b, r2, used, total). Each pair of labels proposes a line; the one that most labels lie on (within tol of the value range, the first pair among equals) is fitted again by least squares. Axes have tens of labels: the pairs of a group are cubic in its labels."""
-    spanned = df.withColumn("_tol", tol * (F.max(value).over(Window.partitionBy(*keys)) - F.min(value).over(Window.partitionBy(*keys))))
-    side = lambda k: spanned.select(*keys, *(F.col(c).alias(f"{a}{k}") for a, c in (("n", n), ("p", px), ("v", value))))
-    pairs = side(1).join(side(2), keys).where("n1 < n2 and p1 <> p2").withColumn("m0", F.try_divide(F.col("v2") - F.col("v1"), F.col("p2") - F.col("p1"))).withColumn("b0", F.col("v1") - F.col("m0") * F.col("p1"))
-    on = spanned.join(pairs.select(*keys, "n1", "n2", "m0", "b0"), keys).where(F.abs(F.col("m0") * F.col(px) + F.col("b0") - F.col(value)) <= F.col("_tol") + 1e-12)
-    score = on.groupBy(*keys, "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.count_distinct(value).alias("dv"), F.first("m0").alias("m0"), F.first("b0").alias("b0"))
-    best = score.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "n1", "n2"))).where("_k = 1").select(*keys, "m0", "b0")
-    kept = spanned.join(best, keys).withColumn("_in", F.abs(F.col("m0") * F.col(px) + F.col("b0") - F.col(value)) <= F.col("_tol") + 1e-12)
+    """(keys, m, b, r2, used, total). Each pair of labels proposes a line; the one that most labels lie on (within tol of the value range, the first pair among equals) is fitted again by least squares.
+
+    Lines through one label differ by their slope alone, and each other label lies on those whose slope is in one interval. So for each label the slopes that pairs propose are put in order with the ends of the intervals, and how many intervals are open at a slope is how many labels lie on its line: the square of a group's labels in rows, and no more.
+    """
+    per = Window.partitionBy(*keys)
+    spanned = df.withColumn("_tol", tol * (F.max(value).over(per) - F.min(value).over(per)) + 1e-12)
+    side = lambda k, *more: spanned.select(*keys, *(F.col(c).alias(f"{a}{k}") for a, c in (("n", n), ("p", px), ("v", value))), *more)
+    far = F.col("p2") - F.col("p1")
+    rise = lambda d: (F.col("v2") - F.col("v1") + d) / far
+    both = side(1, "_tol").join(side(2), keys)
+    level = F.when((far == 0) & (F.abs(F.col("v2") - F.col("v1")) <= F.col("_tol")), 1).otherwise(0)  # on every line through the first, or on none
+    ends = F.array(F.struct(F.least(rise(-F.col("_tol")), rise(F.col("_tol"))).alias("s"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.greatest(rise(-F.col("_tol")), rise(F.col("_tol"))).alias("s"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))
+    asked = F.when(F.col("n1") < F.col("n2"), F.array(F.struct(rise(F.lit(0.0)).alias("s"), F.lit(1).alias("kind"), F.lit(0).alias("step"))))
+    events = both.withColumn("_always", F.sum(level).over(Window.partitionBy(*keys, "n1"))).where(far != 0).withColumn("_e", F.explode(F.concat(ends, F.coalesce(asked, F.array().cast("array<struct<s:double,kind:int,step:int>>"))))).select(*keys, "n1", "n2", "p1", "v1", "_always", "_e.*")
+    open_ = Window.partitionBy(*keys, "n1").orderBy("s", "kind", "n2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    voted = events.withColumn("c", F.sum("step").over(open_) + F.col("_always")).where("kind = 1")
+    best = voted.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "n1", "n2", "s", "p1", "v1")).alias("x")).select(*keys, F.col("x.s").alias("m0"), (F.col("x.v1") - F.col("x.s") * F.col("x.p1")).alias("b0"))
+    kept = spanned.join(best, keys).withColumn("_in", F.abs(F.col("m0") * F.col(px) + F.col("b0") - F.col(value)) <= F.col("_tol"))
     v, p = F.when(F.col("_in"), F.col(value)), F.when(F.col("_in"), F.col(px))
     return kept.groupBy(*keys).agg(F.regr_slope(v, p).alias("m"), F.regr_intercept(v, p).alias("b"), F.regr_r2(v, p).alias("r2"), F.count_if("_in").alias("used"), F.count(F.lit(1)).alias("total")).where("used >= 2 and m is not null")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import SHORTENED
+from lodestar.operators.spatial import with_cells
+from lodestar.sources.scratch import remove, written
 
 
 def figures_or_panels(figures: DataFrame, panels: DataFrame, fig: str, usable: str) -> DataFrame:
@@ -70,12 +74,25 @@ def mentions(figures: DataFrame, paragraphs: DataFrame, doc: str, fid: str, numb
     return j.withColumn("puesto", F.row_number().over(Window.partitionBy(doc, fid).orderBy(pid))).where(F.col("puesto") <= most)
 
 
-def around(figures: DataFrame, blocks: DataFrame, keys: list[str], fid: str, bid: str, words: Column, least: int = 8) -> DataFrame:
-    """The closest body block that ends above a figure, and the closest that starts below it. blocks: by0, by1. keys should name a page, which holds few blocks."""
-    j = figures.join(blocks.where(words >= least), keys)
-    up, down = F.col("by1") <= F.col("y0") + 2, F.col("by0") >= F.col("y1") - 2
-    g = j.groupBy(*keys, fid).agg(F.min(F.when(up, F.struct((-F.col("by1")).alias("d"), bid))).alias("a"), F.min(F.when(down & ~up, F.struct(F.col("by0").alias("d"), bid))).alias("b"))
-    return g.select(*keys, fid, F.col(f"a.{bid}").alias("antes"), F.col(f"b.{bid}").alias("despues"))
+def around(figures: DataFrame, blocks: DataFrame, keys: list[str], fid: str, bid: str, words: Column, least: int = 8, slack: float = 2.0) -> DataFrame:
+    """The closest body block that ends above a figure, and the closest that starts below it, for figures on pages with body blocks. blocks: by0, by1. An as-of on position: figures and blocks in one order, each figure takes the last block before it, from above and from below. Of blocks at one height the one with the least id."""
+    body = blocks.where(words >= least)
+    types = dict(blocks.dtypes)
+    block = lambda at: body.select(*keys, at.alias("_at"), F.lit(1).alias("_rank"), F.lit(None).cast(dict(figures.dtypes)[fid]).alias(fid), F.struct(at.alias("at"), F.col(bid).alias("id")).alias("_block"))
+    figure = lambda at, rank: figures.select(*keys, at.alias("_at"), rank.alias("_rank"), fid, F.lit(None).cast(f"struct<at:{types['by0']},id:{types[bid]}>").alias("_block"))
+    order = ["_at", "_rank", F.desc("_block.id")]
+    last = lambda df, name: df.withColumn(name, F.last("_block", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col(fid).isNotNull()).select(*keys, fid, name)
+    above = last(block(F.col("by1")).union(figure(F.col("y0") + slack, F.lit(2))), "_a")
+    # below, positions count downwards; a figure lower than twice the slack takes blocks that lie wholly under its upper edge
+    low = F.col("y1") - F.col("y0") <= 2 * slack
+    start = F.when(low, F.col("y0") + slack).otherwise(F.col("y1") - slack)
+    below = last(block(-F.col("by0")).union(figure(-start, F.when(low, 0).otherwise(2))), "_b")
+    # and those that begin beside such a low figure but end under it: few, met in bands of the slack
+    band = lambda c: F.floor(c / slack)
+    beside = figures.where(low).withColumn("_band", F.explode(F.sequence(band(F.col("y1") - slack), band(F.col("y0") + slack)))).join(body.withColumn("_band", band(F.col("by0"))), [*keys, "_band"])
+    beside = beside.where((F.col("by0") >= F.col("y1") - slack) & (F.col("by0") <= F.col("y0") + slack) & (F.col("by1") > F.col("y0") + slack)).groupBy(*keys, fid).agg(F.min(F.struct(F.col("by0").alias("at"), F.col(bid).alias("id"))).alias("_c"))
+    both = above.join(below, [*keys, fid]).join(beside, [*keys, fid], "left").join(body.select(*keys).distinct(), keys, "left_semi")
+    return both.select(*keys, fid, F.col("_a.id").alias("antes"), F.coalesce("_c.id", "_b.id").alias("despues"))
 
 
 def interval_labels(groups: DataFrame, tokens: DataFrame, keys: list[str], gid: str, size: float) -> DataFrame:
@@ -88,19 +105,18 @@ def interval_labels(groups: DataFrame, tokens: DataFrame, keys: list[str], gid:
 
 
 def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str, order: list[str]) -> DataFrame:
-    """Candidates in order; each left and each right is used once. Sequential within keys; Spark makes the candidates."""
-
-    def run(pdf):
-        used_l, used_r, kept = set(), set(), []
-        pdf = pdf.sort_values(order, kind="stable")
-        for i, (a, b) in enumerate(zip(pdf[left], pdf[right], strict=True)):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return candidates.groupBy(*keys).applyInPandas(run, candidates.schema)
+    """Candidates in order; each left and each right is used once. A pair that comes first both for its left and for its right is one that the order would take, whatever happens elsewhere; so all such pairs are taken at a time, those that share a side with them go, and again, until none are left. No group needs to fit a task."""
+    rank = F.struct(*(o for o in order), *(c for c in (left, right) if c not in order))
+    first = lambda df, side: df.groupBy(*keys, side).agg(F.min("_rank").alias("_first"))
+    left_over, taken = written(candidates.withColumn("_rank", rank)), []
+    while True:
+        best = left_over.join(first(left_over, left), [*keys, left]).where("_rank = _first").drop("_first").join(first(left_over, right), [*keys, right]).where("_rank = _first").drop("_first")
+        taken.append(written(best.select(*candidates.columns)))
+        rest = written(left_over.join(taken[-1].select(*keys, left), [*keys, left], "left_anti").join(taken[-1].select(*keys, right), [*keys, right], "left_anti").select(*left_over.columns))
+        remove(candidates.sparkSession, left_over.scratch_path)
+        left_over = rest
+        if rest.isEmpty():
+            return functools.reduce(DataFrame.unionByName, taken)
 
 
 def value_labels(bars: DataFrame, tokens: DataFrame, keys: list[str], size: float, band: float = 0.3) -> DataFrame:
@@ -122,58 +138,32 @@ def value_labels(bars: DataFrame, tokens: DataFrame, keys: list[str], size: floa
 
 
 def nearest_pairs(lefts: DataFrame, rights: DataFrame, keys: list[str], left: str, right: str, x: str, y: str, most: float) -> DataFrame:
-    """greedy_pairs of the candidates left and right with |x - y| < most, in order of that distance d, left and right, without making them: on a line the nearest pair are neighbours. A task holds the ids of its keys, not their pairs."""
-    types = dict(lefts.dtypes) | dict(rights.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, left, right)) + ", d double"
-
-    def run(a, b):
-        import heapq
-
-        import pandas as pd
-
-        places: dict[float, tuple[list, list]] = {}
-        for side, (pdf, i, v) in enumerate(((a, left, x), (b, right, y))):
-            for at, k in pdf.dropna(subset=[v])[[v, i]].sort_values(i, ascending=False).itertuples(index=False):
-                places.setdefault(float(at), ([], []))[side].append(k)
-        out = []
-        for own in places.values():
-            while own[0] and own[1] and most > 0:
-                out.append((own[0].pop(), own[1].pop(), 0.0))
-        at = sorted(p for p, own in places.items() if own[0] or own[1])
-        ids = [places[p] for p in at]
-        before, after, todo = [i - 1 for i in range(len(at))], [i + 1 for i in range(len(at))], []
-
-        def offer(i, j):
-            if i < 0 or j >= len(at):
-                return
-            for ls, rs in ((ids[i][0], ids[j][1]), (ids[j][0], ids[i][1])):
-                if ls and rs and at[j] - at[i] < most:
-                    heapq.heappush(todo, (at[j] - at[i], ls[-1], rs[-1], i, j))
-
-        for i in range(len(at) - 1):
-            offer(i, i + 1)
-        while todo:
-            d, p, q, i, j = heapq.heappop(todo)
-            ls, rs = (ids[i][0], ids[j][1]) if ids[i][0] else (ids[j][0], ids[i][1])
-            if after[i] != j or not ls or not rs or (ls[-1], rs[-1]) != (p, q):
-                continue
-            out.append((ls.pop(), rs.pop(), d))
-            for k in (i, j):
-                if not ids[k][0] and not ids[k][1]:
-                    lo, hi = before[k], after[k]
-                    if lo >= 0:
-                        after[lo] = hi
-                    if hi < len(at):
-                        before[hi] = lo
-                    after[k] = -1
-            near = {k for k in (i, j) if after[k] != -1} | {before[i] if after[i] == -1 else i, before[j] if after[j] == -1 else j}
-            for k in {v for k in near for v in ((before[k], k) if k >= 0 and after[k] != -1 else (k,))}:
-                if k >= 0 and after[k] != -1:
-                    offer(k, after[k])
-        head = [(a if len(a) else b)[k].iloc[0] for k in keys]
-        return pd.DataFrame([(*head, *r) for r in out], columns=[*keys, left, right, "d"])
-
-    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(run, schema)
+    """greedy_pairs of the candidates left and right with |x - y| < most, in order of that distance d, left and right, without making them. On a line what is nearest to a left is the last right before it or the first behind it; lefts and rights that are nearest to each other are taken at a time, then again among what is left. Rounds are sorts by position, so no group needs to fit a task's memory."""
+    side = lambda df, i, v, k: df.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))).select(*keys, F.lit(k).alias("_side"), F.col(v).cast("double").alias("_v"), F.col(i).alias("_id"))
+    types = dict(lefts.dtypes)[left], dict(rights.dtypes)[right]
+    if types[0] != types[1]:
+        raise TypeError(f"ids of both sides should be of one type, not {types[0]} and {types[1]}")
+    todo, taken = written(side(lefts, left, x, 0).union(side(rights, right, y, 1))), []
+    up = Window.partitionBy(*keys).orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*keys).orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    while True:
+        # of equal places the least id comes first
+        spots = todo.withColumn("_least", F.min("_id").over(Window.partitionBy(*keys, "_side", "_v")))
+        at = F.struct(F.col("_v").alias("v"), F.col("_least").alias("id"))
+        other = lambda over, f: F.when(F.col("_side") == 0, f(F.when(F.col("_side") == 1, at)).over(over)).otherwise(f(F.when(F.col("_side") == 0, at)).over(over))
+        seen = spots.withColumn("_before", other(up, F.max)).withColumn("_after", other(down, F.min))
+        reach = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.id").alias("id")))
+        near = seen.withColumn("_to", F.least(reach("_before"), reach("_after"))).where((F.col("_to.d") < most))
+        mine = lambda k, a, b: near.where(F.col("_side") == k).select(*keys, F.col("_id").alias(a), F.col("_to.id").alias(b), F.col("_to.d").alias("d"))
+        pairs = written(mine(0, left, right).join(mine(1, right, left).drop("d"), [*keys, left, right]))
+        if pairs.isEmpty():
+            remove(lefts.sparkSession, todo.scratch_path)
+            return functools.reduce(DataFrame.unionByName, [*taken, pairs])
+        taken.append(pairs)
+        gone = pairs.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col(left).alias("_id")), F.struct(F.lit(1).alias("_side"), F.col(right).alias("_id")))).alias("_x")).select(*keys, "_x.*")
+        rest = written(todo.join(gone, [*keys, "_side", "_id"], "left_anti").select(*todo.columns))
+        remove(lefts.sparkSession, todo.scratch_path)
+        todo = rest
 
 
 def nearest_class(items: DataFrame, palette: DataFrame, vector: str, names: str, centre: str, most: float) -> DataFrame:
@@ -199,73 +189,53 @@ def nearest_label(groups: DataFrame, labels: DataFrame, keys: list[str], gid: st
     return groups.join(best.select(*keys, gid, F.col("_b.lid").alias("lid")), [*keys, gid], "left")
 
 
-def without_overlaps(boxes: DataFrame, keys: list[str], bid: str, inside: float = 0.85, alike: float = 0.6, most_strokes: int = 3) -> DataFrame:
+def without_overlaps(boxes: DataFrame, keys: list[str], bid: str, inside: float = 0.85, alike: float = 0.6, most_strokes: int = 3, size: float = 200.0) -> DataFrame:
     """Boxes (x0, y0, x1, y1, keep, caption, strokes) of a page without those that show the same figure again, in order of bid.
 
-    Of two boxes that lie in one another by inside, nearly equal ones (areas within alike) lose the smaller. A much larger one is a frame, and goes, if both have the same caption, it holds no third box, and of its strokes (boxes as arrays) at most most_strokes lie outside the smaller, its own background (0.9 of its area) aside; else both stay. In either case a line chart (keep) stays over one that is not. A box that is gone decides nothing: sequential for each page.
-    """
+    Of two boxes that lie in one another by inside, nearly equal ones (areas within alike) lose the smaller. A much larger one is a frame, and goes, if both have the same caption, it holds no third box, and of its strokes (boxes as arrays) at most most_strokes lie outside the smaller, its own background (0.9 of its area) aside; else both stay. In either case a line chart (keep) stays over one that is not. A box that is gone decides nothing.
 
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(bid, kind="stable")
-        b, keep = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["keep"].to_numpy(bool)
-        caption = [(c or "").strip() if isinstance(c, str) else "" for c in pdf["caption"]]
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        side = lambda lo, hi: np.clip(np.minimum(b[:, None, hi], b[None, :, hi]) - np.maximum(b[:, None, lo], b[None, :, lo]), 0, None)
-        share = side(0, 2) * side(1, 3) / np.where(area > 0, area, np.inf)[:, None]  # of the row's box that the column's has
-        lies = (share >= inside) & (area > 0)[:, None] & (area > 0)[None, :]
-        alive = np.ones(len(b), bool)
-        for i, j in np.argwhere(np.triu(lies | lies.T, 1)):
-            small, large = (i, j) if area[i] <= area[j] else (j, i)
-            if not (alive[i] and alive[j] and lies[small, large]):
-                continue
-            if area[small] >= alike * area[large]:
-                gone = small
-            else:
-                thirds = lies[:, large].copy()
-                thirds[[small, large]] = False
-                if not caption[small] or caption[small] != caption[large] or thirds.any() or _outside(pdf["strokes"].iloc[large], b[small], 0.9 * area[large]) > most_strokes:
-                    continue
-                gone = large
-            if keep[gone] and not keep[i + j - gone]:
-                gone = i + j - gone
-            alive[gone] = False
-        return pdf[alive]
-
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
-
-
-def _outside(strokes, box, most: float) -> int:
-    """How many strokes of less area than most don't touch the box."""
-    import numpy as np
-
-    s = np.array([list(x) for x in strokes] if strokes is not None else [], float).reshape(-1, 4)
-    apart = (s[:, 2] <= box[0]) | (s[:, 0] >= box[2]) | (s[:, 3] <= box[1]) | (s[:, 1] >= box[3])
-    return int((apart & ((s[:, 2] - s[:, 0]) * (s[:, 3] - s[:, 1]) < most)).sum())
-
-
-def united_boxes(boxes: DataFrame, keys: list[str], bid: str, gap: float = 15.0) -> DataFrame:
-    """Boxes nearer than gap in both axes are united until none are; united boxes grow, so the step repeats. A page's boxes fit one task."""
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in boxes.select(*keys).dtypes)}, n long, x0 double, y0 double, x1 double, y1 double"
-
-    def run(pdf):
-        import pandas as pd
-
-        todo = [list(map(float, r)) for r in pdf.sort_values(bid)[["x0", "y0", "x1", "y1"]].to_numpy()]
-        changed = True
-        while changed:
-            changed, out = False, []
-            for r in todo:
-                for o in out:
-                    if r[0] - gap <= o[2] and o[0] - gap <= r[2] and r[1] - gap <= o[3] and o[1] - gap <= r[3]:
-                        o[:] = [min(o[0], r[0]), min(o[1], r[1]), max(o[2], r[2]), max(o[3], r[3])]
-                        changed = True
-                        break
-                else:
-                    out.append(r)
-            todo = out
-        head = [pdf[k].iloc[0] for k in keys]
-        return pd.DataFrame([(*head, i, *r) for i, r in enumerate(sorted(todo))], columns=[*keys, "n", "x0", "y0", "x1", "y1"])
-
-    return boxes.groupBy(*keys).applyInPandas(run, schema)
+    Which boxes lie in which is a join by cells; what a pair would lose is told pair by pair. Only who is gone by then hangs on the order: a fold over a page's pairs.
+    """
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    sized = boxes.withColumn("_area", area).where("_area > 0")
+    fields = ("x0", "y0", "x1", "y1", "_area", "keep")
+    one = lambda k, *more: sized.select(*keys, F.struct(F.col(bid).alias("id"), *fields, F.trim(F.coalesce("caption", F.lit(""))).alias("caption"), *more).alias(k), *fields[:4])
+    placed = lambda k, *more: with_cells(one(k, *more), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size).drop(*fields[:4])
+    over = lambda lo, hi: F.greatest(F.least(f"s.{hi}", f"l.{hi}") - F.greatest(f"s.{lo}", f"l.{lo}"), F.lit(0.0))
+    shared = over("x0", "x1") * over("y0", "y1")
+    met = placed("s").join(placed("l", F.col("strokes")), [*keys, "cx", "cy"]).where((F.col("s.id") != F.col("l.id")) & (shared / F.col("s._area") >= inside))
+    lies = written(met.groupBy(*keys, F.col("s.id").alias("_s"), F.col("l.id").alias("_l")).agg(F.first("s").alias("s"), F.first("l").alias("l")))
+    held = lies.groupBy(*keys, "_l").agg(F.count(F.lit(1)).alias("_holds"))
+    # each pair once: the smaller is the one of less area, of equal ones the first
+    small = (F.col("s._area") < F.col("l._area")) | ((F.col("s._area") == F.col("l._area")) & (F.col("_s") < F.col("_l")))
+    apart = lambda b: (b[2] <= F.col("s.x0")) | (b[0] >= F.col("s.x1")) | (b[3] <= F.col("s.y0")) | (b[1] >= F.col("s.y1"))
+    outside = F.size(F.filter(F.coalesce("l.strokes", F.array().cast("array<array<double>>")), lambda b: apart(b) & ((b[2] - b[0]) * (b[3] - b[1]) < 0.9 * F.col("l._area"))))
+    frame = (F.col("s.caption") != "") & (F.col("s.caption") == F.col("l.caption")) & (F.col("_holds") == 1) & (outside <= most_strokes)
+    loser = F.when(F.col("s._area") >= alike * F.col("l._area"), F.struct(F.col("_s").alias("gone"), F.col("_l").alias("stays"), F.col("s.keep").alias("k"), F.col("l.keep").alias("o"))).when(frame, F.struct(F.col("_l").alias("gone"), F.col("_s").alias("stays"), F.col("l.keep").alias("k"), F.col("s.keep").alias("o")))
+    told = lies.join(held, [*keys, "_l"]).where(small).withColumn("_x", loser).where("_x is not null").withColumn("_gone", F.when(F.col("_x.k") & ~F.col("_x.o"), F.col("_x.stays")).otherwise(F.col("_x.gone")))
+    pair = F.struct(F.least("_s", "_l").alias("a"), F.greatest("_s", "_l").alias("b"), F.col("_gone").alias("gone"))
+    none = F.array().cast(f"array<{dict(boxes.dtypes)[bid]}>")
+    fold = F.aggregate("_pairs", none, lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.concat(gone, F.array(p["gone"]))))
+    lost = told.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_pairs")).select(*keys, F.explode(fold).alias(bid))
+    return boxes.join(lost, [*keys, bid], "left_anti").select(*boxes.columns)
+
+
+def united_boxes(boxes: DataFrame, keys: list[str], bid: str, gap: float = 15.0, size: float = 100.0) -> DataFrame:
+    """Boxes nearer than gap in both axes are united until none are. In a round each box joins the near one of the least hash (its own, if that is less), and boxes of one name become one; a round more as long as boxes are near. Hashes instead of ids, so that a chain of boxes shrinks by a share in each round. How boxes are united in between does not change where it ends: near boxes are of one in any case."""
+    spark = boxes.sparkSession
+    shape = lambda df: df.select(*keys, "_h", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    todo = written(shape(boxes.withColumn("_h", F.xxhash64(F.col(bid)))))
+    while True:
+        cells = with_cells(todo, F.col("x0") - gap / 2, F.col("y0") - gap / 2, F.col("x1") + gap / 2, F.col("y1") + gap / 2, size)
+        o = cells.select(*keys, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("_h", "x0", "y0", "x1", "y1")))
+        near = cells.join(o, [*keys, "cx", "cy"]).where(F.expr(f"_h <> o__h and x0 - {gap} <= o_x1 and o_x0 - {gap} <= x1 and y0 - {gap} <= o_y1 and o_y0 - {gap} <= y1"))
+        named = written(near.groupBy(*keys, "_h").agg(F.min("o__h").alias("_to")))
+        if named.isEmpty():
+            break
+        joined = todo.join(named, [*keys, "_h"], "left").withColumn("_h", F.least("_h", F.coalesce("_to", "_h")))
+        fewer = written(shape(joined.groupBy(*keys, "_h").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))))
+        for t in (todo, named):
+            remove(spark, t.scratch_path)
+        todo = fewer
+    order = Window.partitionBy(*keys).orderBy("x0", "y0", "x1", "y1")
+    return todo.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("n"), "x0", "y0", "x1", "y1")

@@ -21,37 +21,75 @@ def pct(c: Column | str, q: float) -> Column:
     return F.percentile(F.when(~F.isnan(c), c), F.lit(q))
 
 
-#: Share of a group's rows that percentile_approx may be off by, and the groups up to which bounds of groups are sent to every task.
-OFF, FEW_GROUPS = 1e-4, 10_000
+#: Share of a group's rows that percentile_approx may be off by, groups whose bounds the driver holds, values of a group that are ranked in one task, and steps of a narrower search.
+OFF, FEW_GROUPS, RANKED, STEPS = 1e-4, 10_000, 1_000_000, 200
+
+
+def _brackets(df: DataFrame, keys: list[str], clean: dict[str, Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(_k0, ..., _b_name: n, lo, hi): values between which each rank lies. One read of the rows; a further one for each time that some group has more than RANKED values in between."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    edge = lambda n, q: F.percentile_approx(clean[n], min(max(q, 0.0), 1.0), round(1 / OFF)).cast("double")
+    lo = lambda n, q: F.lit(float("-inf")) if q <= OFF * 2 else edge(n, q - 2 * OFF)
+    hi = lambda n, q: F.lit(float("inf")) if q >= 1 - OFF * 2 else edge(n, q + 2 * OFF)
+    bounds = df.groupBy(*(F.col(k).alias(a) for k, a in zip(keys, names, strict=True))).agg(*(F.struct(F.count(clean[n]).alias("n"), lo(n, q).alias("lo"), hi(n, q).alias("hi")).alias(f"_b_{n}") for n, (_, q) in wanted.items()))
+    found = bounds.limit(FEW_GROUPS + 1).collect()
+    if len(found) > FEW_GROUPS:
+        return bounds  # so many groups that none of them needs a narrower search to fit a task
+    spark, schema = df.sparkSession, bounds.schema
+    inside = [max((r[f"_b_{n}"]["n"] for r in found), default=0) * 4 * OFF for n in wanted]
+    while max(inside, default=0) > RANKED:
+        near = F.broadcast(spark.createDataFrame(found, schema))  # FEW_GROUPS rows at most
+        between = {n: F.when((clean[n] >= F.col(f"_b_{n}.lo")) & (clean[n] <= F.col(f"_b_{n}.hi")), clean[n]) for n in wanted}
+        grid = [k / STEPS for k in range(STEPS + 1)]
+        got = df.join(near, _same(keys)).groupBy(*names).agg(*(F.struct(F.count_if(clean[n] < F.col(f"_b_{n}.lo")).alias("u"), F.count(between[n]).alias("m"), F.percentile_approx(between[n], grid, round(1 / OFF)).cast("array<double>").alias("at")).alias(n) for n in wanted)).collect()
+        seen = {tuple(r[a] for a in names): r for r in got}
+        narrowed = []
+        for r in found:
+            row, own = r.asDict(), seen.get(tuple(r[a] for a in names))
+            for n, (_, q) in wanted.items():
+                b, s = r[f"_b_{n}"], own and own[n]
+                if s and s["m"] > RANKED:
+                    p = (q * (b["n"] - 1) - s["u"]) / s["m"]
+                    k, j = int((p - 2 * OFF) * STEPS), int((p + 2 * OFF) * STEPS) + 2
+                    row[f"_b_{n}"] = (b["n"], s["at"][k] if k > 0 else b["lo"], s["at"][j] if j < STEPS else b["hi"])
+            narrowed.append(tuple(row[c] for c in schema.names))
+        before, found = found, narrowed
+        if [tuple(map(tuple, (r[f"_b_{n}"] for n in wanted))) for r in before] == [tuple(map(tuple, r[len(names) :])) for r in found]:
+            break  # what is left are repetitions of one value, which are counted before they are ranked
+        found = spark.createDataFrame(found, schema).collect()
+        inside = [x * 2 / STEPS for x in inside]
+    return F.broadcast(spark.createDataFrame(found, schema))  # FEW_GROUPS rows at most
+
+
+def _same(keys: list[str]) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """A3 for groups of any size: (keys, a column for each of wanted: name -> (column, q)), exact and linear between ranks, null without values.
+    """A3 for groups of any size: (keys, a column for each of wanted: name -> (column, q)), exact and linear between ranks, null without values. Two reads of the rows.
 
-    An exact percentile keeps a group's values in one buffer. Here an approximate one brackets the rank (its error is at most OFF of the rows), values below the bracket are only counted, and those inside, a few in ten thousand, are counted by value and ranked.
+    An exact percentile keeps a group's values in one buffer. Here the first read brackets each rank by an approximate percentile (its error is at most OFF of the rows); the second counts what is below the bracket, and the values inside, a few in ten thousand, each with its number. Only these are ranked.
     """
     clean = {n: F.when(~F.isnan(c), F.col(c)) for n, (c, _) in wanted.items()}
-    edge = lambda n, q: F.percentile_approx(clean[n], min(max(q, 0.0), 1.0), round(1 / OFF))
-    bounds = df.groupBy(*keys).agg(*(F.struct(F.count(clean[n]).alias("n"), *((F.lit(float("-inf")) if q <= OFF * 2 else edge(n, q - 2 * OFF)).cast("double").alias("lo"),), (F.lit(float("inf")) if q >= 1 - OFF * 2 else edge(n, q + 2 * OFF)).cast("double").alias("hi")).alias(f"_b_{n}") for n, (_, q) in wanted.items()))
-    if keys and bounds.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS or not keys:
-        bounds = F.broadcast(bounds)
-    named = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(f"_b_{n}" for n in wanted))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    both = df.join(named, same)
-    below = both.groupBy(*keys).agg(*(F.struct(F.count_if(clean[n] < F.col(f"_b_{n}.lo")).alias("u"), F.max(F.when(clean[n] < F.col(f"_b_{n}.lo"), clean[n])).cast("double").alias("prev"), F.min(F.when(clean[n] > F.col(f"_b_{n}.hi"), clean[n])).cast("double").alias("next")).alias(f"_u_{n}") for n in wanted), *(F.first(f"_b_{n}").alias(f"_b_{n}") for n in wanted))
-    inside = F.explode(F.filter(F.array(*(F.when((clean[n] >= F.col(f"_b_{n}.lo")) & (clean[n] <= F.col(f"_b_{n}.hi")), F.struct(F.lit(n).alias("name"), clean[n].cast("double").alias("v"))) for n in wanted)), lambda x: x.isNotNull())).alias("_x")
-    counted = both.select(*keys, inside).select(*keys, "_x.*").groupBy(*keys, "name", "v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = counted.withColumn("_c", F.sum("_c").over(Window.partitionBy(*keys, "name").orderBy("v")))
-    flat = below.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_u_{n}.u").alias("u"), F.col(f"_u_{n}.prev").alias("prev"), F.col(f"_u_{n}.next").alias("next"), (F.lit(q) * (F.col(f"_b_{n}.n") - 1)).alias("r")) for n, (_, q) in wanted.items()))).alias("_x")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_x.name").alias("_name"), "_x.u", "_x.prev", "_x.next", "_x.r")
-    met = upto.join(flat, same & (F.col("name") == F.col("_name")))
-    # between neighbouring ranks the bracket may end one short: there its neighbours outside stand
-    at = lambda rank: F.when(F.max(rank - F.col("u")) < 0, F.max("prev")).otherwise(F.coalesce(F.min(F.when(F.col("u") + F.col("_c") > rank, F.col("v"))), F.max("next")))
-    got = met.groupBy(*keys, "name").agg(at(F.floor("r")).alias("a"), at(F.ceil("r")).alias("b"), F.max(F.col("r") - F.floor("r")).alias("f"))
+    bounds = _brackets(df, keys, clean, wanted)
+    both = df.join(bounds, _same(keys))
+    # each value is its own, or one of all below or above the bracket, of which the nearest is kept
+    part = lambda n: F.when(clean[n] < F.col(f"_b_{n}.lo"), -1).when(clean[n] > F.col(f"_b_{n}.hi"), 1).otherwise(0)
+    told = F.array(*(F.struct(F.lit(n).alias("name"), part(n).alias("part"), F.when(part(n) == 0, clean[n].cast("double")).alias("v"), clean[n].cast("double").alias("w"), F.lit(float(q)).alias("q")) for n, (_, q) in wanted.items()))
+    counted = both.select(*keys, F.explode(told).alias("_x")).select(*keys, "_x.*").where("w is not null").groupBy(*keys, "name", "part", "v").agg(F.count(F.lit(1)).alias("c"), F.min("w").alias("low"), F.max("w").alias("high"), F.first("q").alias("q"))
+    per = Window.partitionBy(*keys, "name")
+    rank = F.col("q") * (F.sum("c").over(per) - 1)
+    upto = counted.withColumn("r", rank).withColumn("upto", F.sum("c").over(per.orderBy("part", "v")))
+    # a rank may fall one short of the bracket, or one beyond: the nearest value outside stands there
+    held = F.when(F.col("part") < 0, F.col("high")).otherwise(F.col("low"))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.struct("part", held.alias("v"))))["v"]
+    got = upto.groupBy(*keys, "name").agg(at(F.floor("r")).alias("a"), at(F.ceil("r")).alias("b"), F.max(F.col("r") - F.floor("r")).alias("f"))
     wide = got.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("a") + F.col("f") * (F.col("b") - F.col("a")))).alias(n) for n in wanted))
-    every = below.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    return every.join(wide, same, "left").select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), *wanted)
+    every = bounds.select(*(f"_k{i}" for i in range(len(keys))))
+    return every.join(wide, _same(keys), "left").select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), *wanted)
 
 
 def share(flag: Column) -> Column:

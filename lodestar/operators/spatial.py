@@ -1,6 +1,6 @@
 """Joins by place: cells make them equi-joins, exact distances decide.
 
-A range join in Spark is a nested loop. Here each element goes to the cells that its box and radius touch, each point keeps its own cell, and only pairs of one cell are measured. Long elements cost as many cells as they cross, so size should not be far below the usual length.
+A range join in Spark is a nested loop. Here each element goes to the cells that its box and radius touch, each point keeps its own cell, and only pairs of one cell are measured. Points meet elements in a grid of levels: an element lies in the level whose cells are as large as its box, so it takes four cells at most whatever its length, and a point has one cell in each level that occurs. Elsewhere long elements cost as many cells as they cross, so size should not be far below the usual length.
 """
 
 from __future__ import annotations
@@ -45,13 +45,28 @@ def to_element(px: Column, py: Column, shape: Column, x1: Column, y1: Column, x2
 REST = 10
 
 
+def level(extent: Column, size: float) -> Column:
+    """The least level whose cells are as large as an extent: cells double from level to level."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / size))).cast("int")
+
+
+def in_levels(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
+    """A row for each cell (lv, cx, cy) that a box touches in its own level: four at most. Boxes that are not finite touch none."""
+    edge = size * F.pow(F.lit(2.0), F.col("lv"))
+    span = lambda a, b: F.sequence(F.floor(a / edge), F.floor(b / edge))
+    placed = boxes.withColumn("lv", level(F.greatest(x1 - x0, y1 - y0), size)).where(x0.isNotNull() & y0.isNotNull() & (F.abs(x0) + F.abs(y0) + F.abs(x1) + F.abs(y1) < float("inf")))
+    return placed.withColumn("cx", F.explode(span(x0, x1))).withColumn("cy", F.explode(span(y0, y1)))
+
+
 def within_reach(points: DataFrame, elements: DataFrame, size: float) -> DataFrame:
     """Pairs of a point (chart, pid, px, py) and an element whose radius it is in, with d, the distance."""
     r, x2, y2 = F.col("radius"), F.coalesce("x2", "x1"), F.coalesce("y2", "y1")
-    spread = with_cells(elements, F.least("x1", x2) - r, F.least("y1", y2) - r, F.greatest("x1", x2) + r, F.greatest("y1", y2) + r, size)
-    placed = points.withColumn("cx", cell(F.col("px"), size)).withColumn("cy", cell(F.col("py"), size))
+    spread = in_levels(elements, F.least("x1", x2) - r, F.least("y1", y2) - r, F.greatest("x1", x2) + r, F.greatest("y1", y2) + r, size)
+    levels = [row["lv"] for row in spread.select("lv").distinct().orderBy("lv").collect()]  # doublings of an extent: some tens at most
+    edge = size * F.pow(F.lit(2.0), F.col("lv"))
+    placed = points.withColumn("lv", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("cx", F.floor(F.col("px") / edge)).withColumn("cy", F.floor(F.col("py") / edge))
     d = to_element(F.col("px"), F.col("py"), F.col("shape"), F.col("x1"), F.col("y1"), x2, y2)
-    return placed.join(spread, ["chart", "cx", "cy"]).withColumn("d", d).where(F.col("d") <= F.col("radius")).drop("cx", "cy")
+    return placed.join(spread, ["chart", "lv", "cx", "cy"]).withColumn("d", d).where(F.col("d") <= F.col("radius")).drop("lv", "cx", "cy")
 
 
 def nearest_element(points: DataFrame, elements: DataFrame, size: float, bonus: float | None = 3.0, margin: float = 3.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that are still there, with the Hadoop file system that has them.
 _held: dict[str, object] = {}
@@ -39,6 +39,15 @@ def remove(spark: SparkSession, path: str) -> None:
     _held.pop(path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of its own, read again: the lineage ends there. scratch_path names it for remove()."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
 def _remove_all() -> None:
     from pyspark import SparkContext
 
