@@ -1,10 +1,12 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed n-grams, one of the target (labelled good documents), one of the raw corpus, give each document the log of how much likelier the target makes it. Summed over a text that ratio grows with the text's length and no noise of order one would ever change a draw; so it is taken per n-gram and tempered: a logistic curve over held-out labelled documents turns it into the chance that a document is of the target's kind, and the log of that chance over the target's share of the corpus is the importance weight. Weight plus Gumbel noise, and the largest k of that, are a sample without replacement in proportion to the weights. k is the share of the corpus that the model takes for the target's kind: the sum of those chances over all documents, rounded. So documents of the target's kind weigh about the same and nearly all are drawn; others are drawn as rarely as their weight says.
+Two generative models of hashed n-grams, one of the target (labelled good documents), one of the raw corpus, give each document the log of how much likelier the target makes it. Summed over a text that ratio grows with the text's length and no noise of order one would ever change a draw; so it is taken per n-gram and divided by TEMPERATURE. That is the log of the importance weight: the ratio of the two models and nothing else, no label of another kind has a part in it. Weight plus Gumbel noise, and the largest k of that, are a sample without replacement in proportion to the weights.
 
-n-grams: words and marks in lower case, pairs of them, and the shapes of words (case, digits, marks, said again) with pairs of shapes. All documents count in the raw model and all are weighed: two passes over the texts, since every weight needs the counts of all. The target model is fitted on at most LABELLED labelled rows (those least by a hash of their id), half of which fit the curve.
+k is how many documents lie where target documents do: those whose ratio is at least the lower quartile of held-out target documents less FENCE times the range of their middle half. Documents of the target's kind weigh about the same and nearly all are drawn; others are drawn as rarely as their weight says.
 
-Null or empty texts have no n-grams; their ratio is 0. Rows tied with the k-th are all drawn. Repeated rows are weighed each, with the same noise for the same id. The key is a bigint. Extra columns stay. An empty table gives an empty result; without labels of both kinds every document is drawn.
+n-grams: words and marks in lower case, pairs of them, and the shapes of words (case, digits, marks, said again) with pairs of shapes. All documents count in the raw model and all are weighed: two passes over the texts, since every weight needs the counts of all. The target model is fitted on at most LABELLED labelled rows (those least by a hash of their id), half of which say where target documents lie.
+
+Null or empty texts have no n-grams; their ratio is 0. Rows tied with the k-th are all drawn. Repeated rows are weighed each, with the same noise for the same id. The key is a bigint. Extra columns stay. An empty table gives an empty result; without labelled target documents on both sides every document is drawn.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from lodestar.llm.common import Cache, arrow, batches, mix, written
 BUCKETS, LABELLED, SMOOTH = 1 << 14, 20_000, 1.0
 #: n-grams of ratio 0 that every text has besides its own, so that a few words alone say little.
 PRIOR = 8
+#: Ratio per n-gram that counts as one unit of Gumbel noise; how many ranges of the middle half below it a document may lie and still count in k.
+TEMPERATURE, FENCE = 0.05, 6.0
 #: Rows at which the search for the k-th largest key ends on the driver.
 FEW = 4096
 
@@ -106,26 +110,12 @@ def weigher(spark: SparkSession, ratio: np.ndarray):
     return weigh
 
 
-def curve(ratios: np.ndarray, good: np.ndarray, steps: int = 100) -> tuple[float, float] | None:
-    """(a, b) of the chance 1 / (1 + exp(-a * ratio - b)) that a document is good. The aims are drawn in by one imagined document of each kind, so that a clean cut doesn't make the curve a step. None without both kinds."""
-    n, m = int(good.sum()), int((~good).sum())
-    if not n or not m:
-        return None
-    middle, wide = ratios.mean(), max(ratios.std(), 1e-9)
-    x = np.c_[(ratios - middle) / wide, np.ones(len(ratios))]
-    aim = np.where(good, (n + 1) / (n + 2), 1 / (m + 2))
-    w = np.array([0.0, np.log(n / m)])
-    loss = lambda w: np.logaddexp(0, x @ w).sum() - aim @ (x @ w)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - aim))
-        far = 1.0
-        while far > 1e-6 and loss(w - far * step) > loss(w):
-            far /= 2
-        w = w - far * step
-        if np.abs(far * step).max() < 1e-9:
-            break
-    return float(w[0] / wide), float(w[1] - w[0] * middle / wide)
+def fence(ratios: np.ndarray, wide: float = FENCE) -> float:
+    """The least ratio at which a document still lies where these do; none below without any."""
+    if not len(ratios):
+        return float("-inf")
+    low, high = np.quantile(ratios, (0.25, 0.75))
+    return float(low - wide * max(high - low, 1e-9))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -160,7 +150,7 @@ def noise(key: str, seed: int):
 class Resampler:
     """Fitted on the corpus when made; then drawn() or draw(). carry: columns to keep beside the key."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED, seed: int = 17, carry: bool = False):
+    def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED, seed: int = 17, carry: bool = False, temperature: float = TEMPERATURE):
         self.key, self.text, self.columns = key, text, docs.columns
         spark = docs.sparkSession
         rows = {r["id"]: r["y"] for r in sample_labels(labels, key, label, most).collect()}
@@ -170,23 +160,14 @@ class Resampler:
         if not any(y == 1 for i, y in rows.items() if fold[i] == 0):
             ratio = np.zeros(BUCKETS)
         weigh = weigher(spark, ratio)
-        kept = F.struct(*(F.col(c) for c in docs.columns)).alias("row") if carry else F.lit(0).alias("row")
+        kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.lit(0).alias("row")
         # a table of the weighed rows: what is drawn is read from it, not hashed again
         self.weighed = weighed = written(docs.select(F.col(key).alias("id"), weigh(F.col(text)).alias("ratio"), kept))
-        held = spark.createDataFrame([(i, y) for i, y in rows.items() if fold[i] == 1], "id bigint, y int")
+        held = spark.createDataFrame([(i,) for i, y in rows.items() if fold[i] == 1 and y == 1], "id bigint")
         # one row for each labelled id, however often the corpus repeats it
-        checked = weighed.join(F.broadcast(held), "id").groupBy("id").agg(F.avg("ratio").alias("ratio"), F.max("y").alias("y")).toArrow()
-        self.curve = curve(checked.column("ratio").to_numpy(), checked.column("y").to_numpy() == 1) if len(checked) else None
-        if self.curve:
-            a, b = self.curve
-            # log of the chance, without overflow at either end
-            self.chance = -F.greatest(-(a * F.col("ratio") + b), F.lit(0.0)) - F.log1p(F.exp(-F.abs(a * F.col("ratio") + b)))
-            n, share = weighed.agg(F.count(F.lit(1)), F.avg(F.exp(self.chance))).first()
-            self.k, share = round((share or 0.0) * n), max(share or 0.0, 1e-300)
-        else:
-            n = self.k = weighed.count()
-            self.chance, share = F.lit(0.0), 1.0
-        scores = weighed.withColumn("log_weight", self.chance - float(np.log(share)))
+        found = weighed.join(F.broadcast(held), "id").groupBy("id").agg(F.avg("ratio").alias("ratio")).toArrow().column("ratio").to_numpy()  # LABELLED at most
+        n, self.k = weighed.agg(F.count(F.lit(1)), F.count_if(F.col("ratio") >= fence(found))).first()
+        scores = weighed.withColumn("log_weight", F.col("ratio") / temperature)
         self.scores = scores.withColumn("drawing_key", F.col("log_weight") + noise("id", seed))
         self.bar = float("-inf") if self.k >= n else kth_largest(self.scores, "drawing_key", self.k)
 

@@ -393,7 +393,7 @@ def repeats(docs: DataFrame, out: pa.Schema, ddl: str, use, key: str = "doc_id",
     """use(key, text, bytes, mask of covered bytes, kept columns) for each row. Each step's result is written to the shared folder."""
     spark = docs.sparkSession
     more = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, more, strict=True)))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, more, strict=True)))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
     blobs = lambda df, f: df.mapInArrow(lambda it: arrow(_BLOB, f(it), 16), _BLOB_DDL)
