@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import time
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import remove, scratch
+
 #: Words of a shingle.
 SHINGLE_WORDS = 5
 #: Bits of the Bloom filter over ids: 2^25 bits are 4 MB, however large the input is.
@@ -21,33 +21,11 @@ BLOOM_BITS = 25
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where it is unset and Spark runs in this process (tests) a local one is made; on a cluster its absence is an error."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
-    made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-#: Tables that written() made and forget() has not removed: path and Hadoop's path object. What a returned frame reads stays until the driver ends.
-_tables: dict[str, object] = {}
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, read again. A lost executor costs the tasks that read it, not what was before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
-    if not _tables:
-        atexit.register(_forget_all)
-    _tables[path] = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    """Cuts the lineage: df as a table in the shared folder, read again. A lost executor costs the tasks that read it, not what was before. What a returned frame reads stays until the driver ends."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.lodestar_path = path
     return out
 
@@ -62,19 +40,7 @@ def written_counting(df: DataFrame, *sums: Column) -> tuple[DataFrame, tuple]:
 
 def forget(df: DataFrame) -> None:
     """Removes the files of a table that written() made, once nothing reads them any more."""
-    path = df.lodestar_path
-    files = _tables.pop(path)
-    files.delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
-
-
-def _forget_all() -> None:
-    from pyspark import SparkContext
-
-    for path, files in _tables.items():
-        try:
-            files.delete(SparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already; the folder is scratch
-            return
+    remove(df.sparkSession, df.lodestar_path)
 
 
 def release(spark: SparkSession) -> None:
