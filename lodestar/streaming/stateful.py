@@ -2,7 +2,7 @@
 
 Each is a StatefulProcessor for transformWithState: typed state in RocksDB, a session's (key's) rows in one task, timers of event time that fire when the watermark passes them, whether or not another row of the key comes. Operators are chained in append mode: `in_time` holds rows back until the watermark has passed them and lets them go in order, and what follows sees each key's rows in order of time whatever the files' order was. Released rows carry their event time on, so the next operator's watermark follows.
 
-Rows are (key, n, t as a timestamp, ...). Rows that the watermark has passed before they come are dropped; a delay of the watermark as long as the disorder lets none go. State of a key that says nothing for `idle` ends by a timer.
+Rows are (key, n, t as a timestamp, ...). Rows that the watermark has passed before they come are dropped; a delay of the watermark as long as the disorder lets none go. State of a key that says nothing for `idle` ends by a timer; a row that comes after such a silence finds none, also where the timer has not fired yet because both came in one batch.
 """
 
 from __future__ import annotations
@@ -136,7 +136,12 @@ class Announcer(Timed):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         was, activation, last = self.now.get() if self.now.exists() else (False, 0, None)
         rows = sorted(rows, key=lambda r: (r[self.time], *(r[c] for c in self.order)))
+        due = self.due.get()[0] if self.due.exists() else None
         for r in rows:
+            if due is not None and _ms(r[self.time]) >= due:
+                was, activation, last = False, 0, None
+                self.said.clear()
+            due = _ms(r[self.time]) + self.idle
             active, element = bool(r[self.active]), r[self.element]
             if active and not was:
                 activation, last = activation + 1, None
@@ -222,13 +227,17 @@ class Confirmer(Timed):
         ix, iy = names.index(self.x), names.index(self.y)
         held = tuple(self.last.get()) if self.last.exists() else None
         apart = lambda a, b: None if None in (a[ix], a[iy], b[ix], b[iy]) else math.hypot(a[ix] - b[ix], a[iy] - b[iy])
-        for r in sorted(map(tuple, rows), key=lambda r: (r[names.index(self.time)], *(r[names.index(c)] for c in self.order))):
+        at = names.index(self.time)
+        for r in sorted(map(tuple, rows), key=lambda r: (r[at], *(r[names.index(c)] for c in self.order))):
+            if held is not None and _ms(r[at]) >= _ms(held[at]) + self.idle:
+                yield self.judged(held, False)
+                held = None
             d = None if held is None else apart(held, r)
             if held is not None:
                 yield self.judged(held, d is not None and d <= self.near)
             held = (*r, d is not None and d > self.far)
         self.last.update(held)
-        self.wake(_ms(held[names.index(self.time)]) + self.idle)
+        self.wake(_ms(held[at]) + self.idle)
 
     def timed(self, key, watermark: int) -> Iterator[Row]:
         yield self.judged(tuple(self.last.get()), False)
@@ -321,10 +330,16 @@ class Selector(Timed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = sorted(rows, key=lambda r: (r.t, r.n))
-        s = _unpacked(tuple(self.state.get()), self.config) if self.state.exists() else Selection(OneEuro(self.config.min_hz, self.config.beta))
+        new = lambda: Selection(OneEuro(self.config.min_hz, self.config.beta))
+        s = _unpacked(tuple(self.state.get()), self.config) if self.state.exists() else new()
         charts = self.charts({r.chart for r in rows})
         both = lambda a, b: None if a is None or b is None else (a, b)
+        due = self.due.get()[0] if self.due.exists() else None
         for r in rows:
+            if due is not None and _ms(r.ts) >= due:
+                self.elements.clear()
+                s, charts = new(), self.charts({r.chart for r in rows})
+            due = _ms(r.ts) + self.idle if self.idle and r.ts is not None else None
             got = s.step(r.t, both(r.x, r.y), both(r.x2, r.y2), r.palm, charts[r.chart], self.config)
             if got:
                 yield Row("session", "n", "t", "active", "element", "candidates")(key[0], r.n, r.t, *got)
