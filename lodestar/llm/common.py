@@ -139,9 +139,11 @@ def as_long(h: np.ndarray) -> np.ndarray:
 
 
 def batches(it: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of Python values."""
+    """Rows of Arrow batches as tuples of Python values, some hundreds of rows at a time."""
     for b in it:
-        yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
 
 
 def arrow(schema: pa.Schema, rows: Iterable[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:

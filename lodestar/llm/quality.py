@@ -54,7 +54,7 @@ class Grams:
     """The buckets of a text's n-grams. Holds a bounded cache of words."""
 
     def __init__(self):
-        self.words = Cache(_pair, 64 << 20)
+        self.words = Cache(_pair, 40 << 20)
 
     def __call__(self, text: str | None) -> np.ndarray:
         both = np.frombuffer(b"".join(map(self.words.__getitem__, (text or "").split())), np.uint64).reshape(-1, 2)
@@ -96,6 +96,10 @@ def count_grams(docs: DataFrame, labelled: dict[int, int], key: str, text: str)
     return out
 
 
+def average(grams: np.ndarray, ratio: np.ndarray) -> float:
+    return float(ratio[grams].sum() / (len(grams) + PRIOR))
+
+
 def weigher(spark: SparkSession, ratio: np.ndarray):
     """A function of the text column: how much likelier the target makes its n-grams, on average."""
     given = spark.sparkContext.broadcast(ratio)
@@ -104,8 +108,8 @@ def weigher(spark: SparkSession, ratio: np.ndarray):
     def weigh(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grams = Grams()
         for texts in it:
-            found = [grams(t) for t in texts]
-            yield pd.Series([float(given.value[g].sum() / (len(g) + PRIOR)) for g in found], dtype="float64")
+            # one text's n-grams at a time: those of a batch would be several times its size
+            yield pd.Series([average(grams(t), given.value) for t in texts], dtype="float64")
 
     return weigh
 
