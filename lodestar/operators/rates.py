@@ -78,16 +78,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     both = df.join(bounds, _same(keys))
     # each value is its own, or one of all below or above the bracket, of which the nearest is kept
     part = lambda n: F.when(clean[n] < F.col(f"_b_{n}.lo"), -1).when(clean[n] > F.col(f"_b_{n}.hi"), 1).otherwise(0)
-    told = F.array(*(F.struct(F.lit(n).alias("name"), part(n).alias("part"), F.when(part(n) == 0, clean[n].cast("double")).alias("v"), clean[n].cast("double").alias("w"), F.lit(float(q)).alias("q")) for n, (_, q) in wanted.items()))
-    counted = both.select(*keys, F.explode(told).alias("_x")).select(*keys, "_x.*").where("w is not null").groupBy(*keys, "name", "part", "v").agg(F.count(F.lit(1)).alias("c"), F.min("w").alias("low"), F.max("w").alias("high"), F.first("q").alias("q"))
-    per = Window.partitionBy(*keys, "name")
-    rank = F.col("q") * (F.sum("c").over(per) - 1)
-    upto = counted.withColumn("r", rank).withColumn("upto", F.sum("c").over(per.orderBy("part", "v")))
+    told = F.array(*(F.struct(F.lit(n).alias("_name"), part(n).alias("_part"), F.when(part(n) == 0, clean[n].cast("double")).alias("_v"), clean[n].cast("double").alias("_w"), F.lit(float(q)).alias("_q")) for n, (_, q) in wanted.items()))
+    counted = both.select(*keys, F.explode(told).alias("_x")).select(*keys, "_x.*").where("_w is not null").groupBy(*keys, "_name", "_part", "_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_w").alias("_low"), F.max("_w").alias("_high"), F.first("_q").alias("_q"))
+    per = Window.partitionBy(*keys, "_name")
+    rank = F.col("_q") * (F.sum("_c").over(per) - 1)
+    upto = counted.withColumn("_r", rank).withColumn("_upto", F.sum("_c").over(per.orderBy("_part", "_v")))
     # a rank may fall one short of the bracket, or one beyond: the nearest value outside stands there
-    held = F.when(F.col("part") < 0, F.col("high")).otherwise(F.col("low"))
-    at = lambda r: F.min(F.when(F.col("upto") > r, F.struct("part", held.alias("v"))))["v"]
-    got = upto.groupBy(*keys, "name").agg(at(F.floor("r")).alias("a"), at(F.ceil("r")).alias("b"), F.max(F.col("r") - F.floor("r")).alias("f"))
-    wide = got.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("a") + F.col("f") * (F.col("b") - F.col("a")))).alias(n) for n in wanted))
+    held = F.when(F.col("_part") < 0, F.col("_high")).otherwise(F.col("_low"))
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.struct("_part", held.alias("v"))))["v"]
+    got = upto.groupBy(*keys, "_name").agg(at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_b"), F.max(F.col("_r") - F.floor("_r")).alias("_f"))
+    wide = got.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a")))).alias(n) for n in wanted))
     every = bounds.select(*(f"_k{i}" for i in range(len(keys))))
     return every.join(wide, _same(keys), "left").select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), *wanted)
 
