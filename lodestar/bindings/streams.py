@@ -222,11 +222,11 @@ def t8b(spark, d):
     return running(spark, d, lambda ev: R.alerted(R.in_time(ev.select("user_id", "event_id", "ts", (col("value") > 20).alias("fuera")), "user_id", "ts", ["event_id"]), "user_id", "fuera", "ts", ["event_id"], 400, 86400), "user_id bigint, event_id bigint, ts timestamp, fuera boolean", "0 seconds").select("user_id", "event_id")
 
 
-@bound("t9_confirmed_stream", f"""with a as ({SQL["t9_confirmed"].replace("from events where", f"from events where ts <= {_LAST} and")}), k as (select user_id, event_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as following from events where ts <= {_LAST} and event_type <> 'error') select a.* from a join k using (user_id, event_id) where following is not null or ts + interval 1 second <= {_LAST}""")
+@bound("t9_confirmed_stream", f"""with a as ({SQL["t9_confirmed"].replace("from events where", f"from events where ts <= {_LAST} and")}), k as (select user_id, event_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as following from events where ts <= {_LAST} and event_type <> 'error') select a.* from a join k using (user_id, event_id) where following is not null""")
 def t9b(spark, d):
-    """A user's last detection waits for its successor until the watermark has passed it by a second."""
+    """A user's last detection waits for its successor."""
     sure = lambda ev: ev.where("event_type <> 'error'").select("user_id", "event_id", "ts", (col("value") / 40).alias("x"), F.lit(0.0).alias("y"))
-    return running(spark, d, lambda ev: R.confirmed(R.in_time(sure(ev), "user_id", "ts", ["event_id"]), "user_id", "x", "y", "ts", ["event_id"], 1.0, 0.5, 1000), "user_id bigint, event_id bigint, ts timestamp, x double, y double, aceptado boolean", "0 seconds").select("user_id", "event_id", "aceptado")
+    return running(spark, d, lambda ev: R.confirmed(R.in_time(sure(ev), "user_id", "ts", ["event_id"]), "user_id", "x", "y", "ts", ["event_id"], 1.0, 0.5, _NEVER), "user_id bigint, event_id bigint, ts timestamp, x double, y double, aceptado boolean", "0 seconds").select("user_id", "event_id", "aceptado")
 
 
 @bound("t10_inactivity_stream", SQL["t10_inactivity"] + f" having max(ts) + interval 10 hour <= {_LAST}")
