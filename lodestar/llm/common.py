@@ -105,7 +105,7 @@ class Cache(dict):
 class WordHashes(dict):
     """64-bit hashes of words, as a Cache of bytes."""
 
-    def __init__(self, limit: int = 64 << 20):
+    def __init__(self, limit: int = 32 << 20):
         super().__init__()
         self.limit, self.held = limit, 0
 
@@ -144,6 +144,7 @@ def batches(it: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
             yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+    pa.default_memory_pool().release_unused()  # a worker is used again, and keeps what it does not give back
 
 
 def arrow(schema: pa.Schema, rows: Iterable[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -116,10 +116,11 @@ def _whole(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
         hashes = WordHashes()
         for b in it:
             hit = pa.array(bloom_hit(bits.value, b.column("_p1").to_numpy(), b.column("_p2").to_numpy()))
-            keys, texts = b.column("key").filter(hit).to_pylist(), b.column("text").filter(hit).to_pylist()
-            for at in range(0, len(keys), 200):
-                sets = [shingles(t, hashes) for t in texts[at : at + 200]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200], pa.int64()), listed([as_long(s) for s in sets], np.int64)], ["node", "tokens"])
+            asked = b.select(["key", "text"]).filter(hit)
+            for at in range(0, asked.num_rows, 200):
+                keys, texts = (asked.slice(at, 200).column(c).to_pylist() for c in ("key", "text"))
+                sets = [shingles(t, hashes) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), listed([as_long(s) for s in sets], np.int64)], ["node", "tokens"])
 
     made = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), *maybe_in(key)).mapInArrow(run, "node bigint, tokens array<bigint>").where(F.size("tokens") > 0)
     return written(made.join(asked, "node", "left_semi"))

@@ -54,7 +54,7 @@ class Grams:
     """The buckets of a text's n-grams. Holds a bounded cache of words."""
 
     def __init__(self):
-        self.words = Cache(_pair, 40 << 20)
+        self.words = Cache(_pair, 32 << 20)
 
     def __call__(self, text: str | None) -> np.ndarray:
         both = np.frombuffer(b"".join(map(self.words.__getitem__, (text or "").split())), np.uint64).reshape(-1, 2)
