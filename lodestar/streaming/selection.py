@@ -41,6 +41,11 @@ class Config:
     rest_priority: int = 10
 
 
+def length(dx: float, dy: float) -> float:
+    """The root of the squares' sum, as SQL writes it; hypot rounds otherwise."""
+    return math.sqrt(dx * dx + dy * dy)
+
+
 @dataclass
 class OneEuro:
     """Low-pass filter of a position whose cut-off grows with speed."""
@@ -61,7 +66,7 @@ class OneEuro:
         weight = lambda hz: 1 / (1 + 1 / (2 * math.pi * hz * dt))
         w = weight(1.0)
         self.speed = tuple(w * (new - old) / dt + (1 - w) * v for new, old, v in zip((x, y), self.at, self.speed, strict=True))
-        w = weight(self.min_hz + self.beta * math.hypot(*self.speed))
+        w = weight(self.min_hz + self.beta * length(*self.speed))
         self.at = tuple(w * new + (1 - w) * old for new, old in zip((x, y), self.at, strict=True))
         self.t = t
         return self.at
@@ -146,14 +151,14 @@ class Element:
 
     def distance(self, x: float, y: float) -> float:
         if self.shape == "punto" or self.x2 is None or self.y2 is None:
-            return math.hypot(x - self.x1, y - self.y1)
+            return length(self.x1 - x, self.y1 - y)
         if self.shape == "rect":
             off = lambda p, a, b: max(min(a, b) - p, 0.0, p - max(a, b))
-            return math.hypot(off(x, self.x1, self.x2), off(y, self.y1, self.y2))
+            return length(off(x, self.x1, self.x2), off(y, self.y1, self.y2))
         dx, dy = self.x2 - self.x1, self.y2 - self.y1
         size = dx * dx + dy * dy
         k = 0.0 if not size else max(0.0, min(1.0, ((x - self.x1) * dx + (y - self.y1) * dy) / size))
-        return math.hypot(x - self.x1 - k * dx, y - self.y1 - k * dy)
+        return length(self.x1 + k * dx - x, self.y1 + k * dy - y)
 
 
 class Chart(dict):
@@ -168,7 +173,7 @@ class Chart(dict):
     def near(self, x: float, y: float, more: float) -> list[Element]:
         """Elements whose box, widened by their radius and more, holds the point."""
         own, box = self._boxes
-        return [own[i] for i in np.flatnonzero((box <= np.array([[x], [y], [-x], [-y]]) + more).all(0))]
+        return [own[i] for i in np.flatnonzero((box <= np.array([[x], [y], [-x], [-y]]) + (more + 1e-6)).all(0))]
 
 
 def under(x: float, y: float, elements: Iterable[Element], c: Config, current: str | None = None, series: str = "") -> tuple[str | None, list[str]]:
@@ -177,17 +182,17 @@ def under(x: float, y: float, elements: Iterable[Element], c: Config, current: s
     for n, e in enumerate(elements):
         stick = c.hysteresis if e.id == current else 0.0
         d = e.distance(x, y)
-        if d > e.radius + stick:
+        if d - stick > e.radius:
             continue
         reach.append(e.id)
-        d -= stick
         if e.priority < c.rest_priority:
-            worth = d - (c.bonus or 0.0) * (e.shape == "punto")
+            worth = d - (c.bonus or 0.0) * (e.shape == "punto") - stick
             key = ((worth, e.priority) if c.bonus is not None else (e.priority, worth), n, worth, e.id)
             data.append(key)
             if series and e.series == series:
                 own.append(key)
         else:
+            d -= stick
             rest.append(((d, e.priority), n, d, e.id))
     best = min(data, default=None)
     if own and best not in own and min(own)[2] - c.follow_margin <= best[2]:
