@@ -106,13 +106,15 @@ def t5(spark, d):
     return shown(S.replay(samples(spark, d), elements(spark, d)))
 
 
-def running(spark, d, query, schema, mark=None):
-    """A stream over the file of events, run to its end into a written table. mark: how long the watermark waits."""
+def running(spark, d, query, schema, mark=None, ended=False):
+    """A stream over the file of events, run to its end into a written table. mark: how long the watermark waits. ended: nothing comes after the files, so the watermark passes their last millisecond too; it follows the column seen."""
     given = spark.read.parquet(f"{d}/events.parquet")
     reader = spark.readStream.schema(given.schema)
     single = all(f.endswith("/events.parquet") for f in given.inputFiles())
     ev = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
     ev = ev.withColumns({c: ev[c].cast("timestamp") for c, t in ev.dtypes if t == "timestamp_ntz"})
+    if ended:
+        ev, mark = ev.withColumn("seen", ev["ts"] + F.expr("interval 1 millisecond")).withWatermark("seen", mark), None
     out = scratch(spark, "stream")
     with R.rocksdb(spark):
         run = query(ev.withWatermark("ts", mark) if mark else ev).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -188,11 +190,16 @@ _LAST = "(select time_bucket(interval 1 millisecond, max(ts)) from events)"
 
 
 def touching(ev):
-    return ev.select("user_id", "event_id", "ts", "value", (col("value") > 30).alias("activo"), F.when(col("value") > 45, col("event_type")).alias("el"))
+    return ev.select("user_id", "event_id", "ts", "value", (col("value") > 30).alias("activo"), F.when(col("value") > 45, col("event_type")).alias("el"), *seen(ev))
+
+
+def seen(ev):
+    """The column that the watermark follows, if it is not ts."""
+    return [c for c in ev.columns if c == "seen"]
 
 
 def ordered(ev):
-    return R.in_time(touching(ev), "user_id", "ts", ["event_id"])
+    return R.in_time(touching(ev), "user_id", "ts", ["event_id"]).drop("seen")
 
 
 @bound("t13_reordered_stream", f"select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as puesto from events where ts <= {_LAST}")
@@ -209,17 +216,17 @@ _OUT = "user_id bigint, event_id bigint, ts timestamp, value double, activo bool
 
 @bound("t6_announcements_stream", SQL["t6_announcements"])
 def t6b(spark, d):
-    return running(spark, d, lambda ev: R.announced(ordered(ev), "user_id", "activo", "el", "ts", ["event_id"], _NEVER), f"{_OUT}, activacion bigint", "0 seconds").select("user_id", "event_id", "activacion", "el")
+    return running(spark, d, lambda ev: R.announced(ordered(ev), "user_id", "activo", "el", "ts", ["event_id"], _NEVER), f"{_OUT}, activacion bigint", "0 seconds", ended=True).select("user_id", "event_id", "activacion", "el")
 
 
 @bound("t7_crossing_once_stream", SQL["t7_crossing_once"])
 def t7b(spark, d):
-    return running(spark, d, lambda ev: R.announced(ordered(ev), "user_id", "activo", "el", "ts", ["event_id"], _NEVER, first=True), f"{_OUT}, activacion bigint", "0 seconds").select("user_id", "event_id", "el")
+    return running(spark, d, lambda ev: R.announced(ordered(ev), "user_id", "activo", "el", "ts", ["event_id"], _NEVER, first=True), f"{_OUT}, activacion bigint", "0 seconds", ended=True).select("user_id", "event_id", "el")
 
 
 @bound("t8_limited_alerts_stream", SQL["t8_limited_alerts"].replace("select user_id, event_id, t from", "select user_id, event_id from"))
 def t8b(spark, d):
-    return running(spark, d, lambda ev: R.alerted(R.in_time(ev.select("user_id", "event_id", "ts", (col("value") > 20).alias("fuera")), "user_id", "ts", ["event_id"]), "user_id", "fuera", "ts", ["event_id"], 400, 86400), "user_id bigint, event_id bigint, ts timestamp, fuera boolean", "0 seconds").select("user_id", "event_id")
+    return running(spark, d, lambda ev: R.alerted(R.in_time(ev.select("user_id", "event_id", "ts", (col("value") > 20).alias("fuera"), *seen(ev)), "user_id", "ts", ["event_id"]).drop("seen"), "user_id", "fuera", "ts", ["event_id"], 400, 86400), "user_id bigint, event_id bigint, ts timestamp, fuera boolean", "0 seconds", ended=True).select("user_id", "event_id")
 
 
 @bound("t9_confirmed_stream", f"""with a as ({SQL["t9_confirmed"].replace("from events where", f"from events where ts <= {_LAST} and")}), k as (select user_id, event_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as following from events where ts <= {_LAST} and event_type <> 'error') select a.* from a join k using (user_id, event_id) where following is not null""")
