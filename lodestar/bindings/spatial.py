@@ -156,7 +156,7 @@ def a33(spark, d):
     p = table(spark, d, "part")
     b = p.where("p_partkey % 3 = 0").select(col("p_partkey").alias("bid"), "p_brand", col("p_size").cast("double").alias("x0"), (col("p_retailprice") / 50).alias("y0"), (col("p_size") + 12.0).alias("x1"), (col("p_retailprice") / 50 + 4).alias("y1"))
     w = p.where("p_partkey % 3 > 0").select("p_brand", (col("p_size") + 1.0).alias("wx0"), (col("p_retailprice") / 50 + 0.5).alias("wy0"), (col("p_size") + 3.0).alias("wx1"), (col("p_retailprice") / 50 + 1.5).alias("wy1"))
-    return S.text_density(b, w, ["p_brand"], 8.0).select("bid", F.round("densidad", 6).alias("densidad"))
+    return S.text_density(b, w, ["p_brand"]).select("bid", F.round("densidad", 6).alias("densidad"))
 
 
 # labels of an axis for each order: pixel 100 * line number, value 7 times that but for some that are misread
