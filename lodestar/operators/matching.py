@@ -183,10 +183,20 @@ def by_position(df: DataFrame, labels: DataFrame, keys: list[str], x: str, tol:
 def nearest_label(groups: DataFrame, labels: DataFrame, keys: list[str], gid: str, step: float, share: float = 0.6) -> DataFrame:
     """The label (keys, lid, lx) nearest to each group's centre (gx), within a share of the step."""
     reach = share * step
-    spread = labels.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("lx") - reach) / reach), F.floor((F.col("lx") + reach) / reach))))
-    j = groups.withColumn("_cell", F.floor(F.col("gx") / reach)).join(spread, [*keys, "_cell"]).withColumn("_d", F.abs(F.col("gx") - F.col("lx"))).where(F.col("_d") <= reach)
-    best = j.groupBy(*keys, gid).agg(F.min(F.struct("_d", "lid")).alias("_b"))
-    return groups.join(best.select(*keys, gid, F.col("_b.lid").alias("lid")), [*keys, gid], "left")
+    cell = lambda c: F.floor(c / reach)
+    more = reach * (1 + 1e-9)
+    row, types = F.struct(*(F.col(c) for c in groups.columns)), dict(labels.dtypes)
+    at = f"struct<x:{types['lx']},lid:{types['lid']}>"
+    # labels at one place are one, the least; each is in the cells that it reaches
+    places = labels.groupBy(*keys, "lx").agg(F.min("lid").alias("lid")).withColumn("_cell", F.explode(F.sequence(cell(F.col("lx") - more), cell(F.col("lx") + more))))
+    asked = groups.select(*keys, cell(F.col("gx")).alias("_cell"), F.col("gx").cast("double").alias("_x"), F.lit(1).alias("_side"), row.alias("_g"), F.lit(None).cast(at).alias("_l"))
+    both = places.select(*keys, "_cell", F.col("lx").cast("double").alias("_x"), F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_g"].dataType).alias("_g"), F.struct(F.col("lx").alias("x"), "lid").alias("_l")).unionByName(asked)
+    # an as-of from either side: a group sees the last label before it and the first behind it, however many lie around
+    last = lambda x: F.last("_l", ignorenulls=True).over(Window.partitionBy(*keys, "_cell").orderBy(x, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    off = lambda c: F.abs(F.col("_x") - F.col(f"{c}.x"))
+    near = lambda c: F.when(off(c) <= reach, F.struct(off(c).alias("d"), F.col(f"{c}.lid").alias("lid")))
+    seen = both.withColumn("_a", last(F.col("_x"))).withColumn("_b", last(F.desc("_x"))).where("_side = 1")
+    return seen.select("_g.*", F.least(near("_a"), near("_b"))["lid"].alias("lid"))
 
 
 def without_overlaps(boxes: DataFrame, keys: list[str], bid: str, inside: float = 0.85, alike: float = 0.6, most_strokes: int = 3, size: float = 200.0) -> DataFrame:
