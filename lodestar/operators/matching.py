@@ -238,7 +238,8 @@ def united_boxes(boxes: DataFrame, keys: list[str], bid: str, gap: float = 15.0,
     while True:
         cells = with_cells(todo, F.col("x0") - gap / 2, F.col("y0") - gap / 2, F.col("x1") + gap / 2, F.col("y1") + gap / 2, size)
         o = cells.select(*keys, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("_h", "x0", "y0", "x1", "y1")))
-        near = cells.join(o, [*keys, "cx", "cy"]).where(F.expr(f"_h <> o__h and x0 - {gap} <= o_x1 and o_x0 - {gap} <= x1 and y0 - {gap} <= o_y1 and o_y0 - {gap} <= y1"))
+        # cells are more than Spark thinks, so neither side is a broadcast
+        near = cells.join(o.hint("shuffle_hash"), [*keys, "cx", "cy"]).where(F.expr(f"_h <> o__h and x0 - {gap} <= o_x1 and o_x0 - {gap} <= x1 and y0 - {gap} <= o_y1 and o_y0 - {gap} <= y1"))
         named = written(near.groupBy(*keys, "_h").agg(F.min("o__h").alias("_to")))
         if named.isEmpty():
             break
