@@ -56,7 +56,7 @@ def s2(spark, d):
     head = F.array(F.concat(F.lit("# Título: Usuario "), col("user_id").cast("string")), F.when(col("user_id") % 3 == 0, "#origen_x = -5").otherwise("# nota: ninguna"), F.when(odd, "Etiqueta;X;Y;Value").otherwise("mes,x,y,valor"))
     heads = ev.select("user_id").distinct().select("user_id", F.posexplode(head).alias("k", "line")).select("user_id", (col("k") - 3).cast("bigint").alias("k"), "line")
     out = folder(spark)
-    heads.unionByName(ev.select("user_id", col("event_id").alias("k"), line.alias("line"))).repartition("user_id").sortWithinPartitions("user_id", "k").select("user_id", "line").write.partitionBy("user_id").text(out)
+    S.in_folders(heads.unionByName(ev.select("user_id", col("event_id").alias("k"), line.alias("line"))), "user_id", "k").text(out)
     pts, charts = S.read_points(spark, out + "/*")
     sums = pts.groupBy("file").agg(F.count(F.lit(1)).alias("puntos"), F.round(F.sum("valor"), 3).alias("total"))
     return charts.join(sums, "file").select(told("user_id"), "puntos", "total", "titulo", *(F.round(c, 6).alias(c) for c in ("x0", "x1", "y0", "y1")))
@@ -69,7 +69,7 @@ def s3(spark, d):
     doc = F.to_json(F.struct(F.lit("objetivos").alias("prueba"), F.when(col("s_suppkey") % 2 == 0, F.concat(F.lit("P"), "s_suppkey")).alias("placa"), F.lit("2026-01-01").alias("fecha"), "detalle"))
     files = table(spark, d, "supplier").select("s_suppkey").join(trials, "s_suppkey", "left").select(col("s_suppkey").alias("placa"), F.when(col("s_suppkey") % 7 == 0, "{ no es un documento").otherwise(doc).alias("text"))
     out = folder(spark)
-    files.repartition("placa").write.partitionBy("placa").text(out)
+    S.in_folders(files, "placa").text(out)
     found = S.read_sessions(spark, out + "/*")
     t = found.select("placa", F.explode_outer("detalle").alias("t"))
     return t.groupBy("placa").agg(F.count("t").alias("ensayos"), F.round(F.sum("t.error_mm"), 3).alias("error"), F.count_if("t.acierto_estricto").alias("aciertos"))
@@ -78,7 +78,7 @@ def s3(spark, d):
 @bound("s5_file_hashes", "select s_suppkey, strlen(s_name) + 1 as length, md5(s_name || chr(10)) as md5 from supplier")
 def s5(spark, d):
     out = folder(spark)
-    table(spark, d, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").text(out)
+    S.in_folders(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey").text(out)
     return S.scan_files(spark, out, "*.txt").withColumnRenamed("path", "file").select(told("s_suppkey"), "length", "md5")
 
 
