@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Labels of a group whose lines are tried one by one in a row; more are voted for by intervals.
+FEW = 16
+
+
 def robust_line(df: DataFrame, keys: list[str], n: str, px: str, value: str, tol: float = 0.04) -> DataFrame:
     """(keys, m, b, r2, used, total). Each pair of labels proposes a line; the one that most labels lie on (within tol of the value range, the first pair among equals) is fitted again by least squares.
 
-    Lines through one label differ by their slope alone, and each other label lies on those whose slope is in one interval. So for each label the slopes that pairs propose are put in order with the ends of the intervals, and how many intervals are open at a slope is how many labels lie on its line: the square of a group's labels in rows, and no more.
+    A group of few labels is a list beside each of its rows, so its lines take no row of their own, no join and no sort but the group's. The lines of larger groups are voted for by intervals.
     """
     per = Window.partitionBy(*keys)
-    spanned = df.withColumn("_tol", tol * (F.max(value).over(per) - F.min(value).over(per)) + 1e-12)
+    spanned = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, df).withColumns({"_tol": tol * (F.max(value).over(per) - F.min(value).over(per)) + 1e-12, "_size": F.count(F.lit(1)).over(per)})
+    found = [_first_of_lists(spanned.where(F.col("_size") <= FEW), keys, n, px, value), _first_by_intervals(spanned.where(F.col("_size") > FEW), keys, n, px, value)]
+    v, p = F.when(F.col("_in"), F.col("_v")), F.when(F.col("_in"), F.col("_p"))
+    fit = lambda kept: kept.groupBy(*keys).agg(F.regr_slope(v, p).alias("m"), F.regr_intercept(v, p).alias("b"), F.regr_r2(v, p).alias("r2"), F.count_if("_in").alias("used"), F.count(F.lit(1)).alias("total")).where("used >= 2 and m is not null")
+    few, many = (fit(x.select(*keys, F.col(value).alias("_v"), F.col(px).alias("_p"), (F.abs(F.col("m0") * F.col(px) + F.col("b0") - F.col(value)) <= F.col("_tol")).alias("_in"))) for x in found)
+    return few.unionByName(many)
+
+
+def _first_of_lists(spanned: DataFrame, keys: list[str], n: str, px: str, value: str) -> DataFrame:
+    """Each label with its group's line (m0, b0): a label tries the lines through it and each later one."""
+    per = Window.partitionBy(*keys)
+    listed = spanned.withColumn("_l", F.collect_list(F.struct(F.col(n).alias("n"), F.col(px).alias("p"), F.col(value).alias("v"))).over(per))
+    slope = lambda b: F.when(b.p != F.col(px), (b.v - F.col(value)) / (b.p - F.col(px)))
+    lines = F.transform(F.filter("_l", lambda b: b.n > F.col(n)), lambda b: F.struct(b.n.alias("n2"), slope(b).alias("m0"), (F.col(value) - slope(b) * F.col(px)).alias("b0")))
+    on = lambda x: F.size(F.filter("_l", lambda e: F.abs(x.m0 * e.p + x.b0 - e.v) <= F.col("_tol")))
+    voted = listed.withColumn("_lines", lines).withColumn("_mine", F.array_min(F.transform(F.filter("_lines", lambda x: x.m0.isNotNull()), lambda x: F.struct((-on(x)).alias("c"), F.col(n).alias("n1"), x.n2.alias("n2"), x.m0.alias("m0"), x.b0.alias("b0")))))
+    best = voted.drop("_l", "_lines").withColumn("_x", F.min("_mine").over(per))
+    return best.where("_x is not null").withColumns({"m0": F.col("_x.m0"), "b0": F.col("_x.b0")})
+
+
+def _first_by_intervals(spanned: DataFrame, keys: list[str], n: str, px: str, value: str) -> DataFrame:
+    """The same for groups of any size.
+
+    Lines through one label differ by their slope alone, and each other label lies on those whose slope is in one interval. So for each label the slopes that pairs propose are put in order with the ends of the intervals, and how many intervals are open at a slope is how many labels lie on its line: the square of a group's labels in rows, and no more.
+    """
     side = lambda k, *more: spanned.select(*keys, *(F.col(c).alias(f"{a}{k}") for a, c in (("n", n), ("p", px), ("v", value))), *more)
     far = F.col("p2") - F.col("p1")
     rise = lambda d: (F.col("v2") - F.col("v1") + d) / far
@@ -21,13 +51,11 @@ def robust_line(df: DataFrame, keys: list[str], n: str, px: str, value: str, tol
     level = F.when((far == 0) & (F.abs(F.col("v2") - F.col("v1")) <= F.col("_tol")), 1).otherwise(0)  # on every line through the first, or on none
     ends = F.array(F.struct(F.least(rise(-F.col("_tol")), rise(F.col("_tol"))).alias("s"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.greatest(rise(-F.col("_tol")), rise(F.col("_tol"))).alias("s"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))
     asked = F.when(F.col("n1") < F.col("n2"), F.array(F.struct(rise(F.lit(0.0)).alias("s"), F.lit(1).alias("kind"), F.lit(0).alias("step"))))
-    events = both.withColumn("_always", F.sum(level).over(Window.partitionBy(*keys, "n1"))).where(far != 0).withColumn("_e", F.explode(F.concat(ends, F.coalesce(asked, F.array().cast("array<struct<s:double,kind:int,step:int>>"))))).select(*keys, "n1", "n2", "p1", "v1", "_always", "_e.*")
+    events = both.withColumn("_always", F.sum(level).over(Window.partitionBy(*keys, "n1"))).where((far != 0) & rise(F.lit(0.0)).isNotNull()).withColumn("_e", F.explode(F.concat(ends, F.coalesce(asked, F.array().cast("array<struct<s:double,kind:int,step:int>>"))))).select(*keys, "n1", "n2", "p1", "v1", "_always", "_e.*")
     open_ = Window.partitionBy(*keys, "n1").orderBy("s", "kind", "n2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     voted = events.withColumn("c", F.sum("step").over(open_) + F.col("_always")).where("kind = 1")
     best = voted.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "n1", "n2", "s", "p1", "v1")).alias("x")).select(*keys, F.col("x.s").alias("m0"), (F.col("x.v1") - F.col("x.s") * F.col("x.p1")).alias("b0"))
-    kept = spanned.join(best, keys).withColumn("_in", F.abs(F.col("m0") * F.col(px) + F.col("b0") - F.col(value)) <= F.col("_tol"))
-    v, p = F.when(F.col("_in"), F.col(value)), F.when(F.col("_in"), F.col(px))
-    return kept.groupBy(*keys).agg(F.regr_slope(v, p).alias("m"), F.regr_intercept(v, p).alias("b"), F.regr_r2(v, p).alias("r2"), F.count_if("_in").alias("used"), F.count(F.lit(1)).alias("total")).where("used >= 2 and m is not null")
+    return spanned.join(best, keys)
 
 
 def scale_type(df: DataFrame, keys: list[str], px: str, value: str) -> DataFrame:
@@ -66,8 +94,9 @@ def repaired(df: DataFrame, fit: DataFrame, keys: list[str], n: str, px: str, te
     whole = F.max(value).over(reach) - F.min(value).over(reach)
     marked = j.withColumn("_in", F.abs(F.col("_p") - F.col(value)) <= tol * whole + 1e-12)
     good = marked.withColumn("_r", tol * (F.max(F.when(F.col("_in"), F.col(value))).over(reach) - F.min(F.when(F.col("_in"), F.col(value))).over(reach)))
-    tried = good.where("not _in").withColumn("_t", F.explode(digit_variants(F.col(text)))).withColumn("_v", F.col("_t").cast("double")).withColumn("_e", F.abs(F.col("_v") - F.col("_p")))
-    best = tried.groupBy(*keys, n).agg(F.min(F.struct("_e", F.col("_t").alias("t"), F.col("_v").alias("v"), "_r")).alias("x"))
+    reading = lambda t: F.struct(F.abs(t.cast("double") - F.col("_p")).alias("_e"), t.alias("t"), t.cast("double").alias("v"), F.col("_r"))
+    tried = good.where("not _in").withColumn("_x", F.array_min(F.transform(digit_variants(F.col(text)), reading)))
+    best = tried.where("_x is not null").groupBy(*keys, n).agg(F.min("_x").alias("x"))
     return best.where(F.col("x._e") <= F.col("x._r")).select(*keys, n, F.col("x.t").alias("corregida"), F.col("x.v").alias("valor_nuevo"))
 
 
