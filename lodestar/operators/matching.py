@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import SHORTENED
+from lodestar.functions.text import SHORTENED, let
 from lodestar.operators.spatial import with_cells
 from lodestar.sources.scratch import remove, written
 
@@ -57,19 +57,25 @@ def cited_numbers(text: Column) -> Column:
     after = F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0)))
 
     def spelt(piece):
-        number = F.regexp_extract(piece, r"^\d+(\.\d+)?", 0)
-        a = number.try_cast("int")
-        b = F.regexp_extract(F.substring(piece, F.length(number) + 1, F.length(piece)), r"^\s*[-–]\s*(\d+)", 1).try_cast("int")
+        return let(F.regexp_extract(piece, r"^\d+(\.\d+)?", 0), lambda number: F.when(number == "", F.array().cast("array<string>")).otherwise(ranged(piece, number)))
+
+    def ranged(piece, number):
+        last = F.regexp_extract(F.substring(piece, F.length(number) + 1, F.length(piece)), r"^\s*[-–]\s*(\d+)", 1)
+        end = let(last, lambda d: F.when(d != "", d.try_cast("int")))  # a cast that fails throws inside, which is slow
+        return let(F.struct(number.try_cast("int").alias("a"), end.alias("b")), lambda x: whole(number, x["a"], x["b"]))
+
+    def whole(number, a, b):
         wide = a.isNotNull() & b.isNotNull() & (b > a) & (b - a < 20)
         low = F.coalesce(a, F.lit(0))
-        return F.when(number == "", F.array().cast("array<string>")).when(wide, F.transform(F.sequence(low, F.when(wide, b).otherwise(low)), lambda n: n.cast("string"))).otherwise(F.array(number))
+        return F.when(wide, F.transform(F.sequence(low, F.when(wide, b).otherwise(low)), lambda n: n.cast("string"))).otherwise(F.array(number))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(after, spelt))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(after, spelt))))
 
 
 def mentions(figures: DataFrame, paragraphs: DataFrame, doc: str, fid: str, number: str, pid: str, text: str, caption: Column, most: int = 6) -> DataFrame:
-    """(doc, fid, pid): the first paragraphs of the document that cite a figure's number, captions left out. Numbers are read once and joined by equality."""
-    cites = paragraphs.where(~caption).select(doc, pid, F.explode(cited_numbers(F.col(text))).alias("_n"))
+    """(doc, fid, pid): the first paragraphs of the document that cite a figure's number, captions left out. Numbers are read once and joined by equality; of those that cite a number the first ones are enough for all its figures."""
+    cites = paragraphs.where(~caption).select(doc, pid, F.explode_outer(cited_numbers(F.col(text))).alias("_n")).where("_n is not null")  # an inner explode would read each text twice, once for whether it has any
+    cites = cites.withColumn("_k", F.row_number().over(Window.partitionBy(doc, "_n").orderBy(pid))).where(F.col("_k") <= most)
     j = figures.join(cites, (figures[doc] == cites[doc]) & (figures[number] == cites["_n"])).select(figures[doc], fid, pid)
     return j.withColumn("puesto", F.row_number().over(Window.partitionBy(doc, fid).orderBy(pid))).where(F.col("puesto") <= most)
 
