@@ -102,6 +102,28 @@ class Cache(dict):
         return value
 
 
+class Recent(Cache):
+    """A Cache in two halves: when the newer one weighs half the limit, it becomes the older one, and that is dropped. What is met again meanwhile stays. weigh: about how many bytes a value takes."""
+
+    def __init__(self, make, limit: int, weigh=len):
+        super().__init__(make, limit)
+        self.weigh, self.older = weigh, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        size = 220 + 2 * len(key) + self.weigh(value)
+        if size < self.limit >> 4:
+            if self.held + size > self.limit >> 1:
+                self.older = self.copy()
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += size
+        return value
+
+
 class WordHashes(dict):
     """64-bit hashes of words, as a Cache of bytes."""
 
