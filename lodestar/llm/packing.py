@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import WordBpe, split_raw
-from lodestar.llm.common import Cache, arrow, batches
+from lodestar.llm.common import Recent, arrow, batches
 
 SEQUENCE, END, GROUP = 2048, 1, 4096
 #: Bytes of remaining ids at which a group ends early.
@@ -95,18 +95,28 @@ def fill(bins: list[list[int]], sizes: list[int], capacity: int = SEQUENCE) -> l
     return out
 
 
-_made: dict[str, Cache] = {}
+_made: dict[str, Recent] = {}
 
 
-def _words(path: str) -> Cache:
-    """Ids of raw words as little-endian unsigned 16-bit bytes; the library's own model does the merging."""
+def _known(path: str) -> Recent:
+    """Ids of words and of raw parts of texts as little-endian unsigned 16-bit bytes; the library's own model does the merging."""
     if path not in _made:
         from tokenizers import Tokenizer
 
         bpe, model = WordBpe(path), Tokenizer.from_file(path).model
         symbol = bpe.symbol
-        ids = Cache(lambda w: np.array([t.id for t in model.tokenize("".join([symbol[b] for b in w.encode("utf-8", "surrogatepass")]))], "<u2").tobytes(), 32 << 20)
-        _made[path] = Cache(lambda part: b"".join([w.to_bytes(2, "little") if isinstance(w, int) else ids[w] for w in bpe.pieces(part)]), 96 << 20)
+
+        def merged(word: str) -> bytes:
+            shown = word if word.isascii() and word.isprintable() else "".join([symbol[b] for b in word.encode("utf-8", "surrogatepass")])
+            return np.array([t.id for t in model.tokenize(shown)], "<u2").tobytes()
+
+        def make(part: str) -> bytes:
+            found = bpe.pieces(part)
+            if "<|" in part:  # a special token, or a word that looks like one
+                return b"".join([w.to_bytes(2, "little") if isinstance(w, int) else merged(w) for w in found])
+            return merged(part) if found == [part] else b"".join([known[w] for w in found])
+
+        known = _made[path] = Recent(make, 128 << 20)
     return _made[path]
 
 
@@ -123,9 +133,9 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     done = pa.schema([(key, pa.int64()), *((n.split()[0], pa.int64()) for n in PIECES.split(", "))])
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        words = _words(path)
+        known = _known(path)
         for k, t in batches(it, key, text):
-            ids = np.frombuffer(b"".join(map(words.__getitem__, split_raw(t or ""))) + END.to_bytes(2, "little"), "<u2")
+            ids = np.frombuffer(b"".join(map(known.__getitem__, split_raw(t or ""))) + END.to_bytes(2, "little"), "<u2")
             whole = len(ids) // SEQUENCE * SEQUENCE
             yield k, len(ids), [crc(ids[a : a + SEQUENCE]) for a in range(0, whole, SEQUENCE)], ids[whole:].tobytes()
 

@@ -8,11 +8,14 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from lodestar.llm import bpe  # noqa: E402
+import numpy as np  # noqa: E402
+
+from lodestar.llm import bpe, packing  # noqa: E402
 from lodestar.llm.queries import vocabulary  # noqa: E402
 
 ODD = ["The the THE the. the, theﬁ", "Å K İstanbul ŉ é ẞ ΣΑΣ Σ", "<|endoftext|> <|ENDOFTEXT|> x<|endoftext|>y <|", "it's IT'S a's. 12. é. É, é́.", "\x00a a\x7f \x1ca b\x85c\xa0d", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab " + "thththe" * 40, "日本語。 ok。 ok! !", ""]
 
+
 def library():
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(vocabulary())
@@ -20,12 +23,15 @@ def library():
     t.no_truncation()
     return t
 
+
 def test_odd_words_as_the_library_has_them():
     t, dice = library(), random.Random(5)
     texts = ODD + ["".join(dice.choices("aeinortThLß'éÉΣ́İ.!,<|0 \n", k=200)) for _ in range(200)]
     for text in texts:
         want = t.encode(text, add_special_tokens=False).ids
         assert bpe.encode_ids(text, vocabulary()) == want
+        assert np.frombuffer(b"".join(map(packing._known(vocabulary()).__getitem__, bpe.split_raw(text))), "<u2").tolist() == want
+
 
 def test_a_word_that_is_met_again_is_merged_once(monkeypatch):
     monkeypatch.setattr(bpe, "_made", {})
