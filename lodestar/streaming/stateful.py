@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import datetime
 import math
+import operator
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -21,6 +22,9 @@ from lodestar.streaming.selection import Chart, Config, Debounce, Element, OneEu
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = datetime.datetime(1970, 1, 1)
+_AWARE = _EPOCH.replace(tzinfo=datetime.UTC)
+#: Rows of a list state's entry at most.
+CHUNK = 1000
 
 
 @contextlib.contextmanager
@@ -80,38 +84,55 @@ class Timed(StatefulProcessor):
 
 
 class Reorder(Timed):
-    """Rows wait in list state until the watermark has passed their time; then they go in order."""
+    """Rows wait in list state until the watermark has passed their time; then they go in order. An entry of the list holds what came of a key in one batch, up to CHUNK rows, as a list for each column: entries, not rows, are what passes between Python and the JVM one by one. Timestamps wait as microseconds."""
 
     def __init__(self, schema: T.StructType, time: str, order: list[str]):
         self.schema, self.time, self.order = schema, time, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.rows = handle.getListState("rows", self.schema)
+        self.stamps = [k for k, f in enumerate(self.schema) if isinstance(f.dataType, T.TimestampType)]
+        kinds = [T.LongType() if k in self.stamps else f.dataType for k, f in enumerate(self.schema)]
+        self.rows = handle.getListState("rows", T.StructType([T.StructField(f"c{k}", T.ArrayType(t)) for k, t in enumerate(kinds)]))
+        names = self.schema.fieldNames()
+        self.at, self.row = names.index(self.time), Row(*names)
+        self.by = operator.itemgetter(self.at, *(names.index(c) for c in self.order))
+
+    def chunks(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[k : k + CHUNK], strict=True))) for k in range(0, len(rows), CHUNK)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at, past = self.schema.fieldNames().index(self.time), timerValues.getCurrentWatermarkInMs()
-        new = [tuple(r) for r in rows if _ms(r[at]) > past]  # what the watermark has passed has gone
+        past, new = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for r in rows:
+            r = list(r)
+            for k in self.stamps:
+                if r[k] is not None:
+                    r[k] = _us(r[k])
+            if r[self.at] > past:  # what the watermark has passed has gone
+                new.append(r)
         if not new:
             return iter(())
-        self.rows.appendList(new)
-        first = min(_ms(r[at]) for r in new)
+        self.rows.appendList(self.chunks(new))
+        first = -(-min(r[self.at] for r in new) // 1000)
         self.wake(min(first, self.due.get()[0]) if self.due.exists() else first)
         return iter(())
 
     def timed(self, key, watermark: int) -> Iterator[Row]:
-        names = self.schema.fieldNames()
-        at, order = names.index(self.time), [names.index(c) for c in self.order]
         ready, waiting = [], []
-        for r in self.rows.get():
-            (ready if _ms(r[at]) <= watermark else waiting).append(tuple(r))
+        for chunk in self.rows.get():
+            for r in zip(*chunk, strict=True):
+                (ready if r[self.at] <= watermark * 1000 else waiting).append(r)
         if waiting:
-            self.rows.put(waiting)
-            self.wake(min(_ms(r[at]) for r in waiting))
+            self.rows.put(self.chunks(waiting))
+            self.wake(-(-min(r[self.at] for r in waiting) // 1000))
         else:
             self.rows.clear()
-        for r in sorted(ready, key=lambda r: (r[at], *(r[k] for k in order))):
-            yield Row(*names)(*r)
+        for r in sorted(ready, key=self.by):
+            r = list(r)
+            for k in self.stamps:
+                if r[k] is not None:
+                    r[k] = _AWARE + datetime.timedelta(microseconds=r[k])
+            yield self.row(*r)
 
 
 def in_time(df: DataFrame, key: str, time: str, order: list[str]) -> DataFrame:
