@@ -14,9 +14,12 @@ from lodestar.sources.scratch import remove, written
 
 
 def figures_or_panels(figures: DataFrame, panels: DataFrame, fig: str, usable: str) -> DataFrame:
-    """Usable panels stand for their figure; a figure without any stays itself."""
+    """Usable panels stand for their figure; a figure without any stays itself. A task holds the other side's distinct keys of its share and nothing else: rows run through unsorted, no side is a broadcast, and the shares are not put together into fewer tasks, as these keys take many times what they take in a shuffle."""
+    parts = int(figures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     good = panels.where(F.col(usable)).drop(usable)
-    return figures.join(good.select(fig).distinct(), fig, "left_anti").unionByName(good.join(figures.select(fig), fig, "left_semi"))
+    dealt = lambda df: df.repartition(parts, fig)
+    keys = lambda df: dealt(df.select(fig)).hint("shuffle_hash")
+    return dealt(figures).join(keys(good), fig, "left_anti").unionByName(dealt(good).join(keys(figures), fig, "left_semi"))
 
 
 def ordered_distinct(df: DataFrame, value: str, order: str, parts: int = 64) -> DataFrame:
