@@ -54,12 +54,13 @@ def s2(spark, d):
     sep = F.when(odd, ";").otherwise(",")
     line = F.concat(F.lit("e"), col("event_id").cast("string"), sep, say(col("value")), sep, say(col("event_id") % 300 - 100.0), sep, say(col("event_id") * 2.0))
     head = F.array(F.concat(F.lit("# Título: Usuario "), col("user_id").cast("string")), F.when(col("user_id") % 3 == 0, "#origen_x = -5").otherwise("# nota: ninguna"), F.when(odd, "Etiqueta;X;Y;Value").otherwise("mes,x,y,valor"))
-    heads = ev.select("user_id").distinct().select("user_id", F.posexplode(head).alias("k", "line")).select("user_id", (col("k") - 3).cast("bigint").alias("k"), "line")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(col("event_id").alias("k"), line.alias("line")))), lambda x: x["line"])
+    texts = ev.groupBy("user_id").agg(lines.alias("lines")).select("user_id", F.array_join(F.concat(head, "lines"), "\n").alias("text"))
     out = folder(spark)
-    S.in_folders(heads.unionByName(ev.select("user_id", col("event_id").alias("k"), line.alias("line"))), "user_id", "k").text(out)
+    S.write_texts(texts, out, "user_id", "text")
     pts, charts = S.read_points(spark, out + "/*")
     sums = pts.groupBy("file").agg(F.count(F.lit(1)).alias("puntos"), F.round(F.sum("valor"), 3).alias("total"))
-    return charts.join(sums, "file").select(told("user_id"), "puntos", "total", "titulo", *(F.round(c, 6).alias(c) for c in ("x0", "x1", "y0", "y1")))
+    return charts.join(sums, "file").select(F.regexp_extract("titulo", "([0-9]+)$", 1).cast("bigint").alias("user_id"), "puntos", "total", "titulo", *(F.round(c, 6).alias(c) for c in ("x0", "x1", "y0", "y1")))
 
 
 @bound("s3_sessions", """select case when s_suppkey % 2 = 0 then 'P' || s_suppkey else 'placa=' || s_suppkey end as placa, count(l_orderkey) as ensayos, round(sum(l_quantity), 3) as error, count_if(l_returnflag = 'R') as aciertos from supplier left join lineitem on l_suppkey = s_suppkey where s_suppkey % 7 > 0 group by s_suppkey""")

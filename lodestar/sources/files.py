@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.columns import header_key, parse_number
-from lodestar.operators.spatial import dealt
+from lodestar.operators.spatial import dealt, once
+from lodestar.sources.scratch import written
 
 #: Fixed columns of an element table.
 ELEMENTS = ("tipo", "id", "serie", "x1_mm", "y1_mm", "x2_mm", "y2_mm", "valor_x", "valor_y", "tendencia", "texto")
@@ -15,25 +16,27 @@ ELEMENTS = ("tipo", "id", "serie", "x1_mm", "y1_mm", "x2_mm", "y2_mm", "valor_x"
 ALIASES = {"etiqueta": ("etiqueta", "nombre", "punto", "mes", "label", "categoria"), "x": ("x",), "y": ("y",), "valor": ("valor", "value", "v"), "info": ("info", "detalle", "nota")}
 
 
-def _lines(spark: SparkSession, paths) -> DataFrame:
-    """(file, n, line) without a byte order mark, blank lines left out; n is the line's number in its file."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("n", "line"))
-    return text.where(F.trim("line") != "")
+def _tables(spark: SparkSession, paths) -> DataFrame:
+    """(file, notes, data): the lines (n, line) of each file that begin with "#" and the others, without a byte order mark and blank lines; n is the line's number in its file. However many steps read them, the files are listed and opened once."""
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    numbered = F.transform(F.split("text", r"\r?\n"), lambda line, i: F.struct(i.alias("n"), line.alias("line")))
+    lines = dealt(text, "file").select("file", F.filter(numbered, lambda x: F.trim(x["line"]) != "").alias("_all"))
+    note = lambda x: F.ltrim(x["line"]).startswith("#")
+    return written(lines.select("file", F.filter("_all", note).alias("notes"), F.filter("_all", lambda x: ~note(x)).alias("data")))
 
 
-def _cells(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _cells(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, n, names, cells) of data lines and (file, key, value) of "#key: value" lines. A file's delimiter is the one that its header line has more of."""
-    noted = lines.where(F.ltrim("line").startswith("#")).withColumn("_at", F.array_min(F.filter(F.array(F.instr("line", ":"), F.instr("line", "=")), lambda p: p > 0)))
+    noted = tables.select("file", F.inline("notes")).withColumn("_at", F.array_min(F.filter(F.array(F.instr("line", ":"), F.instr("line", "=")), lambda p: p > 0)))
     key = F.ltrim(F.substring(F.ltrim(F.substring("line", F.lit(1), F.col("_at") - 1)), F.lit(2), F.col("_at")))
     # a note without a name is none
     meta = noted.where(F.length(F.trim(key)) > 0).select("file", header_key(key).alias("key"), F.trim(F.substring("line", F.col("_at") + 1, F.length("line"))).alias("value"))
-    data = lines.where(~F.ltrim("line").startswith("#"))
-    head = data.groupBy("file").agg(F.min_by("line", "n").alias("_head"), F.min("n").alias("_first"), F.count(F.lit(1)).alias("_lines"))
     count = lambda c: F.length("_head") - F.length(F.replace("_head", F.lit(c), F.lit("")))
-    head = head.withColumn("_sep", F.when(count(";") > count(","), ";").otherwise(","))
-    j = data.join(head, "file").where("n > _first")
     split = lambda c: F.when(F.col("_sep") == ";", _csv(c, ";")).otherwise(_csv(c, ","))
-    return j.select("file", "n", "_lines", F.transform(split("_head"), header_key).alias("names"), split("line").alias("cells")), meta
+    head = tables.select("*", F.size("data").alias("_lines"), F.get("data", F.lit(0))["line"].alias("_head")).withColumn("_sep", F.when(count(";") > count(","), ";").otherwise(","))
+    named = head.withColumn("names", F.transform(split("_head"), header_key)).withColumn("_rest", F.slice("data", F.lit(2), F.greatest(F.col("_lines") - 1, F.lit(0))))
+    rest = named.select("file", "_lines", "_sep", "names", F.inline("_rest"))
+    return rest.select("file", "n", "_lines", "names", split("line").alias("cells")), meta
 
 
 def _csv(c: str, sep: str) -> Column:
@@ -50,8 +53,8 @@ def _named(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def read_elements(spark: SparkSession, paths, most: int = 3000) -> tuple[DataFrame, DataFrame]:
     """(elements, rejects). Many chart tables, one row for each element; rejects: (file, n, reason), n null where the whole file is refused."""
-    lines = _lines(spark, paths)
-    cells, _ = _cells(lines)
+    tables = _tables(spark, paths)
+    cells, _ = _cells(tables)
     rows = _named(cells, {c: (c, c.removesuffix("_mm")) for c in ELEMENTS})
     nums = [c for c in ELEMENTS if c.endswith("_mm") or c.startswith("valor")]
     typed = rows.withColumns({f"_bad_{c}": F.col(c).isNotNull() & parse_number(F.col(c)).isNull() for c in nums}).withColumns({c: parse_number(F.col(c)) for c in nums})
@@ -60,7 +63,7 @@ def read_elements(spark: SparkSession, paths, most: int = 3000) -> tuple[DataFra
     has = F.count_if(F.col("tipo").isin("punto", "curva", "tramo", "barra")).over(w)
     why = F.when(F.col("_lines") < 3, "corto").when(~F.array_contains("names", "tipo") | ~F.array_contains("names", "x1_mm"), "faltan columnas").when(has == 0, "sin datos").when(has > most, "demasiados")
     checked = typed.withColumn("_file_why", why).withColumn("_row_why", F.when(F.size(bad) > 0, F.concat(F.lit("no es numero: "), F.array_join(bad, ","))))
-    short = lines.where(~F.ltrim("line").startswith("#")).groupBy("file").agg(F.count(F.lit(1)).alias("k")).where("k < 3").select("file", F.lit(None).cast("int").alias("n"), F.lit("corto").alias("reason"))
+    short = tables.where(F.size("data").between(1, 2)).select("file", F.lit(None).cast("int").alias("n"), F.lit("corto").alias("reason"))
     files = checked.where("_file_why is not null and _lines >= 3").select("file", F.lit(None).cast("int").alias("n"), F.col("_file_why").alias("reason")).distinct()
     row = checked.where("_file_why is null and _row_why is not null").select("file", "n", F.col("_row_why").alias("reason"))
     return checked.where("_file_why is null and _row_why is null").select("file", "n", *ELEMENTS), short.unionByName(files).unionByName(row)
@@ -68,8 +71,11 @@ def read_elements(spark: SparkSession, paths, most: int = 3000) -> tuple[DataFra
 
 def read_points(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """(points, charts). Point tables with several names for a column; charts has the "#" lines as columns and the axis ranges, by default the points' with a margin of 8 % (at least 10)."""
-    cells, meta = _cells(_lines(spark, paths))
-    pts = _named(cells, ALIASES).select("file", "n", "etiqueta", *(parse_number(F.col(c)).alias(c) for c in ("x", "y", "valor")), "info").where("x is not null and y is not null")
+    cells, meta = _cells(_tables(spark, paths))
+    pts = _named(cells, ALIASES)
+    for c in ("x", "y", "valor"):
+        pts = once(pts.withColumnRenamed(c, "_text").withColumn("_number", parse_number(F.col("_text"))), **{c: F.col("_number")}).drop("_text", "_number")
+    pts = pts.select("file", "n", "etiqueta", "x", "y", "valor", "info").where("x is not null and y is not null")
     told = meta.groupBy("file").pivot("key", ["titulo", "unidad", "origen_x", "origen_y", "ancho", "alto"]).agg(F.first("value"))
     ext = pts.groupBy("file").agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
     pad = lambda c: F.greatest(F.lit(10.0), 0.08 * (F.col(f"max_{c}") - F.col(f"min_{c}")))
@@ -102,11 +108,22 @@ def element_rows(df: DataFrame) -> DataFrame:
     return df.select(*(F.bround(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)).withColumn("_r", rank)
 
 
+#: For a write of many small files: each task moves its own (the driver else moves all, one after another); on a local disk no checksum file lies beside each, for which Hadoop starts more processes to set its rights.
+SMALL = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def in_folders(df: DataFrame, part: str, *order: str):
-    """A writer of a folder with one file for each value of part, its rows in order. As many tasks as a shuffle has write, however small the rows are, and each moves its own files (the driver else moves all, one after another); names are the same when a task is repeated."""
+    """A writer of a folder with one file for each value of part, its rows in order. As many tasks as a shuffle has write, however small the rows are; names are the same when a task is repeated."""
     rows = dealt(df, part)
     rows = rows.sortWithinPartitions(part, *order) if order else rows
-    return rows.select(*(c for c in df.columns if c not in order or c == part)).write.partitionBy(part).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    return rows.select(*(c for c in df.columns if c not in order or c == part)).write.partitionBy(part).options(**SMALL)
+
+
+def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
+    """A file for each row's text, in as many folders as a shuffle has tasks: a folder for each file takes longer to make and to list than the file."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("part"), key, F.col(text).alias("value"))
+    dealt(rows, "part").sortWithinPartitions("part", key).select("part", "value").write.partitionBy("part").options(**SMALL).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_elements(df: DataFrame, path: str, part: str) -> None:
